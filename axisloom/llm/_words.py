@@ -52,9 +52,10 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     up, down = _powers
     if len(up) < n:
-        inverse = np.uint64(pow(_BASE, -1, 1 << 64))
-        up = np.cumprod(np.concatenate(([1], np.full(n - 1, _BASE))).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate(([1], np.full(n - 1, inverse))).astype(np.uint64), dtype=np.uint64)
+        up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(down, out=down)
         if n <= 4 * BLOCK:
             _powers = up, down
     return up, down

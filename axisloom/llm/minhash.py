@@ -104,6 +104,92 @@ def _sets(k: int):
     return run
 
 
+def least_share(percent: int, count: int) -> float:
+    """Five standard deviations of the share of agreeing minima, below the threshold."""
+    p = percent / 100
+    return p - 5 * (p * (1 - p) / count) ** 0.5
+
+
+def _groups(batches, key: int) -> Iterator[pa.Table]:
+    """Rows that agree in the first `key` columns; the input is sorted by them."""
+    kept: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(key)]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            now = tuple(int(c[lo]) for c in cols)
+            if kept and now != last:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            kept.append(batch.slice(lo, hi - lo))
+            last = now
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def _linked_across(percent: int, least: float):
+    """Links between components among the members of a bucket's block, or of two of its blocks.
+
+    A pair is compared in the bucket of its first common band only; links that join nothing new
+    here are left out, so there are fewer links than members.
+    """
+
+    def links(t: pa.Table) -> tuple[list, list]:
+        bucket, i, j = (t.column(c)[0].as_py() for c in range(3))
+        block, rep, comp, n = (t.column(c).to_numpy() for c in range(3, 7))
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        sig = np.array([np.frombuffer(x.as_buffer(), np.uint8) for x in t.column("sig")])
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        names, comp = np.unique(comp, return_inverse=True)
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        ones, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        out: tuple[list, list] = ([], [])
+        for a in ones.tolist():
+            c = others[others > a] if i == j else others
+            c = c[(comp[c] != comp[a]) & (100 * np.minimum(n[c], n[a]) >= percent * np.maximum(n[c], n[a]))]
+            c = c[(sig[c] == sig[a]).mean(axis=1) >= least]
+            c = c[(bands[c] == bands[a]).argmax(axis=1) == band]
+            if not len(c):
+                continue
+            size = np.array([len(sets[x]) for x in c])
+            all_ = np.concatenate([sets[x] for x in c])
+            at = np.searchsorted(sets[a], all_)
+            at[at == len(sets[a])] = 0
+            both = np.bincount(np.repeat(np.arange(len(c)), size), weights=sets[a][at] == all_, minlength=len(c)).astype(np.int64)
+            for x in c[100 * both >= percent * (size + len(sets[a]) - both)].tolist():
+                if comp[x] != comp[a]:
+                    out[0].append(int(rep[a]))
+                    out[1].append(int(rep[x]))
+                    comp[comp == comp[x]] = comp[a]
+        return out
+
+    def run(batches):
+        for t in _groups(batches, 3):
+            a, b = links(t)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, count: int, block: int = 512) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket.
+
+    members: bucket, size (of the bucket), rep, component. A bucket's members are dealt to blocks of
+    about `block`, and each pair of blocks is compared by itself, so no task holds a whole bucket.
+    """
+    sets = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    whole = stored(sets.withColumnRenamed("doc_id", "rep").join(reps.select("rep", "n_shingles", "bands", "sig"), "rep"), "sets")
+    blocks_ = F.ceil(F.col("size") / block).cast("int")
+    dealt = members.withColumn("blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    rows = tasks.join(whole, "rep").select("bucket", "i", "j", "block", "rep", "component", "n_shingles", "bands", "sig", "shingles")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_linked_across(percent, least_share(percent, count)), "a long, b long")
+
+
 def _close(least: float):
     """Pairs whose signatures agree often enough; bytes agree by chance once in 256."""
 
@@ -131,11 +217,8 @@ def _linked(percent: int):
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose full sets are similar enough."""
     sigs = reps.select("rep", "sig")
-    # five standard deviations of the share of agreeing minima below the threshold
-    p = percent / 100
-    least = p - 5 * (p * (1 - p) / bits) ** 0.5
     near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stored(near.mapInArrow(_close(least), "a long, b long"), "near")
+    near = stored(near.mapInArrow(_close(least_share(percent, bits)), "a long, b long"), "near")
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
@@ -156,14 +239,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = stored(_confirmed(stars, reps, docs, k, percent, bands * rows), "links")
     found = stored(components(links, "a", "b"), "components")
 
-    # buckets that still hold several components: compare across them, except with the smallest, which is done
+    # buckets that still hold several components: compare across them, but not with the smallest again
     placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-    left = stored(placed.join(open_, "bucket", "left_semi").filter("rep <> least"), "open")
-    x, y = (left.select("bucket", F.col("rep").alias(r), F.col("component").alias("c" + r), F.col("n_shingles").alias("n" + r)) for r in "ab")
-    longer, shorter = F.greatest("na", "nb"), F.least("na", "nb")
-    cross = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (shorter * 100 >= longer * percent)).select("a", "b").distinct()
-    more = stored(_confirmed(cross, reps, docs, k, percent, bands * rows), "links")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
+    left = stored(placed.filter("rep <> least").join(open_, "bucket").select("bucket", "size", "rep", "component"), "open")
+    more = stored(_across(left, reps, docs, k, percent, bands * rows), "links")
     if not more.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "components")
 

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import only
 from ._words import blocks, split
 
 WINDOW = 10
@@ -156,10 +155,23 @@ def _hits(shared):
     return run
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item."""
+    names = docs.columns
+    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in names]).alias("row"))
+    kept = contamination(packed, items, window).filter("n_hit = 0")
+    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (merged hit word ranges), items (ids found), n_hit."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """One row per document: doc_id, n_words, spans (merged hit word ranges), items (ids found), n_hit.
+
+    A column `row`, if docs has one, is passed on.
+    """
+    sc = docs.sparkSession.sparkContext
+    carried = ["row"] if "row" in docs.columns else []
+    row_type = f", row {docs.schema['row'].dataType.simpleString()}" if carried else ""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
     windows = items.select("item_id", "text").mapInArrow(_windows(window), "item_id string, words array<long>")
     parts = max(1, -(-windows.count() // part))
     windows = windows.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts)))
@@ -174,13 +186,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, part:
         counted = docs.select("text").mapInArrow(_counts(keys), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
         index = Index([(w, sorted(x)) for w, x in got.items()], {r.word: r.n for r in counted.toLocalIterator()} if got else {})
         rows = docs if parts == 1 else docs.withColumn("key", F.sha2("text", 256))
-        out.append(rows.mapInArrow(_hits(sc.broadcast(index)), _HITS + ("" if parts == 1 else ", key string")))
+        out.append(rows.mapInArrow(_hits(sc.broadcast(index)), _HITS + row_type + ("" if parts == 1 else ", key string")))
     found = out[0]
     if parts > 1:
         for more in out[1:]:
             found = found.unionByName(more)
         # rows that share doc_id and text have equal results, and each part has each of them once
-        found = found.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / parts).cast("int").alias("copies"))
+        found = found.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / parts).cast("int").alias("copies"), *[F.first(c).alias(c) for c in carried])
         found = found.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
     covered = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0), (x, s) -> named_struct('n', x.n + greatest(0, s.end - greatest(s.start, x.to)), 'to', greatest(x.to, s.end)), x -> x.n)")
-    return found.select("doc_id", "n_words", "spans", "items", covered.alias("n_hit"))
+    return found.select("doc_id", "n_words", "spans", "items", covered.alias("n_hit"), *carried)

@@ -251,3 +251,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketch.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, with all their columns, of which each group keeps the smallest doc_id, once.
+
+    Rows without a doc_id can't be named in a group and stay.
+    """
+    found = stored(near_duplicates(docs, **options), "groups")
+    dropped = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)

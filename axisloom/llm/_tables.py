@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +48,26 @@ def drop(df: DataFrame) -> None:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so extra columns with any name are never in the way."""
     return df.select(*[df[n] for n in names])
+
+
+_SLOTS, _MAP = 1 << 25, 1 << 15
+
+
+def maybe_in(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """df and `maybe`: false where df[name] is certainly not among the ids (a column of the same name).
+
+    The ids are hashed into a bitmap of 2**25 bits, at most 1024 rows of 4 KB, which is what bounds
+    the broadcast. With many more ids nearly all is "maybe", so an exact join must follow; this only
+    keeps rows with wide texts from being shuffled for it.
+    """
+
+    def slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(_SLOTS))
+
+    slots = ids.select(slot(ids[name]).alias("s"))
+    maps = slots.groupBy(F.expr(f"s div {_MAP}").alias("map_no")).agg(F.expr(f"bitmap_construct_agg(s % {_MAP})").alias("map_bits"))
+    at = slot(df[name])
+    rows = df.withColumn("map_at", at % _MAP).withColumn("map_no", F.floor(at / _MAP))
+    byte = F.conv(F.hex(F.expr("substring(map_bits, cast(map_at div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    hit = F.coalesce(F.getbit(byte, (F.col("map_at") % 8).cast("int")) == 1, F.lit(False))
+    return rows.join(F.broadcast(maps), "map_no", "left").withColumn("maybe", hit).drop("map_no", "map_at", "map_bits")

@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import only, stored
+from ._groups import groups
+from ._tables import maybe_in, only, stored
 from ._words import Words, blocks, mix, split
 from .components import components
 
@@ -110,26 +111,6 @@ def least_share(percent: int, count: int) -> float:
     return p - 5 * (p * (1 - p) / count) ** 0.5
 
 
-def _groups(batches, key: int) -> Iterator[pa.Table]:
-    """Rows that agree in the first `key` columns; the input is sorted by them."""
-    kept: list[pa.RecordBatch] = []
-    last: tuple | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(i).to_numpy() for i in range(key)]
-        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1 if batch.num_rows > 1 else np.zeros(0, np.int64)
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            now = tuple(int(c[lo]) for c in cols)
-            if kept and now != last:
-                yield pa.Table.from_batches(kept)
-                kept = []
-            kept.append(batch.slice(lo, hi - lo))
-            last = now
-    if kept:
-        yield pa.Table.from_batches(kept)
-
-
 def _linked_across(percent: int, least: float):
     """Links between components among the members of a bucket's block, or of two of its blocks.
 
@@ -167,7 +148,7 @@ def _linked_across(percent: int, least: float):
         return out
 
     def run(batches):
-        for t in _groups(batches, 3):
+        for t in groups(batches, 3):
             a, b = links(t)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -180,7 +161,7 @@ def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
     members: bucket, size (of the bucket), rep, component. A bucket's members are dealt to blocks of
     about `block`, and each pair of blocks is compared by itself, so no task holds a whole bucket.
     """
-    sets = docs.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary")
+    sets = _sets_of(docs, members.select(F.col("rep").alias("doc_id")), k)
     whole = stored(sets.withColumnRenamed("doc_id", "rep").join(reps.select("rep", "n_shingles", "bands", "sig"), "rep"), "sets")
     blocks_ = F.ceil(F.col("size") / block).cast("int")
     dealt = members.withColumn("blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -214,13 +195,17 @@ def _linked(percent: int):
     return run
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id and shingles of the documents with these ids, and of a few others."""
+    return maybe_in(docs, "doc_id", ids).filter("maybe").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
     """Of pairs (a, b) of classes, those whose full sets are similar enough."""
     sigs = reps.select("rep", "sig")
     near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     near = stored(near.mapInArrow(_close(least_share(percent, bits)), "a long, b long"), "near")
-    wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    sets = stored(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, shingles binary"), "sets")
+    sets = stored(_sets_of(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")), k), "sets")
     full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
     return full.mapInArrow(_linked(percent), "a long, b long").distinct()
 
@@ -260,7 +245,9 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """
     found = stored(near_duplicates(docs, **options), "groups")
     dropped = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    marked = maybe_in(docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row")), "doc_id", dropped)
+    unpacked = [F.col("row")[c].alias(c) for c in docs.columns]
+    kept = marked.filter("not maybe").select(*unpacked).unionByName(marked.filter("maybe").join(dropped, "doc_id", "left_anti").select(*unpacked))
     again = stored(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.isEmpty():
         return kept

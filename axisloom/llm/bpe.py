@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
+import sys
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 MEMO = 600_000  # stretches remembered by a worker; then it starts afresh
 _M = (1 << 64) - 1
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE = re.compile(r" (?!\S)").search  # a space that no visible character follows
 _STRETCH = re.compile(r" (?=\S)").split
 
@@ -86,15 +89,35 @@ class PerfectHash:
         return self.slot_value[s] if self.slot_key[s] == key else -1
 
 
+def token_pairs(tokens: list[bytes]) -> dict[int, int]:
+    """Rank of what two tokens make together, by their ranks in 20 bits each."""
+    rank = {t: i for i, t in enumerate(tokens)}
+    halves = ((rank.get(t[:k]), rank.get(t[k:]), r) for r, t in enumerate(tokens) for k in range(1, len(t)))
+    return {a << 20 | b: r for a, b, r in halves if a is not None and b is not None}
+
+
 class Memo(dict):
-    """Ids of stretches, which follow one space; computed when first asked for."""
+    """Ids of stretches, which follow one space; computed when first asked for.
+
+    A word with punctuation behind it is put together from the word and the punctuation, which are
+    pre-tokens of their own, so that each word takes one place.
+    """
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
+        self.tails: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
+        word = stretch.rstrip(_PUNCTUATION)
+        if word and len(word) < len(stretch) and word.isalpha() and max(word) < "\u0250":
+            tail = stretch[len(word) :]
+            if (ids := self.tails.get(tail)) is None:
+                ids = self.encoder.pieces(tail)
+                if len(tail) <= 3:
+                    self.tails[tail] = ids
+            return self[word] + ids
         ids = self.encoder.pieces(" " + stretch)
-        if len(stretch) <= 64:
+        if len(stretch) <= 64 and "\n" not in stretch:
             if len(self) >= MEMO:
                 self.clear()
             self[stretch] = ids
@@ -102,48 +125,48 @@ class Memo(dict):
 
 
 class Encoder:
-    def __init__(self, tokens: list[bytes], pattern: str, hash_: PerfectHash | None = None):
+    def __init__(self, tokens: list[bytes], pattern: str, hash_: PerfectHash | None = None, pairs: dict[int, int] | None = None):
         self.hash = hash_ or PerfectHash(tokens)
         self.find = regex.compile(pattern).findall
         self.single = [self.hash.get(bytes([b])) for b in range(256)]
-        self.pairs: dict[int, int] = {t[0] << 8 | t[1]: r for r, t in enumerate(tokens) if len(t) == 2}
+        self.pairs = pairs or token_pairs(tokens)
         self.memo = Memo(self)
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of a piece that isn't one token: linked bytes, and a heap of the pairs to merge."""
-        n, get, pairs = len(piece), self.hash.get, self.pairs
-        end = list(range(1, n + 1))  # of the part that begins here
-        before = list(range(-1, n))
-        ids = [self.single[b] for b in piece]
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := pairs.get(piece[i] << 8 | piece[i + 1], -1)) >= 0]
-        heapq.heapify(heap)
+        n, pair = len(piece), self.pairs.get
+        ids = [self.single[b] for b in piece]  # of the part that begins here; -1 once it is merged away
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [r << 32 | i for i in range(n - 1) if (r := pair(ids[i] << 20 | ids[i + 1], -1)) >= 0]
+        heapify(heap)
         while heap:
-            rank, i, stop = heapq.heappop(heap)
-            mid = end[i]
-            if ids[i] < 0 or mid >= stop or mid >= n or end[mid] != stop:
+            rank = heappop(heap)
+            i, rank = rank & 0xFFFFFFFF, rank >> 32
+            # a part here that has changed since forms another pair, or none
+            if ids[i] < 0 or (j := after[i]) >= n or pair(ids[i] << 20 | ids[j]) != rank:
                 continue
-            end[i], ids[i], ids[mid] = stop, rank, -1
-            if stop < n:
-                before[stop] = i
-                if (r := get(piece[i : end[stop]])) >= 0:
-                    heapq.heappush(heap, (r, i, end[stop]))
-            if (p := before[i]) >= 0 and (r := get(piece[p:stop])) >= 0:
-                heapq.heappush(heap, (r, p, stop))
-        out, i = [], 0
-        while i < n:
-            out.append(ids[i])
-            i = end[i]
-        return out
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := pair(rank << 20 | ids[k], -1)) >= 0:
+                    heappush(heap, r << 32 | i)
+            if (k := before[i]) >= 0 and (r := pair(ids[k] << 20 | rank, -1)) >= 0:
+                heappush(heap, r << 32 | k)
+        return [x for x in ids if x >= 0]
 
     def pieces(self, text: str) -> bytes:
-        out: list[int] = []
-        for word in self.find(text):
+        out = array("I")
+        plain = text[:1] == " " and text.isascii() and text[1:].isalpha()
+        for word in [text] if plain else self.find(text):
             piece = word.encode()
             if (rank := self.hash.get(piece)) >= 0:
                 out.append(rank)
             else:
-                out += self.merged(piece)
-        return np.array(out, "<u4").tobytes()
+                out.extend(self.merged(piece))
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         first, *rest = text.split(" ") if not _LOOSE(text) else _STRETCH(text)
@@ -186,7 +209,7 @@ class Tokenizer:
 
     def __init__(self, spark, path: str, pattern: str):
         tokens = load_ranks(path)
-        self.shared = spark.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens)))
+        self.shared = spark.sparkContext.broadcast((tokens, pattern, PerfectHash(tokens), token_pairs(tokens)))
         self.key = hashlib.sha256(repr((tokens, pattern)).encode()).hexdigest()
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

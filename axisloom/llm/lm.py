@@ -20,17 +20,14 @@ probability 1).
 
 from __future__ import annotations
 
-import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._files import mapped_arrays, write_arrays
 from ._groups import groups
 from ._tables import new_path
 from ._words import Words, blocks, mix, split
@@ -127,57 +124,6 @@ class EliasFano:
         return np.where(beyond, self.n, lo)
 
 
-# --- files in the shared folder ------------------------------------------------------------------
-
-
-def _local(base: str) -> str | None:
-    """The folder as a path, if it is one that is mounted."""
-    if base.startswith("file:"):
-        return "/" + base[5:].lstrip("/")
-    return base if base.startswith("/") else None
-
-
-def _write(base: str, name: str, arrays: list[np.ndarray]) -> None:
-    body = struct.pack("<q", len(arrays))
-    heads, at = [], 8 + 40 * len(arrays)
-    for a in arrays:
-        at = at + 63 & ~63
-        heads.append(struct.pack("<qq24s", at, len(a), a.dtype.str.encode()))
-        at += a.nbytes
-    body += b"".join(heads)
-    fs, root = (pa.fs.LocalFileSystem(), path) if (path := _local(base)) else pa.fs.FileSystem.from_uri(base)
-    fs.create_dir(root, recursive=True)
-    part = f"{root}/{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        out.write(body)
-        at = len(body)
-        for a in arrays:
-            out.write(b"\0" * (-at % 64))
-            at += -at % 64 + a.nbytes
-            out.write(np.ascontiguousarray(a).tobytes())
-    fs.move(part, f"{root}/{name}")
-
-
-def _mapped(base: str, name: str) -> list[np.ndarray]:
-    """The file's arrays, mapped; a file of a remote store is first copied to an unlinked one."""
-    if path := _local(base):
-        whole = np.memmap(f"{path}/{name}", np.uint8, "r")
-    else:
-        fs, root = pa.fs.FileSystem.from_uri(base)
-        with tempfile.TemporaryFile() as copy, fs.open_input_stream(f"{root}/{name}") as src:
-            while chunk := src.read(1 << 22):
-                copy.write(chunk)
-            copy.flush()
-            whole = np.memmap(copy, np.uint8, "r")
-    (n,) = struct.unpack("<q", whole[:8].tobytes())
-    out = []
-    for i in range(n):
-        at, size, kind = struct.unpack("<qq24s", whole[8 + 40 * i : 48 + 40 * i].tobytes())
-        dtype = np.dtype(kind.rstrip(b"\0").decode())
-        out.append(whole[at : at + size * dtype.itemsize].view(dtype))
-    return out
-
-
 def _code(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / STEP), 0, 65535).astype(np.uint16)
 
@@ -210,14 +156,14 @@ class Trie:
 
     def words(self, shard: int) -> tuple[EliasFano, np.ndarray]:
         if (1, shard) not in self.open:
-            head, low, high, counts = _mapped(self.base, f"1-{shard}")
+            head, low, high, counts = mapped_arrays(self.base, f"1-{shard}")
             self.open[1, shard] = EliasFano(int(head[0]), int(head[1]), low, high), counts
         return self.open[1, shard]
 
     def level(self, k: int, shard: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
         """(pointers, words relative to contexts, back-off weights, probabilities)."""
         if (k, shard) not in self.open:
-            a = _mapped(self.base, f"{k}-{shard}")
+            a = mapped_arrays(self.base, f"{k}-{shard}")
             self.open[k, shard] = EliasFano(int(a[0][0]), int(a[0][1]), a[1], a[2]), EliasFano(int(a[3][0]), int(a[3][1]), a[4], a[5]), a[6], a[7]
         return self.open[k, shard]
 
@@ -374,7 +320,7 @@ def _build_words(base: str, shards: int):
             shard = t.column("shard")[0].as_py()
             keys = [np.cumsum(np.frombuffer(x.as_buffer(), np.uint64), dtype=np.uint64) for x in t.column("a")]
             keys, counts = _merge_counts(keys, _expand(t, "b", np.int64))
-            _write(base, f"1-{shard}", [*EliasFano.build(keys - shard_start(shard, shards)).parts(), counts])
+            write_arrays(base, f"1-{shard}", [*EliasFano.build(keys - shard_start(shard, shards)).parts(), counts])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(counts.sum())], pa.int64())})
 
     return run
@@ -446,7 +392,7 @@ def _build_level(base: str, trie_of, k: int):
             lower = trie.lower(k, shard * size + context, word)
             p = (count + kinds[context] * 10**lower) / (total[context] + kinds[context])
             back = np.log10(kinds / np.maximum(1, total + kinds), where=kinds > 0, out=np.zeros(contexts))
-            _write(base, f"{k}-{shard}", [*EliasFano.build(pointers).parts(), *EliasFano.build(base_of[context] + word + 1).parts(), _code(back), _code(np.log10(p))])
+            write_arrays(base, f"{k}-{shard}", [*EliasFano.build(pointers).parts(), *EliasFano.build(base_of[context] + word + 1).parts(), _code(back), _code(np.log10(p))])
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "n": pa.array([len(word)], pa.int64()), "total": pa.array([int(count.sum())], pa.int64())})
 
     return run

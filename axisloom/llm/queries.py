@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embeddings, lm, minhash, pii, quality, secrets
+from . import bpe, decontaminate, embeddings, lm, minhash, pii, quality, secrets, token_files
 from ._tables import read
 
 
@@ -55,6 +55,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = token_files.write(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return token_files.read(spark, written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"] < 3)

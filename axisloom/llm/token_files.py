@@ -9,7 +9,8 @@ Documents are dealt to files by ranges of doc_id, each sorted, and a file holds
 counts, control bytes and data. Files are written to the shared folder by the tasks that sort them;
 the number of ids before each file follows from the files' totals, one number per file.
 
-Words are encoded once and remembered, as the tokenizer never looks beyond white space.
+Texts are encoded once, to a table that the counts and the files are made from. Words are encoded
+once and remembered, as the tokenizer never looks beyond white space.
 
 Defined results: null texts count as empty and hold the end id alone; a null doc_id comes before all
 others; documents that share a doc_id stand next to each other in an order fixed by their ids' bytes.
@@ -17,6 +18,7 @@ others; documents that share a doc_id stand next to each other in an order fixed
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +28,12 @@ from pyspark.sql import functions as F
 
 from ._files import mapped_arrays, write_arrays
 from ._groups import groups
-from ._tables import new_path
+from ._tables import drop, new_path, stored
 
 END_ID = 1
-MEMO = 500_000
+MEMO = 1_200_000  # words remembered by a worker; then it starts afresh
 DOCS = 5_000  # documents of a file, about
+_PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
 
 
@@ -63,16 +66,28 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 
 class Memo(dict):
-    """Ids of words, as little-endian unsigned 32-bit integers."""
+    """Ids of ASCII-lower-cased words, in as few bytes as the vocabulary needs.
+
+    A word of Latin letters with ASCII punctuation behind it is two pre-tokens, so it is put together
+    from the word and the punctuation and takes no place of its own.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.kind = id_type(self.tokenizer.get_vocab_size())
+        self.end = self.packed([END_ID])
+
+    def packed(self, ids: list[int]) -> bytes:
+        return array(self.kind, ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        core = word.rstrip(_PUNCTUATION)
+        if core and len(core) < len(word) and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "\u0130"):
+            return self[core] + self[word[len(core) :]]
+        ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(word) <= 64:
             if len(self) >= MEMO:
                 self.clear()
@@ -80,6 +95,10 @@ class Memo(dict):
         return ids
 
 
+def id_type(vocabulary: int) -> str:
+    return "H" if vocabulary <= 1 << 16 else "I"
+
+
 _memo: tuple[str, Memo | None] = ("", None)
 
 
@@ -90,45 +109,55 @@ def _worker_memo(path: str) -> Memo:
     return _memo[1]
 
 
-_ids_end = np.array([END_ID], "<u4").tobytes()
-
-
 def encoded(memo: Memo, text: str | None) -> bytes:
-    words = text.encode().split() if text else ()
-    return b"".join(map(memo.__getitem__, words)) + _ids_end
+    """Ids with the end id; bytes.lower() and bytes.split() know ASCII only, and the tokenizer treats that no other way."""
+    words = text.encode().lower().split() if text else ()
+    return b"".join(map(memo.__getitem__, words)) + memo.end
+
 
+def _encoded(path: str, bounds: list[int]):
+    """Documents' ids, with the number of their file."""
 
-def _frequencies(path: str):
     def run(batches):
         memo = _worker_memo(path)
-        count = np.zeros(1, np.int64)
+        edges = np.array(bounds, np.int64)
+        for batch in batches:
+            doc = batch.column(0)
+            part = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
+            ids = [encoded(memo, t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+
+    return run
+
+
+def _frequencies(kind: str):
+    def run(batches):
+        count = np.zeros(1 << 16 if kind == "H" else 1, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 500):
-                ids = np.frombuffer(b"".join([encoded(memo, t) for t in texts[i : i + 500]]), "<u4")
-                more = np.bincount(ids, minlength=len(count))
-                more[: len(count)] += count
-                count = more
+            for x in batch.column(0):
+                more = np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=len(count))
+                if len(more) > len(count):
+                    more[: len(count)] += count
+                    count = more
+                else:
+                    count += more
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["id", "n"])
 
     return run
 
 
-def _ranked(path: str, shared, bounds: list[int]):
-    """Documents as packed ranks, with the number of their file."""
+def _ranked(kind: str, shared):
+    """Documents as packed ranks."""
 
     def run(batches):
-        memo = _worker_memo(path)
         rank = shared.value
-        edges = np.array(bounds, np.int64)
         for batch in batches:
-            doc = batch.column(0)
-            part = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
             for i in range(0, batch.num_rows, 500):
-                ids = [encoded(memo, t) for t in batch.column(1).slice(i, 500).to_pylist()]
-                packed = [pack(rank[np.frombuffer(x, "<u4")]) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(part[i : i + len(ids)].astype(np.int64)), doc.slice(i, len(ids)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([c.tobytes() for c, _ in packed], pa.binary()), pa.array([d.tobytes() for _, d in packed], pa.binary())], names=["part", "doc_id", "n_tokens", "control", "data"])
+                some = batch.slice(i, 500)
+                ids = [np.frombuffer(x.as_buffer(), kind) for x in some.column(2)]
+                packed = [pack(rank[x]) for x in ids]
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.tobytes() for c, _ in packed], pa.binary()), pa.array([d.tobytes() for _, d in packed], pa.binary())], names=["part", "doc_id", "n_tokens", "control", "data"])
 
     return run
 
@@ -157,24 +186,27 @@ def write(docs: DataFrame, path: str) -> tuple[str, list[tuple[int, int]], np.nd
     """(folder, [(file, ids before it)], id of each rank): docs.text tokenized by the file at path and written."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = rows.agg(F.count("*")).first()[0]
+    parts = max(1, size // DOCS)
+    # one number per file; where they fall only decides how even the files are
+    bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    kind = id_type(Memo(path).tokenizer.get_vocab_size())
+    ids = stored(rows.mapInArrow(_encoded(path, sorted(set(bounds or []))), "part long, doc_id long, ids binary"), "ids", "zstd")
     # as many numbers as the vocabulary has ids
-    counted = rows.select("text").mapInArrow(_frequencies(path), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = ids.select("ids").mapInArrow(_frequencies(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(((r.n, -r.id) for r in counted), reverse=True)
     of_rank = np.array([-i for _, i in order], np.int64)
     rank = np.zeros(int(of_rank.max(initial=END_ID)) + 1, np.uint32)
     rank[of_rank] = np.arange(len(of_rank), dtype=np.uint32)
-    size = rows.agg(F.count("*")).first()[0]
-    parts = max(1, size // DOCS)
-    # one number per file; where they fall only decides how even the files are
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     base = new_path(spark, "ids")
-    packed = rows.mapInArrow(_ranked(path, spark.sparkContext.broadcast(rank), sorted(set(bounds or []))), "part long, doc_id long, n_tokens long, control binary, data binary")
+    packed = ids.mapInArrow(_ranked(kind, spark.sparkContext.broadcast(rank)), "part long, doc_id long, n_tokens long, control binary, data binary")
     tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
     done = packed.repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "control", "data").mapInArrow(_written(base), "part long, n long").collect()
     files, before = [], 0
     for r in sorted(done, key=lambda r: r.part):
         files.append((r.part, before))
         before += r.n
+    drop(ids)
     return base, files, of_rank
 
 

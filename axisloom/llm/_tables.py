@@ -13,6 +13,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Keep batches between the JVM and Python small, as both sides hold some of each task's at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.axisloom.dir", None)

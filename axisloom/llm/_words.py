@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = (0x20, *range(0x09, 0x0E))
 
@@ -56,7 +56,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
         up[0] = down[0] = 1
         np.cumprod(up, out=up)
         np.cumprod(down, out=down)
-        if n <= 4 * BLOCK:
+        if n <= 16 * BLOCK:
             _powers = up, down
     return up, down
 

@@ -30,6 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
+
 MEMO = 600_000  # stretches remembered by a worker; then it starts afresh
 _M = (1 << 64) - 1
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -214,6 +216,7 @@ class Tokenizer:
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, ids (binary), one row per row."""
+        bound_batches(docs.sparkSession)
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         return rows.mapInArrow(_encode(self.key, self.shared), "doc_id long, ids binary")
 

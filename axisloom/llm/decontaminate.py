@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
 from ._words import blocks, split
 
 WINDOW = 10
@@ -168,6 +169,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, part:
 
     A column `row`, if docs has one, is passed on.
     """
+    bound_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     carried = ["row"] if "row" in docs.columns else []
     row_type = f", row {docs.schema['row'].dataType.simpleString()}" if carried else ""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
 from ._words import blocks, lower_table, split, word_hash
 
 COVERAGE = 0.8  # least share of a notice's words
@@ -174,6 +175,7 @@ def _scan(shared):
 
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, coverage: float = COVERAGE, spread: float = SPREAD) -> DataFrame:
     """doc_id and licenses: an array of (name, coverage, start, end) with the stretch's word places, in the notices' order."""
+    bound_batches(docs.sparkSession)
     known = Notices(notices or NOTICES, coverage, spread)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(known)), "doc_id long, licenses array<struct<name:string,coverage:double,start:int,end:int>>")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ._files import mapped_arrays, write_arrays
 from ._groups import groups
-from ._tables import new_path
+from ._tables import bound_batches, new_path
 from ._words import Words, blocks, mix, split
 
 ORDER = 2
@@ -457,6 +457,7 @@ class BuiltTrie(Trie):
 def train(docs: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple[str, list[list[int]], int]:
     """(folder, entries of each level's shards, tokens): the model of docs.text, as score() takes it."""
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = new_path(spark, "lm")
     text = docs.select("text")
@@ -498,6 +499,7 @@ def _scores(trie_of, order: int):
 
 def score(docs: DataFrame, model: tuple[str, list[list[int]], int]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) of every text."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scores(_trie_of(*model), len(model[1])), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

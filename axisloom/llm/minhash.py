@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import groups
-from ._tables import maybe_in, only, stored
+from ._tables import bound_batches, maybe_in, only, stored
 from ._words import Words, blocks, mix, split
 from .components import components
 
@@ -212,6 +212,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, perce
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept."""
+    bound_batches(docs.sparkSession)
     docs = only(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stored(docs.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "sketch")

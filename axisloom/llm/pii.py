@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
+
 KINDS = ("email", "ip", "card", "phone")
 
 # --- base patterns; fixed values -----------------------------------------------------------------
@@ -173,6 +175,7 @@ def _found(batches):
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end) with kind as in KINDS, by kind then start."""
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_found, f"doc_id long, base {_SPAN_SQL}, spans {_SPAN_SQL}")
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bound_batches
 from ._words import blocks, split
 
 PASSAGE, MOST = 512, 64
@@ -180,6 +181,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     """Learn from the labelled documents that aren't held out, at most `limit` of them."""
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     # the sample's bound is what allows it to be broadcast and its bags to be collected
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -205,6 +207,7 @@ def _scored(shared):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, text and the other columns given, then score, n_passages, and best_passage (that of most weight)."""
+    bound_batches(docs.sparkSession)
     first = ["doc_id", "text"]
     rows = docs.select(*first, *[docs[c] for c in docs.columns if c not in first])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

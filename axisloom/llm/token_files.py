@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ._files import mapped_arrays, write_arrays
 from ._groups import groups
-from ._tables import drop, new_path, stored
+from ._tables import bound_batches, drop, new_path, stored
 
 END_ID = 1
 MEMO = 1_200_000  # words remembered by a worker; then it starts afresh
@@ -185,6 +185,7 @@ def _written(base: str):
 def write(docs: DataFrame, path: str) -> tuple[str, list[tuple[int, int]], np.ndarray]:
     """(folder, [(file, ids before it)], id of each rank): docs.text tokenized by the file at path and written."""
     spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = rows.agg(F.count("*")).first()[0]
     parts = max(1, size // DOCS)

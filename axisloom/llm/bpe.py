@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._tables import bound_batches
 
-MEMO = 600_000  # stretches remembered by a worker; then it starts afresh
+MEMO = 300_000  # stretches remembered by a worker, about
 _M = (1 << 64) - 1
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE = re.compile(r" (?!\S)").search  # a space that no visible character follows
@@ -102,14 +102,19 @@ class Memo(dict):
     """Ids of stretches, which follow one space; computed when first asked for.
 
     A word with punctuation behind it is put together from the word and the punctuation, which are
-    pre-tokens of their own, so that each word takes one place.
+    pre-tokens of their own, so that each word takes one place. When half of the room is taken, what was
+    not asked for since the last such time goes.
     """
 
     def __init__(self, encoder: Encoder):
         self.encoder = encoder
         self.tails: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, stretch: str) -> bytes:
+        if (ids := self.older.get(stretch)) is not None:
+            self[stretch] = ids
+            return ids
         word = stretch.rstrip(_PUNCTUATION)
         if word and len(word) < len(stretch) and word.isalpha() and max(word) < "\u0250":
             tail = stretch[len(word) :]
@@ -120,7 +125,8 @@ class Memo(dict):
             return self[word] + ids
         ids = self.encoder.pieces(" " + stretch)
         if len(stretch) <= 64 and "\n" not in stretch:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                self.older = dict(self)
                 self.clear()
             self[stretch] = ids
         return ids
@@ -206,6 +212,11 @@ def _decode(shared):
     return run
 
 
+def _round_trip(key: str, shared):
+    encode, decode = _encode(key, shared), _decode(shared)
+    return lambda batches: decode(encode(batches))
+
+
 class Tokenizer:
     """Encoding and decoding of DataFrames with one vocabulary; its tokens are broadcast (they don't grow with the data)."""
 
@@ -223,3 +234,9 @@ class Tokenizer:
     def decode(self, encoded: DataFrame) -> DataFrame:
         """doc_id, ids and decoded (binary) from what encode() returned."""
         return encoded.select("doc_id", "ids").mapInArrow(_decode(self.shared), "doc_id long, ids binary, decoded binary")
+
+    def round_trip(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """decode(encode(docs)), in one Python worker for each task."""
+        bound_batches(docs.sparkSession)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        return rows.mapInArrow(_round_trip(self.key, self.shared), "doc_id long, ids binary, decoded binary")

@@ -46,7 +46,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = bpe.Tokenizer(spark, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = tokenizer.decode(tokenizer.encode(read(spark, sf_dir, "documents")))
+    out = tokenizer.round_trip(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -31,7 +31,7 @@ from ._groups import groups
 from ._tables import bound_batches, drop, new_path, stored
 
 END_ID = 1
-MEMO = 1_200_000  # words remembered by a worker; then it starts afresh
+MEMO = 800_000  # words remembered by a worker, about
 DOCS = 5_000  # documents of a file, about
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
@@ -79,17 +79,23 @@ class Memo(dict):
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.end = self.packed([END_ID])
+        self.older: dict[bytes, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         core = word.rstrip(_PUNCTUATION)
         if core and len(core) < len(word) and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "\u0130"):
             return self[core] + self[word[len(core) :]]
         ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(word) <= 64:
-            if len(self) >= MEMO:
+            if len(self) >= MEMO // 2:
+                # what was not asked for since the last such time goes
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids

@@ -41,7 +41,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     tokenizer = bpe.Tokenizer(spark, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    out = tokenizer.decode(tokenizer.encode(docs))
+    out = tokenizer.round_trip(docs)
     return out.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession, size: str = "8m") -> None:
+def bound_batches(spark: SparkSession, size: str = "2m") -> None:
     """Keep batches between the JVM and Python small, as both sides hold some of each task's at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._tables import bound_batches
 
-MEMO = 300_000  # stretches remembered by a worker, about
+MEMO = 200_000  # stretches remembered by a worker, about
 _M = (1 << 64) - 1
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE = re.compile(r" (?!\S)").search  # a space that no visible character follows

@@ -31,7 +31,16 @@ STATES = len(ALPHABET) + 1  # and the state before the first character
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SAMPLE_DOCS = 2000  # most documents that ordinary identifiers are sampled from
 SAMPLE_RANDOM = 2000  # random strings of each form
-TOTAL, MEAN = 12.0, 0.6  # least log-likelihood ratio of a secret, and per character
+# fixed values: words that identifiers are made of
+COMMON = """access account action address admin agent alert amount api archive article array asset async attribute audit author auto
+backup balance base batch binary block body branch bucket budget buffer build button bytes cache call card catalog category center
+change channel character check class client clock cloud cluster code collection color column command comment commit company compute
+config connection console constant container content context control cookie copy core count country create credit currency current
+customer data database date debug default delete department description design detail device directory document domain download driver
+edit element email enable end engine entry error event example exception export factory feature field file filter final first folder
+format forward frame function future gateway general global graph group handler hash header height helper history host http icon image
+import index info input install instance integer interface internal invoice item job key label language last layer layout level library"""
+TOTAL, MEAN = 20.0, 0.9  # least log-likelihood ratio of a secret, and per character
 
 _BLOCK = 64
 
@@ -75,7 +84,7 @@ def _codes(text: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMPLE_RANDOM) -> DataFrame:
-    """(text, secret): random strings of four forms, and words and compounds of at most `limit` documents.
+    """(text, secret): random strings of four forms, built-in names, and words and compounds of at most `limit` documents.
 
     The documents are those of the smallest hash of doc_id; what a base pattern matches is left out.
     """
@@ -89,7 +98,18 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMP
     pairs = F.zip_with("w", F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), F.array(F.lit("id"))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("id")).alias("b")))
     forms = lambda p: F.array(p["a"], F.concat_ws("_", p["a"], p["b"]), F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.upper(F.concat_ws("-", p["a"], p["b"])), F.concat(p["a"], F.lit("/"), p["b"]))
     ordinary = words.select(F.explode(F.flatten(F.transform(pairs, forms))).alias("text"), F.lit(False).alias("secret"))
-    return random.unionByName(ordinary)
+    return random.unionByName(built_in(docs.sparkSession, size)).unionByName(ordinary)
+
+
+def built_in(spark, size: int) -> DataFrame:
+    """Ordinary samples that any text may hold: compounds of common words, numbered names, dates, paths and rules."""
+    words = F.split(F.lit(" ".join(COMMON.split())), " ")
+    count = len(COMMON.split())
+    pick = lambda step, plus: F.element_at(words, (F.pmod(F.col("id") * step + plus, F.lit(count)) + 1).cast("int"))
+    n = spark.range(size).select("id", pick(1, 0).alias("a"), pick(7, 3).alias("b"), pick(31, 11).alias("c"), (F.col("id") % 97).cast("string").alias("k"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 7).cast("int")), "yyyy-MM-dd").alias("day"))
+    names = [F.concat_ws("_", "a", "b", "c"), F.concat("a", F.initcap("b"), F.initcap("c")), F.concat(F.initcap("a"), F.initcap("b"), F.initcap("c")), F.upper(F.concat_ws("_", "a", "b", "c")), F.concat_ws("-", "a", "b", "k"), F.concat_ws("/", "a", "b", "c", "k"), F.upper(F.concat("a", "b")), F.concat("a", "k", F.lit("_"), "b"), F.concat_ws("-", "day", "a", "b"), F.concat_ws("=", "a", "k")]
+    rules = [F.expr(f"repeat('{c}', cast(20 + id % 40 as int))") for c in "-=_/+"]
+    return n.select(F.explode(F.array(*names, *rules)).alias("text"), F.lit(False).alias("secret"))
 
 
 def train(samples: DataFrame, smooth: float = 0.5) -> DataFrame:

@@ -206,10 +206,13 @@ def _scored(shared):
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text and the other columns given, then score, n_passages, and best_passage (that of most weight)."""
+    """doc_id, text and the other columns given, then score, n_passages, and best_passage (that of most weight).
+
+    Input columns of the last three names give way.
+    """
     bound_batches(docs.sparkSession)
     first = ["doc_id", "text"]
-    rows = docs.select(*first, *[docs[c] for c in docs.columns if c not in first])
+    rows = docs.select(*first, *[docs[c] for c in docs.columns if c not in (*first, "score", "n_passages", "best_passage")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.mapInArrow(_scored(shared), f"{schema}, score double, n_passages int, best_passage int")

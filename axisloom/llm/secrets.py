@@ -127,7 +127,16 @@ def train(samples: DataFrame, smooth: float = 0.5) -> DataFrame:
 
 
 def scan(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
-    """The input's columns and `spans`: array of (start, kind, end), base kinds 0 to 2 and 3 for the model's, by start then kind."""
+    """The input's columns and `spans`: array of (start, kind, end), base kinds 0 to 2 and 3 for the model's, by start then kind.
+
+    An input column of that name gives way.
+    """
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return _scanned(docs, model, total, mean).select(*kept, F.col("_spans").alias("spans"))
+
+
+def _scanned(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
+    """_row (all of the input's columns), text (null as empty) and _spans."""
     if model is None:
         model = train(labelled_samples(only(docs, "doc_id", "text")))
     ratio = stored(model, "model").select("ratio").scalar()
@@ -149,7 +158,7 @@ def scan(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL,
     scored = F.transform("_free", lambda x: F.struct(x["s"].alias("s"), score(x["m"]).alias("v"), F.length(x["m"]).alias("n")))
     more = F.transform(F.filter(scored, lambda x: (x["v"] >= total) & (x["v"] >= x["n"] * mean)), lambda x: x["s"])
     spans = F.array_sort(F.concat("_base", F.when(F.size("_free") > 0, more).otherwise(F.array()).cast(_SPAN)))
-    return df.withColumn("_spans", spans).select(*[F.col("_row")[c].alias(c) for c in kept], F.col("_spans").alias("spans"))
+    return df.select("_row", "text", spans.alias("_spans"))
 
 
 def written(spans: Column) -> Column:
@@ -160,12 +169,12 @@ def written(spans: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The rows with every span of their text replaced by the mark; n_chars, if there, follows."""
-    found = scan(docs)
+    found = _scanned(docs)
     # pieces of text before, between and after spans; a span inside an earlier one adds nothing
-    step = lambda a, s: F.when(s["end"] <= a["to"], a).otherwise(F.struct(s["end"].alias("to"), F.concat(a["parts"], F.array(F.concat(F.when(s["start"] >= a["to"], F.concat(F.expr("substring(text, 1, 0)"), F.substr(F.col("text"), a["to"] + 1, s["start"] - a["to"]))).otherwise(F.lit("")), F.lit(mark)))).alias("parts")))
+    step = lambda a, s: F.when(s["end"] <= a["to"], a).otherwise(F.struct(s["end"].alias("to"), F.concat(a["parts"], F.array(F.concat(F.when(s["start"] >= a["to"], F.substr(F.col("text"), a["to"] + 1, s["start"] - a["to"])).otherwise(F.lit("")), F.lit(mark)))).alias("parts")))
     zero = F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("parts"))
-    text = F.aggregate("spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(F.col("text"), a["to"] + 1)))
-    found = found.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    text = F.aggregate("_spans", zero, step, lambda a: F.concat(F.array_join(a["parts"], ""), F.substr(F.col("text"), a["to"] + 1)))
+    some = F.size("_spans") > 0
+    found = found.withColumn("_text", F.when(some, text).otherwise(F.col("_row")["text"]))
+    new = {"text": F.col("_text"), "n_chars": F.when(some, F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return found.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

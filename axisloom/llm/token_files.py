@@ -31,7 +31,7 @@ from ._groups import groups
 from ._tables import bound_batches, drop, new_path, stored
 
 END_ID = 1
-MEMO = 800_000  # words remembered by a worker, about
+MEMO = 1_200_000  # words remembered by a worker, about
 DOCS = 5_000  # documents of a file, about
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
@@ -69,7 +69,7 @@ class Memo(dict):
     """Ids of ASCII-lower-cased words, in as few bytes as the vocabulary needs.
 
     A word of Latin letters with ASCII punctuation behind it is two pre-tokens, so it is put together
-    from the word and the punctuation and takes no place of its own.
+    from the word and the punctuation, and takes a place of its own only where the word is known already.
     """
 
     def __init__(self, path: str):
@@ -90,7 +90,11 @@ class Memo(dict):
             return ids
         core = word.rstrip(_PUNCTUATION)
         if core and len(core) < len(word) and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "\u0130"):
-            return self[core] + self[word[len(core) :]]
+            often = core in self
+            ids = self[core] + self[word[len(core) :]]
+            if often and len(word) <= 64:
+                self[word] = ids
+            return ids
         ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         if len(word) <= 64:
             if len(self) >= MEMO // 2:

@@ -18,7 +18,9 @@ from axisloom.llm.queries import tokenizer_file
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below its threshold go; null texts count as empty ones."""
     model = quality.train(docs, read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).filter(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    kept = quality.scored(packed, model).filter(F.col("score") >= quality.THRESHOLD)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

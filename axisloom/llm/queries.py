@@ -82,5 +82,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Links (a, b) in both directions, and nodes (id), to the smallest id that each node reaches.
+_REACH = """reach(a, b) as (select id, id from nodes union select r.a, l.b from reach r join links l on r.b = l.a),
+    least as (select a as id, min(b) as component_id from reach group by a)"""
+
+SQL = {
+    "op2_embedding_dedup": f"""with recursive
+    v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and list_max(list_transform(embedding, lambda y: abs(y))) > 0),
+    links(a, b) as (select p.vec_id, q.vec_id from v p join v q on p.label = q.label and p.vec_id <> q.vec_id where list_cosine_similarity(p.x, q.x) >= 0.98),
+    nodes as (select distinct vec_id as id from embeddings), {_REACH}
+    select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+    from embeddings join least on vec_id = id left join (select a, count(*) as n from links group by a) on vec_id = a""",
+    "op7_decontamination": f"""with
+    dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from documents),
+    iw as (select item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark),
+    win as (select distinct item_id, least(len(ws), 10) as n, array_to_string(ws[i + 1:i + 10], ' ') as w from (select *, unnest(range(0, greatest(len(ws) - 9, 1))) as i from iw where len(ws) > 0)),
+    cut as (select doc_id, n, i, array_to_string(ws[i + 1:i + n], ' ') as w from (select *, unnest(range(0, len(ws) - n + 1)) as i from dw, (select distinct n from win) where len(ws) >= n)),
+    hit as (select doc_id, item_id, i, cut.n from cut join win on cut.w = win.w and cut.n = win.n),
+    words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+    items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as all_items from (select distinct doc_id, coalesce(item_id::varchar, '') as item from hit) group by doc_id)
+    select dw.doc_id, coalesce(len(ws), 0) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(all_items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from dw left join words on dw.doc_id = words.doc_id left join items on dw.doc_id = items.doc_id""",
+    "op10_minhash_dedup": f"""with recursive
+    dw as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), []) as ws from documents),
+    sh as (select distinct doc_id, array_to_string(ws[i + 1:i + least(5, len(ws))], ' ') as s from (select *, unnest(range(0, greatest(len(ws) - 4, 1))) as i from dw where len(ws) > 0)),
+    sized as (select doc_id, count(*) as n from sh group by doc_id),
+    common as (select p.doc_id as a, q.doc_id as b, count(*) as k from sh p join sh q on p.s = q.s and p.doc_id <> q.doc_id group by all),
+    links(a, b) as (select a, b from common join sized x on a = x.doc_id join sized y on b = y.doc_id where 100 * k >= 85 * (x.n + y.n - k)),
+    nodes as (select distinct doc_id as id from documents), {_REACH}
+    select documents.doc_id, coalesce(n, 0) as n_shingles, component_id, documents.doc_id = component_id as kept
+    from documents join least on documents.doc_id = id left join sized on documents.doc_id = sized.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the operators whose results SQL can express; the others are tested against plain versions."""
+    return SQL

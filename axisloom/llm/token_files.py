@@ -92,10 +92,11 @@ class Memo(dict):
         if core and len(core) < len(word) and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "\u0130"):
             often = core in self
             ids = self[core] + self[word[len(core) :]]
-            if often and len(word) <= 64:
-                self[word] = ids
-            return ids
+            return self.keep(word, ids) if often else ids
         ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+        return self.keep(word, ids)
+
+    def keep(self, word: bytes, ids: bytes) -> bytes:
         if len(word) <= 64:
             if len(self) >= MEMO // 2:
                 # what was not asked for since the last such time goes

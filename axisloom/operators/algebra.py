@@ -58,13 +58,18 @@ def merge(df: DataFrame, distance: int = 0, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("_new", opens(F.max("end").over(local.rowsBetween(*_BEFORE))).cast("int"))
     rows = rows.withColumn("_isle", F.sum("_new").over(local.rowsBetween(*_SO_FAR)))
     rows = rows.groupBy(*by, "_block", "_isle").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    # over block borders: what reached furthest before this block, and where the open interval began
-    rows = _carried(rows, by, "_reach", F.max("end"))
+    # over block borders: what reached furthest before this block, and where the interval began that is
+    # open there. A block opens one if its last piece is new, as earlier pieces begin before that
+    order = W.partitionBy(*by).orderBy("_block").rowsBetween(*_BEFORE)
+    heads = rows.groupBy(*by, "_block").agg(F.max("end").alias("_e"), F.max("start").alias("_s"))
+    heads = heads.select(*by, "_block", "_s", F.max("_e").over(order).alias("_reach"))
+    new = F.when(F.col("_reach").isNull() | (F.col("_s") - distance > F.col("_reach")), F.col("_s"))
+    heads = heads.select(*by, "_block", "_reach", F.max(new).over(order).alias("_open"))
+    rows = _rejoined(rows, heads, [*by, "_block"])
     before = F.greatest(F.max("end").over(local.rowsBetween(*_BEFORE)), F.col("_reach"))
-    rows = rows.withColumn("_first", F.when(opens(before), F.col("start")))
-    rows = _carried(rows, by, "_open", F.max("_first"))
+    rows = rows.select(*by, "_block", "start", "end", "_open", F.when(opens(before), F.col("start")).alias("_first"))
     first = F.coalesce(F.max("_first").over(local.rowsBetween(*_SO_FAR)), F.col("_open"))
-    return rows.withColumn("_first", first).groupBy(*by, "_first").agg(F.max("end").alias("end")).select(*by, F.col("_first").alias("start"), "end")
+    return rows.select(*by, first.alias("_first"), "end").groupBy(*by, "_first").agg(F.max("end").alias("end")).select(*by, F.col("_first").alias("start"), "end")
 
 
 def normalize(df: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -128,15 +133,20 @@ def midpoints(df: DataFrame, method: str = "midpoint") -> DataFrame:
     return df.filter("end > start").withColumn("pos", at[method]).drop("start", "end")
 
 
-def gaps(df: DataFrame, lowest: int = 0, highest: int = (1 << 31) - 1, block: int = BLOCK) -> DataFrame:
-    """What disjoint intervals leave of [lowest, highest) on each axis that has any."""
+def _gaps_before(df: DataFrame, lowest: int, block: int) -> DataFrame:
+    """The gap, if any, that ends where a row begins."""
     by = keys(df)
     rows = df.filter("end > start").select(*by, "start", "end", _block(F.col("start"), block).alias("_block"))
     rows = _carried(rows, by, "_reach", F.max("end"))
     before = F.coalesce(F.greatest(F.max("end").over(W.partitionBy(*by, "_block").orderBy("start", "end").rowsBetween(*_BEFORE)), F.col("_reach")), F.lit(lowest).cast("long"))
-    between = rows.select(*by, before.alias("start"), F.col("start").alias("end"))
-    after = rows.groupBy(*by).agg(F.max("end").alias("start")).select(*by, "start", F.lit(highest).cast("long").alias("end"))
-    return between.unionByName(after).filter("end > start")
+    return rows.select(*by, before.alias("_from"), F.col("start").alias("end")).select(*by, F.col("_from").alias("start"), "end").filter("end > start")
+
+
+def gaps(df: DataFrame, lowest: int = 0, highest: int = (1 << 31) - 1, block: int = BLOCK) -> DataFrame:
+    """What intervals leave of [lowest, highest) on each axis that has any."""
+    by = keys(df)
+    after = df.filter("end > start").groupBy(*by).agg(F.max("end").alias("start")).select(*by, "start", F.lit(highest).cast("long").alias("end"))
+    return _gaps_before(df, lowest, block).unionByName(after.filter("end > start"))
 
 
 # --- two sets ------------------------------------------------------------------------------------
@@ -204,17 +214,17 @@ def midpoint_in(left: DataFrame, right: DataFrame, width: int = BIN, first_only:
 
 
 def subtract(left: DataFrame, right: DataFrame, width: int = BIN) -> DataFrame:
-    """What right leaves of the left rows: their common parts with right's gaps. Right may overlap itself."""
+    """What right leaves of the left rows: their common parts with right's gaps, and what lies beyond its end.
+
+    Right may overlap itself.
+    """
     on = [c for c in axis(left) if c in right.columns]
-    other = merge(right.select(*on, "start", "end"), 0)
-    highest = left.agg(F.coalesce(F.max("end"), F.lit(0).cast("long"))).scalar()
-    free = gaps(other).withColumn("end", F.least("end", highest)).filter("end > start")
-    pieces = intersect(left.filter("end > start"), free, width)
-    h = other.select(*[F.col(c).alias("_h" + c) for c in on]).distinct()
-    match = F.lit(True)
-    for c in on:
-        match = match & left[c].eqNullSafe(h["_h" + c])
-    return pieces.unionByName(left.filter("end > start").join(h, match, "left_anti").select(*left.columns))
+    other = right.select(*on, "start", "end")
+    rows = left.filter("end > start")
+    pieces = intersect(rows, _gaps_before(other, 0, BLOCK), width)
+    last = other.filter("end > start").groupBy(*on).agg(F.max("end").alias("_last"))
+    rest = _rejoined(rows, last, on).withColumn("start", F.greatest("start", "_last")).filter("end > start")
+    return pieces.unionByName(rest.select(*left.columns))
 
 
 def union(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -240,8 +250,8 @@ def coverage(df: DataFrame, depth: int | Column, block: int = BLOCK) -> DataFram
     """Maximal stretches that at least `depth` rows of an axis cover; axes: the columns of keys(df)."""
     by = keys(df)
     rows = df.filter("end > start")
-    events = rows.select(*by, F.col("start").alias("pos"), F.lit(1).alias("d")).unionByName(rows.select(*by, F.col("end").alias("pos"), F.lit(-1).alias("d")))
-    events = events.groupBy(*by, "pos").agg(F.sum("d").alias("d")).filter("d <> 0").withColumn("_block", _block(F.col("pos"), block))
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))
+    events = rows.select(*by, F.inline(ends)).groupBy(*by, "pos").agg(F.sum("d").alias("d")).filter("d <> 0").withColumn("_block", _block(F.col("pos"), block))
     heads = events.groupBy(*by, "_block").agg(F.sum("d").alias("_d"), F.min("pos").alias("_at"))
     order = W.partitionBy(*by).orderBy("_block")
     heads = heads.select(*by, "_block", F.coalesce(F.sum("_d").over(order.rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"), F.lead("_at").over(order).alias("_after"))

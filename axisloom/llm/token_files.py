@@ -38,20 +38,38 @@ _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the
 
 
 def pack(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(control bytes, data bytes) of ranks below 2**32."""
-    ranks = ranks.astype(np.uint32)
+    """(control bytes, data bytes) of ranks below 2**32; zeros fill the last control byte's places."""
+    control, data, _ = _packed(np.concatenate([ranks.astype(np.uint32), np.zeros(-len(ranks) % 4, np.uint32)]))
+    return control, data
+
+
+def _packed(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, end of each rank's data) of a multiple of four ranks."""
     extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    four = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    four[: len(ranks)] = extra
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
-    at = np.cumsum(extra.astype(np.int64) + 1) - extra - 1
-    data = np.zeros(int(extra.sum(dtype=np.int64)) + len(ranks), np.uint8)
+    four = extra.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    ends = np.cumsum(extra, dtype=np.int64) + np.arange(1, len(ranks) + 1)
+    at = ends - extra - 1
+    data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(4):
-        some = extra >= k
-        if not some.any():
+        some = np.flatnonzero(extra >= k) if k else slice(None)
+        if k and not len(some):
             break
         data[at[some] + k] = (ranks[some] >> np.uint32(8 * k)).astype(np.uint8)
-    return control, data
+    return control.astype(np.uint8), data, ends
+
+
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of n[i] values of each of several runs that are padded to fours, end of each padded run)."""
+    ends = np.cumsum(n + -n % 4)
+    begins = ends - (n + -n % 4)
+    return np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum()), ends
+
+
+def _binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary column of consecutive pieces of data."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def unpack(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -159,24 +177,34 @@ def _frequencies(kind: str):
 
 
 def _ranked(kind: str, shared):
-    """Documents as packed ranks."""
+    """Documents as packed ranks, many at a time."""
 
     def run(batches):
         rank = shared.value
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                ids = [np.frombuffer(x.as_buffer(), kind) for x in some.column(2)]
-                packed = [pack(rank[x]) for x in ids]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array([c.tobytes() for c, _ in packed], pa.binary()), pa.array([d.tobytes() for _, d in packed], pa.binary())], names=["part", "doc_id", "n_tokens", "control", "data"])
+                raw, sizes = _bytes(pa.chunked_array([some.column(2)]))
+                ids = raw.view(kind)
+                n = sizes // ids.itemsize
+                places, ends = _places(n)
+                ranks = np.zeros(int(ends[-1]), np.uint32)
+                ranks[places] = rank[ids]
+                control, data, data_ends = _packed(ranks)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n), _binaries(control, ends // 4), _binaries(data, data_ends[ends - 1])], names=["part", "doc_id", "n_tokens", "control", "data"])
 
     return run
 
 
 def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(all bytes of a binary column, size of each value)."""
-    sizes = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in column.chunks])
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in column] or [np.zeros(0, np.uint8)]), sizes.astype(np.int64)
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for c in column.chunks:
+        if len(c):
+            offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+            parts.append(np.frombuffer(c.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+            sizes.append(np.diff(offsets))
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
 def _written(base: str):
@@ -231,12 +259,12 @@ def _read(base: str, shared):
                 start = before + np.cumsum(n) - n
                 c, d = np.cumsum(control_size), np.cumsum(data_size)
                 for i in range(0, len(n), 500):
-                    ids = []
-                    for k in range(i, min(i + 500, len(n))):
-                        ranks = unpack(control[c[k] - control_size[k] : c[k]], data[d[k] - data_size[k] : d[k]], int(n[k]))
-                        ids.append(of_rank[ranks].astype("<u4").tobytes())
-                    j = i + len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[i:j], mask=null[i:j].astype(bool)), pa.array(start[i:j]), pa.array(n[i:j]), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                    j = min(i + 500, len(n))
+                    c0, d0 = int(c[i] - control_size[i]), int(d[i] - data_size[i])
+                    own = control[c0 : int(c[j - 1])]
+                    ranks = unpack(own, data[d0 : int(d[j - 1])], 4 * len(own))
+                    ids = of_rank[ranks[_places(n[i:j])[0]]].astype("<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[i:j], mask=null[i:j].astype(bool)), pa.array(start[i:j]), pa.array(n[i:j]), _binaries(ids.view(np.uint8), np.cumsum(n[i:j]) * 4)], names=["doc_id", "start", "n_tokens", "ids"])
 
     return run
 

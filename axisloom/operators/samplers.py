@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import algebra
-from ..functions.placement import EMPTY, PLACERS, Placer, clipped, covered_before, merged, size, touching
+from ..functions.placement import EMPTY, PLACERS, Placer, covered_before, merged, size, touching
 
 BATCH = 25  # samples of a task
 
@@ -156,5 +156,3 @@ def segments_by_hash(segments: DataFrame, nsamples: int, span: int) -> DataFrame
 def clip_samples(samples: DataFrame, workspace: DataFrame) -> DataFrame:
     return algebra.intersect(samples, workspace)
 
-
-__all__ = ["BATCH", "clip_samples", "clipped", "count", "lehmer", "register", "sample", "sampled_counts", "segments_by_hash", "shift_by_hash"]

@@ -379,10 +379,14 @@ query("sampled_counts_dummy", "select 'nucleotide-overlap' as counter, n.track,
 
 query("event_counts_by_type", "select event_type as track, count(*) as n from events group by event_type")(lambda fx: fx.table("events").groupBy(F.col("event_type").alias("track")).agg(F.count("*").alias("n")))
 
+query(
+    "event_sessions",
+    """select event_type as track, cast(floor(epoch(min(ts))) as bigint) as "start", cast(floor(epoch(max(ts) + interval 30 minute)) as bigint) as "end", count(*) as n from (
+        select *, sum(new) over (partition by event_type order by ts, event_id rows unbounded preceding) as k from (
+            select *, case when ts < lag(ts) over (partition by event_type order by ts, event_id) + interval 30 minute then 0 else 1 end as new from events)) group by event_type, k""",
+)(lambda fx: sessions(fx.table("events").select(F.col("event_type").alias("track"), F.col("ts").cast("timestamp").alias("ts")), "ts", ["track"], "30 minutes"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bases that every segment track shares with every annotation track."""
     return QUERIES["observed_nucleotide_overlap"](spark, sf_dir)
-
-
-__all__ = ["QUERIES", "SQL", "flagship", "sessions"]

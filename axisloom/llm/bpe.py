@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._tables import bound_batches
 
-MEMO = 300_000  # stretches remembered by a worker, about
+MEMO = 350_000  # stretches remembered by a worker, about
 _M = (1 << 64) - 1
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOOSE = re.compile(r" (?!\S)").search  # a space that no visible character follows
@@ -102,7 +102,7 @@ class Memo(dict):
     """Ids of stretches, which follow one space; computed when first asked for.
 
     A word with punctuation behind it is put together from the word and the punctuation, which are
-    pre-tokens of their own, and takes a place only where the word is known already. When half of the room is taken, what was
+    pre-tokens of their own, so that each word takes one place. When half of the room is taken, what was
     not asked for since the last such time goes.
     """
 
@@ -122,9 +122,7 @@ class Memo(dict):
                 ids = self.encoder.pieces(tail)
                 if len(tail) <= 3:
                     self.tails[tail] = ids
-            often = word in self
-            ids = self[word] + ids
-            return self.keep(stretch, ids) if often else ids
+            return self[word] + ids
         ids = self.encoder.pieces(" " + stretch)
         return self.keep(stretch, ids) if "\n" not in stretch else ids
 

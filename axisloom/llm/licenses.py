@@ -2,12 +2,15 @@
 
 A text and a notice are sequences of lower-cased words. Words that occur once in both anchor the
 alignment; the longest increasing subsequence of the anchors is kept, and each gap between them is
-aligned the same way, after the words that agree at its two ends. The share of the notice's words
-that the alignment covers, within a stretch of the text not much longer than the notice, decides.
+aligned the same way, after the words that agree at its two ends; a gap without anchors is aligned
+by a longest common subsequence. The share of the notice's words that the alignment covers, within
+a stretch of the text not much longer than the notice, decides.
 
 Before any alignment an exact bound is applied to all texts at once: the aligned words are words of
-the notice, so a text that holds fewer of them than the least coverage needs can't have it. What
-passes is aligned whole, whatever its length.
+the notice, so a text that holds fewer of them than the least coverage needs can't have it. In a
+text that passes, whatever its length, a stretch can begin at each word of the notice; the same
+bound and the longest common subsequence leave out those that can't cover enough, and each of the
+others is aligned by itself, so what else the text holds doesn't matter.
 
 Defined results: null texts count as empty; an empty text has no license; every input row keeps its
 own row.
@@ -16,6 +19,7 @@ own row.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +79,40 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def marks(notice) -> dict:
+    """The places of each word, as the bits of a number."""
+    out: dict = {}
+    for j, w in enumerate(notice):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def common(text, at: dict, n: int) -> list[int]:
+    """After each word of text, the places of a notice of n words (marked in at) where a longest common subsequence doesn't grow."""
+    full = v = (1 << n) - 1
+    out = [v]
+    for w in text:
+        if u := v & at.get(w, 0):
+            v = (v + u | v - u) & full
+        out.append(v)
+    return out
+
+
+def longest(text, notice) -> list[tuple[int, int]]:
+    """Places in both of a longest common subsequence."""
+    rows = common(text, marks(notice), len(notice))
+    out, i, j = [], len(text), len(notice)
+    while i and j:
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+            continue
+        i -= 1
+        if rows[i] >> j - 1 & 1:
+            j -= 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def align(text, notice) -> list[tuple[int, int]]:
     """Aligned places (in text, in notice), increasing in both; the sequences hold comparable words."""
     out: list[tuple[int, int]] = []
@@ -99,6 +137,7 @@ def align(text, notice) -> list[tuple[int, int]]:
         anchors = sorted((i, once[w]) for w, i in at.items() if i >= 0)
         anchors = [anchors[k] for k in increasing([j for _, j in anchors])]
         if not anchors:
+            out += [(a + i, c + j) for i, j in longest(text[a:b], notice[c:d])]
             continue
         for (i, j), (k, l) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)], strict=True):
             todo.append((i + 1, k, j + 1, l))
@@ -126,6 +165,8 @@ class Notices:
         self.hashes = [np.array([word_hash(w) for w in x], np.uint64) for x in words]
         self.need = [max(1, int(np.ceil(coverage * len(x) - 1e-9))) for x in words]
         self.spread = [spread * len(x) for x in words]
+        self.words = [h.tolist() for h in self.hashes]
+        self.marks = [marks(x) for x in self.words]
         self.vocabulary = np.unique(np.concatenate(self.hashes))
         # words of each notice by their place in the vocabulary, with how often it has them
         self.bags = np.zeros((len(words), len(self.vocabulary)), np.int32)
@@ -150,14 +191,44 @@ class Notices:
             enough = np.minimum(held[:, bag > 0], bag[bag > 0]).sum(axis=1) >= self.need[k]
             for t in np.flatnonzero(enough).tolist():
                 a, b = int(w.first[t]), int(w.first[t + 1])
-                pairs = self.aligned(w.hashes[a:b], k)
-                best = tightest(pairs, self.need[k], self.spread[k])
+                lo, hi = np.searchsorted(at, (a, b))
+                own = bag[place[lo:hi]] > 0
+                best = self.best(w.hashes[a:b], at[lo:hi][own] - a, place[lo:hi][own], k)
                 if best:
                     out[t].append({"name": self.names[k], "coverage": best[0] / len(self.hashes[k]), "start": best[1], "end": best[2]})
         return out
 
-    def aligned(self, hashes: np.ndarray, k: int) -> list[tuple[int, int]]:
-        return align(hashes.tolist(), self.hashes[k].tolist())
+    def starts(self, at: list[int], place: list[int], k: int) -> Iterator[tuple[int, int]]:
+        """Places where stretches can begin, with the bound on what they cover; at and place are of the text's words of the notice."""
+        width, need, bag = int(self.spread[k]), self.need[k], self.bags[k].tolist()
+        held = dict.fromkeys(place, 0)
+        shared = j = 0
+        for i, p in enumerate(at):
+            while j < len(at) and at[j] < p + width:
+                shared += held[place[j]] < bag[place[j]]
+                held[place[j]] += 1
+                j += 1
+            if shared >= need:
+                yield p, shared
+            held[place[i]] -= 1
+            shared -= held[place[i]] < bag[place[i]]
+
+    def best(self, hashes: np.ndarray, at: np.ndarray, place: np.ndarray, k: int) -> tuple[int, int, int] | None:
+        """(covered, start, end) of the stretch that covers most, the first of equals."""
+        best, words = None, self.words[k]
+        for p, bound in self.starts(at.tolist(), place.tolist(), k):
+            least = best[0] + 1 if best else self.need[k]
+            if bound < least:
+                continue
+            text = hashes[p : p + int(self.spread[k])].tolist()
+            if len(words) - common(text, self.marks[k], len(words))[-1].bit_count() < least:
+                continue
+            found = tightest(align(text, words), least, self.spread[k])
+            if found:
+                best = found[0], p + found[1], p + found[2]
+                if found[0] == len(words):
+                    break
+        return best
 
 
 _FOUND = pa.list_(pa.struct([("name", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -337,6 +337,34 @@ def test_licenses(spark):
     assert got == {0: ["apache-2.0-line"], 1: ["mit"], 2: ["mit"], 3: [], 4: [], 5: [], 6: []}
 
 
+def test_licenses_repeated_or_among_their_own_words(spark):
+    mit, line = licenses.NOTICES["mit"], licenses.NOTICES["mit-line"]
+    rng = np.random.default_rng(14)
+    some = lambda n: f" {text_of(rng, n)} "
+    rows = [
+        (0, some(50) + mit + some(300) + mit + some(50)),
+        (1, some(50) + mit + " " + mit + some(50)),
+        (2, some(30) + "released under the license mit" + some(90) + line + some(90) + "the mit license was released under" + some(20)),
+        (3, some(50) + mit[: len(mit) // 2] + some(300) + mit[len(mit) // 2 :] + some(50)),
+        (4, some(9) + "permission the software" + some(200) + mit.replace("charge", "fee") + some(200) + "permission the software" + some(9)),
+    ]
+    got = {r.doc_id: [(x.name, x.coverage, x.end - x.start) for x in r.licenses] for r in licenses.scan(docs(spark, rows)).collect()}
+    n = len(licenses.words_of(mit))
+    assert got == {0: [("mit", 1.0, n)], 1: [("mit", 1.0, n)], 2: [("mit-line", 1.0, 5)], 3: [], 4: [("mit", 1 - 1 / n, n)]}
+
+
+def test_longest_common_subsequence():
+    rng = np.random.default_rng(15)
+    for _ in range(100):
+        a, b = rng.integers(0, 6, rng.integers(0, 20)).tolist(), rng.integers(0, 6, rng.integers(0, 20)).tolist()
+        size = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                size[i + 1, j + 1] = size[i, j] + 1 if a[i] == b[j] else max(size[i, j + 1], size[i + 1, j])
+        pairs = licenses.longest(a, b)
+        assert len(pairs) == size[-1, -1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+
+
 def test_alignment_is_a_common_subsequence():
     rng = np.random.default_rng(12)
     for _ in range(200):

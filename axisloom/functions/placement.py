@@ -6,12 +6,14 @@ Intervals are (n, 2) int64 arrays, sorted and disjoint unless said otherwise. A
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
 
 Placer = Callable[[np.random.Generator, np.ndarray, np.ndarray, int], np.ndarray]
 EMPTY = np.zeros((0, 2), np.int64)
+DRAWS = 1 << 14  # most draws of brute force at once
 
 
 def size(x: np.ndarray) -> int:
@@ -149,24 +151,34 @@ def brute_force(bucket: int = 1, inner: int = 100, outer: int = 10) -> Placer:
         if not target:
             return EMPTY
         lengths, positions = Lengths(clipped(s, w), bucket), Positions(w)
+        most = -(-int(lengths.all.max()) // bucket) * bucket
         for _outer in range(outer):
-            starts, ends, left, tries = [], [], target, 0
+            have, left, tries = EMPTY, target, 0
             while left and tries < inner:
-                length = np.minimum(lengths.draw(rng, 1), left)
-                a = int(positions.draw(rng, length)[0])
-                piece = clipped(np.array([[a, a + int(length[0])]]), w)
-                i = int(np.searchsorted(starts, a)) if starts else 0
-                b = a + int(length[0])
-                free = (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b)
-                if not free or not size(piece):
-                    tries += 1
-                    continue
-                starts.insert(i, a)
-                ends.insert(i, b)
-                left -= size(piece)
-                tries = 0
+                # many at once while even the longest would all fit; they are taken one by one
+                n = min(max(1, left // most), DRAWS)
+                length = np.minimum(lengths.draw(rng, n), left)
+                start = positions.draw(rng, length)
+                end = start + length
+                bases = covered_before(w, end) - covered_before(w, start)
+                free = (bases > 0) & (np.searchsorted(have[:, 1], start, "right") == np.searchsorted(have[:, 0], end, "left"))
+                starts, ends = [], []
+                for a, b, k, fits in zip(start.tolist(), end.tolist(), bases.tolist(), free.tolist(), strict=True):
+                    i = bisect_left(starts, a)
+                    if not fits or i and ends[i - 1] > a or i < len(starts) and starts[i] < b:
+                        tries += 1
+                        if tries == inner:
+                            break
+                        continue
+                    starts.insert(i, a)
+                    ends.insert(i, b)
+                    left -= k
+                    tries = 0
+                if starts:
+                    have = np.vstack([have, np.column_stack([starts, ends])])
+                    have = have[np.argsort(have[:, 0], kind="stable")]
             if not left:
-                return clipped(np.column_stack([starts, ends]).astype(np.int64), w)
+                return clipped(have, w)
         raise ValueError("no placement without overlap was found")
 
     return place

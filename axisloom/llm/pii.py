@@ -5,7 +5,8 @@ Then a chain of transducers rewrites it: look-alike and full-width characters be
 invisible ones go; spelled digits become digits; at and dot in brackets, or in words between the
 parts of an address, become @ and dots. Each transducer passes on, for every character it writes, the
 source range it stands for, so what the same patterns find in the result maps back to the source.
-Spans found only that way are added; base spans stay as they are.
+Spans found only that way are added, also where they reach beyond the base spans that they overlap,
+as those are the plain parts of partly disguised identifiers; base spans stay as they are.
 
 All matching is linear in the text. Positions are code points, ends exclusive.
 
@@ -16,6 +17,7 @@ own row, whatever its id.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -150,14 +152,14 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
             transducer(mapped)
     if mapped is None or mapped.text == text:
         return base, base
-    taken = [0] * (len(text) + 1)
-    for kind, a, b in base:
-        for i in range(a, b):
-            taken[i] |= 1 << kind
+    # where base spans of each kind begin and end
+    first, last = ({k: sorted(x[i] for x in base if x[0] == k) for k in range(len(KINDS))} for i in (1, 2))
     out = set(base)
     for kind, a, b in detect(mapped.text):
         start, end = mapped.start[a], mapped.end[b - 1]
-        if not any(x >> kind & 1 for x in taken[start:end]):
+        # those that it overlaps; base spans of a kind are apart
+        i, j = bisect_right(last[kind], start), bisect_left(first[kind], end)
+        if i == j or start < first[kind][i] or end > last[kind][j - 1]:
             out.add((kind, start, end))
     return base, sorted(out)
 

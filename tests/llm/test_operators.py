@@ -231,6 +231,20 @@ def test_personal_data(spark):
     assert got[99].spans == []
 
 
+def test_partly_disguised_personal_data():
+    cases = {
+        "mail john dot smith@example.com now": ["smith@example.com", "john dot smith@example.com"],
+        "mail jоhn.doe@example.com now": ["hn.doe@example.com", "jоhn.doe@example.com"],
+        "mail joe@example.com dot au": ["joe@example.com", "joe@example.com dot au"],
+        "mail a@b.cd and joe [at] site (dot) org": ["a@b.cd", "joe [at] site (dot) org"],
+        "mail smith@example.com, john": ["smith@example.com"],
+        "a@b.c\u200b d@e.f": ["a@b.c", "d@e.f"],
+    }
+    for t, want in cases.items():
+        base, spans = pii.find(t)
+        assert {t[a:b] for _, a, b in spans} == set(want) and set(base) <= set(spans)
+
+
 def test_secrets(spark):
     random = "Zx9QpL2vR7tYk3WmB8nC4dF6"
     cases = {

@@ -48,6 +48,18 @@ def test_stages(spark, folder):
     assert all(r.decoded_sha256 == hashlib.sha256(b[i].encode()).hexdigest() and len(r.ids) == 4 * r.n_tokens for i, r in out.items())
 
 
+def test_near_duplicates_from_four_fifths(spark):
+    """Of 100 shingles in each text, two changed words leave 90 of 110 in common, three leave 85 of 115."""
+    rows = []
+    for i in range(20):
+        words = [f"d{i}w{j}" for j in range(104)]
+        for k, places in enumerate(((), (30, 60), (20, 50, 80))):
+            rows.append((100 * k + i, " ".join("changed" if j in places else w for j, w in enumerate(words))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert kept == set(range(20)) | set(range(200, 220))
+
+
 def test_every_query_runs(spark, folder):
     spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     for name, query in queries.queries().items():

@@ -19,16 +19,48 @@ def bound_batches(spark: SparkSession, size: str = "2m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir; where it is unset and all is local (tests), one of our own is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.axisloom.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="axisloom-")
         spark.conf.set("spark.axisloom.dir", path)
     return path
 
 
+_made: list[str] = []  # folders in the shared folder that this process has named and not deleted
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}/{tag}"
+    path = f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}/{tag}"
+    _made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder named by new_path()."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p.getParent(), True)
+    if path in _made:
+        _made.remove(path)
+
+
+class Made:
+    """What is stored inside the block; delete() removes it all but the tables named."""
+
+    def __enter__(self) -> Made:
+        self.before = set(_made)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.paths = [p for p in _made if p not in self.before]
+
+    def delete(self, spark: SparkSession, *keep: DataFrame) -> None:
+        kept = {getattr(t, "_axisloom_path", None) for t in keep}
+        for path in self.paths:
+            if path not in kept and path in _made:
+                delete(spark, path)
 
 
 def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
@@ -45,9 +77,26 @@ def drop(df: DataFrame) -> None:
     """Delete the files behind a table made by stored(); only for tables nothing will read again."""
     path = getattr(df, "_axisloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p.getParent(), True)
+        delete(df.sparkSession, path)
+
+
+class Scratch:
+    """Stores tables that are deleted when the block that they are made in ends."""
+
+    def __enter__(self) -> Scratch:
+        self.tables: list[DataFrame] = []
+        return self
+
+    def __call__(self, df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
+        return self.add(stored(df, tag, compression))
+
+    def add(self, table: DataFrame) -> DataFrame:
+        self.tables.append(table)
+        return table
+
+    def __exit__(self, *_) -> None:
+        for t in self.tables:
+            drop(t)
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

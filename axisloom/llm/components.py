@@ -29,7 +29,8 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component: its smallest node.
 
-    Null ends and loops are ignored, repeated edges count once, and no edges give no rows.
+    Null ends and loops are ignored, repeated edges count once, and no edges give no rows. The result
+    is a table in the shared folder, which drop() deletes.
     """
     a, b = F.col(u).cast("long"), F.col(v).cast("long")
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), a.isNotNull().alias("x"), b.isNotNull().alias("y"))
@@ -45,4 +46,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         seen = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return nodes.unionByName(roots)
+    out = stored(nodes.unionByName(roots), "components")
+    drop(e)
+    return out

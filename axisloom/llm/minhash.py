@@ -9,9 +9,16 @@ the start. In each band bucket every class is first compared with the bucket's s
 buckets whose members then share a component are settled, as further links cannot change it. Only
 in the others are members of different components compared, so nothing is capped or dropped.
 
+Everything between documents and result is keyed by class, one row each, so neither repeated rows
+nor a doc_id with several texts multiply anything.
+
 Defined results: null or wordless texts have an empty set and link with nothing; texts with fewer
 words than a shingle have one shingle, the whole sequence; rows that share a doc_id count as one
-node; a null doc_id keeps its row, with the component of its class; empty tables give no rows.
+node, which has the links of all its texts (wordless rows stay by themselves); a null doc_id keeps
+its row, with the component of its class, and joins nothing but by its text; repeated rows each
+have their row of the result; texts of any length are compared whole; of ties nothing depends on
+the order, as a component's name is its smallest doc_id; empty tables give no rows. Other columns
+of the input, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import groups
-from ._tables import bound_batches, maybe_in, only, stored
+from ._tables import Scratch, bound_batches, drop, maybe_in, only, stored
 from ._words import Words, blocks, mix, split
 from .components import components
 
@@ -34,7 +41,7 @@ BANDS, ROWS = 30, 6  # at similarity 0.85, a pair shares no band with probabilit
 PERCENT = 85  # least 100 * intersection / union
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary())])
+_SETS = pa.schema([("set_key", pa.binary()), ("shingles", pa.binary())])
 
 
 def shingle_sets(words: Words, k: int) -> Iterator[np.ndarray]:
@@ -71,6 +78,10 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 40
     return best
 
 
+def set_key(shingles: bytes) -> bytes:
+    return hashlib.md5(shingles).digest()
+
+
 def _sketch(k: int, bands: int, rows: int):
     def run(batches):
         a, b = hash_functions(bands * rows)
@@ -84,7 +95,7 @@ def _sketch(k: int, bands: int, rows: int):
                     if len(s):
                         sig = signature(s, a, b)
                         keys = mix((sig.reshape(bands, rows).astype(np.uint64) * odd).sum(axis=1, dtype=np.uint64) + salt)
-                        out[1].append(hashlib.md5(s.tobytes()).digest())
+                        out[1].append(set_key(s.tobytes()))
                         out[2].append(keys.view(np.int64))
                         out[3].append(sig.astype(np.uint8).tobytes())
                     else:
@@ -96,11 +107,20 @@ def _sketch(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
+    """Shingle sets by their key, each once a task."""
+
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
-            for lo, hi, data, offsets in blocks(batch.column(1)):
-                blobs = [s.tobytes() for s in shingle_sets(split(data, offsets), k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], schema=_SETS)
+            for _, _, data, offsets in blocks(batch.column(0)):
+                keys, sets = [], []
+                for s in shingle_sets(split(data, offsets), k):
+                    blob = s.tobytes()
+                    if len(s) and (key := set_key(blob)) not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(blob)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], schema=_SETS)
 
     return run
 
@@ -155,14 +175,13 @@ def _linked_across(percent: int, least: float):
     return run
 
 
-def _across(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, count: int, block: int = 512) -> DataFrame:
+def _across(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int, count: int, block: int = 256) -> DataFrame:
     """Links (a, b) between members of different components of a bucket.
 
     members: bucket, size (of the bucket), rep, component. A bucket's members are dealt to blocks of
     about `block`, and each pair of blocks is compared by itself, so no task holds a whole bucket.
     """
-    sets = _sets_of(docs, members.select(F.col("rep").alias("doc_id")), k)
-    whole = stored(sets.withColumnRenamed("doc_id", "rep").join(reps.select("rep", "n_shingles", "bands", "sig"), "rep"), "sets")
+    whole = sets.join(reps, "rep")
     blocks_ = F.ceil(F.col("size") / block).cast("int")
     dealt = members.withColumn("blocks", blocks_).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -195,19 +214,19 @@ def _linked(percent: int):
     return run
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """doc_id and shingles of the documents with these ids, and of a few others."""
-    return maybe_in(docs, "doc_id", ids).filter("maybe").select("doc_id", "text").mapInArrow(_sets(k), "doc_id long, shingles binary")
+def _sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """rep and shingles of the wanted classes (a column rep), one row each.
+
+    Texts are read again where the bitmap of doc_ids lets them through; the join by the sets' own keys
+    is exact, so whatever else passed goes before anything is written.
+    """
+    named = classes.join(wanted.select("rep").distinct(), "rep", "left_semi")
+    found = maybe_in(docs, "doc_id", named).filter("maybe").select("text").mapInArrow(_sets(k), "set_key binary, shingles binary")
+    return found.join(named.select("set_key", "rep"), "set_key").dropDuplicates(["set_key"]).select("rep", "shingles")
 
 
-def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int, bits: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets are similar enough."""
-    sigs = reps.select("rep", "sig")
-    near = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stored(near.mapInArrow(_close(least_share(percent, bits)), "a long, b long"), "near")
-    sets = stored(_sets_of(docs, near.select(F.col("a").alias("doc_id")).union(near.select("b")), k), "sets")
-    full = near.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return full.mapInArrow(_linked(percent), "a long, b long").distinct()
+def _side(df: DataFrame, name: str, value: str) -> DataFrame:
+    return df.select(F.col("rep").alias(name), F.col(value).alias(f"{'set' if value == 'shingles' else value}_{name}"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, bands: int = BANDS, rows: int = ROWS, percent: int = PERCENT) -> DataFrame:
@@ -215,42 +234,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bound_batches(docs.sparkSession)
     docs = only(docs.withColumnsRenamed({id_col: "doc_id", text_col: "text"}) if (id_col, text_col) != ("doc_id", "text") else docs, "doc_id", "text")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = stored(docs.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"), "sketch")
-    classes = stored(sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sketch.select("doc_id", "set_key", "n_shingles", "bands", "sig").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"], "left_semi").withColumnRenamed("doc_id", "rep")
-    member = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = stored(member.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
-    shared = stored(member.join(buckets, "bucket"), "shared")
-    stars = shared.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = stored(_confirmed(stars, reps, docs, k, percent, bands * rows), "links")
-    found = stored(components(links, "a", "b"), "components")
-
-    # buckets that still hold several components: compare across them, but not with the smallest again
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
-    left = stored(placed.filter("rep <> least").join(open_, "bucket").select("bucket", "size", "rep", "component"), "open")
-    more = stored(_across(left, reps, docs, k, percent, bands * rows), "links")
-    if not more.isEmpty():
-        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b"), "components")
-
-    classes = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    with Scratch() as kept:
+        sketch = kept(docs.mapInArrow(_sketch(k, bands, rows), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary").withColumn("row", F.monotonically_increasing_id()), "sketch")
+        # a class is named by the least row that has its set: rep
+        classes = kept(sketch.filter("n_shingles > 0").groupBy("set_key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("doc_id")), "classes")
+        reps = kept(sketch.select(F.col("row").alias("rep"), "n_shingles", "bands", "sig").join(classes.select("rep"), "rep", "left_semi"), "reps")
+        least = least_share(percent, bands * rows)
+
+        member = reps.select("rep", F.explode("bands").alias("bucket"))
+        buckets = kept(member.groupBy("bucket").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("bucket", "least"), "buckets")
+        shared = kept(member.join(buckets, "bucket"), "shared")
+        stars = shared.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+        near = kept(stars.join(_side(reps, "a", "sig"), "a").join(_side(reps, "b", "sig"), "b").mapInArrow(_close(least), "a long, b long"), "near")
+        sets = kept(_sets_of(docs, classes, near.select(F.col("a").alias("rep")).union(near.select("b")), k), "sets")
+        links = kept(near.join(_side(sets, "a", "shingles"), "a").join(_side(sets, "b", "shingles"), "b").mapInArrow(_linked(percent), "a long, b long"), "links")
+        found = kept.add(components(links, "a", "b"))
+
+        # buckets that still hold several components: compare across them, but not with the smallest again
+        placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("bucket", "size")
+        left = kept(placed.filter("rep <> least").join(open_, "bucket").select("bucket", "size", "rep", "component"), "open")
+        sets = kept(_sets_of(docs, classes, left, k), "sets")
+        more = kept(_across(left, reps, sets, percent, bands * rows), "links")
+
+        # a doc_id on texts of several classes is one node
+        placed = sketch.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "rep"), "set_key").select("doc_id", "n_shingles", "rep")
+        placed = kept(placed, "placed")
+        several = placed.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most").select("doc_id", "a")
+        alike = kept(placed.join(several, "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "alike")
+        if not (more.isEmpty() and alike.isEmpty()):
+            found = kept.add(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more).union(alike), "a", "b"))
+
+        linked = classes.select("rep", "doc_id").join(found.withColumnRenamed("node", "rep"), "rep")
+        named = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        names = classes.select("rep", "doc_id").join(found.withColumnRenamed("node", "rep").join(named, "component").select("rep", "component_id"), "rep", "left").select("rep", F.coalesce("component_id", "doc_id").alias("component_id"))
+        out = placed.join(names, "rep").select("doc_id", "n_shingles", "component_id")
+        wordless = sketch.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return stored(out.unionByName(wordless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "groups")
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, with all their columns, of which each group keeps the smallest doc_id, once.
+    """The rows of docs, with all their columns, of which each group keeps its smallest doc_id.
 
-    Rows without a doc_id can't be named in a group and stay.
+    A doc_id goes or stays with all its rows; of rows of one doc_id with equal texts one stays, those
+    with different texts all do. Rows without a doc_id can't be named in a group and stay.
     """
-    found = stored(near_duplicates(docs, **options), "groups")
-    dropped = found.filter("not kept and doc_id is not null").select("doc_id").distinct()
+    found = near_duplicates(docs, **options)
+    dropped = stored(found.filter("not kept and doc_id is not null").select("doc_id").distinct(), "dropped")
+    repeated = stored(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    drop(found)
     marked = maybe_in(docs.select("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row")), "doc_id", dropped)
     unpacked = [F.col("row")[c].alias(c) for c in docs.columns]
-    kept = marked.filter("not maybe").select(*unpacked).unionByName(marked.filter("maybe").join(dropped, "doc_id", "left_anti").select(*unpacked))
-    again = stored(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return kept
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
+    left = marked.filter("not maybe").select(*unpacked).unionByName(marked.filter("maybe").join(dropped, "doc_id", "left_anti").select(*unpacked))
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).withColumn(_TEXT, F.sha2(F.coalesce("text", F.lit("")), 256)).withColumn(_NULL, F.col("text").isNull())
+    once = once.dropDuplicates(["doc_id", _TEXT, _NULL]).select(*docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+_TEXT, _NULL = "axisloom text", "axisloom null"

@@ -119,8 +119,12 @@ def split(data: np.ndarray, offsets: np.ndarray, inword: np.ndarray = _INWORD, l
     return Words(data, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hashes that split() gives these words, none of them empty."""
+    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return split(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], ends]), np.ones(256, bool), np.arange(256, dtype=np.uint8)).hashes
+
+
 def word_hash(word: bytes) -> int:
     """The hash that split() gives this word."""
-    data = np.frombuffer(word, np.uint8)
-    whole = split(data, np.array([0, len(data)]), np.ones(256, bool), np.arange(256, dtype=np.uint8))
-    return int(whole.hashes[0])
+    return int(word_hashes([word])[0])

@@ -7,13 +7,18 @@ that word occurs. Each such occurrence gives one start position; positional and
 window must fit between the document's first and last word) cut candidates, and the rest is
 verified word by word.
 
-The index of windows is collected in parts of at most PART windows, so what is broadcast has a fixed
-bound whatever the benchmark's size: each part is one more pass over the documents, and passes are
-merged by document. Words are compared by 64-bit hashes, all words of a window each.
+Equal windows of all items are one, with a number. Distinct windows are dealt to parts of about PART,
+each built by a task and written as files of arrays, which the tasks that read documents map into
+memory, so neither the driver nor any worker's heap holds windows. One pass over the documents
+counts the words that windows hold, a second one looks every part up for each block of texts.
+Candidates are compared by 64-bit hashes of their words first, then by the words' bytes. Items' ids
+are joined to the sets of windows that documents hold, by windows' numbers.
 
 Defined results: null texts have no words; a null or repeated item_id is allowed (null is written
 as an empty string, repeats count once); without documents or items there are no rows or no hits;
-rows that share a doc_id each keep their own result.
+every row of the documents keeps its own result, whatever its id, and repeated rows each have theirs;
+texts of any length are searched whole; of equally rare words the one of least hash is sought, which
+changes no result. Columns of other names are never read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,15 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import bound_batches
-from ._words import blocks, split
+from ._files import mapped_arrays, write_arrays
+from ._groups import groups
+from ._tables import bound_batches, delete, new_path, stored
+from ._words import Words, blocks, split, word_hashes
 
 WINDOW = 10
-PART = 200_000  # most windows in one broadcast part of the index
+PART = 200_000  # distinct windows of a part of the index, about
 _BITS = 20
 
-_HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
-_HIT_TYPES = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())]
+_HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, windows array<long>"
+_SPANS, _NUMBERS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
 
 
 def item_word_table() -> np.ndarray:
@@ -45,18 +52,21 @@ _INWORD = item_word_table()
 
 
 def _windows(size: int):
+    """Each item's windows: their words with zero bytes between."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).cast(pa.string()).to_pylist()
             for lo, _, data, offsets in blocks(batch.column(1)):
                 w = split(data, offsets, _INWORD)
-                h = w.hashes.view(np.int64)
+                raw = w.data.tobytes()
+                words = [raw[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
                 rows: tuple[list, list] = ([], [])
                 for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
                     for s in range(a, max(b - size, a) + 1) if b > a else ():
                         rows[0].append(ids[lo + i] or "")
-                        rows[1].append(h[s : min(s + size, b)])
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.list_(pa.int64()))], names=["item_id", "words"])
+                        rows[1].append(b"\0".join(words[s : min(s + size, b)]))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.string()), pa.array(rows[1], pa.binary())], names=["item_id", "window"])
 
     return run
 
@@ -78,123 +88,206 @@ class Lookup:
         return at[hit], slot[hit]
 
 
-def _counts(shared):
-    """Occurrences of the index's words in a partition of documents."""
+def _build(base: str):
+    """Write each part's windows: numbers, words and the words' bytes. Rows: part, number, window, sorted."""
 
     def run(batches):
-        look = Lookup(shared.value)
-        n = np.zeros(len(look.keys), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                n += np.bincount(look.find(split(data, offsets, _INWORD).hashes)[1], minlength=len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(look.keys[at].view(np.int64)), pa.array(n[at])], names=["word", "n"])
+        for t in groups(batches, 1):
+            part = t.column("part")[0].as_py()
+            windows = [x.split(b"\0") for x in t.column("window").to_pylist()]
+            vocabulary = sorted({w for x in windows for w in x})
+            hashes = word_hashes(vocabulary)
+            order = np.argsort(hashes, kind="stable")
+            place = dict(zip((vocabulary[i] for i in order.tolist()), range(len(order)), strict=True))
+            length = np.array([len(x) for x in windows], np.int64)
+            words = np.zeros((len(windows), int(length.max())), np.int32)
+            for i, x in enumerate(windows):
+                words[i, : len(x)] = [place[w] for w in x]
+            ends = np.cumsum([len(w) for w in place], dtype=np.int64)
+            write_arrays(base, f"windows-{part}", [t.column("number").to_numpy(), length, words.reshape(-1), hashes[order], np.concatenate([[0], ends]), np.frombuffer(b"".join(place), np.uint8)])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
     return run
 
 
-class Index:
-    """Distinct windows, their items, and their occurrences by rarest word."""
-
-    def __init__(self, windows: list[tuple[tuple[int, ...], list[str]]], counts: dict[int, int]):
-        self.items = [items for _, items in windows]
-        self.length = np.array([len(w) for w, _ in windows], np.int64)
-        self.words = np.zeros((len(windows), int(self.length.max(initial=1))), np.uint64)
-        rarest = np.zeros(len(windows), np.uint64)
-        self.offset = np.zeros(len(windows), np.int64)
-        for i, (w, _) in enumerate(windows):
-            own = np.array(w, np.int64).view(np.uint64)
-            self.words[i, : len(w)] = own
-            j = min(range(len(w)), key=lambda k: (counts.get(w[k], 0), w[k]))
-            rarest[i], self.offset[i] = own[j], j
-        self.order = np.argsort(rarest, kind="stable")
-        keys, self.begin, self.count = np.unique(rarest[self.order], return_index=True, return_counts=True)
+class Part:
+    """A part of the index, mapped from its files: windows and, once written, their occurrences by rarest word."""
+
+    def __init__(self, base: str, part: int):
+        self.number, self.length, words, self.hashes, self.offsets, self.bytes = mapped_arrays(base, f"windows-{part}")
+        self.words = words.reshape(len(self.length), -1)
+        self.keys = np.unique(self.hashes)
+
+    def ranked(self, base: str, part: int) -> Part:
+        keys, self.begin, self.count, self.order, self.offset = mapped_arrays(base, f"rarest-{part}")
         self.lookup = Lookup(keys)
+        return self
 
-    def find(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start words, windows) of every occurrence within one document."""
-        at, key = self.lookup.find(hashes)
+    def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(start words, windows) of every occurrence within one document of a block."""
+        at, key = self.lookup.find(w.hashes)
         n = self.count[key]
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         window = self.order[np.repeat(self.begin[key], n) + step]
         pos = np.repeat(at, n)
         start = pos - self.offset[window]
-        doc = np.searchsorted(first, pos, side="right") - 1
-        fits = (start >= first[doc]) & (start + self.length[window] <= first[doc + 1])
+        doc = np.searchsorted(w.first, pos, side="right") - 1
+        fits = (start >= w.first[doc]) & (start + self.length[window] <= w.first[doc + 1])
         start, window = start[fits], window[fits]
         for j in range(self.words.shape[1]):
             short = self.length[window] <= j
-            same = short | (hashes[np.where(short, 0, start + j)] == self.words[window, j])
+            same = short | (w.hashes[np.where(short, 0, start + j)] == self.hashes[self.words[window, j]])
             start, window = start[same], window[same]
-        return start, window
+        return self._same_bytes(w, start, window)
+
+    def _same_bytes(self, w: Words, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those whose words are the same, byte by byte; each word of the block is compared once."""
+        if not len(start):
+            return start, window
+        n = self.length[window]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pairs, back = np.unique(np.repeat(start, n) + step << 32 | self.words[np.repeat(window, n), step], return_inverse=True)
+        pos, word = pairs >> 32, pairs & 0xFFFFFFFF
+        begin, size, own = w.starts[pos], w.ends[pos] - w.starts[pos], self.offsets[word]
+        equal = size == self.offsets[word + 1] - own
+        size = np.where(equal, size, 0)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        differ = w.data[np.repeat(begin, size) + step] != self.bytes[np.repeat(own, size) + step]
+        equal &= np.bincount(np.repeat(np.arange(len(size)), size), differ, len(size)) == 0
+        good = np.logical_and.reduceat(equal[back], np.cumsum(n) - n)
+        return start[good], window[good]
+
+
+_open: tuple[tuple, list[Part]] = ((), [])
 
 
-def _hits(shared):
+def _parts(base: str, parts: int, ranked: bool) -> list[Part]:
+    """All parts of an index; the worker keeps them open from task to task."""
+    global _open
+    if _open[0] != (base, ranked):
+        opened = [Part(base, i) for i in range(parts)]
+        _open = (base, ranked), [p.ranked(base, i) for i, p in enumerate(opened)] if ranked else opened
+    return _open[1]
+
+
+def _counts(base: str, parts: int):
+    """Occurrences of the index's words in a partition of documents; rows of place -1 name every part."""
+
     def run(batches):
-        index: Index = shared.value
+        open_ = _parts(base, parts, False)
+        looks = [Lookup(p.keys) for p in open_]
+        n = [np.zeros(len(x.keys), np.int64) for x in looks]
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(0)):
+                hashes = split(data, offsets, _INWORD).hashes
+                for look, own in zip(looks, n, strict=True):
+                    own += np.bincount(look.find(hashes)[1], minlength=len(own))
+        for part, own in enumerate(n):
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), part, np.int64)), pa.array(at), pa.array(own[at])], names=["part", "place", "n"])
+
+    return run
+
+
+def _rank(base: str, parts: int):
+    """Write each part's windows by their rarest word. Rows: part, place of a word, its count; sorted by part."""
+
+    def run(batches):
+        for t in groups(batches, 1):
+            part = t.column("part")[0].as_py()
+            p = _parts(base, parts, False)[part]
+            place, n = t.column("place").to_numpy(), t.column("n").to_numpy()
+            counts = np.zeros(len(p.keys), np.int64)
+            counts[place[place >= 0]] = n[place >= 0]
+            own = counts[np.searchsorted(p.keys, p.hashes)][p.words]
+            own[np.arange(own.shape[1]) >= p.length[:, None]] = np.iinfo(np.int64).max
+            offset = own.argmin(axis=1)
+            rarest = p.hashes[p.words[np.arange(len(offset)), offset]]
+            order = np.argsort(rarest, kind="stable")
+            keys, begin, count = np.unique(rarest[order], return_index=True, return_counts=True)
+            write_arrays(base, f"rarest-{part}", [keys, begin, count, order, offset])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
+
+    return run
+
+
+def _hits(base: str, parts: int):
+    def run(batches):
+        open_ = _parts(base, parts, True)
         for batch in batches:
             for lo, hi, data, offsets in blocks(batch.column(1)):
                 w = split(data, offsets, _INWORD)
                 spans: list = [[] for _ in range(hi - lo)]
-                items: list = [[] for _ in range(hi - lo)]
-                start, window = index.find(w.hashes, w.first)
+                numbers: list = [[] for _ in range(hi - lo)]
+                start, length, number = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*([s, p.length[k], p.number[k]] for p in open_ for s, k in [p.find(w)]), strict=True)) if open_ else [np.zeros(0, np.int64)] * 3
                 doc = np.searchsorted(w.first, start, side="right") - 1
-                order = np.lexsort((start, doc))
+                order = np.lexsort((number, start, doc))
                 found: dict[int, set] = {}
-                for d, s, k in zip(doc[order].tolist(), start[order].tolist(), window[order].tolist(), strict=True):
-                    a, b = s - int(w.first[d]), s - int(w.first[d]) + int(index.length[k])
+                for d, s, n, k in zip(doc[order].tolist(), start[order].tolist(), length[order].tolist(), number[order].tolist(), strict=True):
+                    a = s - int(w.first[d])
                     own = spans[d]
                     if own and own[-1]["end"] >= a:
-                        own[-1]["end"] = max(own[-1]["end"], b)
+                        own[-1]["end"] = max(own[-1]["end"], a + n)
                     else:
-                        own.append({"start": a, "end": b})
-                    found.setdefault(d, set()).update(index.items[k])
+                        own.append({"start": a, "end": a + n})
+                    found.setdefault(d, set()).add(k)
                 for d, x in found.items():
-                    items[d] = sorted(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first)), pa.array(spans, _HIT_TYPES[1]), pa.array(items, _HIT_TYPES[2]), *(batch.column(k).slice(lo, hi - lo) for k in range(2, batch.num_columns))], names=["doc_id", "n_words", "spans", "items", *batch.schema.names[2:]])
+                    numbers[d] = sorted(x)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(w.first)), pa.array(spans, _SPANS), pa.array(numbers, _NUMBERS), *(batch.column(k).slice(lo, hi - lo) for k in range(2, batch.num_columns))], names=["doc_id", "n_words", "spans", "windows", *batch.schema.names[2:]])
 
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def _index(docs: DataFrame, items: DataFrame, window: int, part: int) -> tuple[str, int, DataFrame]:
+    """(folder of the index's files, parts, item_id of every number): words are ranked by their counts in docs."""
+    spark = docs.sparkSession
+    held = stored(items.select("item_id", "text").mapInArrow(_windows(window), "item_id string, window binary").distinct(), "windows")
+    distinct = stored(held.select("window").distinct().withColumn("number", F.monotonically_increasing_id()), "distinct")
+    parts = -(-distinct.count() // part)
+    base = new_path(spark, "index")
+    if parts:
+        dealt = distinct.select(F.pmod(F.xxhash64("window"), F.lit(parts)).alias("part"), "number", "window")
+        dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "window")
+        built = sorted(r.part for r in dealt.mapInArrow(_build(base), "part long").collect())
+        if built != list(range(parts)):
+            # hardly any windows to a part: one part of them all
+            parts = 1
+            dealt = distinct.select(F.lit(0).cast("long").alias("part"), "number", "window").repartition(1).sortWithinPartitions("window")
+            dealt.mapInArrow(_build(base), "part long").collect()
+        counted = docs.select("text").mapInArrow(_counts(base, parts), "part long, place long, n long").groupBy("part", "place").agg(F.sum("n").alias("n"))
+        every = spark.range(parts).select(F.col("id").alias("part"), F.lit(-1).cast("long").alias("place"), F.lit(0).cast("long").alias("n"))
+        counted = counted.unionByName(every).repartition(parts, "part").sortWithinPartitions("part")
+        counted.mapInArrow(_rank(base, parts), "part long").collect()
+    return base, parts, held.join(distinct, "window").select("number", "item_id")
+
+
+def _looked_up(docs: DataFrame, base: str, parts: int) -> DataFrame:
+    """doc_id, n_words, spans, windows (their numbers), and a column `row`, if docs has one."""
+    carried = ["row"] if "row" in docs.columns else []
+    row_type = f", row {docs.schema['row'].dataType.simpleString()}" if carried else ""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).mapInArrow(_hits(base, parts), _HITS + row_type)
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of any item."""
+    bound_batches(docs.sparkSession)
     names = docs.columns
+    base, parts, _ = _index(docs, items, window, part)
     packed = docs.select("doc_id", "text", F.struct(*[docs[c] for c in names]).alias("row"))
-    kept = contamination(packed, items, window).filter("n_hit = 0")
-    return kept.select(*[F.col("row")[c].alias(c) for c in names])
+    return _looked_up(packed, base, parts).filter("size(windows) = 0").select(*[F.col("row")[c].alias(c) for c in names])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, part: int = PART) -> DataFrame:
-    """One row per document: doc_id, n_words, spans (merged hit word ranges), items (ids found), n_hit.
-
-    A column `row`, if docs has one, is passed on.
-    """
+    """One row per document: doc_id, n_words, spans (merged hit word ranges), items (ids found), n_hit."""
     bound_batches(docs.sparkSession)
-    sc = docs.sparkSession.sparkContext
-    carried = ["row"] if "row" in docs.columns else []
-    row_type = f", row {docs.schema['row'].dataType.simpleString()}" if carried else ""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
-    windows = items.select("item_id", "text").mapInArrow(_windows(window), "item_id string, words array<long>")
-    parts = max(1, -(-windows.count() // part))
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts)))
-    # a part's distinct windows: at most about `part` of them come to the driver at a time
-    out = []
-    for i in range(parts):
-        got: dict[tuple, set] = {}
-        for row in windows.filter(F.col("part") == i).select("item_id", "words").toLocalIterator():
-            got.setdefault(tuple(row.words), set()).add(row.item_id)
-        vocabulary = np.unique(np.array([h for w in got for h in w], np.int64).view(np.uint64))
-        keys = sc.broadcast(vocabulary)
-        counted = docs.select("text").mapInArrow(_counts(keys), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-        index = Index([(w, sorted(x)) for w, x in got.items()], {r.word: r.n for r in counted.toLocalIterator()} if got else {})
-        rows = docs if parts == 1 else docs.withColumn("key", F.sha2("text", 256))
-        out.append(rows.mapInArrow(_hits(sc.broadcast(index)), _HITS + row_type + ("" if parts == 1 else ", key string")))
-    found = out[0]
-    if parts > 1:
-        for more in out[1:]:
-            found = found.unionByName(more)
-        # rows that share doc_id and text have equal results, and each part has each of them once
-        found = found.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / parts).cast("int").alias("copies"), *[F.first(c).alias(c) for c in carried])
-        found = found.withColumn("copies", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    covered = F.expr("aggregate(spans, named_struct('n', 0L, 'to', 0), (x, s) -> named_struct('n', x.n + greatest(0, s.end - greatest(s.start, x.to)), 'to', greatest(x.to, s.end)), x -> x.n)")
-    return found.select("doc_id", "n_words", "spans", "items", covered.alias("n_hit"), *carried)
+    docs = docs.select("doc_id", "text")
+    base, parts, numbered = _index(docs, items, window, part)
+    found = stored(_looked_up(docs, base, parts), "hits")
+    delete(docs.sparkSession, base)
+    # what documents hold is named once for each set of windows
+    sets = found.filter("size(windows) > 0").select("windows").distinct()
+    named = sets.select("windows", F.explode("windows").alias("number")).join(numbered, "number").groupBy("windows").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    some = found.filter("size(windows) > 0").join(named, "windows").select("doc_id", "n_words", "spans", "items")
+    none = found.filter("size(windows) = 0").select("doc_id", "n_words", "spans", F.array().cast("array<string>").alias("items"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
+    return some.unionByName(none).select("doc_id", "n_words", "spans", "items", covered.alias("n_hit"))

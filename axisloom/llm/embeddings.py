@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._groups import groups
-from ._tables import bound_batches, stored
+from ._tables import Scratch, bound_batches, stored
 from .components import components
 
 THRESHOLD = 0.98
@@ -120,20 +120,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = rows.filter(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
     key = F.sha2(F.concat_ws(",", F.transform("embedding", lambda x: (x + 0.0).cast("string"))), 256)
-    usable = stored(usable.withColumn("key", key), "vectors")
-    classes = usable.groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("embedding").alias("embedding"), F.first(F.size("embedding")).alias("dim"))
-    classes = stored(classes, "classes")
-    counted = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = classes.join(counted, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = dealt.select("label", F.col("dim").cast("long").alias("dim"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "embedding")
-    found = tiles.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j").mapInArrow(_tiles(threshold), "rep long, links long, root long")
-    found = stored(found, "links")
-    joined = stored(components(found, "rep", "root"), "components")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    of_class = classes.select("label", "key", "rep", "size").join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("label", "key", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    known = usable.select("vec_id", "label", "key").join(of_class, ["label", "key"]).select("vec_id", "n_links", "component_id")
-    unusable = rows.filter(~F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    alone = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    with Scratch() as kept:
+        usable = kept(usable.withColumn("key", key).withColumn("row", F.monotonically_increasing_id()), "vectors")
+        # a class, all equal vectors of a label, is named by its least row: rep
+        classes = usable.groupBy("label", "key").agg(F.min("row").alias("rep"), F.min("vec_id").alias("vec_id"), F.count("*").alias("size"), F.first("embedding").alias("embedding"), F.first(F.size("embedding")).alias("dim"))
+        classes = kept(classes, "classes")
+        counted = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        dealt = classes.join(counted, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        tiles = dealt.select("label", F.col("dim").cast("long").alias("dim"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "embedding")
+        found = tiles.repartition("label", "dim", "i", "j").sortWithinPartitions("label", "dim", "i", "j").mapInArrow(_tiles(threshold), "rep long, links long, root long")
+        found = kept(found, "links")
+        # a vec_id on several vectors is one node
+        placed = kept(usable.select("vec_id", "label", "key").join(classes.select("label", "key", "rep"), ["label", "key"]).select("vec_id", "rep"), "placed")
+        several = placed.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("most")).filter("a < most").select("vec_id", "a")
+        alike = placed.join(several, "vec_id").filter("rep <> a").select(F.col("a").alias("rep"), F.col("rep").alias("root")).distinct()
+        joined = kept.add(components(found.select("rep", "root").unionByName(alike), "rep", "root")).withColumnRenamed("node", "rep")
+        links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+        named = classes.select("rep", "vec_id").join(joined, "rep").groupBy("component").agg(F.min("vec_id").alias("component_id"))
+        of_class = classes.select("rep", "vec_id", "size").join(links, "rep", "left").join(joined.join(named, "component").select("rep", "component_id"), "rep", "left")
+        of_class = of_class.select("rep", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+        known = placed.join(of_class, "rep").select("vec_id", "n_links", "component_id")
+        unusable = rows.filter(~F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False)))
+        alone = unusable.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return stored(known.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), "groups")

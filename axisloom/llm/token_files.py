@@ -5,25 +5,32 @@ so the most frequent take one byte. Ranks take 1 to 4 bytes; two bits each, four
 give their lengths, and control bytes stand apart from the data so that numpy decodes a whole file
 by looking lengths up in a table, without a loop over ids.
 
-Documents are dealt to files by ranges of doc_id, each sorted, and a file holds its documents' ids,
-counts, control bytes and data. Files are written to the shared folder by the tasks that sort them;
-the number of ids before each file follows from the files' totals, one number per file.
+Documents are dealt to files by ranges of (doc_id, a hash of the ids, row), each sorted, and a file
+holds its documents' ids, counts, control bytes and data. The ranges' bounds come from a sample of
+keys and only decide how even the files are; as the key goes beyond doc_id, documents that share
+one, or have none, spread over files as all others do. Files are written to the shared folder by the
+tasks that sort them; the number of ids before each file is a running sum in two levels.
 
 Texts are encoded once, to a table that the counts and the files are made from. Words are encoded
-once and remembered, as the tokenizer never looks beyond white space.
+once and remembered, as the tokenizer never looks beyond white space. A text that holds the string of
+one of the vocabulary's added tokens is given to the tokenizer whole, as those are sought across words.
 
 Defined results: null texts count as empty and hold the end id alone; a null doc_id comes before all
-others; documents that share a doc_id stand next to each other in an order fixed by their ids' bytes.
+others; documents that share a doc_id stand next to each other in an order fixed by their ids, and
+repeated rows each have their own place; a text of any length is encoded whole and stands in one
+file; an empty table has no files and reads back as no rows. Columns of other names are never read.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._files import mapped_arrays, write_arrays
@@ -32,7 +39,9 @@ from ._tables import bound_batches, drop, new_path, stored
 
 END_ID = 1
 MEMO = 1_200_000  # words remembered by a worker, about
-DOCS = 5_000  # documents of a file, about
+FILE = 64 << 20  # most bytes of text of a file, about
+SMALL = 4 << 20  # where there is less text than tasks take: bytes of text of a file, about
+SAMPLED = 16  # keys sampled for each file's bounds
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
 
@@ -94,7 +103,8 @@ class Memo(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # ids of a word don't depend on its neighbours, but for added tokens, which are sought in the whole text
+        self.added = added_tokens(self.tokenizer)
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.end = self.packed([END_ID])
         self.older: dict[bytes, bytes] = {}
@@ -124,6 +134,12 @@ class Memo(dict):
         return ids
 
 
+def added_tokens(tokenizer) -> re.Pattern | None:
+    """Finds, in ASCII-lower-cased bytes, what may be one of the vocabulary's added tokens."""
+    strings = sorted({t.content.encode().lower() for t in tokenizer.get_added_tokens_decoder().values()})
+    return re.compile(b"|".join(map(re.escape, strings))) if strings else None
+
+
 def id_type(vocabulary: int) -> str:
     return "H" if vocabulary <= 1 << 16 else "I"
 
@@ -140,21 +156,20 @@ def _worker_memo(path: str) -> Memo:
 
 def encoded(memo: Memo, text: str | None) -> bytes:
     """Ids with the end id; bytes.lower() and bytes.split() know ASCII only, and the tokenizer treats that no other way."""
-    words = text.encode().lower().split() if text else ()
-    return b"".join(map(memo.__getitem__, words)) + memo.end
+    raw = text.encode().lower() if text else b""
+    if memo.added and memo.added.search(raw):
+        return memo.packed(memo.tokenizer.encode(text, add_special_tokens=False).ids) + memo.end
+    return b"".join(map(memo.__getitem__, raw.split())) + memo.end
 
 
-def _encoded(path: str, bounds: list[int]):
-    """Documents' ids, with the number of their file."""
+def _encoded(path: str):
+    """Documents' ids."""
 
     def run(batches):
         memo = _worker_memo(path)
-        edges = np.array(bounds, np.int64)
         for batch in batches:
-            doc = batch.column(0)
-            part = np.searchsorted(edges, doc.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
             ids = [encoded(memo, t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), doc, pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
 
@@ -176,22 +191,42 @@ def _frequencies(kind: str):
     return run
 
 
-def _ranked(kind: str, shared):
-    """Documents as packed ranks, many at a time."""
+class Bounds:
+    """Ranges of keys (null doc_id first, doc_id, hash, row); keys are sorted."""
+
+    def __init__(self, keys: list[tuple[int, int, int, int]]):
+        self.keys = keys
+        self.named = [k[1:] for k in keys if k[0]]
+        self.docs = np.array([k[0] for k in self.named], np.int64)
+
+    def part(self, null: np.ndarray, doc: np.ndarray, tie: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The number of bounds at or below each key."""
+        before = len(self.keys) - len(self.named)
+        out = before + np.searchsorted(self.docs, doc, side="left")
+        again = np.searchsorted(self.docs, doc, side="right") > out - before
+        for i in np.flatnonzero(again | null).tolist():
+            out[i] = bisect_right(self.keys, (0 if null[i] else 1, 0 if null[i] else int(doc[i]), int(tie[i]), int(row[i])))
+        return out
+
+
+def _ranked(kind: str, ranks, bounds):
+    """Documents as packed ranks with the number of their file, many at a time."""
 
     def run(batches):
-        rank = shared.value
+        rank, edges = ranks.value, bounds.value
         for batch in batches:
+            null = np.array(batch.column(0).is_null())
+            part = pa.array(edges.part(null, *(batch.column(i).fill_null(0).to_numpy() for i in (0, 2, 3))))
             for i in range(0, batch.num_rows, 500):
                 some = batch.slice(i, 500)
-                raw, sizes = _bytes(pa.chunked_array([some.column(2)]))
+                raw, sizes = _bytes(pa.chunked_array([some.column(1)]))
                 ids = raw.view(kind)
                 n = sizes // ids.itemsize
                 places, ends = _places(n)
-                ranks = np.zeros(int(ends[-1]), np.uint32)
-                ranks[places] = rank[ids]
-                control, data, data_ends = _packed(ranks)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n), _binaries(control, ends // 4), _binaries(data, data_ends[ends - 1])], names=["part", "doc_id", "n_tokens", "control", "data"])
+                packed = np.zeros(int(ends[-1]), np.uint32)
+                packed[places] = rank[ids]
+                control, data, data_ends = _packed(packed)
+                yield pa.RecordBatch.from_arrays([part.slice(i, 500), some.column(0), some.column(2), some.column(3), pa.array(n), _binaries(control, ends // 4), _binaries(data, data_ends[ends - 1])], names=["part", "doc_id", "tie", "row", "n_tokens", "control", "data"])
 
     return run
 
@@ -221,17 +256,23 @@ def _written(base: str):
     return run
 
 
-def write(docs: DataFrame, path: str) -> tuple[str, list[tuple[int, int]], np.ndarray]:
-    """(folder, [(file, ids before it)], id of each rank): docs.text tokenized by the file at path and written."""
+def write(docs: DataFrame, path: str, file_bytes: int = FILE, small: int = SMALL) -> tuple[str, DataFrame, np.ndarray]:
+    """(folder, rows of a file's number, its ids and the ids before it, id of each rank): docs.text tokenized by the file at path and written."""
     spark = docs.sparkSession
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = rows.agg(F.count("*")).first()[0]
-    parts = max(1, size // DOCS)
-    # one number per file; where they fall only decides how even the files are
-    bounds = rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
     kind = id_type(Memo(path).tokenizer.get_vocab_size())
-    ids = stored(rows.mapInArrow(_encoded(path, sorted(set(bounds or []))), "part long, doc_id long, ids binary"), "ids", "zstd")
+    ids = rows.mapInArrow(_encoded(path), "doc_id long, ids binary").withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id(), "size": F.length("ids")})
+    ids = stored(ids, "ids", "zstd")
+    total, size = ids.agg(F.count("*"), F.sum("size")).first()
+    size = 4 * (size or 0) // np.dtype(kind).itemsize  # bytes of text, about
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-size // file_bytes), min(shuffled, size // small))
+    # a sample of keys, by hash; its size follows from the number of files
+    share = min(1.0, SAMPLED * parts / max(total, 1))
+    sample = ids.filter(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col("doc_id").isNotNull().cast("int"), F.coalesce("doc_id", F.lit(0)), "tie", "row") if parts > 1 else None
+    keys = sorted(tuple(r) for r in sample.toLocalIterator()) if parts > 1 else []
+    bounds = sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
     # as many numbers as the vocabulary has ids
     counted = ids.select("ids").mapInArrow(_frequencies(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(((r.n, -r.id) for r in counted), reverse=True)
@@ -239,15 +280,21 @@ def write(docs: DataFrame, path: str) -> tuple[str, list[tuple[int, int]], np.nd
     rank = np.zeros(int(of_rank.max(initial=END_ID)) + 1, np.uint32)
     rank[of_rank] = np.arange(len(of_rank), dtype=np.uint32)
     base = new_path(spark, "ids")
-    packed = ids.mapInArrow(_ranked(kind, spark.sparkContext.broadcast(rank)), "part long, doc_id long, n_tokens long, control binary, data binary")
-    tasks = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    done = packed.repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "control", "data").mapInArrow(_written(base), "part long, n long").collect()
-    files, before = [], 0
-    for r in sorted(done, key=lambda r: r.part):
-        files.append((r.part, before))
-        before += r.n
+    sc = spark.sparkContext
+    packed = ids.select("doc_id", "ids", "tie", "row").mapInArrow(_ranked(kind, sc.broadcast(rank), sc.broadcast(Bounds(bounds))), "part long, doc_id long, tie long, row long, n_tokens long, control binary, data binary")
+    tasks = max(parts, shuffled)
+    dealt = packed.repartition(tasks, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "tie", "row").select("part", "doc_id", "n_tokens", "control", "data")
+    files = stored(dealt.mapInArrow(_written(base), "part long, n long"), "files")
     drop(ids)
-    return base, files, of_rank
+    # ids before each file: within blocks of files, after the sum of the blocks before
+    blocked = files.withColumn("block", F.expr(f"part div {_BLOCK}"))
+    sums = blocked.groupBy("block").agg(F.sum("n").alias("sum")).withColumn("base", F.sum("sum").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.sum("n").over(Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    before = blocked.withColumn("own", own).join(sums.select("block", "base"), "block")
+    return base, before.select("part", "n", (F.coalesce("own", F.lit(0)) + F.coalesce("base", F.lit(0))).alias("before")), of_rank
+
+
+_BLOCK = 4096  # files of a block of the running sum
 
 
 def _read(base: str, shared):
@@ -269,10 +316,8 @@ def _read(base: str, shared):
     return run
 
 
-def read(spark, written: tuple[str, list[tuple[int, int]], np.ndarray]) -> DataFrame:
+def read(spark, written: tuple[str, DataFrame, np.ndarray]) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers), read back from the files."""
     base, files, of_rank = written
-    if not files:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
-    rows = spark.createDataFrame(files, "part long, before long").repartition(len(files))
+    rows = files.select("part", "before").repartition(max(1, files.count()))
     return rows.mapInArrow(_read(base, spark.sparkContext.broadcast(of_rank)), "doc_id long, start long, n_tokens long, ids binary")

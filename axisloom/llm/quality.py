@@ -176,7 +176,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: int
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % 4 == 2
+    """A null doc_id is not held out; as it can't name a label, it isn't learned from either."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:

@@ -60,6 +60,14 @@ def test_near_duplicates_from_four_fifths(spark):
     assert kept == set(range(20)) | set(range(200, 220))
 
 
+def test_an_empty_table(spark, folder, tmp_path):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert queries.op5_byte_bpe(spark, str(tmp_path)).count() == 0
+
+
 def test_every_query_runs(spark, folder):
     spark.createDataFrame([(i, [float(i), 1.0], i % 3) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     for name, query in queries.queries().items():

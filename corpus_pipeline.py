@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. The last returns doc_id, n_tokens, ids (little-endian unsigned
 32-bit integers), ids_sha256 and decoded_sha256, the digest of what the ids decode to.
+
+Defined results: null texts count as empty; repeated rows and rows that share a doc_id are what each
+stage's operator says of them; every other column passes through all stages but the last as it is,
+whatever its name, except n_chars, which follows a redacted text; empty tables give no rows. What a
+stage keeps in the shared folder is deleted once its output is written.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axisloom.llm import bpe, decontaminate, minhash, quality, secrets
-from axisloom.llm._tables import read, stored
+from axisloom.llm._tables import Made, drop, read, stored
 from axisloom.llm.queries import tokenizer_file
 
 
@@ -57,5 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with Made() as made:
+            after = stored(stage(spark, docs, sf_dir), name)
+        made.delete(spark, after)
+        drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,14 +8,19 @@ search for base + word lands in the context's own range. An n-gram's place is it
 its context number on the next level. Probabilities are interpolated Witten-Bell estimates, kept
 with back-off weights as 16-bit steps of log10.
 
+Ranks and selections in the bit sequences go by a directory of every 512 bits, which is kept in the
+files too: what a worker maps stays in the page cache, not in its heap.
+
 Nothing is pruned, so the model grows with the corpus. It is cut into shards by hash (level 1) and by
 range of contexts (above), written to the shared folder by the tasks that build them and mapped
 into memory by the tasks that score; neither the driver nor any task holds the model. A repeated
 task writes the same bytes under the same name.
 
 Defined results: null texts count as empty, and an empty text is one end token; rows that share a
-doc_id are trained and scored each; with nothing to train on, every token is unknown (N = V = 0,
-probability 1).
+doc_id, repeated rows included, are trained and scored each; a null doc_id isn't held out and is scored;
+texts of any length are read whole; with nothing to train on, every token is unknown (N = V = 0,
+probability 1), and an empty table gives no rows; n-grams of equal counts are all kept. Columns of
+other names are never read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,9 @@ from ._groups import groups
 from ._tables import bound_batches, new_path
 from ._words import Words, blocks, mix, split
 
-ORDER = 2
+ORDER = 3
+ENTRIES = 1 << 22  # tokens for each shard of a level, where that makes more shards than tasks
+_RANK = 512  # bits for each entry of the rank directories
 STEP = 32 / 65535  # of a quantised log10 probability
 BLOCK = 4 << 20  # bytes of text handled together
 END = int(mix(np.array([0x5EED], np.uint64))[0])  # the end token's hash; also the context of a first word
@@ -66,11 +73,9 @@ def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class EliasFano:
     """A sorted sequence of integers below 2**64; all lookups take and return arrays."""
 
-    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.width, self.low, self.high = n, width, low, high
-        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.ones = np.concatenate([[0], ones])
-        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
+    def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.width, self.low, self.high, self.ones, self.zeros = n, width, low, high, ones, zeros
+        self.last = int(zeros[-1])
         self.read = np.ndarray((max(1, len(low) - 7),), "<u8", low, strides=(1,)) if len(low) >= 8 else None
         self.mask = np.uint64((1 << width) - 1)
 
@@ -81,13 +86,37 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         width = min(56, max(0, (top // max(n, 1)).bit_length() - 1))
         high = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
-        size = (int(high[-1]) + 2 if n else 1) + 63 & ~63
+        size = -(-(int(high[-1]) + 2 if n else 1) // _RANK) * _RANK
         bits = np.zeros(size, np.uint8)
         bits[high] = 1
-        return cls(n, width, _packed(values, width), np.packbits(bits, bitorder="little").view(np.uint64))
+        words = np.packbits(bits, bitorder="little").view(np.uint64)
+        # a directory of the ones and zeros before every _RANK bits
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words).reshape(-1, _RANK // 64).sum(axis=1, dtype=np.int64))])
+        return cls(n, width, _packed(values, width), words, ones, np.arange(len(ones), dtype=np.int64) * _RANK - ones)
 
     def parts(self) -> list[np.ndarray]:
-        return [np.array([self.n, self.width], np.int64), self.low, self.high]
+        return [np.array([self.n, self.width], np.int64), self.low, self.high, self.ones, self.zeros]
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray]) -> EliasFano:
+        return cls(int(parts[0][0]), int(parts[0][1]), *(np.asarray(x) for x in parts[1:]))
+
+    def _at(self, block: np.ndarray, rank: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Position of the one (or zero, with all bits flipped) of that rank in each block of the directory."""
+        out = np.empty(len(block), np.int64)
+        for i in range(0, len(block), 1 << 15):
+            b, r = block[i : i + (1 << 15)], rank[i : i + (1 << 15)]
+            first = b * (_RANK // 64)
+            word, before = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            sums = np.zeros(len(b), np.int64)
+            for k in range(_RANK // 64 - 1):
+                sums += np.bitwise_count(self.high[first + k] ^ flip)
+                beyond = sums <= r
+                word += beyond
+                before = np.where(beyond, sums, before)
+            word += first
+            out[i : i + (1 << 15)] = word * 64 + _select(self.high[word] ^ flip, r - before)
+        return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -97,23 +126,23 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at these places."""
-        word = np.searchsorted(self.ones, i, side="right") - 1
-        pos = word * 64 + _select(self.high[word], i - self.ones[word])
+        block = np.searchsorted(self.ones, i, side="right") - 1
+        pos = self._at(block, i - self.ones[block], np.uint64(0))
         return ((pos - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
     def _begins(self, bucket: np.ndarray) -> np.ndarray:
         """Place of the first value whose high part is at least this."""
-        k = np.minimum(bucket - 1, self.zeros[-1] - 1)
-        word = np.searchsorted(self.zeros, np.maximum(k, 0), side="right") - 1
-        pos = word * 64 + _select(~self.high[word], np.maximum(k, 0) - self.zeros[word])
+        k = np.maximum(np.minimum(bucket - 1, self.last - 1), 0)
+        block = np.searchsorted(self.zeros, k, side="right") - 1
+        pos = self._at(block, k - self.zeros[block], np.uint64(0xFFFFFFFFFFFFFFFF))
         return np.where(bucket <= 0, 0, np.minimum(self.n, pos - k))
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Place of the first value that is at least x (the successor), or n."""
         x = x.astype(np.uint64)
-        bucket = np.minimum(x >> np.uint64(self.width), np.uint64(self.zeros[-1] + 1)).astype(np.int64)
+        bucket = np.minimum(x >> np.uint64(self.width), np.uint64(self.last + 1)).astype(np.int64)
         lo, hi, want = self._begins(bucket), self._begins(bucket + 1), x & self.mask
-        beyond = bucket > self.zeros[-1]
+        beyond = bucket > self.last
         at = np.flatnonzero(lo < hi)
         while len(at):
             mid = (lo[at] + hi[at]) >> 1
@@ -145,9 +174,9 @@ class Trie:
     def shards(self) -> int:
         return len(self.sizes[0])
 
-    def per_shard(self, level: int) -> int:
-        """Contexts of a shard of this level (from 2)."""
-        return max(1, -(-int(self.begins[level - 2][-1]) // self.shards))
+    def per_shard(self, level: int, shards: int = 0) -> int:
+        """Contexts of a shard of this level (from 2), which is to have this many shards if it isn't built."""
+        return max(1, -(-int(self.begins[level - 2][-1]) // (shards or len(self.sizes[level - 1]))))
 
     def unknown(self) -> float:
         """Probability of a word that training hasn't seen."""
@@ -156,15 +185,15 @@ class Trie:
 
     def words(self, shard: int) -> tuple[EliasFano, np.ndarray]:
         if (1, shard) not in self.open:
-            head, low, high, counts = mapped_arrays(self.base, f"1-{shard}")
-            self.open[1, shard] = EliasFano(int(head[0]), int(head[1]), low, high), counts
+            *words, counts = mapped_arrays(self.base, f"1-{shard}")
+            self.open[1, shard] = EliasFano.of(words), np.asarray(counts)
         return self.open[1, shard]
 
     def level(self, k: int, shard: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
         """(pointers, words relative to contexts, back-off weights, probabilities)."""
         if (k, shard) not in self.open:
             a = mapped_arrays(self.base, f"{k}-{shard}")
-            self.open[k, shard] = EliasFano(int(a[0][0]), int(a[0][1]), a[1], a[2]), EliasFano(int(a[3][0]), int(a[3][1]), a[4], a[5]), a[6], a[7]
+            self.open[k, shard] = EliasFano.of(a[:5]), EliasFano.of(a[5:10]), np.asarray(a[10]), np.asarray(a[11])
         return self.open[k, shard]
 
     def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +355,7 @@ def _build_words(base: str, shards: int):
     return run
 
 
-def _pairs(trie_of, k: int):
+def _pairs(trie_of, k: int, shards: int):
     """Counted (context, word) pairs of level k, by shard of the context."""
 
     def out(size, keys, counts):
@@ -343,7 +372,7 @@ def _pairs(trie_of, k: int):
 
     def run(batches):
         trie = trie_of()
-        size, keys, counts, n = trie.per_shard(k), [], [], 0
+        size, keys, counts, n = trie.per_shard(k, shards), [], [], 0
         narrow = trie.begins[k - 2][-1] < 1 << 32 and trie.vocabulary < 1 << 32
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0), BLOCK):
@@ -365,10 +394,10 @@ def _pairs(trie_of, k: int):
     return run
 
 
-def _build_level(base: str, trie_of, k: int):
+def _build_level(base: str, trie_of, k: int, shards: int):
     def run(batches):
         trie = trie_of()
-        size = trie.per_shard(k)
+        size = trie.per_shard(k, shards)
         for t in groups(batches, 1):
             shard = t.column("shard")[0].as_py()
             contexts = min(size, int(trie.begins[k - 2][-1]) - shard * size)
@@ -475,8 +504,9 @@ def train(docs: DataFrame, order: int = ORDER, shards: int | None = None) -> tup
         if not total:
             break
         trie_of = _trie_of(*model)
-        rows = text.mapInArrow(_pairs(trie_of, k), "shard long, wide long, a binary, b binary, c binary, a_size long, b_size long, c_size long")
-        more, _ = built(rows, _build_level(base, trie_of, k), shards)
+        of_level = max(shards, -(-total // ENTRIES))
+        rows = text.mapInArrow(_pairs(trie_of, k, of_level), "shard long, wide long, a binary, b binary, c binary, a_size long, b_size long, c_size long")
+        more, _ = built(rows, _build_level(base, trie_of, k, of_level), of_level)
         model = base, [*model[1], more], total
     return model
 

@@ -8,7 +8,7 @@ search for base + word lands in the context's own range. An n-gram's place is it
 its context number on the next level. Probabilities are interpolated Witten-Bell estimates, kept
 with back-off weights as 16-bit steps of log10.
 
-Ranks and selections in the bit sequences go by a directory of every 512 bits, which is kept in the
+Ranks and selections in the bit sequences go by a directory of every 256 bits, which is kept in the
 files too: what a worker maps stays in the page cache, not in its heap.
 
 Nothing is pruned, so the model grows with the corpus. It is cut into shards by hash (level 1) and by
@@ -39,7 +39,7 @@ from ._words import Words, blocks, mix, split
 
 ORDER = 3
 ENTRIES = 1 << 22  # tokens for each shard of a level, where that makes more shards than tasks
-_RANK = 512  # bits for each entry of the rank directories
+_RANK = 256  # bits for each entry of the rank directories
 STEP = 32 / 65535  # of a quantised log10 probability
 BLOCK = 4 << 20  # bytes of text handled together
 END = int(mix(np.array([0x5EED], np.uint64))[0])  # the end token's hash; also the context of a first word
@@ -57,17 +57,33 @@ def _packed(values: np.ndarray, width: int) -> np.ndarray:
     return np.concatenate([*out, np.zeros(8, np.uint8)])
 
 
+_ONES = np.uint64(0x0101010101010101)
+_FLIP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_TOPS = np.uint64(0x8080808080808080)
+
+
+def _select_table() -> np.ndarray:
+    """Place of the one of each rank in each byte, by rank * 256 + byte."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    rank = np.cumsum(bits, axis=1) - 1
+    out = np.zeros((8, 256), np.int64)
+    byte, place = np.nonzero(bits)
+    out[rank[byte, place], byte] = place
+    return out.reshape(-1)
+
+
+_IN_BYTE = _select_table()
+
+
 def _select(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the one of that rank (from 0) in each 64-bit word."""
-    pos = np.zeros(len(words), np.uint64)
-    rank = rank.astype(np.uint64)
-    for half in (32, 16, 8, 4, 2, 1):
-        shift = np.uint64(half)
-        low = np.bitwise_count((words >> pos) & np.uint64((1 << half) - 1)).astype(np.uint64)
-        beyond = rank >= low
-        rank -= np.where(beyond, low, np.uint64(0))
-        pos += np.where(beyond, shift, np.uint64(0))
-    return pos.astype(np.int64)
+    """Position of the one of that rank (from 0) in each 64-bit word: its byte by sums of all bytes at once, then a table."""
+    s = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = (((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _ONES)
+    k = rank.astype(np.uint64)
+    place = np.bitwise_count((((k * _ONES) | _TOPS) - s) & _TOPS).astype(np.uint64) << np.uint64(3)
+    k -= ((s << np.uint64(8)) >> place) & np.uint64(0xFF)
+    return place.astype(np.int64) + _IN_BYTE[((words >> place) & np.uint64(0xFF) | k << np.uint64(8)).astype(np.int64)]
 
 
 class EliasFano:
@@ -130,19 +146,30 @@ class EliasFano:
         pos = self._at(block, i - self.ones[block], np.uint64(0))
         return ((pos - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
 
-    def _begins(self, bucket: np.ndarray) -> np.ndarray:
-        """Place of the first value whose high part is at least this."""
-        k = np.maximum(np.minimum(bucket - 1, self.last - 1), 0)
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the zero of this rank."""
         block = np.searchsorted(self.zeros, k, side="right") - 1
-        pos = self._at(block, k - self.zeros[block], np.uint64(0xFFFFFFFFFFFFFFFF))
-        return np.where(bucket <= 0, 0, np.minimum(self.n, pos - k))
+        return self._at(block, k - self.zeros[block], _FLIP)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of the first value that is at least x (the successor), or n."""
+    def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the values of this high part: from, to. Beyond the last one both are n."""
+        k = np.maximum(np.minimum(bucket - 1, self.last - 1), 0)
+        pos = np.where(bucket <= 0, -1, self._zero(k))
+        lo = np.where(bucket <= 0, 0, np.minimum(self.n, pos - k))
+        # its values are the ones up to the next zero, mostly in the same word
+        word = np.minimum(pos + 1 >> 6, len(self.high) - 1)
+        rest = (self.high[word] ^ _FLIP) >> (pos + 1 & 63).astype(np.uint64)
+        hi = lo + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero((rest == 0) & (bucket < self.last))
+        hi[far] = self._zero(bucket[far]) - bucket[far]
+        return lo, np.where(bucket >= self.last, self.n, np.minimum(hi, self.n))
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value that is at least x, the successor, or n; whether it is x itself)."""
         x = x.astype(np.uint64)
         bucket = np.minimum(x >> np.uint64(self.width), np.uint64(self.last + 1)).astype(np.int64)
-        lo, hi, want = self._begins(bucket), self._begins(bucket + 1), x & self.mask
-        beyond = bucket > self.last
+        (lo, hi), want = self._bucket(bucket), x & self.mask
+        end, beyond = hi.copy(), bucket > self.last
         at = np.flatnonzero(lo < hi)
         while len(at):
             mid = (lo[at] + hi[at]) >> 1
@@ -150,7 +177,11 @@ class EliasFano:
             lo[at] = np.where(less, mid + 1, lo[at])
             hi[at] = np.where(less, hi[at], mid)
             at = at[lo[at] < hi[at]]
-        return np.where(beyond, self.n, lo)
+        # a value of the same bucket has the same high part
+        same = (lo < end) & ~beyond
+        some = np.flatnonzero(same)
+        same[some] = self._low(lo[some]) == want[some]
+        return np.where(beyond, self.n, lo), same
 
 
 def _code(logs: np.ndarray) -> np.ndarray:
@@ -203,10 +234,7 @@ class Trie:
             if not self.sizes[0][shard]:
                 continue
             ef, c = self.words(shard)
-            x = hashes[at] - shard_start(shard, self.shards)
-            i = ef.find(x)
-            inside = np.minimum(i, ef.n - 1)
-            hit = (i < ef.n) & (ef.get(inside) == x)
+            i, hit = ef.find(hashes[at] - shard_start(shard, self.shards))
             ids[at[hit]] = self.begins[0][shard] + i[hit]
             counts[at[hit]] = c[i[hit]]
         return ids, counts
@@ -220,30 +248,54 @@ class Trie:
         """(index on level k or -1, its log10 probability, log10 back-off weight) of words after contexts of level k-1; those of -1 are unseen."""
         index, logp, weight = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
         known = np.flatnonzero(context >= 0)
-        order = known[np.argsort(context[known], kind="stable")]
+        if not len(known):
+            return index, logp, weight
+        # each pair, and each context's range, is sought once, in order
+        order, pair, c, w = _distinct(context[known], word[known])
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
+        own, p, back = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
         size = self.per_shard(k)
-        for shard, at in _by_shard(context[order] // size):
+        for shard, at in _by_shard(c[first] // size):
             if not self.sizes[k - 1][shard]:
                 continue
-            at = order[at]
-            pointers, words, back, probs = self.level(k, shard)
-            c, w = context[at] - shard * size, word[at]
-            p0, p1 = pointers.get(c).astype(np.int64), pointers.get(c + 1).astype(np.int64)
-            some = p0 < p1
-            weight[at] = np.where(some, back[c] * -STEP, 0)
-            at, p0, p1, w = at[some & (w >= 0)], p0[some & (w >= 0)], p1[some & (w >= 0)], w[some & (w >= 0)]
-            base = np.zeros(len(at), np.uint64)
+            lo, hi = int(first[at[0]]), int(first[at[-1] + 1]) if at[-1] + 1 < len(first) else len(c)
+            pointers, words, backs, probs = self.level(k, shard)
+            local = c[first[at]] - shard * size
+            ends = pointers.get(np.concatenate([local, local + 1])).astype(np.int64)
+            p0, p1 = ends[: len(local)], ends[len(local) :]
+            base = np.zeros(len(local), np.uint64)
             after = p0 > 0
             base[after] = words.get(p0[after] - 1)
-            x = base + w.astype(np.uint64) + np.uint64(1)
-            i = words.find(x)
-            inside = np.minimum(i, words.n - 1)
-            hit = (i < p1) & (words.get(inside) == x)
-            index[at[hit]] = self.begins[k - 1][shard] + i[hit]
-            logp[at[hit]] = probs[i[hit]] * -STEP
+            mine = of[lo:hi] - at[0]
+            some = p0 < p1
+            back[lo:hi] = np.where(some, backs[local] * -STEP, 0)[mine]
+            seek = np.flatnonzero(some[mine] & (w[lo:hi] >= 0))
+            i, same = words.find(base[mine[seek]] + w[lo:hi][seek].astype(np.uint64) + np.uint64(1))
+            hit = same & (i < p1[mine[seek]])
+            place = lo + seek[hit]
+            own[place] = self.begins[k - 1][shard] + i[hit]
+            p[place] = probs[i[hit]] * -STEP
+        known = known[order]
+        index[known], logp[known], weight[known] = own[pair], p[pair], back[pair]
         return index, logp, weight
 
 
+def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of sorted pairs, number of each's distinct pair, distinct contexts and words); words may be -1."""
+    if max(int(context.max()), int(word.max())) < (1 << 31) - 1:
+        key = context << 32 | word + 1
+        order = np.argsort(key)
+        key = key[order]
+        cut = np.concatenate([[True], key[1:] != key[:-1]])
+        key = key[cut]
+        return order, np.cumsum(cut) - 1, key >> 32, (key & 0xFFFFFFFF) - 1
+    order = np.lexsort((word, context))
+    c, w = context[order], word[order]
+    cut = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
+    return order, np.cumsum(cut) - 1, c[cut], w[cut]
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -457,7 +509,7 @@ class BuiltTrie(Trie):
         for shard, at in _by_shard(np.searchsorted(self.begins[k - 1], index, side="right") - 1):
             pointers, words, _, _ = self.level(k, shard)
             i = index[at] - self.begins[k - 1][shard]
-            c = pointers.find(i.astype(np.uint64) + np.uint64(1)) - 1
+            c = pointers.find(i.astype(np.uint64) + np.uint64(1))[0] - 1
             p0 = pointers.get(c).astype(np.int64)
             base = np.zeros(len(i), np.uint64)
             base[p0 > 0] = words.get(p0[p0 > 0] - 1)

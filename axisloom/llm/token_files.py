@@ -39,9 +39,9 @@ from ._tables import bound_batches, drop, new_path, stored
 
 END_ID = 1
 MEMO = 1_200_000  # words remembered by a worker, about
-FILE = 64 << 20  # most bytes of text of a file, about
+FILE = 128 << 20  # most bytes of text of a file, about
 SMALL = 4 << 20  # where there is less text than tasks take: bytes of text of a file, about
-SAMPLED = 16  # keys sampled for each file's bounds
+SAMPLED = 4  # keys sampled for each file's bounds
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
 

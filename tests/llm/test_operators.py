@@ -231,7 +231,8 @@ def test_elias_fano():
         e = lm.EliasFano.build(values)
         assert (e.get(np.arange(len(values))) == values).all()
         x = np.concatenate([values, values + np.uint64(1), rng.integers(0, 2**62, 100).astype(np.uint64), np.array([0, 2**63], np.uint64)])
-        assert (e.find(x) == np.searchsorted(values, x)).all()
+        place, same = e.find(x)
+        assert (place == np.searchsorted(values, x)).all() and (same == np.isin(x, values)).all()
 
 
 # --- personal data and secrets ------------------------------------------------------------------------

@@ -125,6 +125,60 @@ def truncate(df: DataFrame, start: int, end: int) -> DataFrame:
     return normalize(cut)
 
 
+def _ordinal(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Normalized df with `_c`, the bases of its axis before each row."""
+    by, length = keys(df), F.col("end") - F.col("start")
+    rows = df.filter("end > start").select(*by, "start", "end", _block(F.col("start"), block).alias("_block"))
+    heads = rows.groupBy(*by, "_block").agg(F.sum(length).alias("_n"))
+    heads = heads.select(*by, "_block", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_block").rowsBetween(*_BEFORE)), F.lit(0)).alias("_base"))
+    own = F.coalesce(F.sum(length).over(W.partitionBy(*by, "_block").orderBy("start").rowsBetween(*_BEFORE)), F.lit(0))
+    return _rejoined(rows, heads, [*by, "_block"]).withColumn("_c", F.col("_base") + own).drop("_base", "_block")
+
+
+def _circular(df: DataFrame, begin: Column, size: int, keep: bool) -> DataFrame:
+    """The `size` bases of each axis from its base number `begin` (an aggregate), wrapping at the end; or all others."""
+    by = keys(df)
+    ends = df.filter("end > start").groupBy(*by).agg(F.sum(F.col("end") - F.col("start")).alias("_total"), begin.alias("_begin"))
+    ends = ends.withColumn("_size", F.least(F.lit(size).cast("long"), F.col("_total"))).withColumn("_begin", F.pmod("_begin", "_total"))
+    rows = _rejoined(_ordinal(df), ends, by)
+    stop = F.col("_begin") + F.col("_size")
+    wrapped = F.greatest(stop - F.col("_total"), F.lit(0).cast("long"))
+    part = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    ranges = [part(F.col("_begin"), F.least(stop, F.col("_total"))), part(F.lit(0).cast("long"), wrapped)] if keep else [part(wrapped, F.col("_begin")), part(F.least(stop, F.col("_total")), F.col("_total"))]
+    pieces = rows.withColumn("_r", F.explode(F.array(*ranges)))
+    lo, hi = F.greatest(F.col("_c"), F.col("_r.lo")), F.least(F.col("_c") + F.col("end") - F.col("start"), F.col("_r.hi"))
+    return pieces.withColumns({"_lo": lo, "_hi": hi}).filter("_hi > _lo").select(*by, (F.col("start") + F.col("_lo") - F.col("_c")).alias("start"), (F.col("start") + F.col("_hi") - F.col("_c")).alias("end"))
+
+
+def _bases_below(pos: int) -> Column:
+    return F.sum(F.greatest(F.least(F.col("end"), F.lit(pos)) - F.col("start"), F.lit(0)))
+
+
+def trim(df: DataFrame, pos: int, size: int) -> DataFrame:
+    """Normalized intervals without the `size` bases of each axis from position pos on, wrapping; may split an interval."""
+    return _circular(df, _bases_below(pos), size, False)
+
+
+def trim_ends(df: DataFrame, pos: int, size: int, forward: bool = True) -> DataFrame:
+    """Without `size` bases from the start of the interval that holds or follows pos (or back from its end), wrapping."""
+    before = F.coalesce(F.sum(F.when(F.col("end") <= pos, F.col("end") - F.col("start"))), F.lit(0))
+    if forward:
+        return _circular(df, before, size, False)
+    at = F.coalesce(F.min(F.when(F.col("end") > pos, F.struct("start", "end"))), F.min(F.struct("start", "end")))
+    before = F.when(F.max("end") > pos, before).otherwise(0)
+    return _circular(df, before + at["end"] - at["start"] - size, size, False)
+
+
+def fill_from_start(df: DataFrame, start: int, size: int) -> DataFrame:
+    """The first `size` bases of each axis from position start on, wrapping; all of a shorter one."""
+    return _circular(df, _bases_below(start), size, True)
+
+
+def fill_from_end(df: DataFrame, end: int, size: int) -> DataFrame:
+    """The last `size` bases of each axis before position end, wrapping; all of a shorter one."""
+    return _circular(df, _bases_below(end) - size, size, True)
+
+
 def midpoints(df: DataFrame, method: str = "midpoint") -> DataFrame:
     """Points at the midpoint, start or end of intervals; empty ones go."""
     at = {"midpoint": F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("long"), "start": F.col("start"), "end": F.col("end")}

@@ -37,3 +37,10 @@ def count_in_intervals(df: DataFrame, intervals: DataFrame) -> DataFrame:
 def count_in_range(df: DataFrame, start: int, end: int) -> DataFrame:
     """Per axis: points in one range."""
     return algebra.overlap_with_range(df, start, end)
+
+
+def insertion_point(df: DataFrame, pos: int) -> DataFrame:
+    """Per axis: points before pos; -1 if pos is before the first, and their number if it isn't before the last."""
+    n = F.count("*")
+    at = F.when(F.min("pos") > pos, -1).when(F.max("pos") <= pos, n).otherwise(F.count_if(F.col("pos") < pos))
+    return df.groupBy(*keys(df)).agg(at.cast("long").alias("insertion_point"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import algebra
 
@@ -16,14 +17,43 @@ Generator = Callable[[DataFrame, DataFrame, DataFrame], Scope]
 WORKSPACES: dict[str, Callable[..., Generator]] = {}
 
 
-def register(name: str):
+#: Of what a generator's workspace depends on: each track, annotation or pair of them has its own.
+CONDITIONS: dict[str, tuple[str, ...]] = {}
+_SEP = "\x1f"
+
+
+def register(name: str, *conditions: str):
     def add(f):
         WORKSPACES[name] = f
+        CONDITIONS[name] = conditions
         return f
 
     return add
 
 
+def conditioned(segments: DataFrame, annotations: DataFrame, others: list[DataFrame], by: tuple[str, ...]) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Copies for each track, annotation or pair (by), on axes of their own, so that nothing of one meets another's.
+
+    The names are put before the contig; scope_of() reads them again. Segments get one copy per
+    annotation and annotations one per track, where by names them, as each is judged in each workspace.
+    """
+    sets = {"track": segments, "annotation": annotations}
+    # names only, at most some thousand of each
+    names = {c: sets[c].agg(F.array_sort(F.collect_set("track"))).scalar() for c in by}
+
+    def labelled(df: DataFrame, own: str) -> DataFrame:
+        for c in by:
+            df = df.withColumn("_" + c, F.col("track") if c == own else F.explode(names[c]))
+        return df.withColumn("contig", F.concat_ws(_SEP, *["_" + c for c in by], "contig")).drop(*["_" + c for c in by])
+
+    return labelled(segments, "track"), labelled(annotations, "annotation"), [labelled(x, "") for x in others]
+
+
+def scope_of(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """df of conditioned() with the track or annotation (by) whose workspace its rows are in."""
+    return df.withColumns({c: F.split_part("contig", F.lit(_SEP), F.lit(i + 1)) for i, c in enumerate(by)})
+
+
 def filtered(segments: DataFrame, annotations: DataFrame, workspace: DataFrame) -> Scope:
     """Segments and annotations that touch the workspace, whole."""
     return algebra.overlapping(segments, workspace), algebra.overlapping(annotations, workspace), workspace
@@ -34,7 +64,7 @@ def unconditional() -> Generator:
     return lambda segments, annotations, workspace: (segments, annotations, workspace)
 
 
-@register("cooccurance")
+@register("cooccurance", "track", "annotation")
 def cooccurrence() -> Generator:
     """Only intervals of the workspace that hold both an annotation and a segment."""
 
@@ -58,13 +88,13 @@ def _centered(which: int, extension: int | None, expansion: float | None) -> Gen
     return make
 
 
-@register("annotation-centered")
+@register("annotation-centered", "annotation")
 def annotation_centered(extension: int | None = None, expansion: float | None = None) -> Generator:
     """What lies around annotations; the workspace keeps their track."""
     return _centered(1, extension, expansion)
 
 
-@register("segment-centered")
+@register("segment-centered", "track")
 def segment_centered(extension: int | None = None, expansion: float | None = None) -> Generator:
     """What lies around segments; the workspace keeps their track."""
     return _centered(0, extension, expansion)

@@ -55,28 +55,54 @@ def apply_scope(segments: DataFrame, annotations: DataFrame, workspace: DataFram
     return inside, algebra.intersect(annotations, workspace), workspace
 
 
-def extended(results: DataFrame, segments: DataFrame, annotations: DataFrame, workspace: DataFrame) -> DataFrame:
-    """Results with counts, sizes, densities and overlap percentages of track and annotation."""
+def extended(results: DataFrame, segments: DataFrame, annotations: DataFrame, workspace: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Results with counts, sizes, densities and overlap percentages of track and annotation.
+
+    by: of what the workspace depends on; its parts then have sizes of their own.
+    """
     length = F.col("end") - F.col("start")
-    totals = lambda df, name, out: df.groupBy(F.col("track").alias(out)).agg(F.count("*").alias(name + "_nsegments"), F.sum(length).alias(name + "_size"))
+
+    def totals(df: DataFrame, own: str) -> tuple[DataFrame, list[str]]:
+        rest = tuple(c for c in by if c != own)
+        on = [own, *rest]
+        df = df.withColumnRenamed("track", own)
+        named = workspaces.scope_of(df, by) if rest else df
+        return named.groupBy(*on).agg(F.count("*").alias(own + "_nsegments"), F.sum(length).alias(own + "_size")), on
+
     pairs = algebra.overlap_join(segments, annotations)
     common = pairs.groupBy("track", F.col("track_b").alias("annotation")).agg(F.count("*").alias("overlap_nsegments"), F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("overlap_size"))
+    (of_tracks, on_t), (of_annotations, on_a) = totals(segments, "track"), totals(annotations, "annotation")
+    out = results.join(of_tracks, on_t, "left").join(of_annotations, on_a, "left").join(common, ["track", "annotation"], "left")
     size = workspace.agg(F.sum(length)).scalar()
-    out = results.join(totals(segments, "track", "track"), "track", "left").join(totals(annotations, "annotation", "annotation"), "annotation", "left").join(common, ["track", "annotation"], "left")
+    if by:
+        out = out.join(workspaces.scope_of(workspace, by).groupBy(*by).agg(F.sum(length).alias("_space")), [*by], "left")
+        size = F.col("_space")
     out = out.fillna(0, ["track_nsegments", "track_size", "annotation_nsegments", "annotation_size", "overlap_nsegments", "overlap_size"])
     share = lambda a, b: F.when(b > 0, F.col(a) * 100.0 / b)
     for name in ("track", "annotation", "overlap"):
         out = out.withColumn(name + "_density", share(name + "_size", size))
     for of in ("track", "annotation"):
         out = out.withColumn(f"percent_overlap_nsegments_{of}", share("overlap_nsegments", F.col(of + "_nsegments"))).withColumn(f"percent_overlap_size_{of}", share("overlap_size", F.col(of + "_size")))
-    return out
+    return out.drop("_space")
 
 
 def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, isochores: DataFrame | None = None, options: Options | None = None, reference: DataFrame | None = None) -> DataFrame:
-    """One row per counter, track and annotation, with all result columns."""
+    """One row per counter, track and annotation, with all result columns.
+
+    Where the workspace depends on the track or annotation, each has its own copy of what it is judged
+    with, on axes of its own: intervals, samples and counts of one workspace never meet another's.
+    """
     o = options or Options()
     s, a, w = map(kept, build_inputs(segments, annotations, workspaces_, o.overlapping_annotations))
+    by = workspaces.CONDITIONS.get(o.workspace_generator, ())
+    # zeros are completed for these names, also where a scope leaves nothing of them
+    s0, a0 = s, a
+    if by:
+        s, a, (w, *strata) = workspaces.conditioned(s, a, [x for x in (w, isochores) if x is not None], by)
+        isochores = strata[0] if strata else None
     s, a, w = workspaces.WORKSPACES[o.workspace_generator](**o.workspace_options)(s, a, w)
+    if by:
+        w = w.drop("track")
     s, a, w = map(kept, apply_scope(s, a, w, isochores, o.truncate_segments_to_workspace))
     observed, sampled = None, None
     if not o.fused:
@@ -89,7 +115,19 @@ def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, iso
             sampled = values if sampled is None else sampled.unionByName(values)
     if o.fused:
         sampled = samplers.sampled_counts(s, a, w, o.nsamples, o.counters, o.sampler, o.seed, **o.sampler_options)
-    return finish(observed, sampled, o, reference, (s, a, w))
+    if by:
+        observed, sampled = _with_zeros(observed, s0, a0, o), _with_zeros(sampled, s0, a0, o, True)
+    return finish(observed, sampled, o, reference, (s, a, w, by))
+
+
+def _with_zeros(counts: DataFrame, segments: DataFrame, annotations: DataFrame, o: Options, sampled: bool = False) -> DataFrame:
+    """Counts with rows of 0 for the pairs of names that no scope has left."""
+    on = ["counter", "track", "annotation", *(["sample_id"] if sampled else [])]
+    value = "value" if sampled else "observed"
+    full = counters.pairs_of(segments, annotations).withColumn("counter", F.explode(F.array(*map(F.lit, o.counters))))
+    if sampled:
+        full = full.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(o.nsamples - 1))))
+    return full.join(counts, on, "left").select(*on, F.coalesce(value, F.lit(0.0)).alias(value))
 
 
 def finish(observed: DataFrame, sampled: DataFrame, o: Options, reference: DataFrame | None = None, inputs=None) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import special, statistics
 from ..operators import aggregates, algebra, collections, counters, points, samplers, workspaces
+from ..sources import bed
 from ..sources.fixtures import VIEWS, Fixtures
+from ..storage import new_path
 from ..streaming.sessions import sessions
 from . import analysis
 
@@ -85,6 +87,8 @@ def with_ctes(body: str) -> str:
             wanted.add(n)
             todo += _NEEDS[n]
     used = [f"{n} as ({CTES[n]})" for n in CTES if n in wanted]
+    if used and body.startswith("with "):
+        return f"with {', '.join(used)}, {body.removeprefix('with ')}"
     return (f"with {', '.join(used)} " if used else "") + body
 
 
@@ -372,8 +376,89 @@ def _between(fx: Fixtures) -> DataFrame:
 query("run_annotator")(lambda fx: analysis.run(fx.segments, fx.annotations, fx.workspace, options=analysis.Options(nsamples=50, counters=("nucleotide-overlap", "segment-overlap"))))
 query("run_isochores")(lambda fx: analysis.run(fx.segments, fx.annotations, fx.workspace, fx.isochores, analysis.Options(nsamples=10)))
 query("run_unfused")(lambda fx: analysis.run(fx.segments, fx.annotations, fx.workspace, options=analysis.Options(nsamples=5, fused=False)))
+
+
+# a whole run with samples that equal the segments in scope: all counts have an exact SQL
+def _dummy_run(fx: Fixtures, generator: str, **options) -> DataFrame:
+    o = analysis.Options(nsamples=2, sampler="dummy", workspace_generator=generator, workspace_options=options)
+    out = analysis.run(fx.segments, fx.annotations, fx.workspace, options=o)
+    return _rounded(out.select("track", "annotation", "observed", "expected", "track_nsegments", "track_size", "annotation_nsegments", "annotation_size", "track_density"), "expected", "track_density", digits=6)
+
+
+def _dummy_sql(space: str, joined: str) -> str:
+    """space: scopes (track, annotation, contig, s, e), where a null name stands for all; joined: how names meet them."""
+    return f"""with sp as materialized ({space}), pr as (select distinct s.track, a.track as annotation from nseg s, nann a),
+        sc as materialized (select pr.track, pr.annotation, contig, s, e from pr join sp on {joined}),
+        ss as materialized (select sc.track, sc.annotation, x.contig, x.s, x.e from nseg x join sc on x.track = sc.track and x.contig = sc.contig and x.s < sc.e and sc.s < x.e group by all),
+        aa as materialized (select sc.track, sc.annotation, x.contig, greatest(x.s, sc.s) as s, least(x.e, sc.e) as e from nann x join sc on x.track = sc.annotation and x.contig = sc.contig and x.s < sc.e and sc.s < x.e),
+        ob as (select ss.track, ss.annotation, sum(least(ss.e, aa.e) - greatest(ss.s, aa.s)) as v from ss join aa on ss.track = aa.track and ss.annotation = aa.annotation and ss.contig = aa.contig and ss.s < aa.e and aa.s < ss.e group by all),
+        st as (select track, annotation, count(*) as n, sum(e - s) as size from ss group by all), ant as (select track, annotation, count(*) as n, sum(e - s) as size from aa group by all),
+        wt as (select track, annotation, sum(e - s) as size from sc group by all)
+        select pr.track, pr.annotation, cast(coalesce(v, 0) as double) as observed, cast(coalesce(v, 0) as double) as expected, coalesce(st.n, 0) as track_nsegments, cast(coalesce(st.size, 0) as bigint) as track_size,
+            coalesce(ant.n, 0) as annotation_nsegments, cast(coalesce(ant.size, 0) as bigint) as annotation_size, round(coalesce(st.size, 0) * 100.0 / wt.size, 6) as track_density
+        from pr left join ob using (track, annotation) left join st using (track, annotation) left join ant using (track, annotation) left join wt using (track, annotation)"""
+
+
+def _around(of: str) -> str:
+    return f"select x.track, x.contig, greatest(x.s, w.s) as s, least(x.e, w.e) as e from {merge_sql(f'(select track, contig, greatest(s - 60, 0) as s, e + 60 as e from {of})', _T)} x join nws w on x.contig = w.contig and x.s < w.e and w.s < x.e"
+
+
+_WITHIN = "select w.contig, w.s, w.e, s.track, a.track as annotation from nws w join nseg s on s.contig = w.contig and s.s < w.e and w.s < s.e join nann a on a.contig = w.contig and a.s < w.e and w.s < a.e group by all"
+query("run_dummy", _dummy_sql("select contig, s, e from nws", "true"))(lambda fx: _dummy_run(fx, "unconditional"))
+query("run_cooccurrence", _dummy_sql(_WITHIN, "sp.track = pr.track and sp.annotation = pr.annotation"))(lambda fx: _dummy_run(fx, "cooccurance"))
+query("run_annotation_centered", _dummy_sql(_around("nann"), "sp.track = pr.annotation"))(lambda fx: _dummy_run(fx, "annotation-centered", extension=60))
+query("run_segment_centered", _dummy_sql(_around("nseg"), "sp.track = pr.track"))(lambda fx: _dummy_run(fx, "segment-centered", extension=60))
 query("sampled_counts_dummy", "select 'nucleotide-overlap' as counter, n.track, n.annotation, cast(sample_id as int) as sample_id, cast(coalesce(v, 0) as double) as value from names n cross join (select unnest(range(0, 3)) as sample_id) left join (select s.track, a.track as annotation, sum(least(s.e, a.e) - greatest(s.s, a.s)) as v from insegs s join nann a on s.contig = a.contig and s.s < a.e and a.s < s.e group by all) x on n.track = x.track and n.annotation = x.annotation")(lambda fx: samplers.sampled_counts(*_norm(fx), 3, sampler="dummy"))
 
+# --- what files give back -----------------------------------------------------------------------------------------
+
+
+def _bed_round_trip(fx: Fixtures, name_lines: bool) -> DataFrame:
+    path = new_path(fx.spark)
+    bed.save(algebra.normalize(fx.segments), path)
+    return bed.load(fx.spark, f"{path}/*/*.txt", allow_multiple=True) if name_lines else bed.split_rows(fx.spark, f"{path}/*/*.txt").filter("contig not like 'track%'").select("contig", "start", "end")
+
+
+def _spaced(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark)
+    algebra.normalize(fx.segments).select(F.concat_ws(" \t ", "contig", F.col("start").cast("string"), F.col("end").cast("string"), "track", F.lit("7"))).write.text(path)
+    return bed.spaced_rows(fx.spark, path).select(F.get("fields", F.lit(0)).alias("track"), "contig", "start", "end", F.get("fields", F.lit(1)).alias("score"))
+
+
+def _samples_round_trip(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark)
+    bed.save_samples_bed(samplers.sample(*_norm(fx)[::2], 2, "dummy"), path)
+    return bed.load_samples(fx.spark, f"{path}/*/*.txt", r"track=([^/]+)")
+
+
+query("bed_round_trip", f"select {_OUT} from nseg")(lambda fx: _bed_round_trip(fx, True))
+query("spaced_bed", f"select {_OUT}, '7' as score from nseg")(_spaced)
+query("samples_bed_round_trip", "select track, cast(sample_id as int) as sample_id, contig, s as \"start\", e as \"end\" from insegs, (select unnest(range(0, 2)) as sample_id)")(_samples_round_trip)
+
+# --- bases of an axis in order, as a ring ---------------------------------------------------------------------------
+
+
+def _ring_sql(begin: str, size: int, keep: bool) -> str:
+    """begin: an aggregate over an axis; bases from there on, wrapping, or all others."""
+    ranges = "select 1 as k union all select 2"
+    lo, hi = ("case when k = 1 then b else 0 end", "case when k = 1 then least(b + n, total) else greatest(b + n - total, 0) end") if keep else ("case when k = 1 then greatest(b + n - total, 0) else least(b + n, total) end", "case when k = 1 then b else total end")
+    return f"""select track, contig, s + lo - c as "start", s + hi - c as "end" from (
+        select track, contig, s, c, greatest(c, {lo}) as lo, least(c + e - s, {hi}) as hi from (
+            select track, contig, s, e, c, total, least({size}, total) as n, ((b % total) + total) % total as b from (
+                select *, cast(sum(e - s) over (partition by track, contig order by s) - (e - s) as bigint) as c from nseg)
+            join (select track, contig, cast(sum(e - s) as bigint) as total, cast({begin} as bigint) as b from nseg group by all) using (track, contig)), ({ranges})) where hi > lo"""
+
+
+_BELOW = "sum(greatest(least(e, 10000) - s, 0))"
+_HELD = "coalesce(sum(e - s) filter (e <= 10000), 0)"
+query("trim_3000", _ring_sql(_BELOW, 3000, False))(lambda fx: algebra.trim(algebra.normalize(fx.segments), 10_000, 3000))
+query("trim_ends_forward", _ring_sql(_HELD, 3000, False))(lambda fx: algebra.trim_ends(algebra.normalize(fx.segments), 10_000, 3000))
+query("trim_ends_backward", _ring_sql(f"(case when max(e) > 10000 then {_HELD} + (min(struct_pack(a := s, b := e)) filter (e > 10000)).b - (min(struct_pack(a := s, b := e)) filter (e > 10000)).a else min(struct_pack(a := s, b := e)).b - min(struct_pack(a := s, b := e)).a end) - 3000", 3000, False))(lambda fx: algebra.trim_ends(algebra.normalize(fx.segments), 10_000, 3000, False))
+query("fill_from_start", _ring_sql(_BELOW, 3000, True))(lambda fx: algebra.fill_from_start(algebra.normalize(fx.segments), 10_000, 3000))
+query("fill_from_end", _ring_sql(f"{_BELOW} - 3000", 3000, True))(lambda fx: algebra.fill_from_end(algebra.normalize(fx.segments), 10_000, 3000))
+query("points_insertion", "select track, contig, case when min(pos) > 30000 then -1 when max(pos) <= 30000 then count(*) else count(*) filter (pos < 30000) end as insertion_point from pts group by all")(lambda fx: points.insertion_point(fx.points, 30_000))
+
+
 # --- extension: sessions of events -----------------------------------------------------------------------------------
 
 query("event_counts_by_type", "select event_type as track, count(*) as n from events group by event_type")(lambda fx: fx.table("events").groupBy(F.col("event_type").alias("track")).agg(F.count("*").alias("n")))

@@ -70,6 +70,14 @@ def split_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return lines.select("path", F.lit(None).cast("string").alias("track_line"), at(0).alias("contig"), number(1).alias("start"), number(2).alias("end"), at(3).alias("name"), at(4).alias("score"))
 
 
+def spaced_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Rows of older files whose fields any white space may part: path, contig, start, end and `fields`, those after them."""
+    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '#') and not startswith(value, 'track')")
+    f = F.split("value", r"\s+")
+    number = lambda i: F.coalesce(F.get(f, F.lit(i)).try_cast("long"), F.raise_error(F.concat(F.lit("not a BED row: "), F.col("value"))).cast("long"))
+    return lines.select("path", F.get(f, F.lit(0)).alias("contig"), number(1).alias("start"), number(2).alias("end"), F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0))).alias("fields"))
+
+
 def base_name(path: Column) -> Column:
     """A path's last part without its extensions."""
     return F.regexp_replace(F.regexp_extract(path, "([^/]+)$", 1), r"(\.bed)?(\.gz|\.z)?$", "")
@@ -113,5 +121,16 @@ def save_samples(samples: DataFrame, path: str, mode: str = "errorifexists") ->
     samples.write.mode(mode).partitionBy("track").parquet(path)
 
 
+def save_samples_bed(samples: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Samples as BED text: a folder per track, in its files a track line per sample, named by its number."""
+    cells = [F.col(c).cast("string") for c in ("contig", "start", "end")]
+    lines = samples.select("track", "sample_id", F.lit(1).alias("kind"), "contig", "start", "end", F.concat_ws("\t", *cells).alias("value"))
+    none = F.lit(None).cast("long")
+    heads = samples.select("track", "sample_id").distinct().select("track", "sample_id", F.lit(0).alias("kind"), F.lit("").alias("contig"), none.alias("start"), none.alias("end"), F.concat(F.lit("track name="), F.col("sample_id").cast("string")).alias("value"))
+    # a sample of a track is one task's, so its rows stand under its line
+    rows_ = heads.unionByName(lines).repartition("track", "sample_id").sortWithinPartitions("track", "sample_id", "kind", "contig", "start", "end")
+    rows_.select("track", "value").write.mode(mode).partitionBy("track").text(path)
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own is set."""
+    """The folder in spark.checkpoint.dir; where it is unset and all is local (tests), one of our own is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.axisloom.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="axisloom-")
         spark.conf.set("spark.axisloom.dir", path)
     return path
 
 
+def new_path(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and read back from files: plans stay short, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -25,7 +25,8 @@ def merged(x: np.ndarray) -> np.ndarray:
     x = x[x[:, 1] > x[:, 0]]
     if len(x) < 2:
         return x
-    x = x[np.lexsort((x[:, 1], x[:, 0]))]
+    # by start only: of equal starts any order gives the same islands
+    x = x[np.argsort(x[:, 0], kind="stable")]
     reach = np.maximum.accumulate(x[:, 1])
     first = np.flatnonzero(np.concatenate([[True], x[1:, 0] > reach[:-1]]))
     return np.column_stack([x[first, 0], reach[np.append(first[1:], len(x)) - 1]])
@@ -118,7 +119,8 @@ def annotator(bucket: int = 1, rounds: int = 20) -> Placer:
             n = max(1, int((target - covered) / mean / 2))
             length = lengths.draw(rng, n)
             start = positions.draw(rng, length)
-            more = clipped(merged(np.vstack([have, np.column_stack([start, start + length])])), w)
+            # only what is new is cut: the workspace's intervals don't touch, so no island spans two of them
+            more = merged(np.vstack([have, clipped(np.column_stack([start, start + length]), w)]))
             now = size(more)
             idle = idle + 1 if now == covered else 0
             have, covered = more, now

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from . import algebra
 from ..functions.placement import EMPTY, PLACERS, Placer, covered_before, merged, size, touching
 
-BATCH = 25  # samples of a task
+BATCH = 25  # samples of a task that returns intervals, and least of one that counts
+PER_CORE = 4  # tasks that count, for each core
 
 
 def register(name: str):
@@ -98,9 +99,23 @@ def count(counter: str, s: np.ndarray, a: np.ndarray, w: np.ndarray) -> float:
     return float(_touches(s, a, mid) if counter.startswith("segment") else _touches(a, merged(s), mid))
 
 
-def sampled_counts(segments: DataFrame, annotations: DataFrame, workspace: DataFrame, nsamples: int, counters: tuple[str, ...] = ("nucleotide-overlap",), sampler: str | Placer = "annotator", seed: int = 1, batch: int = BATCH, **options) -> DataFrame:
-    """counter, track, annotation, sample_id, value: counted in the tasks that sample, all pairs with zeros."""
+def batch_for(segments: DataFrame, nsamples: int) -> int:
+    """Samples of a task that counts: as many as leave every core PER_CORE tasks.
+
+    Every batch needs its own copy of an axis, so their number follows the cores, not the samples.
+    """
+    axes = _strata(segments).select("track", "contig", "isochore").distinct().count()
+    wanted = -(-PER_CORE * segments.sparkSession.sparkContext.defaultParallelism // max(1, axes))
+    return max(BATCH, -(-nsamples // wanted))
+
+
+def sampled_counts(segments: DataFrame, annotations: DataFrame, workspace: DataFrame, nsamples: int, counters: tuple[str, ...] = ("nucleotide-overlap",), sampler: str | Placer = "annotator", seed: int = 1, batch: int | None = None, **options) -> DataFrame:
+    """counter, track, annotation, sample_id, value: counted in the tasks that sample, all pairs with zeros.
+
+    Values don't depend on batch, by default batch_for().
+    """
     placer = PLACERS[sampler](**options) if isinstance(sampler, str) else sampler
+    batch = batch or batch_for(segments, nsamples)
     s, w, by = _tasks(segments, workspace, nsamples, batch)
     none = F.lit(None).cast("string")
     first = s.withColumn("annotation", none).withColumn("kind", F.lit("s")).unionByName(w.withColumn("annotation", none).withColumn("kind", F.lit("w")))
@@ -120,6 +135,9 @@ def sampled_counts(segments: DataFrame, annotations: DataFrame, workspace: DataF
             out += [(c, track, n, k, count(c, x, y, ww)) for n, y in sets.items() for c in counters]
         return pd.DataFrame(out, columns=["counter", "track", "annotation", "sample_id", "value"])
 
+    # a fixed number of partitions: few bytes can be hours of sampling, so none are coalesced by size
+    spread = PER_CORE * segments.sparkSession.sparkContext.defaultParallelism
+    first, a = first.repartition(spread, *by), a.repartition(spread, *by)
     parts = first.groupBy(*by).cogroup(a.groupBy(*by)).applyInPandas(run, "counter string, track string, annotation string, sample_id int, value double")
     sums = parts.groupBy("counter", "track", "annotation", "sample_id").agg(F.sum("value").alias("value"))
     from .counters import pairs_of

@@ -196,6 +196,50 @@ def predecessor_stats(observed: DataFrame, sampled: DataFrame) -> DataFrame:
     return stats.select(*PAIR, "observed", "mean", "variance", z.alias("z"), at(0.025).alias("low"), at(0.975).alias("high"), relative.alias("relative"), (F.least(F.col("ge"), F.col("le")) + 1).alias("extreme"), ((F.least(F.col("ge"), F.col("le")) + 1) / (n + 1)).alias("pvalue"))
 
 
+def false_discovery_summary(observed: DataFrame, sampled: DataFrame, cutoffs: tuple[float, ...], z_least: float = 0.0) -> DataFrame:
+    """How many pairs are significant at each cut-off, and how many are so by chance.
+
+    A sample is significant for a pair at a cut-off if it is among its floor(cutoff * samples) highest
+    (over) or lowest (under) values, of ties the earlier sample; where it is both, the better rank
+    decides. cutoff, level, category (significant, over, under), observed, and over the samples the
+    average, median and upper (95 %) number of pairs; nulls where level is 0. An observed pair counts
+    by predecessor_stats' p-value, if its z lies beyond z_least.
+    """
+    n = sampled.agg(F.count_distinct("sample_id")).scalar()
+    cut = F.explode(F.array(*(F.lit(float(c)) for c in cutoffs)))
+    ranks = {name: F.row_number().over(W.partitionBy(*PAIR).orderBy(order, "sample_id")) for name, order in (("hi", F.desc("value")), ("lo", F.asc("value")))}
+    each = sampled.select("sample_id", *(r.alias(name) for name, r in ranks.items())).withColumn("cutoff", cut).withColumn("level", F.floor(F.col("cutoff") * n + 1e-9))
+    over = (F.col("hi") <= F.col("level")) & (F.col("hi") <= F.col("lo"))
+    under = (F.col("lo") <= F.col("level")) & ~over
+    per = each.groupBy("cutoff", "level", "sample_id").agg(F.count_if(over | under).alias("significant"), F.count_if(over).alias("over"), F.count_if(under).alias("under"))
+    kinds = ("significant", "over", "under")
+    long = per.select("cutoff", "level", F.explode(F.array(*(F.struct(F.lit(k).alias("category"), F.col(k).alias("v")) for k in kinds))).alias("x")).select("cutoff", "level", "x.*")
+    drawn = long.groupBy("cutoff", "level", "category").agg(F.avg("v").alias("average"), F.array_sort(F.collect_list("v")).alias("all"))
+    at = lambda num, of: F.get("all", F.floor(F.size("all") * num / of).cast("int")).cast("long")
+    any_ = F.col("level") > 0
+    drawn = drawn.select("cutoff", "level", "category", F.when(any_, F.col("average")).alias("average"), F.when(any_, at(1, 2)).alias("median"), F.when(any_, at(19, 20)).alias("upper"))
+    more = F.count_if(F.col("value") >= F.col("observed")) < F.count_if(F.col("value") <= F.col("observed"))
+    sides = sampled.join(observed, PAIR).groupBy(*PAIR).agg(more.alias("more"))
+    found = predecessor_stats(observed, sampled).filter(F.abs("z") > z_least).join(sides, PAIR).select("pvalue", "more").withColumn("cutoff", cut).filter(F.col("pvalue") <= F.col("cutoff"))
+    seen = found.select("cutoff", F.explode(F.array(F.lit("significant"), F.when(F.col("more"), "over").otherwise("under"))).alias("category")).groupBy("cutoff", "category").agg(F.count("*").alias("observed"))
+    return drawn.join(seen, ["cutoff", "category"], "left").select("cutoff", F.col("level").cast("long").alias("level"), "category", F.coalesce("observed", F.lit(0).cast("long")).alias("observed"), "average", "median", "upper")
+
+
+def histogram(values: DataFrame, column: str, low: float, high: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, bin (from 0), lower, n: values in `bins` equal ranges of [low, high], the last closed; others and nulls are left out."""
+    width = (high - low) / bins
+    kept = values.filter(F.col(column).between(low, high))
+    at = F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)).cast("int")
+    return kept.groupBy(*by, at.alias("bin")).agg(F.count("*").alias("n")).select(*by, "bin", (F.lit(low) + F.col("bin") * width).alias("lower"), "n")
+
+
+def rank_index(sampled: DataFrame) -> DataFrame:
+    """Per pair and distinct value of its samples: below (samples under it) and upto (under or equal)."""
+    per = sampled.groupBy(*PAIR, "value").agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(W.partitionBy(*PAIR).orderBy("value"))
+    return per.select(*PAIR, "value", (upto - F.col("k")).alias("below"), upto.alias("upto"))
+
+
 def fold_difference(sampled: DataFrame, observed: DataFrame, pairs: DataFrame, pseudo_count: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(observed, sampled) differences of fold between two annotations or runs.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special, statistics
-from ..operators import aggregates, algebra, collections, counters, points, samplers, workspaces
+from ..operators import aggregates, algebra, collections, counters, id_sets, points, samplers, workspaces
 from ..sources import bed
 from ..sources.fixtures import VIEWS, Fixtures
 from ..storage import new_path
@@ -459,6 +459,54 @@ query("fill_from_end", _ring_sql(f"{_BELOW} - 3000", 3000, True))(lambda fx: alg
 query("points_insertion", "select track, contig, case when min(pos) > 30000 then -1 when max(pos) <= 30000 then count(*) else count(*) filter (pos < 30000) end as insertion_point from pts group by all")(lambda fx: points.insertion_point(fx.points, 30_000))
 
 
+# --- annotations as sets of ids -------------------------------------------------------------------------------------
+
+_LOW = "(select contig, s, e from niso where track = 'low')"
+# beside the genes' terms: ids without intervals, and each brand once more under another name
+_SETS = "(select term as annotation, gene_id as id from terms union all select p_brand, concat('none', cast(p_partkey % 7 as varchar)) from part union all select concat(p_brand, ' again'), concat('gene', cast(p_partkey as varchar)) from part)"
+
+
+def _id_sets(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    part = fx.table("part")
+    gene = F.concat(F.lit("gene"), F.col("p_partkey").cast("string"))
+    sets = fx.gene_terms.select(F.col("term").alias("annotation"), F.col("gene_id").alias("id"))
+    sets = sets.union(part.select("p_brand", F.concat(F.lit("none"), (F.col("p_partkey") % 7).cast("string")))).union(part.select(F.concat("p_brand", F.lit(" again")), gene))
+    return sets, fx.genes.withColumnRenamed("track", "id"), fx.isochores.filter("track = 'low'")
+
+
+_REPORT = f"""with pairs as (select distinct annotation, id from {_SETS}), inside as (select distinct g.track as id from genes g join {_LOW} w on g.contig = w.contig and g.s < w.e and w.s < g.e),
+    each as (select annotation, count(*) as n_ids, count(*) filter (id not in (select track from genes)) as n_undefined, count(*) filter (id in (select track from genes) and id not in (select id from inside)) as n_outside,
+        count(*) filter (id in (select id from inside)) as n_left, list_sort(list(id) filter (id in (select id from inside))) as ids from pairs group by annotation),
+    named as (select *, case when n_left > 0 then min(annotation) over (partition by ids) end as first from each)"""
+query("set_report", f"{_REPORT} select annotation, n_ids, n_undefined, n_outside, n_left, case when first <> annotation then first end as same_as, coalesce(first = annotation, false) as kept from named")(lambda fx: id_sets.report(*_id_sets(fx)))
+query("set_cleaned", f"{_REPORT} select annotation, id from pairs where id in (select id from inside) and annotation in (select annotation from named where first = annotation)")(lambda fx: id_sets.cleaned(*_id_sets(fx)))
+query("set_unused_ids", f"select track as id from genes where track not in (select gene_id from terms where term like 'Brand#1%')")(lambda fx: id_sets.unused(_id_sets(fx)[1], _id_sets(fx)[0].filter("annotation like 'Brand#1%' and annotation not like '% again'")))
+query("strata_mutual_overlap", "select a.contig, a.track, b.track as other, cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as bases from nwsall a join nwsall b on a.contig = b.contig and a.track < b.track and a.s < b.e and b.s < a.e group by all")(lambda fx: id_sets.mutual_overlap(fx.workspaces))
+query("axis_support", f"select track, contig, size, count(*) as n_pieces, {_LEN} as bases, round({_LEN} / size, 9) as density, round(avg(e - s), 6) as mean, round(stddev_pop(e - s), 6) as sd from cutseg join (select contig, {_LEN} as size from nws group by contig) using (contig) group by track, contig, size")(lambda fx: _rounded(_rounded(id_sets.support(fx.segments, fx.workspace), "density"), "mean", "sd", digits=6))
+_SUBSETS = "(select 'even' as subset, 'chr0' as contig union all select 'even', 'chr2' union all select 'even', 'chr4' union all select '', 'chr1' union all select '', 'chr2')"
+query(
+    "subset_counts",
+    f"""select f.track, case when f.subset = '' then f.annotation else concat(f.subset, '.', f.annotation) end as annotation, coalesce(bases, 0) as bases, round(coalesce(bases, 0) / total, 9) as share from (
+        select * from (select track, subset, {_LEN} as total from cutseg join {_SUBSETS} using (contig) group by all), (select distinct term as annotation from terms)) f
+        left join (select c.track, u.subset, t.term as annotation, cast(sum(least(c.e, g.e) - greatest(c.s, g.s)) as bigint) as bases from cutseg c join genes g on c.contig = g.contig and c.s < g.e and g.s < c.e
+            join {_SUBSETS} u on u.contig = c.contig join (select distinct * from terms) t on t.gene_id = g.track group by all) using (track, subset, annotation)""",
+)(lambda fx: _rounded(id_sets.subset_counts(fx.segments, fx.gene_terms.select(F.col("term").alias("annotation"), F.col("gene_id").alias("id")), fx.genes.withColumnRenamed("track", "id"), fx.workspace, fx.spark.createDataFrame([("even", "chr0"), ("even", "chr2"), ("even", "chr4"), ("", "chr1"), ("", "chr2")], "subset string, contig string")), "share"))
+
+_CUTS = (0.01, 0.05, 0.1, 0.25)
+query(
+    "fdr_summary",
+    f"""with cuts as (select unnest([{", ".join(f"cast({c} as double)" for c in _CUTS)}]) as cutoff), kinds as (select unnest(['significant', 'over', 'under']) as category),
+    ranked as (select sample_id, row_number() over (partition by track, annotation order by value desc, sample_id) as hi, row_number() over (partition by track, annotation order by value, sample_id) as lo from val),
+    signs as (select cutoff, cast(floor(cutoff * 20 + 1e-9) as bigint) as level, sample_id, case when hi <= floor(cutoff * 20 + 1e-9) and hi <= lo then 1 when lo <= floor(cutoff * 20 + 1e-9) then -1 else 0 end as sign from ranked, cuts),
+    per as (select cutoff, level, category, sample_id, count(*) filter ((category = 'significant' and sign <> 0) or (category = 'over' and sign = 1) or (category = 'under' and sign = -1)) as v from signs, kinds group by all),
+    drawn as (select cutoff, level, category, case when level > 0 then round(avg(v), 6) end as average, case when level > 0 then list_sort(list(v))[11] end as median, case when level > 0 then list_sort(list(v))[20] end as upper from per group by cutoff, level, category),
+    seen as (select (least(ge, le) + 1) / 21 as pvalue, ge < le as more from (select track, annotation, observed, avg(value) as mean, var_samp(value) as variance, count(*) filter (value >= observed) as ge, count(*) filter (value <= observed) as le from obs join val using (track, annotation) group by track, annotation, observed) where variance > 0 and observed <> mean),
+    found as (select cutoff, category, count(*) as k from seen, cuts, kinds where pvalue <= cutoff and (category = 'significant' or (category = 'over') = more) group by cutoff, category)
+    select cutoff, level, category, coalesce(k, 0) as observed, average, median, upper from drawn left join found using (cutoff, category)""",
+)(lambda fx: _rounded(statistics.false_discovery_summary(*_counts(fx), _CUTS), "average", digits=6))
+query("pvalue_histogram", f"select cast(least(floor((pvalue - 0.0) / 0.05), 19) as int) as bin, round(least(floor((pvalue - 0.0) / 0.05), 19) * 0.05, 9) as lower, count(*) as n from {_PV} where pvalue between 0 and 1 group by all")(lambda fx: _rounded(statistics.histogram(_pvalues(fx), "pvalue", 0.0, 1.0, 20), "lower"))
+query("sample_rank_index", "select 'nucleotide-overlap' as counter, track, annotation, value, cast(sum(k) over (partition by track, annotation order by value) - k as bigint) as below, cast(sum(k) over (partition by track, annotation order by value) as bigint) as upto from (select track, annotation, value, count(*) as k from val group by all)")(lambda fx: statistics.rank_index(_counts(fx)[1]))
+
 # --- extension: sessions of events -----------------------------------------------------------------------------------
 
 query("event_counts_by_type", "select event_type as track, count(*) as n from events group by event_type")(lambda fx: fx.table("events").groupBy(F.col("event_type").alias("track")).agg(F.count("*").alias("n")))

@@ -154,13 +154,15 @@ def great_counts(segments: DataFrame, annotations: DataFrame, workspace: DataFra
     by = ["track", F.col("track_b").alias("annotation"), *on]
     hits = hit.select("track", "track_b", *on, "start", "end").distinct().groupBy(*by).agg(F.count("*").alias("k"))
     common = pairs.groupBy(*by).agg(F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("x"), F.count("*").alias("na_hit"))
-    keys = ["track", "annotation", *on]
-    # names times contigs: every pair on every contig of the workspace
-    full = counters.pairs_of(segments, annotations).withColumn("_one", F.lit(1)).join(space.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    out = full.join(s, ["track", *on], "left").join(a, ["annotation", *on], "left").join(hits, keys, "left").join(common, keys, "left").fillna(0, ["n", "s", "na", "a", "k", "x", "na_hit"])
-    both = (F.col("n") > 0) & (F.col("na") > 0)
-    kept = lambda c: F.sum(F.when(both, F.col(c)).otherwise(0)).alias(c)
-    return out.groupBy("track", "annotation").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("a").alias("a"), F.sum("w").alias("w"), F.sum("na").alias("na"), kept("k"), kept("x"), kept("na_hit"))
+    # zeros are completed after summing over contigs, so no row stands for a pair on a contig without either
+    a = a.join(space.select(*on), on, "left_semi")
+    both = hits.join(common, ["track", "annotation", *on], "full").join(s.filter("n > 0").select("track", *on), ["track", *on], "left_semi").join(a.filter("na > 0").select("annotation", *on), ["annotation", *on], "left_semi")
+    per = both.groupBy("track", "annotation").agg(*(F.sum(c).alias(c) for c in ("k", "x", "na_hit")))
+    of_tracks = s.groupBy("track").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    of_annotations = a.groupBy("annotation").agg(F.sum("a").alias("a"), F.sum("na").alias("na"))
+    full = counters.pairs_of(segments, annotations).join(of_tracks, "track", "left").join(of_annotations, "annotation", "left").join(per, ["track", "annotation"], "left")
+    w = F.coalesce(space.agg(F.sum("w")).scalar(), F.lit(0))
+    return full.fillna(0, ["n", "s", "na", "a", "k", "x", "na_hit"]).select("track", "annotation", "n", "s", "a", w.alias("w"), "na", "k", "x", "na_hit")
 
 
 def great(segments: DataFrame, annotations: DataFrame, workspace: DataFrame, counter: str = "binom") -> DataFrame:

@@ -8,6 +8,20 @@ import numpy as np
 import pyarrow as pa
 
 
+def gathered(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about `size` bytes; a larger one stays as it is."""
+    kept: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        if kept and held + batch.nbytes > size:
+            yield pa.concat_batches(kept)
+            kept, held = [], 0
+        kept.append(batch)
+        held += batch.nbytes
+    if kept:
+        yield pa.concat_batches(kept)
+
+
 def groups(batches, key: int) -> Iterator[pa.Table]:
     """Tables of the rows that agree in the first `key` integer columns; the input is sorted by them."""
     kept: list[pa.RecordBatch] = []

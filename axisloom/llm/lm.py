@@ -33,13 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._files import mapped_arrays, write_arrays
-from ._groups import groups
+from ._groups import gathered, groups
 from ._tables import bound_batches, new_path
 from ._words import Words, blocks, mix, split
 
 ORDER = 3
 ENTRIES = 1 << 22  # tokens for each shard of a level, where that makes more shards than tasks
 _RANK = 256  # bits for each entry of the rank directories
+_BIG = 64  # values of a bucket that is large
 STEP = 32 / 65535  # of a quantised log10 probability
 BLOCK = 4 << 20  # bytes of text handled together
 END = int(mix(np.array([0x5EED], np.uint64))[0])  # the end token's hash; also the context of a first word
@@ -122,29 +123,47 @@ class EliasFano:
         out = np.empty(len(block), np.int64)
         for i in range(0, len(block), 1 << 15):
             b, r = block[i : i + (1 << 15)], rank[i : i + (1 << 15)]
-            first = b * (_RANK // 64)
-            word, before = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
-            sums = np.zeros(len(b), np.int64)
+            words = self.high.reshape(-1, _RANK // 64)[b] ^ flip
+            bits, small = np.bitwise_count(words), r.astype(np.uint8)  # a block's sums but the last fit in a byte
+            word, before = np.zeros(len(b), np.uint8), np.zeros(len(b), np.uint8)
+            sums = np.zeros(len(b), np.uint8)
             for k in range(_RANK // 64 - 1):
-                sums += np.bitwise_count(self.high[first + k] ^ flip)
-                beyond = sums <= r
+                sums += bits[:, k]
+                beyond = (sums <= small).view(np.uint8)
                 word += beyond
-                before = np.where(beyond, sums, before)
-            word += first
-            out[i : i + (1 << 15)] = word * 64 + _select(self.high[word] ^ flip, r - before)
+                before += bits[:, k] * beyond
+            at = np.arange(0, words.size, _RANK // 64) + word
+            out[i : i + (1 << 15)] = b * _RANK + word.astype(np.int64) * 64 + _select(words.reshape(-1)[at], small - before)
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
             return np.zeros(len(i), np.uint64)
         at = i * self.width
-        return (self.read[at >> 3] >> (at & 7).astype(np.uint64)) & self.mask
+        return (self.read[at >> 3] >> (at & 7).view(np.uint64)) & self.mask
+
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """Position of the one of this rank."""
+        block = np.searchsorted(self.ones, i, side="right") - 1
+        return self._at(block, i - self.ones[block], np.uint64(0))
+
+    def _value(self, i: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        return ((pos - i).view(np.uint64) << np.uint64(self.width)) | self._low(i)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at these places."""
-        block = np.searchsorted(self.ones, i, side="right") - 1
-        pos = self._at(block, i - self.ones[block], np.uint64(0))
-        return ((pos - i).astype(np.uint64) << np.uint64(self.width)) | self._low(i)
+        return self._value(i, self._one(i))
+
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at these places and at the next ones, which must be there too."""
+        pos = self._one(i)
+        # the next one is mostly in the same word
+        word = pos >> 6
+        rest = self.high[word] & (_FLIP << (pos & 63).view(np.uint64) << np.uint64(1))
+        after = (word << 6) + np.bitwise_count((rest & (~rest + np.uint64(1))) - np.uint64(1))
+        far = np.flatnonzero(rest == 0)
+        after[far] = self._one(i[far] + 1)
+        return self._value(i, pos), self._value(i + 1, after)
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Position of the zero of this rank."""
@@ -153,9 +172,10 @@ class EliasFano:
 
     def _bucket(self, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the values of this high part: from, to. Beyond the last one both are n."""
-        k = np.maximum(np.minimum(bucket - 1, self.last - 1), 0)
-        pos = np.where(bucket <= 0, -1, self._zero(k))
-        lo = np.where(bucket <= 0, 0, np.minimum(self.n, pos - k))
+        k = np.minimum(bucket, self.last) - 1
+        pos = self._zero(np.maximum(k, 0))
+        pos[k < 0] = -1
+        lo = np.minimum(self.n, pos - k)
         # its values are the ones up to the next zero, mostly in the same word
         word = np.minimum(pos + 1 >> 6, len(self.high) - 1)
         rest = (self.high[word] ^ _FLIP) >> (pos + 1 & 63).astype(np.uint64)
@@ -170,13 +190,28 @@ class EliasFano:
         bucket = np.minimum(x >> np.uint64(self.width), np.uint64(self.last + 1)).astype(np.int64)
         (lo, hi), want = self._bucket(bucket), x & self.mask
         end, beyond = hi.copy(), bucket > self.last
+        # low parts of a large bucket are mostly spread evenly; the place is sought near the one that this gives
+        big = np.flatnonzero(hi - lo > _BIG)
+        if len(big):
+            a, z, x = lo[big], hi[big] - 1, want[big]
+            n = (z - a).astype(np.float64)
+            guess = a + (x * (n / 2.0**self.width)).astype(np.int64)
+            off = np.sqrt(n).astype(np.int64)
+            left, right = np.maximum(guess - off, a), np.minimum(guess + off, z)
+            above, beneath = self._low(left) < x, self._low(right) >= x
+            lo[big] = np.where(beneath, np.where(above, left + 1, a), right + 1)
+            hi[big] = np.where(beneath, np.where(above, right, left), z + 1)
         at = np.flatnonzero(lo < hi)
+        a, z, x = lo[at], hi[at], want[at]
         while len(at):
-            mid = (lo[at] + hi[at]) >> 1
-            less = self._low(mid) < want[at]
-            lo[at] = np.where(less, mid + 1, lo[at])
-            hi[at] = np.where(less, hi[at], mid)
-            at = at[lo[at] < hi[at]]
+            mid = (a + z) >> 1
+            less = (self._low(mid) < x) & (a < z)
+            a = np.where(less, mid + 1, a)
+            z = np.where(less, z, mid)
+            more = a < z
+            if 4 * np.count_nonzero(more) < 3 * len(at):
+                lo[at] = a
+                at, a, z, x = at[more], a[more], z[more], x[more]
         # a value of the same bucket has the same high part
         same = (lo < end) & ~beyond
         some = np.flatnonzero(same)
@@ -184,6 +219,12 @@ class EliasFano:
         return np.where(beyond, self.n, lo), same
 
 
+def _backed_off(index: np.ndarray, code: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 probabilities of what step() gives, from those of the level below."""
+    logs = code * -STEP
+    return np.where(index >= 0, logs, logs + lower)
+
+
 def _code(logs: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-logs / STEP), 0, 65535).astype(np.uint16)
 
@@ -244,17 +285,18 @@ class Trie:
         v = self.vocabulary
         return np.log10((counts + v / (v + 1)) / (self.total + v)) if self.total else np.zeros(len(counts))
 
-    def step(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index on level k or -1, its log10 probability, log10 back-off weight) of words after contexts of level k-1; those of -1 are unseen."""
-        index, logp, weight = np.full(len(word), -1, np.int64), np.zeros(len(word)), np.zeros(len(word))
+    def step(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index on level k or -1, code of its log10 probability, or of the log10 back-off weight where it is -1) of words after contexts of level k-1; those of -1 are unseen."""
+        # index and code together, so that one array is put back in order
+        found = np.full(len(word), -1 << 16, np.int64)
         known = np.flatnonzero(context >= 0)
         if not len(known):
-            return index, logp, weight
+            return found >> 16, found & 0xFFFF
         # each pair, and each context's range, is sought once, in order
         order, pair, c, w = _distinct(context[known], word[known])
         first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
         of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(c))))
-        own, p, back = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c))
+        own = np.full(len(c), -1 << 16, np.int64)
         size = self.per_shard(k)
         for shard, at in _by_shard(c[first] // size):
             if not self.sizes[k - 1][shard]:
@@ -262,23 +304,21 @@ class Trie:
             lo, hi = int(first[at[0]]), int(first[at[-1] + 1]) if at[-1] + 1 < len(first) else len(c)
             pointers, words, backs, probs = self.level(k, shard)
             local = c[first[at]] - shard * size
-            ends = pointers.get(np.concatenate([local, local + 1])).astype(np.int64)
-            p0, p1 = ends[: len(local)], ends[len(local) :]
+            p0, p1 = (x.view(np.int64) for x in pointers.pairs(local))
             base = np.zeros(len(local), np.uint64)
             after = p0 > 0
             base[after] = words.get(p0[after] - 1)
             mine = of[lo:hi] - at[0]
             some = p0 < p1
-            back[lo:hi] = np.where(some, backs[local] * -STEP, 0)[mine]
+            own[lo:hi] |= np.where(some, backs[local], np.uint16(0))[mine]
             seek = np.flatnonzero(some[mine] & (w[lo:hi] >= 0))
-            i, same = words.find(base[mine[seek]] + w[lo:hi][seek].astype(np.uint64) + np.uint64(1))
-            hit = same & (i < p1[mine[seek]])
-            place = lo + seek[hit]
-            own[place] = self.begins[k - 1][shard] + i[hit]
-            p[place] = probs[i[hit]] * -STEP
-        known = known[order]
-        index[known], logp[known], weight[known] = own[pair], p[pair], back[pair]
-        return index, logp, weight
+            mine = mine[seek]
+            i, same = words.find(base[mine] + w[lo:hi][seek].view(np.uint64) + np.uint64(1))
+            hit = np.flatnonzero(same & (i < p1[mine]))
+            i = i[hit]
+            own[lo + seek[hit]] = self.begins[k - 1][shard] + i << 16 | probs[i]
+        found[known[order]] = own[pair]
+        return found >> 16, found & 0xFFFF
 
 
 def _distinct(context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -323,7 +363,7 @@ def _tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk(trie: Trie, hashes: np.ndarray, first: np.ndarray, order: int):
-    """Per token: (count, log10 probability, and for each level the (context, word, index) arrays)."""
+    """Per token: (count, log10 probability, context and word on the last level)."""
     distinct, back = np.unique(hashes, return_inverse=True)
     ids, counts = trie.word_ids(distinct)
     word, count = ids[back], counts[back]
@@ -331,18 +371,17 @@ def _walk(trie: Trie, hashes: np.ndarray, first: np.ndarray, order: int):
     end = ids[np.searchsorted(distinct, np.uint64(END))] if len(distinct) else -1
     starts = np.zeros(len(hashes), bool)
     starts[first[:-1]] = True
-    index, levels = word, []
+    index = context = word
     for k in range(2, order + 1):
         context = np.empty(len(word), np.int64)
         context[1:] = index[:-1]
         # the end stands before a text; longer contexts don't reach beyond it
         context[starts] = end if k == 2 else -1
-        levels.append((context, word))
         if k > len(trie.sizes):
             break
-        index, p, weight = trie.step(k, context, word)
-        logp = np.where(index >= 0, p, logp + weight)
-    return count, logp, levels
+        index, code = trie.step(k, context, word)
+        logp = _backed_off(index, code, logp)
+    return count, logp, context, word
 
 
 # --- training -------------------------------------------------------------------------------------
@@ -350,7 +389,7 @@ def _walk(trie: Trie, hashes: np.ndarray, first: np.ndarray, order: int):
 
 def _merge_counts(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     cut = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return k[cut], np.add.reduceat(c, cut) if len(cut) else c
@@ -378,7 +417,7 @@ def _count_words(shards: int):
 
     def run(batches):
         keys, counts, n = [], [], 0
-        for batch in batches:
+        for batch in gathered(batches, BLOCK):
             for _, _, data, offsets in blocks(batch.column(0), BLOCK):
                 k, c = np.unique(_tokens(split(data, offsets))[0], return_counts=True)
                 keys.append(k)
@@ -426,10 +465,10 @@ def _pairs(trie_of, k: int, shards: int):
         trie = trie_of()
         size, keys, counts, n = trie.per_shard(k, shards), [], [], 0
         narrow = trie.begins[k - 2][-1] < 1 << 32 and trie.vocabulary < 1 << 32
-        for batch in batches:
+        for batch in gathered(batches, BLOCK):
             for _, _, data, offsets in blocks(batch.column(0), BLOCK):
                 hashes, first = _tokens(split(data, offsets))
-                context, word = _walk(trie, hashes, first, k)[2][k - 2]
+                context, word = _walk(trie, hashes, first, k)[2:]
                 ok = context >= 0
                 context, word = context[ok].astype(np.uint64), word[ok].astype(np.uint64)
                 pair = context << np.uint64(32) | word if narrow else np.rec.fromarrays([context, word])
@@ -458,7 +497,9 @@ def _build_level(base: str, trie_of, k: int, shards: int):
             sizes = t.column("b_size").to_pylist()
             word = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), n, codec="zstd"), np.int64 if w else np.uint32).astype(np.int64) for x, n, w in zip(t.column("b"), sizes, wide, strict=True)])
             count = np.concatenate(_expand(t, "c", np.uint32)).astype(np.int64)
-            order = np.lexsort((word, context))
+            # counts of equal pairs are summed, in any order
+            narrow = contexts < 1 << 31 and trie.vocabulary < 1 << 32
+            order = np.argsort(context << 32 | word) if narrow else np.lexsort((word, context))
             context, word, count = context[order], word[order], count[order]
             cut = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
             context, word, count = context[cut], word[cut], np.add.reduceat(count, cut)
@@ -531,8 +572,7 @@ class BuiltTrie(Trie):
             ids, back = np.unique(word, return_inverse=True)
             return self.unigram(self.counts_of(ids))[back]
         short = self.shorter(k - 1, context)
-        index, p, weight = self.step(k - 1, short, word)
-        return np.where(index >= 0, p, weight + self.lower(k - 1, short, word))
+        return _backed_off(*self.step(k - 1, short, word), self.lower(k - 1, short, word))
 
 
 def train(docs: DataFrame, order: int = ORDER, shards: int | None = None) -> tuple[str, list[list[int]], int]:
@@ -567,10 +607,10 @@ def _scores(trie_of, order: int):
     def run(batches):
         trie = trie_of()
         n, v = trie.total, trie.vocabulary
-        for batch in batches:
+        for batch in gathered(batches, BLOCK):
             for lo, hi, data, offsets in blocks(batch.column(1), BLOCK):
                 hashes, first = _tokens(split(data, offsets))
-                count, logp, _ = _walk(trie, hashes, first, order)
+                count, logp, *_ = _walk(trie, hashes, first, order)
                 base = np.log10((count + 1) / (n + v + 1))
                 sums = [np.add.reduceat(x, first[:-1]) for x in (base, logp)]
                 known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])

@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -425,6 +426,34 @@ def test_perfect_hash():
     assert [h.get(k) for k in keys] == list(range(2000)) and h.get(b"other") == -1 and sorted(h.slot_value) == list(range(2000))
 
 
+def test_lm_small_batches_are_handled_together(monkeypatch):
+    handled, whole = [], lm.split
+    monkeypatch.setattr(lm, "split", lambda data, offsets: handled.append(len(offsets) - 1) or whole(data, offsets))
+    batches = [pa.record_batch([pa.array([f"a b {i}", None, ""])], names=["text"]) for i in range(50)]
+    out = list(lm._count_words(1)(iter(batches)))
+    assert handled == [150]
+    assert sum(np.frombuffer(pa.decompress(b.column("b")[0].as_buffer(), b.column("b_size")[0].as_py(), codec="zstd"), np.int64).sum() for b in out) == 50 * 3 + 150
+
+
+def test_lm_large_buckets_take_few_reads(monkeypatch):
+    r = np.random.default_rng(5)
+    even = np.sort(r.choice(1 << 20, 1 << 16, replace=False)).astype(np.uint64)
+    # a far value makes the buckets wide: all the others share one; of the second kind nearly all are at one end of it
+    for values in (even, np.concatenate([np.arange(60000, dtype=np.uint64), even[even > 1 << 19]])):
+        values = np.append(values, np.uint64(1 << 40))
+        e = lm.EliasFano.build(values)
+        x = np.unique(np.concatenate([values, values[:-1] + np.uint64(1), r.integers(0, 1 << 41, 2000).astype(np.uint64)]))
+        place, same = e.find(x)
+        assert (place == np.searchsorted(values, x)).all() and (same == np.isin(x, values)).all()
+        i = np.arange(len(values) - 1)
+        assert all((got == want).all() for got, want in zip(e.pairs(i), (values[:-1], values[1:]), strict=True))
+    e, reads, low = lm.EliasFano.build(np.append(even, np.uint64(1 << 37))), [], lm.EliasFano._low
+    assert e.width == 20
+    monkeypatch.setattr(lm.EliasFano, "_low", lambda self, i: reads.append(len(i)) or low(self, i))
+    e.find(even)
+    assert sum(reads) < 14 * len(even)
+
+
 def test_token_files(spark):
     from tokenizers import Tokenizer
 

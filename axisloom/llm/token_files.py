@@ -12,7 +12,8 @@ one, or have none, spread over files as all others do. Files are written to the
 tasks that sort them; the number of ids before each file is a running sum in two levels.
 
 Texts are encoded once, to a table that the counts and the files are made from. Words are encoded
-once and remembered, as the tokenizer never looks beyond white space. A text that holds the string of
+once and remembered, as the tokenizer never looks beyond white space; new words of Latin letters are
+given to it many at a time, and past its normalizer, which leaves them as they are. A text that holds the string of
 one of the vocabulary's added tokens is given to the tokenizer whole, as those are sought across words.
 
 Defined results: null texts count as empty and hold the end id alone; a null doc_id comes before all
@@ -27,6 +28,7 @@ import re
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +38,17 @@ from pyspark.sql import functions as F
 from ._files import mapped_arrays, write_arrays
 from ._groups import groups
 from ._tables import bound_batches, drop, new_path, stored
+from ._words import utf8
 
 END_ID = 1
 MEMO = 1_200_000  # words remembered by a worker, about
 FILE = 128 << 20  # most bytes of text of a file, about
+LONGEST = 64  # bytes of a word that is remembered
+JOINED = 1000  # new words given to the tokenizer together
 SMALL = 4 << 20  # where there is less text than tasks take: bytes of text of a file, about
 SAMPLED = 4  # keys sampled for each file's bounds
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LATIN_1 = bytes(range(0xC4))  # bytes of characters below U+0100
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four ids of a control byte
 
 
@@ -108,6 +114,7 @@ class Memo(dict):
         self.kind = id_type(self.tokenizer.get_vocab_size())
         self.end = self.packed([END_ID])
         self.older: dict[bytes, bytes] = {}
+        self.plain = plain_tokenizer(path, self.tokenizer)
 
     def packed(self, ids: list[int]) -> bytes:
         return array(self.kind, ids).tobytes()
@@ -117,15 +124,48 @@ class Memo(dict):
             self[word] = ids
             return ids
         core = word.rstrip(_PUNCTUATION)
-        if core and len(core) < len(word) and (core.isalpha() or (t := core.decode()).isalpha() and max(t) < "\u0130"):
+        if core and len(core) < len(word) and latin(core):
             often = core in self
             ids = self[core] + self[word[len(core) :]]
             return self.keep(word, ids) if often else ids
         ids = self.packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         return self.keep(word, ids)
 
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of those of these words, none of them remembered, that are of Latin letters and maybe punctuation behind; new ones are encoded many at a time."""
+        found: dict[bytes, bytes] = {}
+        if not self.plain:
+            return found
+        new, behind = set(), []
+        for word in words:
+            if word in self.older:
+                continue
+            core = word.rstrip(_PUNCTUATION)
+            if not 0 < len(core) <= LONGEST or not latin(core):
+                continue
+            if len(core) < len(word):
+                behind.append((word, core))
+                if core in self or core in self.older:
+                    continue
+            new.add(core)
+        fresh: set[bytes] = set()
+        tokenizer, last = self.plain
+        for some in batched(new, JOINED):
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode().lower()], add_special_tokens=False)[0].ids, self.kind)
+            ends = ((np.flatnonzero(last[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) != len(some):
+                continue  # left to be encoded each by itself
+            raw = ids.tobytes()
+            for core, a, b in zip(some, [0, *ends], ends):
+                found[core] = self.keep(core, raw[a:b])
+            fresh.update(some)
+        for word, core in behind:
+            ids = (found.get(core) or self[core]) + self[word[len(core) :]]
+            found[word] = ids if core in fresh else self.keep(word, ids)
+        return found
+
     def keep(self, word: bytes, ids: bytes) -> bytes:
-        if len(word) <= 64:
+        if len(word) <= LONGEST:
             if len(self) >= MEMO // 2:
                 # what was not asked for since the last such time goes
                 self.older = dict(self)
@@ -134,6 +174,34 @@ class Memo(dict):
         return ids
 
 
+def latin(word: bytes) -> bool:
+    """Whether these are letters below U+0100 only: one pre-token, and in Normalization Form C."""
+    return word.isalpha() or not word.translate(None, _LATIN_1) and word.decode().isalpha()
+
+
+def plain_tokenizer(path: str, tokenizer):
+    """(the same model behind white space alone, whether each id ends a pre-token), for lower-cased words of Latin letters.
+
+    None where ids don't show where words end, or where it and the whole tokenizer don't agree on every such letter.
+    """
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    plain = Tokenizer.from_file(path)
+    plain.model._resize_cache(0)  # no word comes twice
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(suffix)]] = True
+    words = [f"{x}{c}{y}" for c in map(chr, range(0x100)) if latin(c.encode()) for x, y in (("", ""), ("a", "b"))]
+    own = [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+    if own != [plain.encode(w.lower(), add_special_tokens=False).ids for w in words] or any(last[x].tolist() != [False] * (len(x) - 1) + [True] for x in own):
+        return None
+    return plain, last
+
+
 def added_tokens(tokenizer) -> re.Pattern | None:
     """Finds, in ASCII-lower-cased bytes, what may be one of the vocabulary's added tokens."""
     strings = sorted({t.content.encode().lower() for t in tokenizer.get_added_tokens_decoder().values()})
@@ -162,13 +230,37 @@ def encoded(memo: Memo, text: str | None) -> bytes:
     return b"".join(map(memo.__getitem__, raw.split())) + memo.end
 
 
+def encoded_all(memo: Memo, column: pa.Array) -> list[bytes]:
+    """encoded() of each text; the words that aren't known yet are learnt together."""
+    data, offsets = utf8(column)
+    raws = data.tobytes().lower()
+    out, texts = [], []
+    for i, (a, b) in enumerate(pairwise(offsets.tolist())):
+        raw = raws[a:b]
+        if memo.added and memo.added.search(raw):
+            texts.append(([], [], []))
+            out.append(encoded(memo, column[i].as_py()))
+        else:
+            words = raw.split()
+            ids = list(map(memo.get, words))
+            texts.append((words, ids, [k for k, x in enumerate(ids) if x is None]))
+            out.append(memo.end)
+    found = memo.learn(set(chain.from_iterable(map(words.__getitem__, at) for words, _, at in texts)))
+    for i, (words, ids, at) in enumerate(texts):
+        for k in at:
+            ids[k] = found.get(words[k]) or memo[words[k]]
+        ids.append(out[i])
+        out[i] = b"".join(ids)
+    return out
+
+
 def _encoded(path: str):
     """Documents' ids."""
 
     def run(batches):
         memo = _worker_memo(path)
         for batch in batches:
-            ids = [encoded(memo, t) for t in batch.column(1).to_pylist()]
+            ids = encoded_all(memo, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return run
@@ -178,13 +270,9 @@ def _frequencies(kind: str):
     def run(batches):
         count = np.zeros(1 << 16 if kind == "H" else 1, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                more = np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=len(count))
-                if len(more) > len(count):
-                    more[: len(count)] += count
-                    count = more
-                else:
-                    count += more
+            more = np.bincount(_bytes(pa.chunked_array([batch.column(0)]))[0].view(kind), minlength=len(count))
+            more[: len(count)] += count
+            count = more
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["id", "n"])
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -57,6 +58,74 @@ def covered_before(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums[i] - np.where(i > 0, np.maximum(0, x[np.maximum(i - 1, 0), 1] - at), 0)
 
 
+@dataclass
+class Sorted:
+    """Intervals in order of their starts, with the bases before each; ends are in order too where they are disjoint."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    before: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Sorted:
+        starts, ends = np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1])
+        return Sorted(starts, ends, np.cumsum(ends - starts) - (ends - starts))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def array(self) -> np.ndarray:
+        return np.column_stack([self.starts, self.ends])
+
+    def bases(self) -> int:
+        return int(self.before[-1] + self.ends[-1] - self.starts[-1]) if len(self) else 0
+
+    def below(self, at: np.ndarray) -> np.ndarray:
+        """Bases of disjoint intervals below each position."""
+        if not len(self):
+            return np.zeros(len(at), np.int64)
+        i = np.searchsorted(self.starts, at, "right") - 1
+        j = np.maximum(i, 0)
+        return np.where(i < 0, 0, self.before[j] + np.minimum(at, self.ends[j]) - self.starts[j])
+
+    def touched_by(self, x: Sorted) -> int:
+        """How many of any intervals overlap these, which are disjoint."""
+        return int((np.searchsorted(self.ends, x.starts, "right") < np.searchsorted(self.starts, x.ends, "left")).sum()) if len(self) else 0
+
+    def middles_of(self, x: Sorted) -> int:
+        """How many of any intervals have their middle in these."""
+        if not len(self):
+            return 0
+        at = x.starts + (x.ends - x.starts) // 2
+        i = np.searchsorted(self.starts, at, "right") - 1
+        return int(((i >= 0) & (at < self.ends[np.maximum(i, 0)])).sum())
+
+
+class Growing:
+    """A set that grows by parts: few new intervals are kept apart until they are an eighth of the others, and
+    their new bases are told by the running sums of those."""
+
+    def __init__(self) -> None:
+        self.have, self.late, self.covered = EMPTY, EMPTY, 0
+        self.sums = Sorted.of(EMPTY)
+
+    def add(self, more: np.ndarray) -> int:
+        """How many bases are new."""
+        late = merged(np.vstack([self.late, more]))
+        if 8 * len(late) > len(self.have):
+            self.have, self.late = merged(np.vstack([self.have, late])), EMPTY
+            self.sums = Sorted.of(self.have)
+            now = self.sums.bases()
+        else:
+            self.late = late
+            now = self.sums.bases() + size(late) - int((self.sums.below(late[:, 1]) - self.sums.below(late[:, 0])).sum())
+        gained, self.covered = now - self.covered, now
+        return gained
+
+    def all(self) -> np.ndarray:
+        return merged(np.vstack([self.have, self.late])) if len(self.late) else self.have
+
+
 def trimmed(x: np.ndarray, excess: int, at: int, forward: bool) -> np.ndarray:
     """x less `excess` bases, taken from the interval that is number `at` onwards, around the end."""
     order = np.roll(np.arange(len(x)), -at) if forward else np.roll(np.arange(len(x))[::-1], at + 1 - len(x))
@@ -79,6 +148,8 @@ class Lengths:
     def __init__(self, segments: np.ndarray, bucket: int = 1):
         self.all = segments[:, 1] - segments[:, 0]
         self.bucket = bucket
+        self.mean = max(1.0, float(self.all.mean())) if len(self.all) else 1.0
+        self.longest = -(-int(self.all.max(initial=1)) // bucket) * bucket
 
     def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
         some = self.all[rng.integers(0, len(self.all), n)]
@@ -88,6 +159,36 @@ class Lengths:
         return top - rng.integers(0, self.bucket, n)
 
 
+class HistogramLengths(Lengths):
+    """Draws from a histogram of lengths by ceil(length / bucket), searched by rank in its running sums.
+
+    A bucket of 0 takes the least size for which there are no more than `most` buckets; a length that
+    needs more is an error otherwise. Within a bucket all lengths are equally likely.
+    """
+
+    def __init__(self, segments: np.ndarray, bucket: int = 1, most: int = 100_000):
+        length = segments[:, 1] - segments[:, 0]
+        bucket = bucket or max(1, -(-int(length.max(initial=1)) // most))
+        super().__init__(segments, bucket)
+        number = -(-length // bucket)
+        if number.max(initial=0) > most:
+            raise ValueError("an interval is too long for the histogram")
+        self.sums = np.cumsum(np.bincount(number))
+
+    @classmethod
+    def of(cls, counts: np.ndarray, bucket: int) -> HistogramLengths:
+        """From counts by bucket, 0 first, as one aggregation gives them."""
+        out = cls.__new__(cls)
+        out.bucket, out.sums = bucket, np.cumsum(counts)
+        out.longest = (len(counts) - 1) * bucket
+        out.mean = max(1.0, float((counts * (np.arange(len(counts)) * bucket - (bucket - 1) / 2)).sum() / max(1, counts.sum())))
+        return out
+
+    def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        number = np.searchsorted(self.sums, rng.integers(0, self.sums[-1], n), "right")
+        return number * self.bucket - (rng.integers(0, self.bucket, n) if self.bucket > 1 else 0)
+
+
 class Positions:
     """Starts of intervals that reach into the workspace: its interval by size, then any start that overlaps it,
     but not the interval before."""
@@ -103,34 +204,111 @@ class Positions:
         return low + (rng.random(len(lengths)) * (self.w[i, 1] - low)).astype(np.int64)
 
 
-def annotator(bucket: int = 1, rounds: int = 20) -> Placer:
+class EdgePositions(Positions):
+    """Starts such that a base of the workspace, all equally likely, is any base of the interval.
+
+    Unlike those of Positions, such intervals cover bases near the edges of the workspace less often than others:
+    a base at distance d from an edge lacks the draws whose base would lie beyond it.
+    """
+
+    def draw(self, rng: np.random.Generator, lengths: np.ndarray) -> np.ndarray:
+        base = rng.integers(0, self.sums[-1], len(lengths))
+        i = np.searchsorted(self.sums, base, "right")
+        at = self.w[i, 1] - (self.sums[i] - base)
+        return np.maximum(0, at - (rng.random(len(lengths)) * lengths).astype(np.int64))
+
+
+LENGTHS: dict[str, type[Lengths]] = {"observed": Lengths, "histogram": HistogramLengths}
+POSITIONS: dict[str, type[Positions]] = {"overlapping": Positions, "edge": EdgePositions}
+
+
+def _last(make):
+    """make(s, w), done again only when called with other arrays: samples of a task share them."""
+    held: list = [None, None, None]
+
+    def of(s: np.ndarray, w: np.ndarray):
+        if held[0] is not s or held[1] is not w:
+            held[:] = s, w, make(s, w)
+        return held[2]
+
+    return of
+
+
+def annotator(bucket: int = 1, rounds: int = 20, lengths: str = "observed", positions: str = "overlapping") -> Placer:
     """Draw lengths and positions until exactly the bases of the segments are covered within the workspace."""
 
-    def place(rng, s, w, _):
+    def made(s: np.ndarray, w: np.ndarray):
         inside = clipped(s, w)
-        target = size(inside)
+        return (size(inside), LENGTHS[lengths](inside, bucket), POSITIONS[positions](w)) if len(inside) else (0, None, None)
+
+    of = _last(made)
+
+    def place(rng, s, w, _):
+        target, of_length, of_start = of(s, w)
         if not target:
             return EMPTY
-        lengths, positions = Lengths(inside, bucket), Positions(w)
-        have, covered, idle = EMPTY, 0, 0
-        mean = max(1.0, lengths.all.mean())
-        while covered < target and idle < rounds:
+        found, idle = Growing(), 0
+        while found.covered < target and idle < rounds:
             # many at once while far from the target, single ones near it
-            n = max(1, int((target - covered) / mean / 2))
-            length = lengths.draw(rng, n)
-            start = positions.draw(rng, length)
+            n = max(1, int((target - found.covered) / of_length.mean / 2))
+            length = of_length.draw(rng, n)
+            start = of_start.draw(rng, length)
             # only what is new is cut: the workspace's intervals don't touch, so no island spans two of them
-            more = merged(np.vstack([have, clipped(np.column_stack([start, start + length]), w)]))
-            now = size(more)
-            idle = idle + 1 if now == covered else 0
-            have, covered = more, now
-        if covered > target:
-            have = trimmed(have, covered - target, int(rng.integers(len(have))), bool(rng.integers(2)))
-        return have
+            idle = 0 if found.add(clipped(np.column_stack([start, start + length]), w)) else idle + 1
+        return _exact(rng, found, target)
 
     return place
 
 
+def across(rng: np.random.Generator, strata: list[tuple[np.ndarray, np.ndarray]], bucket: int = 1, rounds: int = 20) -> list[np.ndarray]:
+    """One random set for strata of one contig, (segments, workspace) each, that are filled together.
+
+    A draw takes a stratum by the bases that are still to be placed there, over the mean length of its segments (so
+    that bases are placed in proportion), one of its lengths and a start in its workspace; it is not cut at the stratum's border, and what it places beyond counts against the others in
+    turn. All bases together are kept exactly, those of a stratum on average only.
+    """
+    strata = [(clipped(s, w), w) for s, w in strata]
+    targets = np.array([size(s) for s, _ in strata], np.int64)
+    target, whole = int(targets.sum()), merged(np.vstack([w for _, w in strata]))
+    if not target:
+        return [EMPTY for _ in strata]
+    draws = [(Lengths(s, bucket), Positions(w)) if len(s) else None for s, w in strata]
+    means = np.array([d[0].mean if d else 1.0 for d in draws])
+    found, idle, left = Growing(), 0, targets.copy()
+    while found.covered < target and idle < rounds:
+        weights = left if left.any() else targets  # overlaps use budgets up early: they begin anew
+        if not left.any():
+            left = targets.copy()
+        weights = weights / means
+        n = max(1, int((target - found.covered) * weights.sum() / (weights * means).sum() / 2))
+        parts = []
+        for i, k in enumerate(rng.multinomial(n, weights / weights.sum()).tolist()):
+            if k:
+                length = draws[i][0].draw(rng, k)
+                start = draws[i][1].draw(rng, length)
+                part = clipped(np.column_stack([start, start + length]), whole)
+                parts.append(part)
+                _charge(left, i, size(part))
+        idle = 0 if found.add(np.vstack(parts)) else idle + 1
+    have = _exact(rng, found, target)
+    return [clipped(have, w) for _, w in strata]
+
+
+def _exact(rng: np.random.Generator, found: Growing, target: int) -> np.ndarray:
+    """What was found, less any bases beyond the target from a random place on."""
+    have = found.all()
+    return trimmed(have, found.covered - target, int(rng.integers(len(have))), bool(rng.integers(2))) if found.covered > target else have
+
+
+def _charge(left: np.ndarray, i: int, bases: int) -> None:
+    """Take bases from budget i, and what it lacks from those after it."""
+    for j in range(len(left)):
+        k = (i + j) % len(left)
+        used = min(bases, int(left[k]))
+        left[k] -= used
+        bases -= used
+
+
 def segments(bucket: int = 1) -> Placer:
     """As many draws as segments; they may overlap."""
 
@@ -153,7 +331,7 @@ def brute_force(bucket: int = 1, inner: int = 100, outer: int = 10) -> Placer:
         if not target:
             return EMPTY
         lengths, positions = Lengths(clipped(s, w), bucket), Positions(w)
-        most = -(-int(lengths.all.max()) // bucket) * bucket
+        most = lengths.longest
         for _outer in range(outer):
             have, left, tries = EMPTY, target, 0
             while left and tries < inner:

@@ -300,8 +300,8 @@ def overlap_with_range(df: DataFrame, start: int, end: int) -> DataFrame:
     return rows.groupBy(*keys(df)).agg(size.cast("long").alias("overlap"))
 
 
-def coverage(df: DataFrame, depth: int | Column, block: int = BLOCK) -> DataFrame:
-    """Maximal stretches that at least `depth` rows of an axis cover; axes: the columns of keys(df)."""
+def depths(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Stretches of each axis with `n`, how many rows cover them; axes: the columns of keys(df)."""
     by = keys(df)
     rows = df.filter("end > start")
     ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))
@@ -312,7 +312,12 @@ def coverage(df: DataFrame, depth: int | Column, block: int = BLOCK) -> DataFram
     local = W.partitionBy(*by, "_block").orderBy("pos")
     events = _rejoined(events, heads, [*by, "_block"])
     deep = events.select(*by, F.col("pos").alias("start"), F.coalesce(F.lead("pos").over(local), F.col("_after")).alias("end"), (F.sum("d").over(local.rowsBetween(*_SO_FAR)) + F.col("_base")).alias("n"))
-    return merge(deep.filter((F.col("n") >= depth) & F.col("end").isNotNull()), 0, block)
+    return deep.filter("end is not null and n > 0")
+
+
+def coverage(df: DataFrame, depth: int | Column, block: int = BLOCK) -> DataFrame:
+    """Maximal stretches that at least `depth` rows of an axis cover; axes: the columns of keys(df)."""
+    return merge(depths(df, block).filter(F.col("n") >= depth), 0, block)
 
 
 def equal(left: DataFrame, right: DataFrame) -> bool:

@@ -112,6 +112,13 @@ def bin_intervals(df: DataFrame, bins: int = 5, method: str = "equal-bases", edg
     return runs.groupBy("contig", "_all", "bin").agg(F.min("start").alias("start"), F.max_by("end", F.struct("_block", "_run")).alias("end")).select("contig", "start", "end", "bin")
 
 
+def common(df: DataFrame, needed: DataFrame) -> DataFrame:
+    """What at least `depth` rows of an axis cover; needed: the axis' columns and depth. Stretches that touch are joined."""
+    by = keys(needed)
+    deep = algebra.depths(df.select(*by, "start", "end")).join(needed, by).filter("n >= depth")
+    return algebra.merge(deep, 0)
+
+
 def inverted(df: DataFrame, key: str, value: str) -> DataFrame:
     """value and the sorted keys that have it."""
     return df.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias(key))

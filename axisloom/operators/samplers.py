@@ -1,9 +1,10 @@
 """Monte-Carlo sampling: random sets of intervals per track, axis and sample number.
 
-Each (track, axis, batch of samples) is one task of a co-grouped Arrow function. A sample's random
-stream depends on the seed, the track, the axis and the sample number only, so results don't change
-with partitions, retries or batches. Samples can be returned as rows, or counted where they are made
-(fused), which returns one number per pair, sample and axis instead of intervals.
+Segments, workspace and annotations are written once as sorted arrays by axis (axis_files); a task is
+a row (track, axis, first sample), which maps the arrays it needs, so no input is shuffled again for samples,
+tracks or batches. A sample's random stream depends on the seed, the track, the axis and the sample number only,
+so results don't change with partitions, retries or batches. Samples can be returned as rows, or counted
+where they are made (fused), which returns one number per pair, sample and axis instead of intervals.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import algebra
-from ..functions.placement import EMPTY, PLACERS, Placer, covered_before, merged, size, touching
+from ..functions.placement import EMPTY, PLACERS, Placer, Sorted, across, merged, touching
+from .axis_files import AxisFiles, written
 
-BATCH = 25  # samples of a task that returns intervals, and least of one that counts
+BATCH = 25  # samples of a task that returns intervals
 PER_CORE = 4  # tasks that count, for each core
 
 
@@ -36,24 +38,29 @@ def _generator(seed: int, key: tuple, sample: int) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(repr(key).encode()), sample])
 
 
-def _array(rows: pd.DataFrame) -> np.ndarray:
-    x = rows[["start", "end"]].to_numpy(np.int64)
-    return x[np.lexsort((x[:, 1], x[:, 0]))]
+def _dealt(axes: DataFrame, nsamples: int, batch: int) -> DataFrame:
+    """A row for each batch of samples of each row, each in a partition of its own: few bytes can be hours of sampling."""
+    n = axes.count() * -(-nsamples // batch)
+    rows = axes.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(nsamples - 1), F.lit(batch))))
+    return rows.repartition(max(1, min(n, 20_000)))
 
 
-def _strata(df: DataFrame) -> DataFrame:
-    return df if "isochore" in df.columns else df.withColumn("isochore", F.lit(None).cast("string"))
+def _axes(segments: AxisFiles, workspace: AxisFiles) -> DataFrame:
+    """track, contig, isochore where a track has segments and there is a workspace."""
+    return segments.sets.select(F.col("name").alias("track"), "contig", "isochore").join(workspace.sets.select("contig", "isochore"), ["contig", "isochore"]).select("track", "contig", "isochore")
 
 
-def _tasks(segments: DataFrame, workspace: DataFrame, nsamples: int, batch: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Segments and workspace for each task; the keys of a task."""
-    batches = F.explode(F.sequence(F.lit(0), F.lit(nsamples - 1), F.lit(batch)))
-    s = _strata(segments).select("track", "contig", F.coalesce("isochore", F.lit("")).alias("isochore"), "start", "end")
-    w = _strata(workspace).select("contig", F.coalesce("isochore", F.lit("")).alias("isochore"), "start", "end")
-    both = s.select("track", "contig", "isochore").distinct().join(w, ["contig", "isochore"])
-    w = both.withColumn("batch", batches)
-    # new names for equal columns: co-grouping doesn't tell two branches of one table apart
-    return s.withColumn("batch", batches), w.toDF(*w.columns), ["track", "contig", "isochore", "batch"]
+def _frame(names: str, columns: list) -> pd.DataFrame:
+    return pd.DataFrame(dict(zip(names.split(), columns, strict=True)))
+
+
+def _samples(track: str, contig: str, isochore: str, numbers: list[int], sets: list[np.ndarray]) -> pd.DataFrame:
+    x = np.vstack(sets) if sets else EMPTY
+    number = np.repeat(np.array(numbers, np.int32), [len(y) for y in sets]) if sets else np.zeros(0, np.int32)
+    return _frame("track contig isochore sample_id start end", [np.repeat(v, len(x)) for v in (track, contig)] + [np.repeat(np.array([isochore or None], object), len(x)), number, x[:, 0], x[:, 1]])
+
+
+_SAMPLES = "track string, contig string, isochore string, sample_id int, start long, end long"
 
 
 def sample(segments: DataFrame, workspace: DataFrame, nsamples: int, sampler: str | Placer = "annotator", seed: int = 1, batch: int = BATCH, **options) -> DataFrame:
@@ -62,51 +69,66 @@ def sample(segments: DataFrame, workspace: DataFrame, nsamples: int, sampler: st
     Segments that don't touch the workspace take no part; both sides are taken as normalized.
     """
     placer = PLACERS[sampler](**options) if isinstance(sampler, str) else sampler
-    s, w, by = _tasks(segments, workspace, nsamples, batch)
-
-    def place(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        track, contig, isochore, first = key
-        ss, ww = _array(left), _array(right)
-        ss = touching(ss, ww)
-        out = []
-        for k in range(int(first), min(int(first) + batch, nsamples)) if len(ss) else ():
-            x = placer(_generator(seed, (track, contig, isochore), k), ss, ww, k)
-            out.append(np.column_stack([np.full(len(x), k), x]))
-        x = np.vstack(out) if out else np.zeros((0, 3), np.int64)
-        return pd.DataFrame({"track": track, "contig": contig, "isochore": isochore or None, "sample_id": x[:, 0].astype(np.int32), "start": x[:, 1], "end": x[:, 2]})
-
-    rows = s.groupBy(*by).cogroup(w.groupBy(*by)).applyInPandas(place, "track string, contig string, isochore string, sample_id int, start long, end long")
-    return rows
-
-
-def _touches(x: np.ndarray, y: np.ndarray, mid: bool) -> int:
-    """Intervals of x that overlap disjoint y, or whose midpoint lies in it."""
-    if not len(x) or not len(y):
-        return 0
-    if mid:
-        at = x[:, 0] + (x[:, 1] - x[:, 0]) // 2
-        i = np.searchsorted(y[:, 0], at, "right") - 1
-        return int(((i >= 0) & (at < y[np.maximum(i, 0), 1])).sum())
-    return len(touching(x, y))
+    s, w = written(segments), written(workspace, None)
+    rows = _dealt(_axes(s, w), nsamples, batch)
+    segment_files, workspace_files = s.base, w.base
 
+    def place(batches):
+        for rows in batches:
+            for track, contig, isochore, first in rows.itertuples(index=False):
+                ss, ww = _pair(segment_files, workspace_files, track, contig, isochore)
+                numbers = list(range(int(first), min(int(first) + batch, nsamples))) if len(ss) else []
+                yield _samples(track, contig, isochore, numbers, [placer(_generator(seed, (track, contig, isochore), k), ss, ww, k) for k in numbers])
+
+    return rows.mapInPandas(place, _SAMPLES)
 
-def count(counter: str, s: np.ndarray, a: np.ndarray, w: np.ndarray) -> float:
-    """A counter's value on one axis; s may overlap itself, a may not."""
-    if counter.startswith("nucleotide"):
-        bases = float((covered_before(a, s[:, 1]) - covered_before(a, s[:, 0])).sum()) if len(s) else 0.0
-        return bases if counter == "nucleotide-overlap" else bases / max(1, size(w))
-    mid = "mid" in counter
-    return float(_touches(s, a, mid) if counter.startswith("segment") else _touches(a, merged(s), mid))
 
+def _pair(segments: str, workspace: str, track: str, contig: str, isochore: str) -> tuple[np.ndarray, np.ndarray]:
+    """A track's segments that touch the workspace, and that."""
+    ww = AxisFiles(workspace, None).axis(contig, isochore)[""].array()
+    return touching(AxisFiles(segments, None).axis(contig, isochore)[track].array(), ww), ww
 
-def batch_for(segments: DataFrame, nsamples: int) -> int:
-    """Samples of a task that counts: as many as leave every core PER_CORE tasks.
 
-    Every batch needs its own copy of an axis, so their number follows the cores, not the samples.
+def sample_across(segments: DataFrame, workspace: DataFrame, nsamples: int, seed: int = 1, batch: int = BATCH, bucket: int = 1) -> DataFrame:
+    """The same for segments and workspace in strata of each contig, which are filled together.
+
+    The bases of a track on a contig are kept exactly, those of a stratum on average: segments are drawn by
+    what the strata lack, and may reach over their borders.
     """
-    axes = _strata(segments).select("track", "contig", "isochore").distinct().count()
-    wanted = -(-PER_CORE * segments.sparkSession.sparkContext.defaultParallelism // max(1, axes))
-    return max(BATCH, -(-nsamples // wanted))
+    s, w = written(segments), written(workspace, None)
+    axes = _axes(s, w).groupBy("track", "contig").agg(F.array_sort(F.collect_set("isochore")).alias("isochores"))
+    rows = _dealt(axes, nsamples, batch)
+    segment_files, workspace_files = s.base, w.base
+
+    def place(batches):
+        for rows in batches:
+            for track, contig, isochores, first in rows.itertuples(index=False):
+                pairs = [_pair(segment_files, workspace_files, track, contig, i) for i in isochores]
+                numbers = list(range(int(first), min(int(first) + batch, nsamples)))
+                sets = [across(_generator(seed, (track, contig), k), pairs, bucket) for k in numbers]
+                for j, i in enumerate(isochores):
+                    yield _samples(track, contig, i, numbers, [x[j] for x in sets])
+
+    return rows.mapInPandas(place, _SAMPLES)
+
+
+def _value(counter: str, s: Sorted, islands: Sorted, a: Sorted, workspace_bases: int) -> float:
+    if counter.startswith("nucleotide"):
+        bases = float((a.below(s.ends) - a.below(s.starts)).sum())
+        return bases if counter == "nucleotide-overlap" else bases / max(1, workspace_bases)
+    of, by = (s, a) if counter.startswith("segment") else (a, islands)
+    return float(by.middles_of(of) if "mid" in counter else by.touched_by(of))
+
+
+def count(counter: str, s: np.ndarray, a: np.ndarray, w: np.ndarray) -> float:
+    """A counter's value on one axis; s may overlap itself, a may not."""
+    return _value(counter, Sorted.of(s), Sorted.of(merged(s)), Sorted.of(a), Sorted.of(w).bases())
+
+
+def batch_for(axes: DataFrame, nsamples: int) -> int:
+    """Samples of a task that counts: as many as leave every core PER_CORE tasks."""
+    wanted = -(-PER_CORE * axes.sparkSession.sparkContext.defaultParallelism // max(1, axes.count()))
+    return max(1, -(-nsamples // wanted))
 
 
 def sampled_counts(segments: DataFrame, annotations: DataFrame, workspace: DataFrame, nsamples: int, counters: tuple[str, ...] = ("nucleotide-overlap",), sampler: str | Placer = "annotator", seed: int = 1, batch: int | None = None, **options) -> DataFrame:
@@ -115,30 +137,30 @@ def sampled_counts(segments: DataFrame, annotations: DataFrame, workspace: DataF
     Values don't depend on batch, by default batch_for().
     """
     placer = PLACERS[sampler](**options) if isinstance(sampler, str) else sampler
-    batch = batch or batch_for(segments, nsamples)
-    s, w, by = _tasks(segments, workspace, nsamples, batch)
-    none = F.lit(None).cast("string")
-    first = s.withColumn("annotation", none).withColumn("kind", F.lit("s")).unionByName(w.withColumn("annotation", none).withColumn("kind", F.lit("w")))
-    a = _strata(annotations).select(F.col("track").alias("annotation"), "contig", F.coalesce("isochore", F.lit("")).alias("isochore"), "start", "end")
-    tasks = s.select(*by).distinct()
-    a = tasks.join(a, ["contig", "isochore"])
-    a = a.toDF(*a.columns)
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        track, contig, isochore, begin = key
-        ww = _array(left[left.kind == "w"])
-        ss = touching(_array(left[left.kind == "s"]), ww) if len(ww) else EMPTY
-        sets = {n: _array(rows) for n, rows in right.groupby("annotation")}
-        out = []
-        for k in range(int(begin), min(int(begin) + batch, nsamples)) if len(ss) else ():
-            x = placer(_generator(seed, (track, contig, isochore), k), ss, ww, k)
-            out += [(c, track, n, k, count(c, x, y, ww)) for n, y in sets.items() for c in counters]
-        return pd.DataFrame(out, columns=["counter", "track", "annotation", "sample_id", "value"])
-
-    # a fixed number of partitions: few bytes can be hours of sampling, so none are coalesced by size
-    spread = PER_CORE * segments.sparkSession.sparkContext.defaultParallelism
-    first, a = first.repartition(spread, *by), a.repartition(spread, *by)
-    parts = first.groupBy(*by).cogroup(a.groupBy(*by)).applyInPandas(run, "counter string, track string, annotation string, sample_id int, value double")
+    s, a, w = written(segments), written(annotations), written(workspace, None)
+    axes = _axes(s, w)
+    size = batch or batch_for(axes, nsamples)
+    rows = _dealt(axes, nsamples, size)
+    segment_files, annotation_files, workspace_files = s.base, a.base, w.base
+    names = "counter track annotation sample_id value"
+
+    def run(batches):
+        for rows in batches:
+            for track, contig, isochore, first in rows.itertuples(index=False):
+                ss, ww = _pair(segment_files, workspace_files, track, contig, isochore)
+                sets = AxisFiles(annotation_files, None).axis(contig, isochore)
+                numbers = list(range(int(first), min(int(first) + size, nsamples))) if len(ss) else []
+                space = Sorted.of(ww).bases()
+                opened = {n: sets[n] for n in sets}  # mapped, not read
+                out = []
+                for k in numbers:
+                    x = placer(_generator(seed, (track, contig, isochore), k), ss, ww, k)
+                    xs = Sorted.of(x)
+                    islands = Sorted.of(merged(x)) if any(c.startswith("annotation") for c in counters) else xs
+                    out += [(c, track, n, k, _value(c, xs, islands, y, space)) for n, y in opened.items() for c in counters]
+                yield pd.DataFrame(out, columns=names.split())
+
+    parts = rows.mapInPandas(run, "counter string, track string, annotation string, sample_id int, value double")
     sums = parts.groupBy("counter", "track", "annotation", "sample_id").agg(F.sum("value").alias("value"))
     from .counters import pairs_of
 

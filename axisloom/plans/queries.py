@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special, statistics
 from ..operators import aggregates, algebra, collections, counters, id_sets, points, samplers, workspaces
-from ..sources import bed
+from ..sources import bed, tables
 from ..sources.fixtures import VIEWS, Fixtures
 from ..storage import new_path
 from ..streaming.sessions import sessions
@@ -272,6 +272,18 @@ def _sampler(name: str, n: int = 2, **options) -> Callable[[Fixtures], DataFrame
 _EXACT = f"select track, cast(sample_id as int) as sample_id, {_LEN} as length from cutseg, (select unnest(range(0, 2)) as sample_id) group by all"
 for _name in ("annotator", "global-permutation"):
     query(f"sample_{_name.replace('-', '_')}", _EXACT)(lambda fx, f=_sampler(_name): f(fx).drop("nsegments"))
+# the same with other laws for lengths and positions
+query("sample_histogram", _EXACT)(lambda fx: _sampler("annotator", lengths="histogram", bucket=5)(fx).drop("nsegments"))
+query("sample_edge", _EXACT)(lambda fx: _sampler("annotator", positions="edge")(fx).drop("nsegments"))
+
+
+def _across(fx: Fixtures) -> DataFrame:
+    s, _, w = analysis.apply_scope(*_norm(fx), fx.isochores)
+    return samplers.sample_across(s, w, 2).groupBy("track", "contig", "sample_id").agg(F.sum(F.col("end") - F.col("start")).alias("length"))
+
+
+# over all strata of a contig, bases are those of the segments
+query("sample_across_isochores", f"select c.track, c.contig, cast(sample_id as int) as sample_id, cast(sum(least(c.e, i.e) - greatest(c.s, i.s)) as bigint) as length from cutseg c join niso i on c.contig = i.contig and c.s < i.e and i.s < c.e, (select unnest(range(0, 2)) as sample_id) group by all")(_across)
 query("sample_segments", "select track, cast(sample_id as int) as sample_id, count(*) as nsegments from insegs, (select unnest(range(0, 2)) as sample_id) group by all")(lambda fx: _sampler("segments")(fx).drop("length"))
 query("sample_uniform")(_sampler("uniform", increment=97))
 query("sample_shift")(_sampler("shift"))
@@ -435,6 +447,68 @@ query("bed_round_trip", f"select {_OUT} from nseg")(lambda fx: _bed_round_trip(f
 query("spaced_bed", f"select {_OUT}, '7' as score from nseg")(_spaced)
 query("samples_bed_round_trip", "select track, cast(sample_id as int) as sample_id, contig, s as \"start\", e as \"end\" from insegs, (select unnest(range(0, 2)) as sample_id)")(_samples_round_trip)
 
+
+
+def _file(fx: Fixtures, df: DataFrame, *cells: str, header: bool = False) -> str:
+    """The columns as one tab-separated file, in the order of df's first column."""
+    path = new_path(fx.spark)
+    order = df.columns[0]
+    df.repartition(1).sortWithinPartitions(order).select(*[F.col(c).cast("string") for c in cells]).write.csv(path, sep="\t", header=header)
+    return path
+
+
+def _results(fx: Fixtures) -> DataFrame:
+    return statistics.q_values(_enriched(fx), "BH")
+
+
+def _results_file(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark)
+    tables.write_results(_results(fx), path, "pvalue")
+    return tables.read_results(fx.spark, path).select("counter", "track", "annotation", "observed", "expected")
+
+
+def _descriptions_file(fx: Fixtures) -> DataFrame:
+    names = fx.annotations.select("track").distinct().filter("track <> '5-LOW'")
+    path = _file(fx, names.withColumn("note", F.concat(F.lit("orders of "), "track")), "track", "note", header=True)
+    return tables.described(_counts(fx)[0], tables.read_descriptions(fx.spark, path))
+
+
+def _counts_file(fx: Fixtures, part: int) -> DataFrame:
+    path = new_path(fx.spark)
+    tables.write_counts(*_counts(fx), path)
+    return tables.read_counts(fx.spark, path)[part]
+
+
+def _sequences(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark)
+    text = F.concat(F.lit(">"), "n_name", F.lit("\nACGT\n"), F.repeat(F.lit("GA"), F.col("n_nationkey").cast("int")))
+    fx.table("nation").select("n_nationkey", text.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    return tables.read_sequence(fx.spark, f"{path}/*/*.txt")
+
+
+def _workspace_lines(fx: Fixtures) -> DataFrame:
+    """Each workspace is a line of a contig; what its lines share remains."""
+    path = new_path(fx.spark)
+    rows = algebra.normalize(fx.workspaces).groupBy("track", "contig").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("x"))
+    spans = F.array_join(F.transform("x", lambda i: F.concat(F.lit("("), i["start"].cast("string"), F.lit(","), i["end"].cast("string"), F.lit(")"))), "\t")
+    rows.select(F.concat(F.lit("##Work\t"), "contig", F.lit("\t"), spans)).write.text(path)
+    return tables.read_predecessor(fx.spark, path)["workspace"]
+
+
+_PART = "cast(p_partkey as varchar)"
+query("map_file", f"select p_brand as key, max_by({_PART}, p_partkey) as value from part group by p_brand")(lambda fx: tables.read_map(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_partkey")))
+query("map_file_both", f"select p_brand as key, max_by({_PART}, p_partkey) as value from part group by p_brand union all select {_PART}, p_brand from part")(lambda fx: tables.read_map(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_partkey"), both_directions=True))
+query("multimap_file", f"select p_brand as key, {_PART} as value from part")(lambda fx: tables.read_multimap(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_partkey")))
+query("list_file", "select p_type as value from part")(lambda fx: tables.read_list(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_type"), 1))
+query("matrix_file", "select cast(greatest(10, least(40, p_size)) as double) as size, cast(sum(p_partkey) as double) as number from part group by 1")(lambda fx: tables.read_matrix(fx.spark, _file(fx, fx.table("part").select("p_partkey", F.col("p_size").alias("size"), F.col("p_partkey").alias("number")), "size", "number", header=True), 10, 40))
+query("gff_file", f"select {_OUT} from nseg")(lambda fx: tables.from_gff(fx.spark, _file(fx, algebra.normalize(fx.segments).withColumns({"source": F.lit("x"), "first": F.col("start") + 1}), "contig", "source", "track", "first", "end")))
+query("sequence_files", "select n_name as name, concat('ACGT', repeat('GA', cast(n_nationkey as int))) as sequence from nation")(_sequences)
+query("counts_file_observed", "select 'nucleotide-overlap' as counter, track, annotation, observed from obs")(lambda fx: _counts_file(fx, 0))
+query("counts_file_samples", "select 'nucleotide-overlap' as counter, track, annotation, cast(sample_id as int) as sample_id, value from val")(lambda fx: _counts_file(fx, 1))
+query("results_file", "select 'nucleotide-overlap' as counter, track, annotation, observed, round(expected, 4) as expected from enr")(_results_file)
+query("descriptions_file", "select 'nucleotide-overlap' as counter, track, annotation, observed, case when annotation <> '5-LOW' then concat('orders of ', annotation) else '' end as description_note from obs")(_descriptions_file)
+query("workspace_lines", f"select contig, s as \"start\", e as \"end\" from {deep_sql('nwsall', 'contig', '(case when contig = $$chr4$$ then 1 else 2 end)')}")(_workspace_lines)
+
 # --- bases of an axis in order, as a ring ---------------------------------------------------------------------------
 
 

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+
 MERGED = "merged"
-_ATTRIBUTE = re.compile(r'([A-Za-z_]\w*)=(?:"([^"]*)"|(\S+))')
 
 
 def track_attributes(line: Column) -> Column:
@@ -20,62 +17,39 @@ def track_attributes(line: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(values, lambda v: F.regexp_replace(v, '^"|"$', "")))
 
 
-def _parse(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of whole files, with the track line that holds for each; lines of other kinds go."""
-    for files in chunks:
-        for path, content in zip(files["path"], files["content"], strict=True):
-            name, rows = None, []
-            for line in _text(path, content).split("\n"):
-                line = line.rstrip("\r")
-                if not line.strip() or line.startswith(("#", "browser")):
-                    continue
-                if line.startswith("track"):
-                    found = {k: q or v for k, q, v in _ATTRIBUTE.findall(line)}
-                    name = found.get("name")
-                    continue
-                fields = line.split("\t")
-                if len(fields) < 3:
-                    raise ValueError(f"{path}: fewer than 3 fields in {line[:80]!r}")
-                rows.append((path, name, fields[0], int(fields[1]), int(fields[2]), fields[3] if len(fields) > 3 else None, fields[4] if len(fields) > 4 else None))
-            yield pd.DataFrame(rows, columns=["path", "track_line", "contig", "start", "end", "name", "score"])
-
-
-def _text(path: str, content: bytes) -> str:
-    if path.endswith((".gz", ".z")):
-        import gzip
-
-        content = gzip.decompress(content)
-    return content.decode()
-
-
-_ROWS = "path string, track_line string, contig string, start long, end long, name string, score string"
+def _fields(lines: DataFrame, *more: str) -> DataFrame:
+    """contig, start, end, name, score of BED lines, and columns that stay."""
+    f = F.split("value", "\t")
+    at = lambda i: F.get(f, F.lit(i))
+    number = lambda i: F.coalesce(F.trim(at(i)).try_cast("long"), F.raise_error(F.concat(F.lit("not a BED row: "), F.col("value"))).cast("long"))
+    return lines.select(*more, at(0).alias("contig"), number(1).alias("start"), number(2).alias("end"), at(3).alias("name"), at(4).alias("score"))
 
 
 def rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """All rows of BED files: path, track_line, contig, start, end, name, score.
 
-    Track lines hold for the rows below them, so a file is one unit. Files without any are split
-    among tasks when read by split_rows().
+    Track lines hold for the rows below them in their file, in whatever task those are read.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInPandas(_parse, _ROWS)
+    is_track = F.startswith("value", F.lit("track"))
+    # a track line without a name holds too, until the next
+    name = F.when(is_track, F.coalesce(track_attributes(F.col("value"))["name"], F.lit("")))
+    found = lines.held(lines.read(spark, paths), name, "track_line")
+    kept = found.filter("trim(value) <> '' and not startswith(value, '#') and not startswith(value, 'browser')").filter(~is_track)
+    return _fields(kept, "path", F.nullif("track_line", F.lit("")).alias("track_line"))
 
 
 def split_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """The same for files without track lines, in pieces of any size and without Python."""
-    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.rtrim("value").alias("value")).filter("value <> '' and not startswith(value, '#') and not startswith(value, 'browser')")
-    f = F.split("value", "\t")
-    at = lambda i: F.get(f, F.lit(i))
-    number = lambda i: F.coalesce(at(i).try_cast("long"), F.raise_error(F.concat(F.lit("not a BED row: "), F.col("value"))).cast("long"))
-    return lines.select("path", F.lit(None).cast("string").alias("track_line"), at(0).alias("contig"), number(1).alias("start"), number(2).alias("end"), at(3).alias("name"), at(4).alias("score"))
+    """The same for files without track lines, without Python."""
+    found = lines.read(spark, paths).filter("value <> '' and not startswith(value, '#') and not startswith(value, 'browser')")
+    return _fields(found, "path", F.lit(None).cast("string").alias("track_line"))
 
 
 def spaced_rows(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """Rows of older files whose fields any white space may part: path, contig, start, end and `fields`, those after them."""
-    lines = spark.read.text(paths).select(F.input_file_name().alias("path"), F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '#') and not startswith(value, 'track')")
+    found = lines.read(spark, paths).select("path", F.trim("value").alias("value")).filter("value <> '' and not startswith(value, '#') and not startswith(value, 'track')")
     f = F.split("value", r"\s+")
     number = lambda i: F.coalesce(F.get(f, F.lit(i)).try_cast("long"), F.raise_error(F.concat(F.lit("not a BED row: "), F.col("value"))).cast("long"))
-    return lines.select("path", F.get(f, F.lit(0)).alias("contig"), number(1).alias("start"), number(2).alias("end"), F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0))).alias("fields"))
+    return found.select("path", F.get(f, F.lit(0)).alias("contig"), number(1).alias("start"), number(2).alias("end"), F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0))).alias("fields"))
 
 
 def base_name(path: Column) -> Column:

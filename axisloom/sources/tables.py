@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lines
+from ..operators import algebra, collections
+
 RESULT_COLUMNS = ("track", "annotation", "observed", "expected", "CI95low", "CI95high", "stddev", "fold", "l2fold", "pvalue", "qvalue")
 EXTENDED_COLUMNS = ("track_nsegments", "track_size", "track_density", "annotation_nsegments", "annotation_size", "annotation_density", "overlap_nsegments", "overlap_size", "overlap_density", "percent_overlap_nsegments_track", "percent_overlap_size_track", "percent_overlap_nsegments_annotation", "percent_overlap_size_annotation")
 
@@ -68,8 +71,7 @@ def ordered(results: DataFrame, by: str = "fold", limit: int | None = None) -> D
 def write_results(results: DataFrame, path: str, by: str = "fold", descriptions: DataFrame | None = None, mode: str = "errorifexists") -> None:
     """One folder per counter with the ordered, formatted rows; described annotations get their description columns."""
     rows = results if descriptions is None else described(results, descriptions)
-    out = formatted(rows).withColumn("_n", F.monotonically_increasing_id())
-    out = formatted(ordered(rows, by)) if by else out.drop("_n")
+    out = formatted(ordered(rows, by)) if by else formatted(rows)
     out.coalesce(1).write.mode(mode).partitionBy("counter").csv(path, sep="\t", header=True)
 
 
@@ -87,8 +89,8 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """annotation and its description columns; rows of another width are an error."""
-    lines = spark.read.text(path).filter("value <> '' and not startswith(value, '#')").select(F.split("value", "\t").alias("f"))
-    widths = lines.agg(F.min(F.size("f")), F.max(F.size("f"))).first()
+    found = lines.read(spark, path).filter("value <> '' and not startswith(value, '#')").select(F.split("value", "\t").alias("f"))
+    widths = found.agg(F.min(F.size("f")), F.max(F.size("f"))).first()
     if widths[0] != widths[1]:
         raise ValueError("rows of the description table differ in width")
     table = read_tabular(spark, path)
@@ -103,12 +105,12 @@ def described(results: DataFrame, descriptions: DataFrame) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str, key: int = 0, value: int = 1, header: bool = False, both_directions: bool = False) -> DataFrame:
     """key, value of a one-to-one map file; the last line of a key holds."""
-    lines = read_tabular(spark, path, header).withColumn("_n", F.monotonically_increasing_id())
-    k, v = lines.columns[key], lines.columns[value]
-    out = lines.groupBy(F.col(k).alias("key")).agg(F.max_by(v, "_n").alias("value"))
+    rows = lines.table(spark, path, header)
+    k, v = rows.columns[key], rows.columns[value]
+    out = rows.groupBy(F.col(k).alias("key")).agg(F.max_by(v, "_place").alias("value"))
     if not both_directions:
         return out
-    return out.unionByName(lines.groupBy(F.col(v).alias("key")).agg(F.max_by(k, "_n").alias("value")))
+    return out.unionByName(rows.groupBy(F.col(v).alias("key")).agg(F.max_by(k, "_place").alias("value")))
 
 
 def read_multimap(spark: SparkSession, path: str, key: int = 0, value: int = 1, header: bool = False) -> DataFrame:
@@ -152,11 +154,11 @@ def from_gff(spark: SparkSession, path: str) -> DataFrame:
 def read_predecessor(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The ##Work, ##Segs, ##Ann, ##Id, ##Synonym and ##Subset lines of the older text format.
 
-    work and segments: contig, start, end (repeated ##Work lines of a contig are to be intersected, so
-    they are numbered); annotations: id list per name; ids: segments per id.
+    work and segments: contig, start, end and the place of their line; workspace: what all ##Work lines of a
+    contig have in common; annotations: id list per name; ids: segments per id.
     """
-    lines = spark.read.text(path).withColumn("n", F.monotonically_increasing_id())
-    f = lines.select(F.split("value", "\t").alias("f"), "n").select(F.get("f", F.lit(0)).alias("kind"), F.get("f", F.lit(1)).alias("name"), F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0))).alias("rest"), "n")
+    found = lines.read(spark, path).withColumn("n", F.struct(*lines.PLACE))
+    f = found.select(F.split("value", "\t").alias("f"), "n").select(F.get("f", F.lit(0)).alias("kind"), F.get("f", F.lit(1)).alias("name"), F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0))).alias("rest"), "n")
     pair = lambda s, k: F.regexp_extract(s, r"\((\d+),\s*(\d+)\)", k).cast("long")
 
     def spans(kind: str, *names: str) -> DataFrame:
@@ -164,8 +166,13 @@ def read_predecessor(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return s.select(F.col("name").alias(names[0]), F.col("n").alias("line"), pair("s", 1).alias("start"), pair("s", 2).alias("end"))
 
     ids = f.filter("kind = '##Id'").select(F.col("name").alias("id"), F.get("rest", F.lit(0)).alias("contig"), F.explode(F.flatten(F.transform("rest", lambda x: F.regexp_extract_all(x, F.lit(r"(\(\d+,\s*\d+\))"), 1)))).alias("s"))
+    work = spans("##Work", "contig")
+    # each line's intervals are one set; a base stays if it lies in as many sets as the contig has lines
+    sets = algebra.merge(work.withColumn("track", F.to_json("line")).select("track", "contig", "start", "end"), 0)
+    needed = work.groupBy("contig").agg(F.count_distinct("line").alias("depth"))
     return {
-        "work": spans("##Work", "contig"),
+        "work": work,
+        "workspace": collections.common(sets, needed),
         "segments": spans("##Segs", "contig"),
         "ids": ids.select("id", "contig", pair("s", 1).alias("start"), pair("s", 2).alias("end")),
         "annotations": f.filter("kind = '##Ann'").select(F.col("name").alias("annotation"), F.explode("rest").alias("id")),

@@ -61,3 +61,63 @@ def test_small_tables(spark, tmp_path):
     (tmp_path / "p.txt").write_text("##Work\tc1\t(0,100)\t(200,300)\n##Id\ti1\tc1\t(5,10)\n##Ann\tname\ti1\ti2\n")
     got = tables.read_predecessor(spark, str(tmp_path / "p.txt"))
     assert got["work"].count() == 2 and got["annotations"].count() == 2 and got["ids"].first().start == 5
+
+
+def split_small(spark):
+    """Files in splits of some hundred bytes, many tasks each."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.fixture
+def small_splits(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    split_small(spark)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_track_lines_hold_across_splits(spark, tmp_path, small_splits):
+    want = []
+    for f in ("a", "b"):
+        text, name = "browser x\n", None
+        for i in range(600):
+            if i in (40, 41, 300, 590):
+                name = None if i == 300 else f"{f}{i}"
+                text += "track color=1\n" if i == 300 else f'track name="{name}"\n'
+            text += f"c{i % 3}\t{i}\t{i + 5}\n" + ("# note\n\n" if i % 50 == 0 else "")
+            want.append((name, f"c{i % 3}", i, i + 5))
+        (tmp_path / f"{f}.bed").write_text(text)
+    found = bed.rows(spark, str(tmp_path / "*.bed"))
+    assert found.rdd.getNumPartitions() > 10
+    assert sorted(map(repr, want)) == sorted(repr((r.track_line, r.contig, r.start, r.end)) for r in found.collect())
+
+
+def test_packed_files_in_all_readers(spark, tmp_path):
+    for name in ("x.bed.gz", "y.bed.z"):
+        with gzip.open(tmp_path / name, "wt") as f:
+            f.write("track name=t" + name[0] + "\r\nc1\t1\t5\r\n")
+    got = sorted((r.track, r.start) for r in bed.load(spark, str(tmp_path)).collect())
+    assert got == [("tx", 1), ("ty", 1)]
+    with gzip.open(tmp_path / "z.bed.z", "wt") as f:
+        f.write("c1\t2\t6\tn\n")
+    assert [(r.name, r.end) for r in bed.split_rows(spark, str(tmp_path / "z.bed.z")).collect()] == [("n", 6)]
+    assert [r.end for r in bed.spaced_rows(spark, str(tmp_path / "z.bed.z")).collect()] == [6]
+
+
+def test_broken_rows_are_errors(spark, tmp_path):
+    (tmp_path / "x.bed").write_text("c1\t1\n")
+    with pytest.raises(Exception, match="not a BED row"):
+        bed.rows(spark, str(tmp_path / "x.bed")).collect()
+
+
+def test_last_line_of_a_key_across_splits(spark, tmp_path, small_splits):
+    (tmp_path / "m.tsv").write_text("".join(f"k{i % 7}\tv{i}\n" for i in range(500)))
+    assert {r.key: r.value for r in tables.read_map(spark, str(tmp_path / "m.tsv")).collect()} == {f"k{i % 7}": f"v{i}" for i in range(493, 500)}
+
+
+def test_repeated_workspace_lines_are_intersected(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("##Work\tc1\t(0,100)\t(200,300)\n##Work\tc1\t(50,250)\t(240,260)\n##Work\tc2\t(0,9)\n")
+    got = sorted(tuple(r) for r in tables.read_predecessor(spark, str(tmp_path / "p.txt"))["workspace"].select("contig", "start", "end").collect())
+    assert got == [("c1", 50, 100), ("c1", 200, 260), ("c2", 0, 9)]

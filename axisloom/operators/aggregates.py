@@ -69,22 +69,41 @@ def overlap_stats(df: DataFrame, workspace: DataFrame) -> DataFrame:
 
 
 def segment_metrics(df: DataFrame, workspace: DataFrame) -> DataFrame:
-    """Per axis: how segments lie in, across and outside the workspace."""
-    by = keys(df)
+    """Per axis of normalized segments: how they lie in, across and outside the normalized workspace.
 
-    def sized(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.count("*").alias(name + "_n"), F.sum(_length()).alias(name + "_bases"))
-
-    touching = algebra.overlapping(df, workspace)
-    inside = algebra.intersect(df, workspace)
-    beyond = algebra.subtract(df, workspace)
-    out = sized(df, "all")
-    for rows, name in ((touching, "touching"), (inside, "inside"), (beyond, "beyond")):
-        out = out.join(sized(rows, name), by, "left")
-    out = out.fillna(0)
-    ax = [k for k in ("contig", "isochore") if k in by]
-    space = workspace.groupBy(*[k for k in ax if k in workspace.columns]).agg(F.sum(_length()).alias("_space"))
-    out = out.join(space, [k for k in ax if k in workspace.columns], "left")
+    Segments that overlap the workspace are counted by piece, so one across two of its intervals counts twice,
+    and "outside" may be negative. All figures are sums of what is looked up where segments begin and end in one
+    sweep along the workspace: its intervals, bases and gaps so far.
+    """
+    by = keys(df)
+    ax = [k for k in ("contig", "isochore") if k in by and k in workspace.columns]
+    space = algebra.numbered(workspace.select(*ax, "start", "end"))
+    # at their ends, what begins there is not yet of the workspace
+    ends = F.array(F.struct(F.col("start").alias("pos"), F.lit(True).alias("_first")), F.struct((F.col("end") - 1).alias("pos"), F.lit(False).alias("_first")))
+    points = df.filter("end > start").select(*by, "start", "end", F.inline(ends))
+    found = algebra.lookup(points, space, ax)
+    zero = F.lit(0).cast("long")
+    w = lambda c: F.coalesce(F.col("before." + c), zero)
+    reach = w("end")
+    upto = F.when(F.col("_first"), F.col("start")).otherwise(F.col("end"))
+    # of the workspace's intervals that begin before: how many, their bases below the position, the gaps that ended
+    begun = F.when(F.col("before").isNotNull(), w("n") + 1).otherwise(zero)
+    bases = F.when(F.col("before").isNotNull(), w("bases") + F.least(reach, upto) - w("start")).otherwise(zero)
+    first, last = F.col("_first"), ~F.col("_first")
+    held = first & (reach > F.col("start"))
+    pieces = F.when(last, begun).otherwise(-begun + held.cast("long"))
+    beyond = F.when(last, w("gaps") + (reach < F.col("end")).cast("long")).otherwise(-w("gaps"))
+    touches = held | (first & F.coalesce(F.col("after.start") < F.col("end"), F.lit(False)))
+    out = found.groupBy(*by).agg(
+        F.count_if("_first").alias("all_n"),
+        F.sum(F.when(first, _length())).alias("all_bases"),
+        F.sum(pieces).alias("inside_n"),
+        F.sum(F.when(last, bases).otherwise(-bases)).alias("inside_bases"),
+        F.sum(beyond).alias("beyond_n"),
+        F.coalesce(F.sum(F.when(touches, _length())), zero).alias("touching_bases"),
+    )
+    size = workspace.groupBy(*ax).agg(F.sum(_length()).alias("_space"))
+    out = out.withColumn("beyond_bases", F.col("all_bases") - F.col("inside_bases")).join(size, ax, "left")
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
     return out.select(
         *by,

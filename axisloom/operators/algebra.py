@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import axis, keys
+from ..storage import is_kept
 
 BLOCK = 1 << 18  # coordinates of a block
 BIN = 1 << 12  # coordinates of a join bin
@@ -206,28 +207,68 @@ def gaps(df: DataFrame, lowest: int = 0, highest: int = (1 << 31) - 1, block: in
 # --- two sets ------------------------------------------------------------------------------------
 
 
-def _binned(df: DataFrame, width: int) -> DataFrame:
-    """One row per bin that the interval (or point) touches."""
+_LEVELS = 4  # each with bins 32 times as wide as those of the one below
+_WIDER = 5
+
+
+def _level(df: DataFrame, suffix: str, width: int) -> Column:
+    """The narrowest level at which an interval touches no more than 33 bins; 0 of points."""
+    if "pos" + suffix in df.columns:
+        return F.lit(0)
+    length = F.col("end" + suffix) - F.col("start" + suffix)
+    out = F.lit(_LEVELS - 1)
+    for k in range(_LEVELS - 2, -1, -1):
+        out = F.when(length <= width << (_WIDER * (k + 1)), F.lit(k)).otherwise(out)
+    return out
+
+
+def _highest(df: DataFrame, width: int) -> Column:
+    """The highest level of any row, as a scalar subquery."""
+    if "pos" in df.columns:
+        return F.lit(0)
+    return F.coalesce(df.agg(F.max(_level(df, "", width))).scalar(), F.lit(0))
+
+
+def _binned(df: DataFrame, width: int, highest: Column | None = None) -> DataFrame:
+    """A row per bin that the interval (or point) touches; with `highest`, at its own level and all above that are in use."""
     first, last = (F.col("pos"), F.col("pos")) if "pos" in df.columns else (F.col("start"), F.col("end") - 1)
     rows = df if "pos" in df.columns else df.filter("end > start")
-    return rows.withColumn("_bin", F.explode(F.sequence(_block(first, width), _block(last, width))))
+    if highest is None:
+        return rows.withColumn("_bin", F.explode(F.sequence(_block(first, width), _block(last, width))))
+    own, none = _level(df, "", width), F.array().cast("array<bigint>")
+    parts = []
+    for k in range(_LEVELS):
+        at = lambda x, k=k: _block(x, width << (_WIDER * k)) * _LEVELS + k
+        parts.append(F.when((own <= k) & (highest >= k), F.sequence(at(first), at(last), F.lit(_LEVELS).cast("long"))).otherwise(none))
+    return rows.withColumn("_bin", F.explode(F.concat(*parts)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, suffix: str = "_b") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, width: int = BIN, suffix: str = "_b", nested: bool | None = None) -> DataFrame:
     """All pairs that overlap on a common contig (and isochore, if both have it); points lie in intervals.
 
-    Right columns get the suffix. A pair that shares several bins is kept in its first common one.
+    Right columns get the suffix. With nested bins two intervals meet at the level of the longer, so a long one takes
+    some dozen rows at most, and a short one a row or two more for each level that any row of either side needs;
+    that takes the largest length first, so by default bins are nested where both sides are kept tables, in
+    which it costs little, and of one width otherwise. A pair that shares several bins is kept in its first common one.
     """
     on = [c for c in axis(left) if c in right.columns]
-    a = _binned(left, width)
-    b = _binned(right, width)
+    if nested is None:
+        nested = is_kept(left) and is_kept(right)
+    highest = F.greatest(_highest(left, width), _highest(right, width)) if nested else None
+    a = _binned(left, width, highest)
+    b = _binned(right, width, highest)
     b = b.select(*[F.col(c).alias(c + suffix) for c in b.columns])
     bounds = lambda cols, s: (F.col("pos" + s), F.col("pos" + s) + 1) if "pos" + s in cols else (F.col("start" + s), F.col("end" + s))
     (s1, e1), (s2, e2) = bounds(a.columns, ""), bounds(b.columns, suffix)
     match = a["_bin"] == b["_bin" + suffix]
     for c in on:
         match = match & (a[c].eqNullSafe(b[c + suffix]) if c == "isochore" else a[c] == b[c + suffix])
-    first = F.greatest(_block(s1, width), _block(s2, width))
+    first = _block(F.greatest(s1, s2), width)
+    if nested:
+        level = F.greatest(_level(a, "", width), _level(b, suffix, width))
+        first = F.lit(None).cast("long")
+        for k in range(_LEVELS):
+            first = F.when(level == k, _block(F.greatest(s1, s2), width << (_WIDER * k)) * _LEVELS + k).otherwise(first)
     pairs = a.join(b, match & (s1 < e2) & (s2 < e1) & (a["_bin"] == first))
     return pairs.drop("_bin", "_bin" + suffix)
 
@@ -286,6 +327,65 @@ def union(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
+# --- look-ups along an axis ------------------------------------------------------------------------
+
+
+def lookup(points: DataFrame, rows: DataFrame, on: list[str], block: int = BLOCK) -> DataFrame:
+    """points (with pos) and `before`, the last row of their axis with start <= pos, and `after`, the first beyond it.
+
+    Rows are structs of their columns, null where there is none. Both sides are dealt out once, by blocks of
+    coordinates; what lies before and after a block comes into it as two rows. Nulls in `on` are values.
+    """
+    row = F.struct("start", *[c for c in rows.columns if c != "start" and c not in on])
+    r = rows.select(*on, F.col("start").alias("_pos"), F.lit(0).alias("_ord"), row.alias("_row")).withColumn("_block", _block(F.col("_pos"), block))
+    p = points.select(*on, F.col("pos").alias("_pos"), F.lit(1).alias("_ord"), F.struct(*points.columns).alias("_pt")).withColumn("_block", _block(F.col("_pos"), block))
+    heads = r.groupBy(*on, "_block").agg(F.max("_row").alias("_l"), F.min("_row").alias("_f"))
+    heads = heads.unionByName(p.select(*on, "_block").distinct(), allowMissingColumns=True).groupBy(*on, "_block").agg(F.max("_l").alias("_l"), F.min("_f").alias("_f"))
+    order = W.partitionBy(*on).orderBy("_block")
+    heads = heads.select(*on, "_block", F.last("_l", ignorenulls=True).over(order.rowsBetween(*_BEFORE)).alias("_l"), F.last("_f", ignorenulls=True).over(W.partitionBy(*on).orderBy(F.desc("_block")).rowsBetween(*_BEFORE)).alias("_f"))
+    ends = F.array(F.struct(F.lit(-1).alias("_ord"), F.col("_l").alias("_row")), F.struct(F.lit(2).alias("_ord"), F.col("_f").alias("_row")))
+    carried = heads.select(*on, "_block", F.inline(ends)).filter("_row is not null").withColumn("_pos", F.when(F.col("_ord") < 0, F.col("_block") * block).otherwise(F.col("_block") * block + block))
+    every = r.unionByName(carried).unionByName(p, allowMissingColumns=True)
+    # a window that runs backwards, as one that looks ahead would read the rest of the block for every row
+    onward = W.partitionBy(*on, "_block").orderBy("_pos", "_ord", "_row").rowsBetween(*_SO_FAR)
+    back = W.partitionBy(*on, "_block").orderBy(F.desc("_pos"), F.desc("_ord"), F.desc("_row")).rowsBetween(*_SO_FAR)
+    found = every.withColumns({"before": F.last("_row", ignorenulls=True).over(onward), "after": F.last("_row", ignorenulls=True).over(back)})
+    return found.filter("_pt is not null").select("_pt.*", "before", "after")
+
+
+def numbered(df: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Normalized intervals with `n` and `bases`, the intervals and bases of their axis before them, and `gaps`: the gaps up to their start."""
+    by, length = keys(df), F.col("end") - F.col("start")
+    rows = df.filter("end > start").select(*by, "start", "end", _block(F.col("start"), block).alias("_block"))
+    local = W.partitionBy(*by, "_block").orderBy("start")
+    zero = F.lit(0).cast("long")
+    before = local.rowsBetween(*_BEFORE)
+    prior = F.max("end").over(before)
+    rows = rows.withColumn("_gap", F.when(prior.isNotNull() & (F.col("start") > prior), 1).otherwise(0))
+    heads = rows.groupBy(*by, "_block").agg(F.sum(length).alias("_b"), F.count("*").alias("_k"), F.sum("_gap").alias("_g"), F.min("start").alias("_s"), F.max("end").alias("_e"))
+    order = W.partitionBy(*by).orderBy("_block").rowsBetween(*_BEFORE)
+    heads = heads.withColumn("_open", (F.col("_s") > F.coalesce(F.max("_e").over(order), zero)).cast("int"))
+    sums = [F.coalesce(F.sum(c).over(order), zero).alias(name) for c, name in (("_b", "_bases"), ("_k", "_n"))]
+    heads = heads.select(*by, "_block", *sums, (F.coalesce(F.sum(F.col("_g") + F.col("_open")).over(order), zero) + F.col("_open")).alias("_gaps"))
+    own = lambda c: F.coalesce(F.sum(c).over(before), zero)
+    found = _rejoined(rows, heads, [*by, "_block"])
+    return found.select(*by, "start", "end", (F.col("_n") + own(F.lit(1))).alias("n"), (F.col("_bases") + own(length)).alias("bases"), (F.col("_gaps") + F.sum("_gap").over(local.rowsBetween(*_SO_FAR))).alias("gaps"))
+
+
+def insertion_points(df: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions (contig, pos and others) and `insertion_point` in each track's normalized intervals: -1 before the first,
+    their number beyond the last, else the number of the interval that holds or precedes the position."""
+    on = [c for c in keys(df) if c != "track"]
+    tracks = df.select("track").distinct()  # names only
+    points = positions.join(tracks)
+    rows = numbered(df)
+    size = rows.groupBy(*keys(df)).agg(F.count("*").alias("_size"), F.max("end").alias("_end"))
+    found = lookup(points, rows, ["track", *on])
+    out = _rejoined(found, size, keys(df))
+    at = F.when(F.col("before").isNull(), F.lit(-1).cast("long")).when(F.col("pos") >= F.col("_end"), F.col("_size")).otherwise(F.col("before.n"))
+    return out.filter("_size is not null").select(*points.columns, at.alias("insertion_point"))
+
+
 def in_range(df: DataFrame, start: int, end: int) -> DataFrame:
     """Rows that overlap one range."""
     if "pos" in df.columns:

@@ -134,9 +134,16 @@ def sampled(counter: str, samples: DataFrame, annotations: DataFrame, workspace:
     return out.select(F.lit(counter).alias("counter"), "track", "annotation", "sample_id", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def nearest_distance(segments: DataFrame, annotations: DataFrame, radius: int) -> DataFrame:
-    """Extension: per segment and annotation track, the distance to the nearest annotation within radius (0: they overlap)."""
-    near = algebra.overlap_join(segments, _named(algebra.extend(annotations, radius)).withColumnsRenamed({"start": "s0", "end": "e0"}).withColumns({"start": F.col("s0"), "end": F.col("e0")}))
-    true_start = F.when(F.col("s0_b") == 0, F.col("s0_b")).otherwise(F.col("s0_b") + radius)
-    gap = F.greatest(true_start - F.col("end"), F.col("start") - (F.col("e0_b") - radius), F.lit(0).cast("long"))
-    return near.groupBy("track", "contig", "start", "end", F.col("annotation_b").alias("annotation")).agg(F.min(gap).alias("distance"))
+def nearest_distance(segments: DataFrame, annotations: DataFrame, radius: int | None = None) -> DataFrame:
+    """Extension: per segment and annotation track, the distance to the nearest annotation (0: they overlap), however far.
+
+    Both sides normalized; pairs without any on the contig have no row, nor have those at radius or farther, if given.
+    """
+    names = annotations.agg(F.array_sort(F.collect_set("track"))).scalar()
+    points = segments.select("track", "contig", "start", "end", (F.col("end") - 1).alias("pos"), F.explode(names).alias("annotation"))
+    found = algebra.lookup(points, annotations.select(F.col("track").alias("annotation"), "contig", "start", "end"), ["annotation", "contig"])
+    # the last one that begins before the segment's end also ends last; least() passes over nulls
+    before = F.when(F.col("before").isNotNull(), F.greatest(F.col("start") - F.col("before.end"), F.lit(0).cast("long")))
+    gap = F.least(before, F.col("after.start") - F.col("end"))
+    out = found.select("track", "contig", "start", "end", "annotation", gap.alias("distance")).filter("distance is not null")
+    return out if radius is None else out.filter(F.col("distance") < radius)

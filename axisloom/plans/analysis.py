@@ -144,19 +144,21 @@ def great_counts(segments: DataFrame, annotations: DataFrame, workspace: DataFra
     """Per track and annotation, summed over contigs: pieces of segments in the workspace, hits, and bases."""
     length = F.col("end") - F.col("start")
     on = [c for c in ("contig", "isochore") if c in workspace.columns and c in segments.columns]
+    # several branches read each
+    segments, annotations, workspace = kept(segments), kept(annotations), kept(workspace)
     space = workspace.groupBy(*on).agg(F.sum(length).alias("w"))
     inside = algebra.intersect(segments, workspace)
     s = inside.groupBy("track", *on).agg(F.count("*").alias("n"), F.sum(length).alias("s"))
     a = annotations.groupBy(F.col("track").alias("annotation"), *on).agg(F.count("*").alias("na"), F.sum(length).alias("a"))
     pairs = algebra.overlap_join(segments, annotations)
     mid = F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("long")
-    hit = pairs.filter((mid >= F.col("start_b")) & (mid < F.col("end_b"))) if midpoint else pairs
-    by = ["track", F.col("track_b").alias("annotation"), *on]
-    hits = hit.select("track", "track_b", *on, "start", "end").distinct().groupBy(*by).agg(F.count("*").alias("k"))
-    common = pairs.groupBy(*by).agg(F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("x"), F.count("*").alias("na_hit"))
+    hit = (mid >= F.col("start_b")) & (mid < F.col("end_b")) if midpoint else F.lit(True)
+    # one join: first by segment, which counts once for an annotation however often they meet
+    each = pairs.groupBy("track", "track_b", *on, "start", "end").agg(F.max(hit.cast("int")).alias("k"), F.sum(F.least("end", "end_b") - F.greatest("start", "start_b")).alias("x"), F.count("*").alias("na_hit"))
+    met = each.groupBy("track", F.col("track_b").alias("annotation"), *on).agg(*(F.sum(c).alias(c) for c in ("k", "x", "na_hit")))
     # zeros are completed after summing over contigs, so no row stands for a pair on a contig without either
     a = a.join(space.select(*on), on, "left_semi")
-    both = hits.join(common, ["track", "annotation", *on], "full").join(s.filter("n > 0").select("track", *on), ["track", *on], "left_semi").join(a.filter("na > 0").select("annotation", *on), ["annotation", *on], "left_semi")
+    both = met.join(s.filter("n > 0").select("track", *on), ["track", *on], "left_semi").join(a.filter("na > 0").select("annotation", *on), ["annotation", *on], "left_semi")
     per = both.groupBy("track", "annotation").agg(*(F.sum(c).alias(c) for c in ("k", "x", "na_hit")))
     of_tracks = s.groupBy("track").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     of_annotations = a.groupBy("annotation").agg(F.sum("a").alias("a"), F.sum("na").alias("na"))

@@ -211,6 +211,7 @@ def _density(name: str, query_name: str, size: str) -> None:
 _density("nucleotide-density", "observed_nucleotide_density", "sum(e - s)")
 _density("nucleotide-density-compat", "observed_nucleotide_density_compat", "count(*)")
 query("observed_points_in_segments", "select 'nucleotide-overlap' as counter, n.track, n.annotation, cast(coalesce(v, 0) as double) as observed from (select s.track, p.track as annotation from (select distinct track from nseg) s, (select distinct track from pts) p) n left join (select s.track, p.track as annotation, count(*) as v from nseg s join pts p on s.contig = p.contig and p.pos >= s.s and p.pos < s.e group by all) x on n.track = x.track and n.annotation = x.annotation")(lambda fx: counters.observed("nucleotide-overlap", algebra.normalize(fx.segments), fx.points, algebra.normalize(fx.workspace)))
+query("nearest_annotation", "select s.track, s.contig, s.s as \"start\", s.e as \"end\", a.track as annotation, min(greatest(a.s - s.e, s.s - a.e, 0)) as distance from nseg s join nann a on s.contig = a.contig group by all")(lambda fx: counters.nearest_distance(*_norm(fx)[:2]))
 query("nearest_distance", "select s.track, s.contig, s.s as \"start\", s.e as \"end\", a.track as annotation, min(greatest(a.s - s.e, s.s - a.e, 0)) as distance from nseg s join nann a on s.contig = a.contig and a.s - 40 < s.e and s.s < a.e + 40 group by all")(lambda fx: counters.nearest_distance(*_norm(fx)[:2], 40))
 
 # --- aggregates -----------------------------------------------------------------------------------------------
@@ -530,6 +531,13 @@ query("trim_ends_forward", _ring_sql(_HELD, 3000, False))(lambda fx: algebra.tri
 query("trim_ends_backward", _ring_sql(f"(case when max(e) > 10000 then {_HELD} + (min(struct_pack(a := s, b := e)) filter (e > 10000)).b - (min(struct_pack(a := s, b := e)) filter (e > 10000)).a else min(struct_pack(a := s, b := e)).b - min(struct_pack(a := s, b := e)).a end) - 3000", 3000, False))(lambda fx: algebra.trim_ends(algebra.normalize(fx.segments), 10_000, 3000, False))
 query("fill_from_start", _ring_sql(_BELOW, 3000, True))(lambda fx: algebra.fill_from_start(algebra.normalize(fx.segments), 10_000, 3000))
 query("fill_from_end", _ring_sql(f"{_BELOW} - 3000", 3000, True))(lambda fx: algebra.fill_from_end(algebra.normalize(fx.segments), 10_000, 3000))
+query(
+    "interval_insertion",
+    """select p.contig, p.pos, p.track, case when r.s is null then -1 when p.pos >= z.last then z.k else r.n end as insertion_point
+        from (select contig, pos, track from (select concat('chr', cast(o_custkey % 5 as varchar)) as contig, o_orderkey * 40 - 7000 as pos from orders), (select distinct track from seg)) p
+        join (select track, contig, count(*) as k, max(e) as last from nseg group by all) z on z.track = p.track and z.contig = p.contig
+        asof left join (select *, row_number() over (partition by track, contig order by s) - 1 as n from nseg) r on r.track = p.track and r.contig = p.contig and p.pos >= r.s""",
+)(lambda fx: algebra.insertion_points(algebra.normalize(fx.segments), fx.table("orders").select(F.concat(F.lit("chr"), (F.col("o_custkey") % 5).cast("string")).alias("contig"), (F.col("o_orderkey") * 40 - 7000).alias("pos"))))
 query("points_insertion", "select track, contig, case when min(pos) > 30000 then -1 when max(pos) <= 30000 then count(*) else count(*) filter (pos < 30000) end as insertion_point from pts group by all")(lambda fx: points.insertion_point(fx.points, 30_000))
 
 

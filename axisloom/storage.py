@@ -23,9 +23,30 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/axisloom-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []  # what this process has written and not deleted
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df, computed once and read back from files: plans stay short, and lost executors lose nothing."""
+    if is_kept(df):
+        return df
     spark = df.sparkSession
     path = new_path(spark)
+    _made.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._axisloom_path = path
+    return out
+
+
+def is_kept(df: DataFrame) -> bool:
+    """Whether df is a table that kept() gave, as it is."""
+    return getattr(df, "_axisloom_path", None) is not None
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has kept; results that were not yet read can't be read after that."""
+    for path in _made:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _made.clear()

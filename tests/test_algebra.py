@@ -122,3 +122,50 @@ def test_empty(spark):
     some = df(spark, TEN)
     assert rows(algebra.normalize(none)) == rows(algebra.subtract(none, some)) == rows(algebra.intersect(some, none)) == []
     assert rows(algebra.subtract(some, none)) == TEN
+
+
+def test_nested_bins(spark):
+    import random
+
+    rng = random.Random(4)
+    sizes = [1, 50, 5000, 200_000, 3_000_000, 10**8, 1 << 31]
+    make = lambda n: [(rng.choice("xy"), "c", a := rng.randrange(1 << 31), a + rng.choice(sizes) * rng.randint(1, 3)) for _ in range(n)]
+    names = "track string, contig string, start long, end long"
+    left, right = make(150), make(150)
+    a, b = spark.createDataFrame(left, names), spark.createDataFrame(right, names)
+    got = algebra.overlap_join(a, b, nested=True).select("track", "start", "end", "track_b", "start_b", "end_b").collect()
+    want = [(t, s, e, u, c, d) for t, _, s, e in left for u, _, c, d in right if s < d and c < e]
+    assert sorted(map(tuple, got)) == sorted(want)
+    points = spark.createDataFrame([("p", "c", s) for _, _, s, _ in left], "track string, contig string, pos long")
+    assert algebra.overlap_join(points, b, nested=True).count() == sum(c <= s < d for _, _, s, _ in left for _, _, c, d in right)
+    assert algebra.overlap_join(points, points, nested=True).count() == len(left)
+
+
+def test_a_long_interval_takes_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    long = spark.createDataFrame([("t", "c", 5, 1 << 31)], "track string, contig string, start long, end long")
+    short = spark.range(10_000).select(F.lit("u").alias("track"), F.lit("c").alias("contig"), (F.col("id") * 200_000).alias("start"), (F.col("id") * 200_000 + 30).alias("end"))
+    highest = algebra._highest(long, algebra.BIN)
+    assert algebra._binned(long, algebra.BIN, highest).count() <= 33
+    assert algebra._binned(short, algebra.BIN, highest).count() < 5 * 10_000
+    assert algebra._binned(short, algebra.BIN, algebra._highest(short, algebra.BIN)).count() < 1.1 * 10_000
+    assert algebra.overlap_join(short, long, nested=True).count() == 10_000
+
+
+def test_lookups(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [("t" if rng.random() < 0.7 else None, rng.randrange(3_000_000), i) for i in range(300)] + [("t", 7, 1), ("t", 7, 0)]
+    points = [(rng.choice(["t", "v", None]), rng.randrange(3_100_000), i) for i in range(200)] + [("t", 7, 900), ("t", 6, 901)]
+    r = spark.createDataFrame(rows, "contig string, start long, x int")
+    p = spark.createDataFrame(points, "contig string, pos long, y int")
+    for block in (1 << 10, 1 << 18, 1 << 24):
+        for q in algebra.lookup(p, r, ["contig"], block).collect():
+            own = sorted((s, x) for c, s, x in rows if c == q.contig)
+            before, after = [o for o in own if o[0] <= q.pos], [o for o in own if o[0] > q.pos]
+            assert (tuple(q.before) if q.before else None) == (before[-1] if before else None)
+            assert (tuple(q.after) if q.after else None) == (after[0] if after else None)
+    assert algebra.lookup(p, r, ["contig"]).count() == len(points)
+    assert algebra.lookup(p, r.filter("false"), ["contig"]).filter("before is null and after is null").count() == len(points)

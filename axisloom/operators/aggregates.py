@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import algebra
 from ..schema import keys
+from ..storage import kept
 
 
 def _length() -> Column:
@@ -38,19 +39,53 @@ def length_histogram(df: DataFrame, bucket_size: int = 1, nbuckets: int = 100_00
     return df.select(*by, legal.alias("bucket")).groupBy(*by, "bucket").agg(F.count("*").alias("n"))
 
 
+_BUCKETS = 1024
+
+
+def order_statistics(df: DataFrame, value: Column, ranks: dict[str, Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Per group `nval` and, for each name, the sorted values' element at a rank from 0, a column of nval.
+
+    Between two elements, fractional ranks interpolate. Equal values are counted first; a histogram of each group's
+    values then tells which buckets hold the ranks, and only those buckets' values are put in order, so neither an
+    array nor a task holds a group.
+    """
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = df.select(*by, key.alias("_key"), value.cast("double").alias("_v")).filter("_v is not null")
+    counts = kept(rows.groupBy("_key", *by, "_v").agg(F.count("*").alias("_k")))
+    span = counts.groupBy("_key", *by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_k").alias("nval"))
+    share = F.when(F.col("_hi") > F.col("_lo"), (F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
+    placed = counts.select("_key", "_v", "_k").join(span.select("_key", "_lo", "_hi"), "_key").withColumn("_bucket", F.floor(share * (_BUCKETS - 1)))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    heads = placed.groupBy("_key", "_bucket").agg(F.sum("_k").alias("_in"))
+    heads = heads.withColumn("_before", F.sum("_in").over(Window.partitionBy("_key").orderBy("_bucket").rowsBetween(*so_far)) - F.col("_in"))
+    asked = [F.struct(F.lit(name).alias("name"), end(at).cast("long").alias("rank")) for name, at in ranks.items() for end in (F.floor, F.ceil)]
+    wanted = span.select("_key", F.inline(F.array_distinct(F.array(*asked))))
+    wanted = wanted.join(heads, (wanted["_key"] == heads["_key"]) & (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_in"))).select(wanted["_key"], "name", "rank", "_bucket", "_before")
+    opened = placed.join(wanted.select("_key", "_bucket", "_before").distinct(), ["_key", "_bucket"])
+    upto = F.sum("_k").over(Window.partitionBy("_key", "_bucket").orderBy("_v").rowsBetween(*so_far)) + F.col("_before")
+    opened = opened.select("_key", "_bucket", "_v", (upto - F.col("_k")).alias("_from"), upto.alias("_upto"))
+    hit = wanted.drop("_before").join(opened, ["_key", "_bucket"]).filter("rank >= _from and rank < _upto")
+    both = hit.groupBy("_key", "name").agg(F.min(F.struct("rank", "_v")).alias("a"), F.max(F.struct("rank", "_v")).alias("b"))
+    out = both.groupBy("_key").agg(*[F.max(F.when(F.col("name") == name, F.struct("a", "b"))).alias("_" + name) for name in ranks])
+    out = span.join(out, "_key", "left")
+    part = lambda name, at: F.col(f"_{name}.a._v") + (F.col(f"_{name}.b._v") - F.col(f"_{name}.a._v")) * (at - F.floor(at))
+    return out.select(*by, "_key", "nval", *[part(name, at).alias(name) for name, at in ranks.items()])
+
+
 def summary(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Count, min, max, mean, median, population deviation, sum, and quartiles as elements of the sorted values."""
-    v = F.col(value).cast("double")
-    at = lambda share: F.element_at("_all", (F.floor(F.size("_all") * share / 4) + 1).cast("int"))
-    out = df.filter(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("nval"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("stddev"), F.sum(v).alias("sum"), F.array_sort(F.collect_list(v)).alias("_all"))
-    return out.withColumns({"q1": at(1), "q3": at(3)}).drop("_all")
+    v, n = F.col(value).cast("double"), F.col("nval")
+    key = F.to_json(F.struct(*by)) if by else F.lit("")
+    out = df.filter(v.isNotNull()).groupBy(*by).agg(F.count("*").alias("nval"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("stddev"), F.sum(v).alias("sum"))
+    ranks = {"median": (n - 1) / 2, "q1": F.floor(n / 4), "q3": F.floor(n * 3 / 4)}
+    found = order_statistics(df, v, ranks, by).select("_key", *ranks)
+    return out.withColumn("_key", key).join(found, "_key").select(*by, "nval", "min", "max", "mean", "median", "stddev", "sum", "q1", "q3")
 
 
 def percentiles(df: DataFrame, value: Column, at: list[float], by: tuple[str, ...] = ("track",)) -> DataFrame:
     """Linearly interpolated percentiles, one row each."""
-    ps = F.array(*map(F.lit, at))
-    out = df.groupBy(*by).agg(F.percentile(value, at).alias("v"))
-    return out.select(*by, F.explode(F.arrays_zip(ps.alias("p"), F.col("v"))).alias("x")).select(*by, F.col("x.p").alias("percent"), F.col("x.v").alias("value"))
+    found = order_statistics(df, value, {f"p{i}": (F.col("nval") - 1) * p for i, p in enumerate(at)}, by)
+    return found.select(*by, F.inline(F.array(*[F.struct(F.lit(p).alias("percent"), F.col(f"p{i}").alias("value")) for i, p in enumerate(at)])))
 
 
 def stats_rollup(df: DataFrame) -> DataFrame:
@@ -132,5 +167,11 @@ def metrics_table(metrics: DataFrame, section: str = "segments") -> DataFrame:
 
 def sample_stats(samples: DataFrame) -> DataFrame:
     """Length statistics of each sample of each track, and of all samples as sample_id null."""
-    out = samples.rollup("track", "sample_id").agg(F.count("*").alias("nsegments"), F.sum(_length()).alias("length"), F.avg(_length()).alias("mean"), F.stddev_pop(_length()).alias("stddev"), F.min(_length()).alias("min"), F.percentile(_length(), 0.25).alias("q1"), F.median(_length()).alias("median"), F.percentile(_length(), 0.75).alias("q3"), F.max(_length()).alias("max"))
-    return out.filter(F.col("track").isNotNull())
+    by = ("track", "sample_id")
+    rows = samples.select("track", "sample_id", _length().alias("_n"))
+    rows = rows.unionByName(rows.withColumn("sample_id", F.lit(None).cast(rows.schema["sample_id"].dataType))).filter("track is not null")
+    n = F.col("_n")
+    out = rows.groupBy(*by).agg(F.count("*").alias("nsegments"), F.sum(n).alias("length"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("stddev"), F.min(n).alias("min"), F.max(n).alias("max"))
+    ranks = {name: (F.col("nval") - 1) * p for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    found = order_statistics(rows, n, ranks, by).select("_key", *ranks)
+    return out.withColumn("_key", F.to_json(F.struct(*by))).join(found, "_key").select(*by, "nsegments", "length", "mean", "stddev", "min", "q1", "median", "q3", "max")

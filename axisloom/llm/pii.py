@@ -1,9 +1,10 @@
 """Personal data in text, also where it is disguised, with offsets into the source.
 
 Base patterns for e-mail addresses, IP addresses, card and phone numbers run on the text as it is.
-Then a chain of transducers rewrites it: look-alike and full-width characters become ASCII and
-invisible ones go; spelled digits become digits; at and dot in brackets, or in words between the
-parts of an address, become @ and dots. Each transducer passes on, for every character it writes, the
+Then a chain of transducers rewrites it: look-alike, mathematical and full-width characters and the digits
+of all scripts become ASCII, and invisible characters go; character references become what they stand for;
+number words ("oh", "twenty seven", "double seven") become digits; at and dot in brackets, between
+underscores, or in words between the parts of an address, become @ and dots. Each transducer passes on, for every character it writes, the
 source range it stands for, so what the same patterns find in the result maps back to the source.
 Spans found only that way are added, also where they reach beyond the base spans that they overlap,
 as those are the plain parts of partly disguised identifiers; base spans stay as they are.
@@ -11,12 +12,16 @@ as those are the plain parts of partly disguised identifiers; base spans stay as
 All matching is linear in the text. Positions are code points, ends exclusive.
 
 Defined results: null texts count as empty; empty texts have no spans; every input row keeps its
-own row, whatever its id.
+own row, whatever its id, repeated rows too; long texts are read whole, and nothing in a pattern bounds what it
+takes; spans of one kind that a disguise joins stand beside the base spans they hold, ordered by kind, then start, then
+end; empty tables give no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import html
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
@@ -81,19 +86,31 @@ _LIKE = "ABCEHIJKMOPSTXYaceijopsxydhqw" "ABEZHIKMNOPTYXovu"
 _FORMS = {"﹫": "@", "。": ".", "․": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ", " ": " ", "　": " "}
 _HIDDEN = "­​‌‍⁠﻿"
 GLYPHS: dict[str, str] = {**dict(zip(_LOOKS, _LIKE, strict=True)), **_FORMS, **{chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}, **dict.fromkeys(_HIDDEN, "")}
-DIGITS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
-
-_GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]")
-_WORD = "(?:" + "|".join(DIGITS) + ")"
+# by rule: every decimal digit of any script, and mathematical letters and digits
+GLYPHS |= {chr(c): str(unicodedata.decimal(chr(c))) for c in range(0x80, 0x10000) if unicodedata.decimal(chr(c), None) is not None}
+_MATHEMATICAL = range(0x1D400, 0x1D800)
+GLYPHS |= {chr(c): x for c in _MATHEMATICAL if len(x := unicodedata.normalize("NFKC", chr(c))) == 1 and x.isascii()}
+_ONES = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
+_TEENS = {w: str(i) for i, w in enumerate("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), 10)}
+_TENS = {w: str(i) for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)}
+_TIMES = {"double": 2, "triple": 3}
+
+_GLYPH = re.compile("[" + "".join(re.escape(c) for c in GLYPHS if c < "\U00010000") + "\U0001D400-\U0001D7FF]")
+_any = lambda words: "(?:" + "|".join(words) + ")"
+_WORD = rf"(?:{_any(_TIMES)}[ -]+{_any(_ONES)}|{_any(_TENS)}(?:[ -]+(?!zero|oh){_any(_ONES)}(?![^\W_]))?|{_any(_TEENS)}|{_any(_ONES)})"
 _SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+)?{_WORD}(?![^\W_])(?:(?:[ -]+(?:(?:dot|point)[ -]+)?)(?:{_WORD}(?![^\W_])|[0-9](?![0-9A-Za-z]))){{3,}}")
 _SPELLED_PART = re.compile(rf"(?i){_WORD}|plus[ -]+|[ -]+(?:dot|point)[ -]+|[ -]+")
 _BRACKETS = re.compile(r"(?i)[ ]?[\[({<][ ]?(at|dot|@|\.)[ ]?[\])}>][ ]?")
-# the parts of an address with "at" and "dot" as words
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: dot [A-Za-z0-9_%+-]{1,64}){0,4}(?: at |@)[A-Za-z0-9-]{1,63}(?:(?: dot |\.)[A-Za-z0-9-]{1,63}){1,8}(?![^\W_])")
+# the parts of an address with "at" and "dot" as words; what is read once isn't given back, so time is linear
+_SPOKEN_LOCAL = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: dot [A-Za-z0-9_%+-]++)*+")
+_SPOKEN_DOMAIN = re.compile(r"(?i)(?: at |@)[A-Za-z0-9-]++(?![^\W_])(?:(?: dot |\.)[A-Za-z0-9-]++(?![^\W_]))++")
+_UNDERSCORED = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+-]++(?:_(?!at_)[A-Za-z0-9.%+-]++)*+_at_[A-Za-z0-9-]++(?:_dot_[A-Za-z0-9-]++)++(?![^\W])")
+_UNDERSCORED_PART = re.compile(r"(?i)_(at|dot)_")
+# fixed values: character references of at, dot, plus and hyphen
+_ENTITY = re.compile(r"(?i)&(?:#0*(?:64|46|43|45)|#x0*(?:40|2e|2b|2d)|commat|period);")
 _SPOKEN_PART = re.compile(r"(?i) (at|dot) ")
 _SAYS = {"at": "@", "dot": ".", "@": "@", ".": "."}
-_HAS_DOT = re.compile(r"(?i) dot |[\[({<] ?(?:dot|at|@|\.) ?[\])}>]").search
-_NON_LATIN = re.compile("[­Ͱ-ԯ -⁯−　-。﹫﻿！-～ ]").search
+_HAS_DOT = re.compile(r"(?i) dot |_dot_|[\[({<] ?(?:dot|at|@|\.) ?[\])}>]").search
 
 
 class Mapped:
@@ -120,23 +137,49 @@ def _glyphs(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), GLYPHS[x.group()]) for x in _GLYPH.finditer(m.text)])
 
 
+def _entities(m: Mapped) -> None:
+    m.rewrite([(x.start(), x.end(), html.unescape(x.group().lower())) for x in _ENTITY.finditer(m.text)])
+
+
+def _number(words: str) -> str:
+    """The digits of one number word, with what multiplies or follows it."""
+    first, *rest = re.split("[ -]+", words.lower())
+    if first in _TIMES:
+        return _ONES[rest[0]] * _TIMES[first]
+    if first in _TENS:
+        return _TENS[first] + (_ONES[rest[0]] if rest else "0")
+    return _TEENS.get(first) or _ONES[first]
+
+
 def _digits(m: Mapped) -> None:
     def say(s: str) -> str:
         word = s.strip(" -").lower()
-        return DIGITS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word, "")
+        return {"plus": "+", "dot": ".", "point": "."}.get(word, "") if not word or word in ("plus", "dot", "point") else _number(word)
 
     m.rewrite([(x.start() + p.start(), x.start() + p.end(), say(p.group())) for x in _SPELLED.finditer(m.text) for p in _SPELLED_PART.finditer(x.group())])
 
 
+def _spoken(text: str) -> list[tuple[int, int]]:
+    """Addresses with "at" and "dot" as words: a local part that runs up to an "at", and the domain after it."""
+    out, done = [], 0
+    for x in _SPOKEN_LOCAL.finditer(text):
+        if x.start() >= done and (d := _SPOKEN_DOMAIN.match(text, x.end())):
+            done = d.end()
+            out.append((x.start(), done))
+    return out
+
+
 def _at_dot(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), _SAYS[x.group(1).lower()]) for x in _BRACKETS.finditer(m.text)])
+    m.rewrite([(x.start() + p.start(), x.start() + p.end(), _SAYS[p.group(1).lower()]) for x in _UNDERSCORED.finditer(m.text) for p in _UNDERSCORED_PART.finditer(x.group())])
     # "at" as a word counts only where "dot" is one too: plain words may stand before a domain
-    spoken = [x for x in _SPOKEN.finditer(m.text) if " dot " in x.group().lower()]
-    m.rewrite([(x.start() + p.start(), x.start() + p.end(), _SAYS[p.group(1).lower()]) for x in spoken for p in _SPOKEN_PART.finditer(x.group())])
+    spoken = [(a, m.text[a:b]) for a, b in _spoken(m.text)]
+    m.rewrite([(a + p.start(), a + p.end(), _SAYS[p.group(1).lower()]) for a, s in spoken if " dot " in s.lower() for p in _SPOKEN_PART.finditer(s)])
 
 
 TRANSDUCERS: list[tuple[Callable[[str], object], Callable[[Mapped], None]]] = [
-    (lambda t: not t.isascii() and _NON_LATIN(t), _glyphs),
+    (lambda t: not t.isascii() and _GLYPH.search(t), _glyphs),
+    (lambda t: "&" in t and _ENTITY.search(t), _entities),
     (_SPELLED.search, _digits),
     (_HAS_DOT, _at_dot),
 ]

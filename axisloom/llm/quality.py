@@ -1,17 +1,20 @@
 """Document quality by attention-based multiple-instance learning.
 
-A document is a bag of passages: consecutive byte ranges of at least PASSAGE bytes that cover the
-whole text (longer ones for long texts, so that no bag has more than MOST). Every passage is encoded
+A document is a bag of passages: consecutive ranges of PASSAGE bytes that cover the whole text,
+however long it is. Every passage is encoded
 as character-class shares, hashed character-pair shares and repetition measures. A hidden layer and
 gated attention (a tanh branch times a sigmoid branch, softmax over the bag) are learned from document labels
 alone, and the attention-weighted passage representation is scored by a logistic layer.
 
-Training takes a sample of at most `limit` labelled documents, those of smallest hash of doc_id;
-scoring covers all documents, in one pass without a shuffle.
+Training takes a sample of at most `limit` labelled documents, those of smallest hash of doc_id, with up to
+MOST passages of each, evenly spread; of rows that share a doc_id the one of smallest hash of its text. Scoring
+covers all passages of all documents, in one pass without a shuffle.
 
 Defined results: null texts count as empty, and an empty text is one passage of zeros; several
 labels of one document are averaged and null ones left out; documents that share a doc_id are all
-scored; with labels of fewer than two kinds the score is constant, (ones + 1) / (labels + 1).
+scored; with labels of fewer than two kinds, or none, the score is constant, (ones + 1) / (labels + 1);
+passages of equal attention count alike, and the first is named; empty tables give no rows; other columns
+pass through, but for score, n_passages and best_passage.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 from ._tables import bound_batches
 from ._words import blocks, split
 
-PASSAGE, MOST = 512, 64
+PASSAGE = 512
+MOST = 256  # most passages of a document to learn from
 SAMPLE = 4000  # most labelled documents to learn from
 THRESHOLD = 0.7
 HIDDEN, GATE, PAIRS = 32, 16, 64
@@ -63,15 +67,14 @@ def _repeats(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
 def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features of all passages, passages of each text) of a block of texts."""
     size = np.diff(offsets)
-    step = np.maximum(PASSAGE, -(-size // MOST))
-    count = np.maximum(1, -(-size // step))
+    count = np.maximum(1, -(-size // PASSAGE))
     base = np.cumsum(count) - count
     total = int(count.sum())
     x = np.zeros((total, FEATURES))
     n = len(data)
     if n:
         text = np.repeat(np.arange(len(size)), size)
-        of = base[text] + (np.arange(n) - offsets[:-1][text]) // step[text]
+        of = base[text] + (np.arange(n) - offsets[:-1][text]) // PASSAGE
         kind = _CLASS[data]
         x[:, :N_CLASSES] = np.bincount(of * N_CLASSES + kind, minlength=total * N_CLASSES).reshape(total, -1)
         low = data.astype(np.uint32)
@@ -101,7 +104,8 @@ def _encoded(batches):
             x, count = encode(data, offsets)
             x = x.astype(np.float32)
             cut = np.cumsum(count)
-            bags = [x[b - c : b].tobytes() for b, c in zip(cut.tolist(), count.tolist(), strict=True)]
+            spread = [np.arange(b - c, b) if c <= MOST else b - c + np.arange(MOST) * c // MOST for b, c in zip(cut.tolist(), count.tolist(), strict=True)]
+            bags = [x[some].tobytes() for some in spread]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(bags, pa.binary()), batch.column(2).slice(lo, hi - lo)], names=["doc_id", "bag", "label"])
 
 
@@ -186,7 +190,9 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     # the sample's bound is what allows it to be broadcast and its bags to be collected
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").mapInArrow(_encoded, "doc_id long, bag binary, label double")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label"))
+    rows = rows.select("doc_id", "text", "label").mapInArrow(_encoded, "doc_id long, bag binary, label double")
     got = sorted(rows.toLocalIterator(prefetchPartitions=True), key=lambda r: (r.doc_id, bytes(r.bag)))
     return fit([np.frombuffer(r.bag, np.float32).reshape(-1, FEATURES) for r in got], np.array([r.label for r in got]))
 

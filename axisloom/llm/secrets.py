@@ -147,7 +147,7 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMP
     letters = F.regexp_replace(base64, "[+/]", "")
     forms = F.array(base64, letters, F.upper(F.substring(letters, 1, 36)), F.lower(F.substring(letters, 1, 36)), F.concat(F.substring(base64, 1, 20), F.lit("-"), F.substring("hex", 1, 12)))
     random = n.select(F.explode(forms).alias("text"), F.lit(True).alias("secret"))
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
     words = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_extract_all(text, F.lit(WORD), 0).alias("w")).filter("size(w) > 0")
     pairs = F.zip_with("w", F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), F.array(F.lit("id"))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("id")).alias("b")))

@@ -267,6 +267,14 @@ def test_partly_disguised_personal_data():
         "mail a@b.cd and joe [at] site (dot) org": ["a@b.cd", "joe [at] site (dot) org"],
         "mail smith@example.com, john": ["smith@example.com"],
         "a@b.c\u200b d@e.f": ["a@b.c", "d@e.f"],
+        "john dot a dot b dot c dot d dot e at ex dot com!": ["john dot a dot b dot c dot d dot e at ex dot com"],
+        "to " + "x" * 70 + " at " + " dot ".join("abcdefghijkl") + " end": ["x" * 70 + " at " + " dot ".join("abcdefghijkl")],
+        "mail j\U0001d4f8hn@ex\U0001d41ample.com now": ["j\U0001d4f8hn@ex\U0001d41ample.com"],
+        "call +\u0664\u0664 \u0662\u0660 \u0667\u0669\u0664\u0666 \u0660\u0669\u0665\u0668 now": ["+\u0664\u0664 \u0662\u0660 \u0667\u0669\u0664\u0666 \u0660\u0669\u0665\u0668"],
+        "a&#64;b&#46;com and c&commat;d&period;org": ["a&#64;b&#46;com", "c&commat;d&period;org"],
+        "as jo_hn_at_ex_dot_com, updated_at_v1.2": ["jo_hn_at_ex_dot_com"],
+        "call plus four four twenty seven double seven nine one two three": ["plus four four twenty seven double seven nine one two three"],
+        "john at ex dot com or mary dot x at mail.ex dot org.": ["john at ex dot com", "mary dot x at mail.ex dot org"],
     }
     for t, want in cases.items():
         base, spans = pii.find(t)
@@ -383,6 +391,68 @@ def test_recall_and_precision_of_the_secret_model(spark):
 # --- quality ------------------------------------------------------------------------------------------
 
 
+def test_base_digests_against_plain_patterns(spark, tmp_path):
+    """Counts, digest and spans of the query itself, on random texts of the characters that patterns are made of."""
+    import hashlib
+    import random
+
+    from axisloom.llm import queries
+
+    rng = random.Random(5)
+    parts = ["a@b.c", "x.y@z-1.org", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "5500-0000-0000-0004", "+1 (555) 123-4567", "+49", "é", "Ж", " ", "-", "7", "dot", " at ", "😀", "\n", "0"]
+    texts = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(1500)] + [(2000, None), (2001, ""), (2002, "a@b.c "), (2002, "a@b.c ")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def luhn(d):
+        return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def plain(text):
+        digits = lambda s: re.sub("[^0-9]", "", s)
+        kinds = {
+            "email": re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text),
+            "ip": (m for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m.group().split("."))),
+            "card": (m for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m.group())) <= 19 and luhn(digits(m.group()))),
+            "phone": (m for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m.group())) <= 15),
+        }
+        return [(k, m.start(), m.end()) for k, found in kinds.items() for m in found]
+
+    got = sorted((tuple(r) for r in queries.op3_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect()))
+    want = []
+    for i, text in texts:
+        spans = plain(text or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((i, *(sum(k == x for k, _, _ in spans) for x in ("email", "ip", "card", "phone")), hashlib.sha256(told.encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_time_of_long_disguises():
+    import time
+
+    def took(n):
+        began = time.process_time()
+        for unit in ("a dot ", "a dot at dot ", "x at y ", "a@b dot é ", "one two ", "&#64;", "_at_"):
+            pii.find(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    small, large = min(took(20_000) for _ in range(3)), took(80_000)
+    assert large < 10 * small + 0.5  # four times the text
+
+
+def test_passages_of_long_texts():
+    text = b"word " * 40_000
+    x, count = quality.encode(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert count.tolist() == [-(-len(text) // quality.PASSAGE)] and len(x) == count[0] > 300
+
+
+def test_a_repeated_id_is_one_training_row(spark, monkeypatch):
+    rows = [(7, f"text number {i}") for i in range(300)] + [(i, "other text") for i in range(100, 110)]
+    labels = spark.createDataFrame([(7, 1), *[(i, 0) for i in range(100, 110)]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(len(bags)))
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, limit=4)
+    assert seen[0] <= 4
+
+
 def test_quality(spark):
     rng = np.random.default_rng(8)
     good = [(i, ". ".join(text_of(rng, 12) for _ in range(int(rng.integers(2, 9))))) for i in range(150)]

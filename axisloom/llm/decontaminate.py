@@ -3,9 +3,11 @@
 An item's windows are its runs of `window` consecutive words (one shorter window for items of
 fewer). Words are ordered by rarity over the whole corpus. As containment must be complete, the
 necessary prefix of a window is its single rarest word: a document can only hold the window where
-that word occurs. Each such occurrence gives one start position; positional and length bounds (the
-window must fit between the document's first and last word) cut candidates, and the rest is
-verified word by word.
+that word occurs. Each such occurrence gives one start for each place that the word has in its windows and
+each of their lengths, at most 55 for ten words; positional and length bounds (the window must fit between the
+document's first and last word) cut these, a hash of all words from the start on tells the window, however
+many windows share the word, and what is found is verified word by word. Occurrences are taken in slices, so
+memory depends neither on how many windows share a word nor on how often a text repeats it.
 
 Equal windows of all items are one, with a number. Distinct windows are dealt to parts of about PART,
 each built by a task and written as files of arrays, which the tasks that read documents map into
@@ -31,11 +33,12 @@ from pyspark.sql import functions as F
 from ._files import mapped_arrays, write_arrays
 from ._groups import groups
 from ._tables import bound_batches, delete, new_path, stored
-from ._words import Words, blocks, split, word_hashes
+from ._words import Words, _powers_to, blocks, mix, split, word_hashes
 
 WINDOW = 10
 PART = 200_000  # distinct windows of a part of the index, about
 _BITS = 20
+_SLICE = 1 << 14  # occurrences of rarest words that are looked at together
 
 _HITS = "doc_id long, n_words long, spans array<struct<start:int,end:int>>, windows array<long>"
 _SPANS, _NUMBERS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.int64())
@@ -71,6 +74,12 @@ def _windows(size: int):
     return run
 
 
+def _running(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a polynomial of the hashes, and the inverse powers that make a difference of two a stretch's own hash."""
+    up, down = _powers_to(len(hashes) + 1)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * up[: len(hashes)], dtype=np.uint64)]), down
+
+
 class Lookup:
     """Positions of hashes in a sorted set, with a bitmap in front that most words fail."""
 
@@ -118,27 +127,56 @@ class Part:
         self.words = words.reshape(len(self.length), -1)
         self.keys = np.unique(self.hashes)
 
+    def whole(self) -> np.ndarray:
+        """A hash of each window as a whole, as _stretches() gives it."""
+        up = _powers_to(self.words.shape[1] + 1)[0]
+        out = np.zeros(len(self.length), np.uint64)
+        for j in range(self.words.shape[1]):
+            out += np.where(self.length > j, self.hashes[self.words[:, j]] * up[j], np.uint64(0))
+        return mix(out + self.length.astype(np.uint64))
+
     def ranked(self, base: str, part: int) -> Part:
-        keys, self.begin, self.count, self.order, self.offset = mapped_arrays(base, f"rarest-{part}")
+        keys, self.begin, self.count, self.place, self.span, self.offset, self.sorted, self.order = mapped_arrays(base, f"rarest-{part}")
         self.lookup = Lookup(keys)
         return self
 
     def find(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(start words, windows) of every occurrence within one document of a block."""
+        """(start words, windows) of every occurrence within one document of a block.
+
+        Where a word occurs, the windows that it is the rarest word of can begin at a few places only, by its place in them
+        and their length; a hash of the words from there tells the window, however many share the word.
+        """
         at, key = self.lookup.find(w.hashes)
-        n = self.count[key]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        window = self.order[np.repeat(self.begin[key], n) + step]
-        pos = np.repeat(at, n)
-        start = pos - self.offset[window]
-        doc = np.searchsorted(w.first, pos, side="right") - 1
-        fits = (start >= w.first[doc]) & (start + self.length[window] <= w.first[doc + 1])
-        start, window = start[fits], window[fits]
+        sums, down = _running(w.hashes)
+        none = np.zeros(0, np.int64)
+        found = [(none, none)]
+        for lo in range(0, len(at), _SLICE):
+            pos, own = at[lo : lo + _SLICE], key[lo : lo + _SLICE]
+            n = self.count[own]
+            which = np.repeat(self.begin[own], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            pos = np.repeat(pos, n)
+            place, span = self.place[which], self.span[which]
+            start = pos - place
+            doc = np.searchsorted(w.first, pos, side="right") - 1
+            fits = (start >= w.first[doc]) & (start + span <= w.first[doc + 1])
+            start, span, place = start[fits], span[fits], place[fits]
+            told = mix((sums[start + span] - sums[start]) * down[start] + span.astype(np.uint64))
+            first, last = np.searchsorted(self.sorted, told, "left"), np.searchsorted(self.sorted, told, "right")
+            n = last - first
+            window = self.order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            start, span, place = (np.repeat(x, n) for x in (start, span, place))
+            # a window is found by its own rarest word, so once
+            same = (self.offset[window] == place) & (self.length[window] == span)
+            found.append(self._same_bytes(w, *self._same_words(w, start[same], window[same])))
+        start, window = (np.concatenate(x) for x in zip(*found, strict=True))
+        return start, window
+
+    def _same_words(self, w: Words, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for j in range(self.words.shape[1]):
             short = self.length[window] <= j
             same = short | (w.hashes[np.where(short, 0, start + j)] == self.hashes[self.words[window, j]])
             start, window = start[same], window[same]
-        return self._same_bytes(w, start, window)
+        return start, window
 
     def _same_bytes(self, w: Words, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Those whose words are the same, byte by byte; each word of the block is compared once."""
@@ -203,9 +241,15 @@ def _rank(base: str, parts: int):
             own[np.arange(own.shape[1]) >= p.length[:, None]] = np.iinfo(np.int64).max
             offset = own.argmin(axis=1)
             rarest = p.hashes[p.words[np.arange(len(offset)), offset]]
-            order = np.argsort(rarest, kind="stable")
-            keys, begin, count = np.unique(rarest[order], return_index=True, return_counts=True)
-            write_arrays(base, f"rarest-{part}", [keys, begin, count, order, offset])
+            # of each word, the places it has in its windows, with their lengths: at most 55 pairs of ten and fewer
+            keys, number = np.unique(rarest, return_inverse=True)
+            width = own.shape[1] + 1
+            forms = np.unique((number * width + offset) * width + p.length)
+            begin = np.searchsorted(forms, np.arange(len(keys)) * width * width)
+            count = np.diff(np.concatenate([begin, [len(forms)]]))
+            whole = p.whole()
+            order = np.argsort(whole, kind="stable")
+            write_arrays(base, f"rarest-{part}", [keys, begin, count, forms // width % width, forms % width, offset, whole[order], order])
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64())})
 
     return run

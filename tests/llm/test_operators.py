@@ -675,3 +675,44 @@ def test_contamination(spark, part):
     assert clean.columns == twins.columns
     left = [(r.doc_id if r.doc_id is not None else -1, r.lang) for r in clean.collect()]
     assert sorted(left) == sorted((w[0], x) for w in want if not w[2] for x in "pq")
+
+
+def ranked_part(tmp_path, windows, text):
+    """A part of an index over these windows, ranked by the text's own words, and the text's words."""
+    build, rank = decontaminate._build(str(tmp_path)), decontaminate._rank(str(tmp_path), 1)
+    rows = pa.RecordBatch.from_pydict({"part": pa.array([0] * len(windows), pa.int64()), "number": pa.array(range(len(windows)), pa.int64()), "window": pa.array([b"\0".join(w) for w in windows], pa.binary())})
+    list(build([rows]))
+    (counted,) = list(decontaminate._counts(str(tmp_path), 1)([pa.RecordBatch.from_pydict({"text": [text]})]))
+    list(rank([pa.concat_batches([pa.RecordBatch.from_pydict({"part": pa.array([0], pa.int64()), "place": pa.array([-1], pa.int64()), "n": pa.array([0], pa.int64())}), counted])]))
+    decontaminate._open = ((), [])
+    data = text.encode()
+    return decontaminate.Part(str(tmp_path), 0).ranked(str(tmp_path), 0), decontaminate.split(np.frombuffer(data, np.uint8), np.array([0, len(data)]), decontaminate._INWORD)
+
+
+def test_windows_that_share_their_rarest_words(tmp_path):
+    rng = np.random.default_rng(3)
+    digit = [str(i).encode() for i in range(10)]
+    text = [digit[i] for i in rng.integers(0, 10, 3000)]
+    windows = list({tuple(digit[i] for i in rng.integers(0, 10, 10)) for _ in range(3000)} | {tuple(text[i : i + 10]) for i in range(0, 2900, 7)} | {tuple(text[5:9]), tuple(text[40:43]), (b"0", b"0")})
+    part, words = ranked_part(tmp_path, windows, b" ".join(text).decode())
+    place = {}
+    for k, w in enumerate(windows):
+        place.setdefault(w, k)
+    want = sorted((s, place[tuple(text[s : s + n])]) for n in (2, 3, 4, 10) for s in range(len(text) - n + 1) if tuple(text[s : s + n]) in place)
+    got = sorted(zip(*(x.tolist() for x in part.find(words)), strict=True))
+    assert got == want
+
+
+def test_memory_of_windows_that_share_their_rarest_words(tmp_path):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    digit = [str(i).encode() for i in range(10)]
+    windows = list({tuple(digit[i] for i in row) for row in rng.integers(0, 10, (100_000, 10)).tolist()})
+    text = " ".join(map(str, rng.integers(0, 10, 130_000).tolist()))
+    part, words = ranked_part(tmp_path, windows, text)
+    tracemalloc.start()
+    part.find(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20

@@ -243,7 +243,13 @@ def _rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 
 query("segment_metrics", _METRICS)(lambda fx: _rounded(aggregates.segment_metrics(_norm(fx)[0], _norm(fx)[2].drop("track")), "density_workspace", "proportion_truncated_segments", "proportion_extending_nucleotides"))
-query("metrics_table")(lambda fx: aggregates.metrics_table(aggregates.segment_metrics(_norm(fx)[0], _norm(fx)[2].drop("track"))))
+_SIX = ("min", "max", "mean", "median", "stddev", "sum", "q1", "q3")
+query(
+    "metrics_table",
+    f"""select track, metric, count(*) as nval, round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(median(v), 6) as median, round(stddev_pop(v), 6) as stddev, round(sum(v), 6) as sum,
+        round(list_sort(list(v))[count(*) // 4 + 1], 6) as q1, round(list_sort(list(v))[3 * count(*) // 4 + 1], 6) as q3, 'segments' as section
+        from (unpivot (select track, {", ".join(f"cast({m} as double) as {m}" for m in aggregates.METRICS)} from ({_METRICS})) on {", ".join(aggregates.METRICS)} into name metric value v) group by track, metric""",
+)(lambda fx: _rounded(aggregates.metrics_table(aggregates.segment_metrics(_norm(fx)[0], _norm(fx)[2].drop("track"))), *_SIX, digits=6))
 
 # --- workspaces ---------------------------------------------------------------------------------------------
 

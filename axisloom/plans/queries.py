@@ -169,7 +169,16 @@ def _bin_range(fx: Fixtures) -> DataFrame:
     return collections.bin_intervals(part, 5, "equal-range")
 
 
-@query("bin_intervals_equal_bases")
+@query(
+    "bin_intervals_equal_bases",
+    """with rows as (select 'chr0' as contig, p_partkey * 300 as s, p_partkey * 300 + 240 + p_size as e, p_size as v from part),
+    per as (select v, ceil(sum(sum(e - s)) over (order by v) * 5.0 / sum(sum(e - s)) over ()) - 1 as k, min(v) over () as lo from rows group by v),
+    edges as (select min(lo) as edge from per union all select v from (select k, min(v) as v, min(lo) as lo from per where k > 0 group by k) where v > lo),
+    binned as (select contig, s, e, v, (select count(*) from edges where edge <= v) - 1 as bin from rows),
+    runs as (select *, sum(opens) over (partition by contig order by s, e, v rows unbounded preceding) as run from (
+        select *, case when bin = lag(bin) over (partition by contig order by s, e, v) then 0 else 1 end as opens from binned))
+    select contig, min(s) as "start", arg_max(e, (s, e, v)) as "end", cast(bin as int) as bin from runs group by contig, run, bin""",
+)
 def _bin_bases(fx: Fixtures) -> DataFrame:
     part = fx.table("part").select(F.lit("chr0").alias("contig"), (F.col("p_partkey") * 300).alias("start"), (F.col("p_partkey") * 300 + 240 + F.col("p_size")).alias("end"), F.col("p_size").alias("score"))
     return collections.bin_intervals(part, 5, "equal-bases")
@@ -211,6 +220,32 @@ def _density(name: str, query_name: str, size: str) -> None:
 _density("nucleotide-density", "observed_nucleotide_density", "sum(e - s)")
 _density("nucleotide-density-compat", "observed_nucleotide_density_compat", "count(*)")
 query("observed_points_in_segments", "select 'nucleotide-overlap' as counter, n.track, n.annotation, cast(coalesce(v, 0) as double) as observed from (select s.track, p.track as annotation from (select distinct track from nseg) s, (select distinct track from pts) p) n left join (select s.track, p.track as annotation, count(*) as v from nseg s join pts p on s.contig = p.contig and p.pos >= s.s and p.pos < s.e group by all) x on n.track = x.track and n.annotation = x.annotation")(lambda fx: counters.observed("nucleotide-overlap", algebra.normalize(fx.segments), fx.points, algebra.normalize(fx.workspace)))
+
+# all six measures take points as annotations: a point is its own middle, and counts for itself
+_POINTS = {
+    "nucleotide-overlap": "select s.track, p.track as annotation, cast(count(*) as double) as v from nseg s join pts p on s.contig = p.contig and p.pos >= s.s and p.pos < s.e group by all",
+    "nucleotide-density": "select track, annotation, sum(k / w) as v from (select s.track, p.track as annotation, contig, count(*) as k from nseg s join pts p using (contig) where p.pos >= s.s and p.pos < s.e group by all) join (select contig, sum(e - s) as w from nws group by contig) using (contig) group by all",
+    "segment-overlap": "select s.track, p.track as annotation, count(distinct (s.contig, s.s)) as v from nseg s join pts p on s.contig = p.contig and p.pos >= s.s and p.pos < s.e group by all",
+    "segment-midoverlap": "select s.track, p.track as annotation, count(distinct (s.contig, s.s)) as v from nseg s join pts p on s.contig = p.contig and p.pos = s.s + (s.e - s.s) // 2 group by all",
+}
+_POINTS["annotation-overlap"] = _POINTS["annotation-midoverlap"] = _POINTS["nucleotide-overlap"]
+
+
+def _points_measured(fx: Fixtures) -> DataFrame:
+    s, w = algebra.normalize(fx.segments), algebra.normalize(fx.workspace)
+    each = [counters.observed(name, s, fx.points, w) for name in _POINTS]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return _rounded(out, "observed")
+
+
+query(
+    "observed_points_all",
+    "with found as ("
+    + " union all ".join(f"select '{name}' as counter, track, annotation, cast(v as double) as v from ({body})" for name, body in _POINTS.items())
+    + f") select counter, n.track, n.annotation, round(coalesce(v, 0), 9) as observed from (select counter, s.track, p.track as annotation from (select distinct track from nseg) s, (select distinct track from pts) p, (select unnest({list(_POINTS)}) as counter)) n left join found using (counter, track, annotation)",
+)(_points_measured)
 query("nearest_annotation", "select s.track, s.contig, s.s as \"start\", s.e as \"end\", a.track as annotation, min(greatest(a.s - s.e, s.s - a.e, 0)) as distance from nseg s join nann a on s.contig = a.contig group by all")(lambda fx: counters.nearest_distance(*_norm(fx)[:2]))
 query("nearest_distance", "select s.track, s.contig, s.s as \"start\", s.e as \"end\", a.track as annotation, min(greatest(a.s - s.e, s.s - a.e, 0)) as distance from nseg s join nann a on s.contig = a.contig and a.s - 40 < s.e and s.s < a.e + 40 group by all")(lambda fx: counters.nearest_distance(*_norm(fx)[:2], 40))
 
@@ -292,7 +327,8 @@ def _across(fx: Fixtures) -> DataFrame:
 # over all strata of a contig, bases are those of the segments
 query("sample_across_isochores", f"select c.track, c.contig, cast(sample_id as int) as sample_id, cast(sum(least(c.e, i.e) - greatest(c.s, i.s)) as bigint) as length from cutseg c join niso i on c.contig = i.contig and c.s < i.e and i.s < c.e, (select unnest(range(0, 2)) as sample_id) group by all")(_across)
 query("sample_segments", "select track, cast(sample_id as int) as sample_id, count(*) as nsegments from insegs, (select unnest(range(0, 2)) as sample_id) group by all")(lambda fx: _sampler("segments")(fx).drop("length"))
-query("sample_uniform")(_sampler("uniform", increment=97))
+# starts at regular places leave number and lengths as they are
+query("sample_uniform", f"select track, cast(sample_id as int) as sample_id, count(*) as nsegments, {_LEN} as length from insegs, (select unnest(range(0, 2)) as sample_id) group by all")(_sampler("uniform", increment=97))
 query("sample_shift")(_sampler("shift"))
 query("sample_local_permutation")(_sampler("local-permutation"))
 query("sample_brute_force")(_sampler("brute-force", inner=2000, outer=50))
@@ -346,8 +382,20 @@ _PI0 = " + ".join(f"({w!r}) * (select count(*) filter (pvalue >= {x!r}) / count(
 query("qvalue_storey", f"select id, round(pvalue, 9) as pvalue, round(least(1.0, min(pvalue * least(1.0, {_PI0}) * n / i) over (order by i desc)), 9) as qvalue from {_RANKED}")(lambda fx: _rounded(statistics.storey_q(_pvalues(fx)), "pvalue", "qvalue"))
 query("qvalue_storey_lambda", f"select id, round(pvalue, 9) as pvalue, round(least(1.0, min(pvalue * least(1.0, (select count(*) filter (pvalue >= 0.5) / count(*) / 0.5 from {_PV})) * n / i) over (order by i desc)), 9) as qvalue from {_RANKED}")(lambda fx: _rounded(statistics.storey_q(_pvalues(fx), grid=[0.5]), "pvalue", "qvalue"))
 query("qvalue_storey_bootstrap")(lambda fx: statistics.storey_q(_pvalues(fx), method="bootstrap"))
-query("fdr_empirical")(lambda fx: statistics.empirical_fdr(*_counts(fx)))
-query("pvalue_normal")(lambda fx: statistics.normal_p(_enriched(fx)))
+query(
+    "fdr_empirical",
+    """with per as (select value, n, mean, (select count(*) from val w where w.track = v.track and w.annotation = v.annotation and w.value < v.value) as lt, (select count(*) from val w where w.track = v.track and w.annotation = v.annotation and w.value <= v.value) as le
+        from (select *, count(*) over (partition by track, annotation) as n, avg(value) over (partition by track, annotation) as mean from val) v),
+    ps as (select greatest(1.0 / n, (case when value > mean then case when lt > 0 then n - lt else n - 1 end else le end) / n) as p from per)
+    select 'nucleotide-overlap' as counter, track, annotation, round(pvalue, 9) as pvalue, round(least(1.0, (select count(*) from ps where p <= r.pvalue) / 20 / (select count(*) from enr e where e.pvalue <= r.pvalue)), 9) as fdr from enr r""",
+)(lambda fx: _rounded(statistics.empirical_fdr(*_counts(fx)), "pvalue", "fdr"))
+# the tail by the series of odd powers over double factorials; beyond 8 standard deviations it is 0 to 9 places
+query(
+    "pvalue_normal",
+    f"""select 'nucleotide-overlap' as counter, track, annotation, observed, {", ".join(f"round({c}, 6) as {c}" for c in _STATS[:-1])}, cast(20 as bigint) as nsamples, round(case when stddev = 0 then 1 when z > 8 then 0 when z = 0 then 0.5
+        else 0.5 - (select sum(exp((2 * k + 1) * ln(z) - (k + 1) * ln(2) - lgamma(k + 1.5) + ln(pi()) / 2 - z * z / 2 - ln(2 * pi()) / 2)) from (select unnest(range(0, 300)) as k)) end, 9) as pvalue
+        from (select *, case when stddev > 0 then abs(observed - expected) / stddev end as z from enr)""",
+)(lambda fx: _rounded(_rounded(statistics.normal_p(_enriched(fx)), *_STATS[:-1], digits=6), "pvalue"))
 
 # --- whole analyses --------------------------------------------------------------------------------------------------
 
@@ -368,17 +416,38 @@ def _great(fx: Fixtures, counter: str) -> DataFrame:
 
 query("great_binom", _GREAT_SQL.format(o="k", of="n_"))(lambda fx: _great(fx, "binom").drop("pvalue"))
 query("great_hyperg", _GREAT_SQL.format(o="x", of="s"))(lambda fx: _great(fx, "hyperg").drop("pvalue"))
-query("great_binom_pvalue")(lambda fx: _great(fx, "binom"))
-query("great_hyperg_pvalue")(lambda fx: _great(fx, "hyperg"))
-query(
-    "geneset_counts",
-    """select f.track, f.term as annotation, total, annotated, cast(drawn as bigint) as drawn, cast(coalesce(observed, 0) as bigint) as observed, round(drawn * annotated / total, 6) as expected
+
+
+def _log_choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1.0) - lgamma({k} + 1.0) - lgamma({n} - {k} + 1.0))"
+
+
+# tails term by term; logarithms of factorials of so many bases leave six (five) places
+_BINOM = f"exp({_log_choose('n', 'i')} + i * ln(a / w) + (n - i) * ln(1 - a / w))"
+_HYPERG = f"exp({_log_choose('a', 'i')} + {_log_choose('(w - a)', '(s - i)')} - {_log_choose('w', 's')})"
+
+
+def _great_tail(o: str, of: str, term: str, first: str, last: str, digits: int) -> str:
+    return f"""with g as materialized ({_GREAT_SQL.format(o=o, of=of)}),
+    t as (select track, annotation, sum({term}) as p from (select track, annotation, nsegments_in_workspace as n, basecoverage_annotation as a, basecoverage_workspace as w, basecoverage_segments as s, unnest(range({first}, {last} + 1)) as i from g) group by all)
+    select g.*, round(least(1.0, coalesce(p, 0)), {digits}) as pvalue from g left join t using (track, annotation)"""
+
+
+query("great_binom_pvalue", _great_tail("k", "n_", _BINOM, "cast(observed as bigint)", "nsegments_in_workspace", 6))(lambda fx: _rounded(_great(fx, "binom"), "pvalue", digits=6))
+query("great_hyperg_pvalue", _great_tail("x", "s", _HYPERG, "greatest(cast(observed as bigint) + 1, basecoverage_segments + basecoverage_annotation - basecoverage_workspace)", "least(basecoverage_annotation, basecoverage_segments)", 5))(lambda fx: _rounded(_great(fx, "hyperg"), "pvalue", digits=5))
+_GENESET = """select f.track, f.term as annotation, total, annotated, cast(drawn as bigint) as drawn, cast(coalesce(observed, 0) as bigint) as observed, round(drawn * annotated / total, 6) as expected
     from (select * from (select distinct track from nseg), (select term, count(distinct gene_id) as annotated from terms group by term)) f
-    join (select track, count(*) as drawn from nseg s join genes g on s.contig = g.contig and s.s < g.e and g.s < s.e group by s.track) d on f.track = d.track
+    join (select s.track, count(*) as drawn from nseg s join genes g on s.contig = g.contig and s.s < g.e and g.s < s.e group by s.track) d on f.track = d.track
     left join (select s.track, t.term, count(*) as observed from nseg s join genes g on s.contig = g.contig and s.s < g.e and g.s < s.e join (select distinct * from terms) t on t.gene_id = g.track group by all) o on f.track = o.track and f.term = o.term,
-    (select count(*) as total from (select distinct track from genes))""".replace("select track, count(*) as drawn", "select s.track, count(*) as drawn"),
-)(lambda fx: analysis.geneset(algebra.normalize(fx.segments), fx.genes, fx.gene_terms).select("track", "annotation", "total", "annotated", "drawn", "observed", F.round("expected", 6).alias("expected")))
-query("geneset_hyperg")(lambda fx: analysis.geneset(algebra.normalize(fx.segments), fx.genes, fx.gene_terms))
+    (select count(*) as total from (select distinct track from genes))"""
+query("geneset_counts", _GENESET)(lambda fx: analysis.geneset(algebra.normalize(fx.segments), fx.genes, fx.gene_terms).select("track", "annotation", "total", "annotated", "drawn", "observed", F.round("expected", 6).alias("expected")))
+query(
+    "geneset_hyperg",
+    f"""with g as materialized ({_GENESET}), d as (select *, least(drawn, total) as took from g),
+    t as (select track, annotation, sum(exp({_log_choose('annotated', 'i')} + {_log_choose('(total - annotated)', '(took - i)')} - {_log_choose('total', 'took')})) as p
+        from (select *, unnest(range(greatest(observed, took + annotated - total), least(annotated, took) + 1)) as i from d) group by all)
+    select g.*, round(case when observed > 0 and drawn * annotated > 0 then observed / (drawn * annotated / total) else 1.0 end, 6) as fold, round(case when observed > 0 then least(1.0, coalesce(p, 0)) else 1.0 end, 6) as pvalue from g left join t using (track, annotation)""",
+)(lambda fx: _rounded(analysis.geneset(algebra.normalize(fx.segments), fx.genes, fx.gene_terms), "expected", "fold", "pvalue", digits=6))
 
 _DELTA = """select {out}, round(avg(ln((a.observed / (va.value + 1) + 0.0001) / (b.observed / (vb.value + 1) + 0.0001)) + b.fold - a.fold), 6) as expected, round(b.fold - a.fold, 6) as observed
     from enr a join enr b on {on} join val va on va.track = a.track and va.annotation = a.annotation join val vb on vb.track = b.track and vb.annotation = b.annotation and vb.sample_id = va.sample_id group by {by}, a.fold, b.fold"""

@@ -68,6 +68,21 @@ def normal_p(results: DataFrame) -> DataFrame:
     return results.withColumn("pvalue", F.when(F.col("stddev") > 0, special.normal_sf(F.when(F.col("stddev") > 0, z).otherwise(F.lit(0.0)))).otherwise(F.lit(1.0)))
 
 
+def two_sided_p(observed: DataFrame, sampled: DataFrame) -> DataFrame:
+    """counter, track, annotation, observed, below, upto, nsamples, pvalue: a tail chosen by rank instead of by the mean.
+
+    Of n samples, `below` are smaller than the observed value and `upto` no larger. Where more than half are
+    smaller it is the share from the last smaller one on (if any equals the value) or of the larger ones
+    (if none does), else that of those no larger; 1/n at least, as it is where all are smaller.
+    """
+    v, o = F.col("value"), F.col("observed")
+    per = observed.join(sampled, PAIR).groupBy(*PAIR, "observed").agg(F.count_if(v < o).alias("below"), F.count_if(v <= o).alias("upto"), F.count("*").alias("nsamples"))
+    n, below, upto = F.col("nsamples"), F.col("below"), F.col("upto")
+    last = F.when(upto > below, below - 1).otherwise(below)
+    tail = F.when(below == n, 1 / n).when(below > n / 2, 1 - last / n).otherwise(upto / n)
+    return per.withColumn("pvalue", F.greatest(1 / n, tail))
+
+
 def update_p(results: DataFrame, method: str = "empirical") -> DataFrame:
     if method in ("norm", "normal"):
         return normal_p(results)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import algebra
+from . import algebra, names
 
 
 def _bases() -> Column:
@@ -28,6 +28,15 @@ def _placed(ids: DataFrame) -> DataFrame:
     return algebra.normalize(ids.select(F.col("id").alias("track"), "contig", "start", "end"))
 
 
+def one_name(sets: DataFrame, ids: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sets and ids with the smallest of its synonyms (pairs name, synonym) for each id, for all that follows.
+
+    Intervals of synonyms become those of one id, and sets that differ by synonyms only become alike.
+    """
+    found = names.classes(synonyms)
+    return names.renamed(sets, found, "id"), names.renamed(ids, found, "id")
+
+
 def unused(ids: DataFrame, sets: DataFrame) -> DataFrame:
     """id: those with intervals that no set names."""
     return ids.select("id").distinct().join(_pairs(sets), "id", "left_anti")
@@ -59,7 +68,7 @@ def cleaned(sets: DataFrame, ids: DataFrame, workspace: DataFrame) -> DataFrame:
     return _pairs(sets).join(inside, "id", "left_semi").join(good, "annotation", "left_semi")
 
 
-def supported(observed: DataFrame, sampled: DataFrame, least: float) -> DataFrame:
+def supported(observed: DataFrame, sampled: DataFrame, least: float | Column) -> DataFrame:
     """Observed rows of the pairs whose observed value and mean of samples are both `least` or more."""
     on = ["counter", "track", "annotation"]
     enough = sampled.groupBy(*on).agg(F.avg("value").alias("mean")).filter(F.col("mean") >= least)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import special, statistics
 from ..operators import algebra, collections, counters, samplers, workspaces
 from ..storage import kept
+from .metrics import Metrics
 
 MOST_TRACKS = 1000
 
@@ -86,14 +87,20 @@ def extended(results: DataFrame, segments: DataFrame, annotations: DataFrame, wo
     return out.drop("_space")
 
 
-def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, isochores: DataFrame | None = None, options: Options | None = None, reference: DataFrame | None = None) -> DataFrame:
+def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, isochores: DataFrame | None = None, options: Options | None = None, reference: DataFrame | None = None, metrics: Metrics | None = None) -> DataFrame:
     """One row per counter, track and annotation, with all result columns.
 
     Where the workspace depends on the track or annotation, each has its own copy of what it is judged
     with, on axes of its own: intervals, samples and counts of one workspace never meet another's.
+    metrics takes down what inputs, scope and results hold, and the seconds until they are kept.
     """
-    o = options or Options()
-    s, a, w = map(kept, build_inputs(segments, annotations, workspaces_, o.overlapping_annotations))
+    o, m = options or Options(), metrics or Metrics()
+
+    def watched(tables: tuple[DataFrame, ...], what: str) -> list[DataFrame]:
+        with m.timed(what):
+            return [kept(m.watch(x, f"{name} {what}")) for x, name in zip(tables, ("segments", "annotations", "workspace"), strict=True)]
+
+    s, a, w = watched(build_inputs(segments, annotations, workspaces_, o.overlapping_annotations), "given")
     by = workspaces.CONDITIONS.get(o.workspace_generator, ())
     # zeros are completed for these names, also where a scope leaves nothing of them
     s0, a0 = s, a
@@ -103,7 +110,7 @@ def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, iso
     s, a, w = workspaces.WORKSPACES[o.workspace_generator](**o.workspace_options)(s, a, w)
     if by:
         w = w.drop("track")
-    s, a, w = map(kept, apply_scope(s, a, w, isochores, o.truncate_segments_to_workspace))
+    s, a, w = watched(apply_scope(s, a, w, isochores, o.truncate_segments_to_workspace), "in scope")
     observed, sampled = None, None
     if not o.fused:
         sets = kept(samplers.sample(s, w, o.nsamples, o.sampler, o.seed, **o.sampler_options))
@@ -117,7 +124,8 @@ def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, iso
         sampled = samplers.sampled_counts(s, a, w, o.nsamples, o.counters, o.sampler, o.seed, **o.sampler_options)
     if by:
         observed, sampled = _with_zeros(observed, s0, a0, o), _with_zeros(sampled, s0, a0, o, True)
-    return finish(observed, sampled, o, reference, (s, a, w, by))
+    with m.timed("results"):
+        return finish(observed, m.watch(sampled, "sampled counts"), o, reference, (s, a, w, by))
 
 
 def _with_zeros(counts: DataFrame, segments: DataFrame, annotations: DataFrame, o: Options, sampled: bool = False) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import special, statistics
-from ..operators import aggregates, algebra, collections, counters, id_sets, points, samplers, workspaces
+from ..operators import aggregates, algebra, collections, counters, id_sets, names, points, samplers, workspaces
 from ..sources import bed, tables
 from ..sources.fixtures import VIEWS, Fixtures
 from ..storage import new_path
 from ..streaming.sessions import sessions
 from . import analysis
+from .metrics import Metrics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,6 +88,8 @@ def with_ctes(body: str) -> str:
             wanted.add(n)
             todo += _NEEDS[n]
     used = [f"{n} as ({CTES[n]})" for n in CTES if n in wanted]
+    if used and body.startswith("with recursive "):
+        return f"with recursive {', '.join(used)}, {body.removeprefix('with recursive ')}"
     if used and body.startswith("with "):
         return f"with {', '.join(used)}, {body.removeprefix('with ')}"
     return (f"with {', '.join(used)} " if used else "") + body
@@ -498,6 +501,40 @@ query("run_annotation_centered", _dummy_sql(_around("nann"), "sp.track = pr.anno
 query("run_segment_centered", _dummy_sql(_around("nseg"), "sp.track = pr.track"))(lambda fx: _dummy_run(fx, "segment-centered", extension=60))
 query("sampled_counts_dummy", "select 'nucleotide-overlap' as counter, n.track, n.annotation, cast(sample_id as int) as sample_id, cast(coalesce(v, 0) as double) as value from names n cross join (select unnest(range(0, 3)) as sample_id) left join (select s.track, a.track as annotation, sum(least(s.e, a.e) - greatest(s.s, a.s)) as v from insegs s join nann a on s.contig = a.contig and s.s < a.e and a.s < s.e group by all) x on n.track = x.track and n.annotation = x.annotation")(lambda fx: samplers.sampled_counts(*_norm(fx), 3, sampler="dummy"))
 
+
+def _run_metrics(fx: Fixtures) -> DataFrame:
+    m = Metrics()
+    o = analysis.Options(nsamples=2, sampler="dummy")
+    # results are planned when run() returns; what they read of the samples has been written by then
+    analysis.run(fx.segments, fx.annotations, fx.workspace, options=o, metrics=m)
+    return m.table(fx.spark).filter("metric <> 'seconds'")
+
+
+_SIZES = {"segments given": "nseg", "annotations given": "nann", "workspace given": "nws", "segments in scope": "insegs", "annotations in scope": "cutann", "workspace in scope": "nws"}
+query(
+    "run_metrics",
+    " union all ".join(f"select '{step}' as step, unnest(['rows', 'bases']) as metric, unnest([cast(count(*) as double), cast(sum(e - s) as double)]) as value from {of}" for step, of in _SIZES.items())
+    + " union all select 'sampled counts', 'rows', cast(count(*) * 2 as double) from names",
+)(_run_metrics)
+
+
+def _finished(fx: Fixtures) -> DataFrame:
+    out = analysis.finish(*_counts(fx), analysis.Options())
+    return _rounded(out.select("track", "annotation", "observed", "pvalue", "qvalue"), "pvalue", "qvalue")
+
+
+_PI0_RUN = _PI0.replace(_PV, "enr")
+query(
+    "run_p_and_q",
+    f"""select track, annotation, observed, round(pvalue, 9) as pvalue, round(case when q > 0 then q when pvalue = 0 then 0.0 else 1.0 end, 9) as qvalue from (
+        select *, least(1.0, min(pvalue * least(1.0, {_PI0_RUN}) * n / i) over (order by pvalue desc)) as q from (select *, count(*) over (order by pvalue) as i, count(*) over () as n from enr))""",
+)(_finished)
+query(
+    "pvalue_two_sided",
+    """select 'nucleotide-overlap' as counter, track, annotation, observed, below, upto, nsamples, round(greatest(1 / nsamples, case when below = nsamples then 1 / nsamples when below > nsamples / 2 then 1 - (case when upto > below then below - 1 else below end) / nsamples else upto / nsamples end), 9) as pvalue
+        from (select track, annotation, observed, count(*) filter (value < observed) as below, count(*) filter (value <= observed) as upto, count(*) as nsamples from obs join val using (track, annotation) group by all)""",
+)(lambda fx: _rounded(statistics.two_sided_p(*_counts(fx)), "pvalue"))
+
 # --- what files give back -----------------------------------------------------------------------------------------
 
 
@@ -571,6 +608,30 @@ def _workspace_lines(fx: Fixtures) -> DataFrame:
     return tables.read_predecessor(fx.spark, path)["workspace"]
 
 
+def _iterations(fx: Fixtures) -> DataFrame:
+    """Hashed samples of a track as a file of the older format, a line per contig, and read from it."""
+    path = new_path(fx.spark)
+    x = samplers.shift_by_hash(algebra.normalize(fx.segments), 3)
+    spans = F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda i: F.concat(F.lit("("), i["start"].cast("string"), F.lit(","), i["end"].cast("string"), F.lit(")")))
+    per = x.groupBy("track", "sample_id", "contig").agg(F.concat_ws("\t", F.lit("##Segments"), F.first("contig"), F.array_join(spans, "\t")).alias("value"))
+    heads = x.select("track", "sample_id").distinct().select("track", "sample_id", F.lit("").alias("contig"), F.concat(F.lit("##Iteration\t"), F.col("sample_id").cast("string")).alias("value"))
+    heads.unionByName(per).repartition("track").sortWithinPartitions("track", "sample_id", "contig").select("track", "value").write.partitionBy("track").text(path)
+    return bed.load_iterations(fx.spark, f"{path}/*/*.txt").select(F.regexp_extract("path", "track=([^/]+)", 1).alias("track"), "sample_id", "contig", "start", "end")
+
+
+query("iterations_file", 'select track, cast(sample_id as int) as sample_id, contig, s as "start", e as "end" from smp where sample_id < 3')(_iterations)
+
+
+def _sections(fx: Fixtures) -> DataFrame:
+    path = new_path(fx.spark)
+    given = {"segments_given": fx.segments, "segments_merged": algebra.normalize(fx.segments), "annotations_merged": algebra.normalize(fx.annotations), "workspace_merged": algebra.normalize(fx.workspace)}
+    names_ = tables.write_sections({n: aggregates.stats_rollup(x) for n, x in given.items()}, ["^seg.*merged", "workspace_merged"], path)
+    parts = [fx.spark.read.csv(f"{path}/{n}", sep="\t", header=True, schema="track string, contig string, nsegments long, length long").select(F.lit(n).alias("section"), "*") for n in names_]
+    return parts[0].unionByName(parts[1])
+
+
+query("sections_file", " union all ".join(f"select '{n}_merged' as section, track, coalesce(contig, 'total') as contig, count(*) as nsegments, {_LEN} as length from {of} group by rollup (track, contig) having track is not null" for n, of in (("segments", "nseg"), ("workspace", "nws"))))(_sections)
+
 _PART = "cast(p_partkey as varchar)"
 query("map_file", f"select p_brand as key, max_by({_PART}, p_partkey) as value from part group by p_brand")(lambda fx: tables.read_map(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_partkey")))
 query("map_file_both", f"select p_brand as key, max_by({_PART}, p_partkey) as value from part group by p_brand union all select {_PART}, p_brand from part")(lambda fx: tables.read_map(fx.spark, _file(fx, fx.table("part"), "p_brand", "p_partkey"), both_directions=True))
@@ -637,6 +698,36 @@ _REPORT = f"""with pairs as (select distinct annotation, id from {_SETS}), insid
     named as (select *, case when n_left > 0 then min(annotation) over (partition by ids) end as first from each)"""
 query("set_report", f"{_REPORT} select annotation, n_ids, n_undefined, n_outside, n_left, case when first <> annotation then first end as same_as, coalesce(first = annotation, false) as kept from named")(lambda fx: id_sets.report(*_id_sets(fx)))
 query("set_cleaned", f"{_REPORT} select annotation, id from pairs where id in (select id from inside) and annotation in (select annotation from named where first = annotation)")(lambda fx: id_sets.cleaned(*_id_sets(fx)))
+# chains of forty, each closed to a cycle by its ends, and a pair given twice
+_CHAINS = "(select p_partkey as k, p_partkey + 1 as l from part where p_partkey % 50 < 39 union all select p_partkey, p_partkey + 39 from part where p_partkey % 50 = 0 union all select p_partkey + 1, p_partkey from part where p_partkey % 50 = 7)"
+
+
+def _synonyms(fx: Fixtures) -> DataFrame:
+    k = F.col("p_partkey")
+    part = fx.table("part")
+    pairs = part.filter(k % 50 < 39).select(k.alias("k"), (k + 1).alias("l")).union(part.filter(k % 50 == 0).select(k, k + 39)).union(part.filter(k % 50 == 7).select(k + 1, k))
+    return pairs.select(*[F.concat(F.lit("gene"), F.col(c).cast("string")).alias(n) for c, n in (("k", "name"), ("l", "synonym"))])
+
+
+def _one_name(fx: Fixtures) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sets, ids, space = _id_sets(fx)
+    return *id_sets.one_name(sets, ids, _synonyms(fx)), space
+
+
+_CLASSES = f"""syn as (select concat('gene', cast(k as varchar)) as a, concat('gene', cast(l as varchar)) as b from {_CHAINS}), ties as (select a, b from syn union select b, a from syn),
+    reach as (select a, a as b from ties union select r.a, t.b from reach r join ties t on r.b = t.a), classes as (select a as name, min(b) as least from reach group by a)"""
+_NAMED = "with recursive " + _CLASSES + ", allgenes as (select * from genes), g2 as materialized (select coalesce(least, track) as track, contig, s, e from allgenes left join classes on track = name), sets2 as (select annotation, coalesce(least, id) as id from " + _SETS + " left join classes on id = name), " + _REPORT.removeprefix("with ").replace(_SETS, "sets2").replace("genes", "g2")
+query("synonym_classes", f"with recursive {_CLASSES} select name, least from classes")(lambda fx: names.classes(_synonyms(fx)))
+query("set_report_synonyms", f"{_NAMED} select annotation, n_ids, n_undefined, n_outside, n_left, case when first <> annotation then first end as same_as, coalesce(first = annotation, false) as kept from named")(lambda fx: id_sets.report(*_one_name(fx)))
+query("set_cleaned_synonyms", f"{_NAMED} select annotation, id from pairs where id in (select id from inside) and annotation in (select annotation from named where first = annotation)")(lambda fx: id_sets.cleaned(*_one_name(fx)))
+
+
+def _supported(fx: Fixtures) -> DataFrame:
+    seen, values = _counts(fx)
+    return id_sets.supported(seen, values, seen.agg(F.avg("observed")).scalar())
+
+
+query("supported_pairs", "select 'nucleotide-overlap' as counter, track, annotation, observed from obs join (select track, annotation, avg(value) as mean from val group by all) using (track, annotation) where least(observed, mean) >= (select avg(observed) from obs)")(_supported)
 query("set_unused_ids", f"select track as id from genes where track not in (select gene_id from terms where term like 'Brand#1%')")(lambda fx: id_sets.unused(_id_sets(fx)[1], _id_sets(fx)[0].filter("annotation like 'Brand#1%' and annotation not like '% again'")))
 query("strata_mutual_overlap", "select a.contig, a.track, b.track as other, cast(sum(least(a.e, b.e) - greatest(a.s, b.s)) as bigint) as bases from nwsall a join nwsall b on a.contig = b.contig and a.track < b.track and a.s < b.e and b.s < a.e group by all")(lambda fx: id_sets.mutual_overlap(fx.workspaces))
 query("axis_support", f"select track, contig, size, count(*) as n_pieces, {_LEN} as bases, round({_LEN} / size, 9) as density, round(avg(e - s), 6) as mean, round(stddev_pop(e - s), 6) as sd from cutseg join (select contig, {_LEN} as size from nws group by contig) using (contig) group by track, contig, size")(lambda fx: _rounded(_rounded(id_sets.support(fx.segments, fx.workspace), "density"), "mean", "sd", digits=6))

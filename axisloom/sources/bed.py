@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import lines
@@ -106,5 +107,23 @@ def save_samples_bed(samples: DataFrame, path: str, mode: str = "errorifexists")
     rows_.select("track", "value").write.mode(mode).partitionBy("track").text(path)
 
 
+def load_iterations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path, sample_id, contig, start, end of samples in the older text format.
+
+    An `##Iteration` line begins a sample, the first of a file being 0; a `##Segments` line holds a contig
+    and its intervals as (start,end). What stands before the first sample has no sample_id.
+    """
+    found = lines.read(spark, paths).withColumn("_new", F.col("value").startswith("##Iteration").cast("int"))
+    # numbers run within a split, and go on from the sum of the splits before it
+    own = F.sum("_new").over(W.partitionBy("path", "block").orderBy("n").rowsBetween(W.unboundedPreceding, W.currentRow))
+    before = F.sum("_sum").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    splits = found.groupBy("path", "block").agg(F.sum("_new").alias("_sum")).select("path", "block", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = found.withColumn("_own", own).filter(F.col("value").startswith("##Segments")).join(splits, ["path", "block"])
+    number = (F.col("_own") + F.col("_before") - 1).cast("int")
+    rows_ = numbered.select("path", F.when(number >= 0, number).alias("sample_id"), F.get(F.split("value", "\t"), F.lit(1)).alias("contig"), F.explode(F.regexp_extract_all("value", F.lit(r"(\(\d+,\s*\d+\))"), 1)).alias("_x"))
+    cell = lambda k: F.regexp_extract("_x", r"\((\d+),\s*(\d+)\)", k).cast("long")
+    return rows_.select("path", "sample_id", "contig", cell(1).alias("start"), cell(2).alias("end"))
+
+
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,19 @@ def write_results(results: DataFrame, path: str, by: str = "fold", descriptions:
     out.coalesce(1).write.mode(mode).partitionBy("counter").csv(path, sep="\t", header=True)
 
 
+def wanted(sections: dict[str, DataFrame], patterns: list[str]) -> dict[str, DataFrame]:
+    """Of named tables those to be written: all where a pattern is `all`, else those whose name one is or is found in."""
+    return {name: df for name, df in sections.items() if any(p in ("all", name) or re.search(p, name) for p in patterns)}
+
+
+def write_sections(sections: dict[str, DataFrame], patterns: list[str], path: str, mode: str = "errorifexists") -> list[str]:
+    """Each wanted table as tab-separated files in a folder of its name; the names written."""
+    chosen = wanted(sections, patterns)
+    for name, df in chosen.items():
+        df.write.mode(mode).csv(f"{path}/{name}", sep="\t", header=True)
+    return list(chosen)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """A result table of 11 or 24 columns; `na` reads as null."""
     table = read_tabular(spark, path)

@@ -44,9 +44,20 @@ def is_kept(df: DataFrame) -> bool:
     return getattr(df, "_axisloom_path", None) is not None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def delete(df: DataFrame) -> None:
+    """Delete a table that kept() gave, once nothing reads it any more."""
+    if is_kept(df) and df._axisloom_path in _made:
+        _made.remove(df._axisloom_path)
+        _remove(df.sparkSession, df._axisloom_path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this process has kept; results that were not yet read can't be read after that."""
     for path in _made:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _remove(spark, path)
     _made.clear()

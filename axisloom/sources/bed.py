@@ -120,7 +120,9 @@ def load_iterations(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     splits = found.groupBy("path", "block").agg(F.sum("_new").alias("_sum")).select("path", "block", F.coalesce(before, F.lit(0)).alias("_before"))
     numbered = found.withColumn("_own", own).filter(F.col("value").startswith("##Segments")).join(splits, ["path", "block"])
     number = (F.col("_own") + F.col("_before") - 1).cast("int")
-    rows_ = numbered.select("path", F.when(number >= 0, number).alias("sample_id"), F.get(F.split("value", "\t"), F.lit(1)).alias("contig"), F.explode(F.regexp_extract_all("value", F.lit(r"(\(\d+,\s*\d+\))"), 1)).alias("_x"))
+    # what a row of the result needs of its line is taken from it once, before there are many rows of it
+    each = numbered.select("path", F.when(number >= 0, number).alias("sample_id"), F.regexp_extract("value", r"^##Segments\t([^\t]*)", 1).alias("contig"), F.regexp_extract_all("value", F.lit(r"(\(\d+,\s*\d+\))"), 1).alias("_all"))
+    rows_ = each.select("path", "sample_id", "contig", F.explode("_all").alias("_x"))
     cell = lambda k: F.regexp_extract("_x", r"\((\d+),\s*(\d+)\)", k).cast("long")
     return rows_.select("path", "sample_id", "contig", cell(1).alias("start"), cell(2).alias("end"))
 

@@ -2,10 +2,13 @@
 
 Three base patterns find assignments, access keys and hex strings. Beyond them, two character
 Markov models, one of random strings and one of ordinary identifiers, are trained from labelled
-samples; a run of token characters that no base span overlaps is a secret when the log-likelihood
-ratio of the models is high enough, in total and per character. All positions are code points.
+samples; a run of token characters, of any length, that no base span overlaps is a secret when the
+log-likelihood ratio of the models is high enough, in total and per character: the ratio itself asks
+for some ten characters. Runs of digits alone aren't told from ordinary numbers. All positions are
+code points.
 
-Positions come from the lengths of matches and of the text between them, summed in two levels of
+Each different run of a text is judged once; positions are made only in texts where one is a secret.
+They come from the lengths of matches and of the text between them, summed in two levels of
 blocks; base spans near a run are found by binary search, as each pattern's spans are apart and in
 order. So a text with n matches costs about n * log(n) small steps, and nothing is shuffled or grouped.
 What a lambda reads more than once is bound to a variable first (_let), as Catalyst would otherwise
@@ -33,22 +36,25 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # and the state before the first character
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{3,15}(?![A-Za-z0-9+/_=-])"
+RUN = r"[A-Za-z0-9+/_=-]+"
 SAMPLE_DOCS = 2000  # most documents that ordinary identifiers are sampled from
 SAMPLE_RANDOM = 2000  # random strings of each form
-# fixed values: words that identifiers are made of
-COMMON = """access account action address admin agent alert amount api archive article array asset async attribute audit author auto
-backup balance base batch binary block body branch bucket budget buffer build button bytes cache call card catalog category center
-change channel character check class client clock cloud cluster code collection color column command comment commit company compute
-config connection console constant container content context control cookie copy core count country create credit currency current
-customer data database date debug default delete department description design detail device directory document domain download driver
-edit element email enable end engine entry error event example exception export factory feature field file filter final first folder
-format forward frame function future gateway general global graph group handler hash header height helper history host http icon image
-import index info input install instance integer interface internal invoice item job key label language last layer layout level library"""
-# least log-likelihood ratio of a secret, and per character: random strings of 16 and more characters
-# have 1.6 per character and more, compounds of words 0.7 and less (tests measure both)
-TOTAL, MEAN = 20.0, 1.0
+# words that built-in samples of identifiers are made of
+COMMON = """access account action address admin agent alert amount api archive array async author auto backup balance batch binary block branch
+bucket button bytes cache card catalog channel check class client clock color column command config context crypto currency customer
+cycle data debug default delete deploy device domain dynamic edge email encrypt enqueue error example export extra feature fetch field
+filter flag folder gateway github graph group handler hash height history html hub identity image index input invoice item javascript
+json jump kernel key kubernetes layer ledger length level library lock lookup map matrix metric module network node notify object option
+oracle order owner package parent password path payload policy proxy python query queue quota random region registry report request
+resource result retry router schedule schema screen script search select server session shadow skype socket source sqlite stack status
+storage stream string struct submit switch symbol sync system table tag target task template tenant thread timezone token trace traffic
+transfer trigger tuple twig type unique update upload url user uuid value vector version video view virtual volume wallet webhook weekly
+widget window wizard worker wrapper write xml yaml year zero zip zone"""
+# least log-likelihood ratio of a secret, and per character: the first says that a run is worth 14 nats
+# more as a secret, so that about one run in a million may be one, and is what asks for some ten
+# characters; random strings have 1.2 per character and more, compounds of words 0.7 and less
+TOTAL, MEAN = 14.0, 0.9
+SMOOTH = 0.02  # weight of the classes of characters in the ordinary model
 
 _BLOCK = 64
 
@@ -101,7 +107,7 @@ def _spans(df: DataFrame, name: str, kind: int, pattern: str, least: int = 0, gr
     long_enough = F.filter(F.zip_with(whole, "_g", lambda x, g: F.struct(x.alias("x"), F.length(g).alias("n"))), lambda p: p["n"] >= least)
     spans = F.transform(long_enough, lambda p: p["x"]).cast(_SPAN)
     df = df.withColumn(name, F.when(F.size("_m") > 0, spans).otherwise(none))
-    return df.drop("_b", "_g", "_s") if name == "_run" else df.drop("_m", "_b", "_g", "_s")
+    return df.drop("_m", "_b", "_g", "_s")
 
 
 def _begun(starts: Column, end: Column) -> Column:
@@ -117,9 +123,8 @@ def _begun(starts: Column, end: Column) -> Column:
     return F.aggregate(halvings, zero, halve, lambda a: a["lo"])
 
 
-def _free(runs: Column, texts: Column, kinds: list[Column]) -> Column:
-    """(s, m) of the runs that no span of these kinds overlaps; spans of a kind are apart and sorted."""
-    free = F.zip_with(runs, texts, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+def _free(free: Column, kinds: list[Column]) -> Column:
+    """Those of the runs (s, m) that no span of these kinds overlaps; spans of a kind are apart and sorted."""
     for spans in kinds:
 
         def outside(pair: Column, spans: Column = spans) -> Column:
@@ -137,48 +142,83 @@ def _codes(text: Column) -> Column:
 
 
 def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMPLE_RANDOM) -> DataFrame:
-    """(text, secret): random strings of five forms, built-in names, and words and compounds of at most `limit` documents.
+    """(text, secret, origin): random strings of six forms, built-in names, and runs and compounds of at most `limit` documents.
 
-    The documents are those of the smallest hash of doc_id. What a base pattern matches is left out, and
-    so are strings as long as those that are judged, as unlabelled secrets may be among them.
+    The documents are those of the smallest hash of doc_id. Runs of any length count, but for what a
+    base pattern matches and what a first model, of the random strings and built-in names alone, finds.
     """
-    n = docs.sparkSession.range(size).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"))
+    spark = docs.sparkSession
+    n = spark.range(size).select("id", F.sha2(F.col("id").cast("string"), 256).alias("hex"))
     base64 = F.regexp_replace(F.base64(F.unhex("hex")), "=", "")
     letters = F.regexp_replace(base64, "[+/]", "")
-    forms = F.array(base64, letters, F.upper(F.substring(letters, 1, 36)), F.lower(F.substring(letters, 1, 36)), F.concat(F.substring(base64, 1, 20), F.lit("-"), F.substring("hex", 1, 12)))
-    random = n.select(F.explode(forms).alias("text"), F.lit(True).alias("secret"))
+    forms = F.array(base64, letters, F.upper(F.substring(letters, 1, 36)), F.lower(F.substring(letters, 1, 36)), F.concat(F.substring(base64, 1, 20), F.lit("-"), F.substring("hex", 1, 12)), F.col("hex"))
+    random = n.select(F.explode(forms).alias("text"), F.lit(True).alias("secret"), F.lit("random").alias("origin"))
+    known = random.unionByName(built_in(spark, size))
+    first = stored(train(known), "model").select("ratio").scalar()
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
-    words = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_extract_all(text, F.lit(WORD), 0).alias("w")).filter("size(w) > 0")
+    runs = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_extract_all(text, F.lit(RUN), 0).alias("w"))
+    runs = runs.withColumn("_ratio", first).select(F.filter("w", lambda m: ~_secret(m, F.col("_ratio"), TOTAL, MEAN)).alias("w")).filter("size(w) > 0")
     pairs = F.zip_with("w", F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), F.array(F.lit("id"))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("id")).alias("b")))
     forms = lambda p: F.array(p["a"], F.concat_ws("_", p["a"], p["b"]), F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.upper(F.concat_ws("-", p["a"], p["b"])), F.concat(p["a"], F.lit("/"), p["b"]))
-    ordinary = words.select(F.explode(F.flatten(F.transform(pairs, forms))).alias("text"), F.lit(False).alias("secret"))
-    return random.unionByName(built_in(docs.sparkSession, size)).unionByName(ordinary)
+    ordinary = runs.select(F.explode(F.flatten(F.transform(pairs, forms))).alias("text"), F.lit(False).alias("secret"), F.lit("documents").alias("origin"))
+    return known.unionByName(ordinary)
 
 
 def built_in(spark, size: int) -> DataFrame:
-    """Ordinary samples that any text may hold: compounds of common words, numbered names, dates, paths and rules."""
+    """Ordinary samples that any text may hold: compounds of common words, numbered names, dates, paths, rules and numbers."""
     words = F.split(F.lit(" ".join(COMMON.split())), " ")
     count = len(COMMON.split())
     pick = lambda step, plus: F.element_at(words, (F.pmod(F.col("id") * step + plus, F.lit(count)) + 1).cast("int"))
     n = spark.range(size).select("id", pick(1, 0).alias("a"), pick(7, 3).alias("b"), pick(31, 11).alias("c"), (F.col("id") % 97).cast("string").alias("k"), F.date_format(F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 7).cast("int")), "yyyy-MM-dd").alias("day"))
     names = [F.concat_ws("_", "a", "b", "c"), F.concat("a", F.initcap("b"), F.initcap("c")), F.concat(F.initcap("a"), F.initcap("b"), F.initcap("c")), F.upper(F.concat_ws("_", "a", "b", "c")), F.concat_ws("-", "a", "b", "k"), F.concat_ws("/", "a", "b", "c", "k"), F.upper(F.concat("a", "b")), F.concat("a", "k", F.lit("_"), "b"), F.concat_ws("-", "day", "a", "b"), F.concat_ws("=", "a", "k")]
     rules = [F.expr(f"repeat('{c}', cast(20 + id % 40 as int))") for c in "-=_/+"]
-    return n.select(F.explode(F.array(*names, *rules)).alias("text"), F.lit(False).alias("secret"))
+    numbers = [(F.col("id") * 7919 % 100000).cast("string"), (F.col("id") * 1037389 + 1000000000).cast("string")]
+    return n.select(F.explode(F.array(*names, *rules, *numbers)).alias("text"), F.lit(False).alias("secret"), F.lit("built-in").alias("origin"))
 
 
-def train(samples: DataFrame, smooth: float = 0.5) -> DataFrame:
-    """One row: `ratio`, the log-likelihood ratio of every (state, next state), by state * STATES + next."""
+def _class(state: Column) -> Column:
+    """Lower case, upper case, digits, then each other character by itself; 0 is the state before the first."""
+    return F.when(state == 0, 0).when(state <= 26, 1).when(state <= 52, 2).when(state <= 62, 3).otherwise(state - 59)
+
+
+def train(samples: DataFrame, smooth: float = 0.5, by_class: float = SMOOTH) -> DataFrame:
+    """One row: `ratio`, the log-likelihood ratio of every (state, next state), by state * STATES + next.
+
+    The random model is smoothed by a constant. The ordinary one gives each origin of samples that knows
+    a state the same weight, however many samples it has, and `by_class` to the classes of characters,
+    so that a step that no sample has costs what a rare one of its classes would.
+    """
     steps = samples.withColumn("c", _codes(F.col("text"))).withColumn("c", F.filter("c", lambda x: x > 0))
     pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.col("c")), F.col("c"), lambda a, b: a * STATES + b)
-    counted = steps.select("secret", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("step")).groupBy("step").agg(F.count_if("secret").alias("random"), F.count_if(~F.col("secret")).alias("ordinary"))
-    # both counts for each of the fixed number of steps, then per state
-    steps_of = samples.sparkSession.range(STATES * STATES, numPartitions=1).select(F.col("id").cast("int").alias("step"))
-    full = steps_of.join(counted, "step", "left").fillna(0, ["random", "ordinary"]).withColumn("state", F.floor(F.col("step") / STATES))
-    totals = full.groupBy("state").agg(F.sum("random").alias("all_random"), F.sum("ordinary").alias("all_ordinary"))
-    p = lambda n, all_: (F.col(n) + smooth) / (F.col(all_) + smooth * STATES)
-    ratio = full.join(totals, "state").select("step", F.log(p("random", "all_random") / p("ordinary", "all_ordinary")).alias("r"))
-    return ratio.agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "r"))), lambda x: x["r"]).alias("ratio"))
+    sorts = {"random": F.col("secret"), "built": ~F.col("secret") & (F.col("origin") == "built-in"), "own": ~F.col("secret") & (F.col("origin") != "built-in")}
+    counted = steps.select("secret", "origin", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("step")).groupBy("step").agg(*[F.count_if(of).alias(k) for k, of in sorts.items()])
+    # counts of each of the fixed number of steps, of its state, of its state's class and of both classes
+    full = samples.sparkSession.range(STATES * STATES, numPartitions=1).select(F.col("id").cast("int").alias("step")).join(counted, "step", "left").fillna(0, [*sorts])
+    full = full.withColumns({"state": F.floor(F.col("step") / STATES), "to": F.col("step") % STATES}).withColumns({"class": _class(F.col("state")), "class_to": _class(F.col("to"))})
+    for tag, keys in {"state": ["state"], "class": ["class"], "classes": ["class", "class_to"]}.items():
+        full = full.join(full.groupBy(*keys).agg(*[F.sum(k).alias(f"{k}_{tag}") for k in sorts]), keys)
+    alike = F.when(F.col("class_to").isin(1, 2), 26).when(F.col("class_to") == 3, 10).otherwise(1)
+
+    def step(k: str) -> Column:
+        return F.when(F.col(f"{k}_state") > 0, F.col(k) / F.col(f"{k}_state")).otherwise(0.0)
+
+    def rare(k: str) -> Column:
+        return (F.col(f"{k}_classes") + smooth) / (F.col(f"{k}_class") + smooth * 9) / alike
+
+    share = (1 - by_class) / 2
+    knows = F.lit(by_class) + sum((F.when(F.col(f"{k}_state") > 0, share).otherwise(0.0) for k in ("built", "own")), F.lit(0.0))
+    ordinary = (share * (step("built") + step("own")) + by_class / 2 * (rare("built") + rare("own"))) / knows
+    random = (F.col("random") + smooth) / (F.col("random_state") + smooth * STATES)
+    return full.select("step", F.log(random / ordinary).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "r"))), lambda x: x["r"]).alias("ratio"))
+
+
+def _secret(run: Column, ratio: Column, total: float, mean: float) -> Column:
+    """Whether the models' ratio calls a run of token characters a secret."""
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("sum"))
+    # `ratio` is read in the lambda and has to be a column of its own
+    value = F.aggregate(_codes(run), zero, lambda a, c: F.when(c == 0, a).otherwise(F.struct(c.alias("p"), (a["sum"] + F.element_at(ratio, a["p"] * STATES + c + 1)).alias("sum"))), lambda a: a["sum"])
+    return _let(value, lambda v: (v >= total) & (v >= F.length(run) * mean))
 
 
 def scan(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
@@ -201,18 +241,16 @@ def _scanned(docs: DataFrame, model: DataFrame | None = None, total: float = TOT
     df = _spans(df, "_assign", 0, ASSIGN, LEAST["assign"], 1)
     df = _spans(df, "_access", 1, r"AKIA[A-Z0-9]{16,}")
     df = _spans(df, "_hex", 2, r"[0-9a-f]{24,}")
-    df = _spans(df, "_run", 3, RUN)
-    free = _free(F.col("_run"), F.col("_m"), [F.col("_assign"), F.col("_access"), F.col("_hex")])
-    df = df.withColumn("_free", F.when(F.size("_run") > 0, free)).drop("_run", "_m").withColumn("_ratio", F.when(F.size("_free") > 0, ratio))
-    df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
-
-    def score(m: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("sum"))
-        return F.aggregate(_codes(m), zero, lambda a, c: F.when(c == 0, a).otherwise(F.struct(c.alias("p"), (a["sum"] + F.element_at(F.col("_ratio"), a["p"] * STATES + c + 1)).alias("sum"))), lambda a: a["sum"])
-
-    scored = F.transform("_free", lambda x: F.struct(x["s"].alias("s"), score(x["m"]).alias("v"), F.length(x["m"]).alias("n")))
-    more = F.transform(F.filter(scored, lambda x: (x["v"] >= total) & (x["v"] >= x["n"] * mean)), lambda x: x["s"])
-    spans = F.array_sort(F.concat("_base", F.when(F.size("_free") > 0, more).otherwise(F.array()).cast(_SPAN)))
+    df = df.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
+    df = df.withColumn("_m", F.regexp_extract_all("text", F.lit(RUN), 0)).withColumn("_ratio", ratio)
+    # texts without any such run, nearly all, are done once each of their different runs is judged
+    judge = lambda m: _secret(m, F.col("_ratio"), total, mean)
+    df = df.withColumn("_some", F.exists(F.array_distinct("_m"), judge))
+    df = df.withColumn("_s", F.when(F.col("_some"), _starts(F.split("text", RUN, -1), F.col("_m"))))
+    runs = F.zip_with("_m", "_s", lambda m, s: F.struct(F.struct(s.alias("start"), F.lit(3).alias("kind"), (s + F.length(m)).cast("int").alias("end")).alias("s"), m.alias("m")))
+    df = df.withColumn("_run", F.when(F.col("_some"), F.filter(runs, lambda x: judge(x["m"])))).drop("_m", "_s")
+    free = _free(F.col("_run"), [F.col("_assign"), F.col("_access"), F.col("_hex")])
+    spans = F.when(F.col("_some"), F.array_sort(F.concat("_base", F.transform(free, lambda x: x["s"]).cast(_SPAN)))).otherwise(F.col("_base"))
     return df.select("_row", "text", spans.alias("_spans"))
 
 

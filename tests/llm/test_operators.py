@@ -317,6 +317,17 @@ def plain_secrets(text):
     return sorted(out)
 
 
+def plain_random(text, ratio, base):
+    """Runs whose characters the models call random, one by one, that no base span overlaps."""
+    alphabet, out = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", []
+    for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
+        codes = [alphabet.index(c) + 1 for c in m.group()]
+        total = sum(ratio[a * (len(alphabet) + 1) + b] for a, b in zip([0, *codes], codes))
+        if total >= 14 and total >= 0.9 * len(codes) and not any(a < m.end() and b > m.start() for a, _, b in base):
+            out.append(m.span())
+    return out
+
+
 def written_plainly(kinds, spans):
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -331,17 +342,19 @@ def test_secret_columns_against_plain_patterns(spark, tmp_path):
     rows = [(i, "".join(rng.choice(bits, int(rng.integers(0, 40))))) for i in range(1500)] + [(9000, None), (9001, "")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = by_id(queries.op9_secrets(spark, str(tmp_path)))
-    texts = dict(rows)
+    texts, shortest = dict(rows), 99
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    ratio = secrets.train(secrets.labelled_samples(d)).first().ratio
     for i, t in texts.items():
         base, r = plain_secrets(t or ""), got[i]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
         assert r.base_sha256 == hashlib.sha256(written_plainly(secrets.KINDS, base).encode()).hexdigest()
         spans = [x.split(":") for x in r.spans.split(",") if x]
         assert [x for x in spans if x[0] != "random"] == [x.split(":") for x in written_plainly(secrets.KINDS, base).split(",") if x]
-        for kind, a, b in spans:
-            if kind == "random":
-                assert int(b) - int(a) >= 16 and not any(x < int(b) and y > int(a) for x, _, y in base)
-    d = spark.createDataFrame(rows, "doc_id long, text string")
+        found = [(int(a), int(b)) for kind, a, b in spans if kind == "random"]
+        assert found == plain_random(t or "", ratio, base)
+        shortest = min([shortest, *[b - a for a, b in found]])
+    assert shortest < 99
     for r in secrets.redacted(d).collect():
         t, spans, out, to = texts[r.doc_id], [x.split(":") for x in got[r.doc_id].spans.split(",") if x], [], 0
         for _, a, b in spans:
@@ -388,6 +401,29 @@ def test_recall_and_precision_of_the_secret_model(spark):
     assert true / len(random) > 0.95 and true / len(hits) > 0.95
 
 
+def test_recall_and_precision_of_each_class(spark):
+    """Short and long strings of each alphabet against names of words that no sample holds, of each form."""
+    import random
+    import string
+
+    rng = random.Random(23)
+    alphabets = {"mixed": string.ascii_letters + string.digits, "lower": string.ascii_lowercase + string.digits, "upper": string.ascii_uppercase + string.digits, "hex": "0123456789abcdef", "base64": string.ascii_letters + string.digits + "+/"}
+    cases = [(f"secret {k} {n}", "".join(rng.choice(chars) for _ in range(n))) for k, chars in alphabets.items() for n in (12, 16, 20, 23) for _ in range(100)]
+    rare = "quizzical jukebox zephyr oxygen pneumonia fjord sphinx hydraulic kiosk yacht vortex mnemonic rhythm waltz tsunami psychology larynx quartz awkward jockey buffalo dwarf equinox glyph jazz lymph nightclub onyx topaz vodka xenon zodiac".split()
+    words = lambda k: [rng.choice(rare) for _ in range(k)]
+    camel = lambda w: w[0] + "".join(x.capitalize() for x in w[1:])
+    names = {"camel": lambda: camel(words(3)), "snake": lambda: "_".join(words(3)), "upper": lambda: "_".join(words(3)).upper(), "path": lambda: "/".join(words(4)), "slug": lambda: f"20{rng.randint(10, 30)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-" + "-".join(words(2)), "numbered": lambda: camel(words(2)) + str(rng.randint(1, 2030)), "number": lambda: str(rng.randint(10**15, 10**20)), "word": lambda: words(1)[0]}
+    cases += [(f"name {k}", make()) for k, make in names.items() for _ in range(100)]
+    prose = [(10_000 + i, " ".join(rng.choice("river stone window garden market silver winter travel morning letter".split()) for _ in range(30))) for i in range(50)]
+    got = by_id(secrets.scan(docs(spark, [(i, f"see {x} there") for i, (_, x) in enumerate(cases)] + prose)))
+    share = {}
+    for i, (k, _) in enumerate(cases):
+        share.setdefault(k, []).append(any(s.start == 4 for s in got[i].spans))
+    share = {k: sum(v) / len(v) for k, v in share.items()}
+    assert all(v >= 0.9 if k.startswith("secret") else v <= 0.1 for k, v in share.items()), share
+    assert not any(got[i].spans for i, _ in prose)
+
+
 # --- quality ------------------------------------------------------------------------------------------
 
 

@@ -22,10 +22,10 @@ the built-in samples alone. Input columns of any name pass, but for one named sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import only, stored
+from ._tables import Made, drop, only, stored
 
 # fixed values: the base patterns, in the order of their kinds
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -154,7 +154,7 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMP
     forms = F.array(base64, letters, F.upper(F.substring(letters, 1, 36)), F.lower(F.substring(letters, 1, 36)), F.concat(F.substring(base64, 1, 20), F.lit("-"), F.substring("hex", 1, 12)), F.col("hex"))
     random = n.select(F.explode(forms).alias("text"), F.lit(True).alias("secret"), F.lit("random").alias("origin"))
     known = random.unionByName(built_in(spark, size))
-    first = stored(train(known), "model").select("ratio").scalar()
+    first = train(known).select("ratio").scalar()
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
     runs = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_extract_all(text, F.lit(RUN), 0).alias("w"))
@@ -183,7 +183,7 @@ def _class(state: Column) -> Column:
 
 
 def train(samples: DataFrame, smooth: float = 0.5, by_class: float = SMOOTH) -> DataFrame:
-    """One row: `ratio`, the log-likelihood ratio of every (state, next state), by state * STATES + next.
+    """A stored row: `ratio`, the log-likelihood ratio of every (state, next state), by state * STATES + next.
 
     The random model is smoothed by a constant. The ordinary one gives each origin of samples that knows
     a state the same weight, however many samples it has, and `by_class` to the classes of characters,
@@ -194,10 +194,11 @@ def train(samples: DataFrame, smooth: float = 0.5, by_class: float = SMOOTH) ->
     sorts = {"random": F.col("secret"), "built": ~F.col("secret") & (F.col("origin") == "built-in"), "own": ~F.col("secret") & (F.col("origin") != "built-in")}
     counted = steps.select("secret", "origin", F.explode(F.filter(pairs, lambda x: x.isNotNull())).alias("step")).groupBy("step").agg(*[F.count_if(of).alias(k) for k, of in sorts.items()])
     # counts of each of the fixed number of steps, of its state, of its state's class and of both classes
+    counted = stored(counted, "counts")
     full = samples.sparkSession.range(STATES * STATES, numPartitions=1).select(F.col("id").cast("int").alias("step")).join(counted, "step", "left").fillna(0, [*sorts])
     full = full.withColumns({"state": F.floor(F.col("step") / STATES), "to": F.col("step") % STATES}).withColumns({"class": _class(F.col("state")), "class_to": _class(F.col("to"))})
     for tag, keys in {"state": ["state"], "class": ["class"], "classes": ["class", "class_to"]}.items():
-        full = full.join(full.groupBy(*keys).agg(*[F.sum(k).alias(f"{k}_{tag}") for k in sorts]), keys)
+        full = full.withColumns({f"{k}_{tag}": F.sum(k).over(Window.partitionBy(*keys)) for k in sorts})
     alike = F.when(F.col("class_to").isin(1, 2), 26).when(F.col("class_to") == 3, 10).otherwise(1)
 
     def step(k: str) -> Column:
@@ -210,7 +211,10 @@ def train(samples: DataFrame, smooth: float = 0.5, by_class: float = SMOOTH) ->
     knows = F.lit(by_class) + sum((F.when(F.col(f"{k}_state") > 0, share).otherwise(0.0) for k in ("built", "own")), F.lit(0.0))
     ordinary = (share * (step("built") + step("own")) + by_class / 2 * (rare("built") + rare("own"))) / knows
     random = (F.col("random") + smooth) / (F.col("random_state") + smooth * STATES)
-    return full.select("step", F.log(random / ordinary).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "r"))), lambda x: x["r"]).alias("ratio"))
+    ratio = full.select("step", F.log(random / ordinary).alias("r")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "r"))), lambda x: x["r"]).alias("ratio"))
+    ratio = stored(ratio, "model")
+    drop(counted)
+    return ratio
 
 
 def _secret(run: Column, ratio: Column, total: float, mean: float) -> Column:
@@ -233,8 +237,10 @@ def scan(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL,
 def _scanned(docs: DataFrame, model: DataFrame | None = None, total: float = TOTAL, mean: float = MEAN) -> DataFrame:
     """_row (all of the input's columns), text (null as empty) and _spans."""
     if model is None:
-        model = train(labelled_samples(only(docs, "doc_id", "text")))
-    ratio = stored(model, "model").select("ratio").scalar()
+        with Made() as made:
+            model = train(labelled_samples(only(docs, "doc_id", "text")))
+        made.delete(docs.sparkSession, model)
+    ratio = model.select("ratio").scalar()
     kept = docs.columns
     # everything but the text waits in one column, so no name of the input can clash
     df = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), F.coalesce(docs["text"], F.lit("")).alias("text"))

@@ -158,10 +158,12 @@ def labelled_samples(docs: DataFrame, limit: int = SAMPLE_DOCS, size: int = SAMP
     chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     text = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), "AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}", " ")
     runs = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.regexp_extract_all(text, F.lit(RUN), 0).alias("w"))
-    runs = runs.withColumn("_ratio", first).select(F.filter("w", lambda m: ~_secret(m, F.col("_ratio"), TOTAL, MEAN)).alias("w")).filter("size(w) > 0")
+    runs = runs.withColumn("_ratio", first).select(F.filter("w", lambda m: ~_secret(m, F.col("_ratio"), TOTAL, MEAN)).alias("w"))
     pairs = F.zip_with("w", F.concat(F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(1))), F.array(F.lit("id"))), lambda a, b: F.struct(a.alias("a"), F.coalesce(b, F.lit("id")).alias("b")))
     forms = lambda p: F.array(p["a"], F.concat_ws("_", p["a"], p["b"]), F.concat(F.lower(p["a"]), F.initcap(p["b"])), F.upper(F.concat_ws("-", p["a"], p["b"])), F.concat(p["a"], F.lit("/"), p["b"]))
-    ordinary = runs.select(F.explode(F.flatten(F.transform(pairs, forms))).alias("text"), F.lit(False).alias("secret"), F.lit("documents").alias("origin"))
+    # a condition on the runs, or one that explode() implies, would be pushed below the join, and judge all documents
+    some = F.filter(pairs, lambda p: p["a"].isNotNull())
+    ordinary = runs.select(F.explode_outer(F.flatten(F.transform(some, forms))).alias("text"), F.lit(False).alias("secret"), F.lit("documents").alias("origin")).filter("text is not null")
     return known.unionByName(ordinary)
 
 

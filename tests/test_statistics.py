@@ -1,6 +1,7 @@
 """Statistics against anchors, closed forms and plain loops."""
 
 import math
+import time
 from fractions import Fraction
 
 import numpy as np
@@ -141,3 +142,21 @@ def test_fused_counts_equal_counts_of_samples(spark):
         key = lambda d: {(r.annotation, r.sample_id): round(r.value, 9) for r in d.collect()}
         assert key(fused) == key(rows)
     assert fused.select(F.count("*")).first()[0] == 6
+
+
+def test_benjamini_yekutieli_takes_one_step_a_row(spark):
+    n = 200_000
+    df = spark.range(1, n + 1).select(((F.col("id") - 0.5) / (100 * n)).alias("pvalue"))
+    # a sum over all ranks for each row would take some 4e10 steps
+    began = time.time()
+    rows = statistics.adjust_p(df, "BY").agg(F.max("qvalue").alias("q"), F.min("qvalue").alias("least")).first()
+    assert time.time() - began < 60
+    harmonic = sum(1 / k for k in range(1, n + 1))
+    assert rows["least"] == pytest.approx(harmonic / 200, rel=1e-12)
+    assert rows["q"] == pytest.approx(harmonic / 100 * (1 - 0.5 / n), rel=1e-12)
+
+
+@pytest.mark.parametrize("n", [1, 2, 99, 100, 101, 5000])
+def test_sum_of_reciprocals(spark, n):
+    got = spark.range(1).select(statistics._harmonic(F.lit(n).cast("long")).alias("h")).first()["h"]
+    assert got == pytest.approx(sum(1 / k for k in range(1, n + 1)), rel=1e-14)

@@ -1,5 +1,7 @@
 """Laws of lengths, positions and budgets, and the files that sampling tasks map."""
 
+import time
+
 import numpy as np
 import pytest
 
@@ -118,3 +120,40 @@ def test_counts_of_every_kind_against_plain_ones():
         want = {"nucleotide-overlap": common, "nucleotide-density": common / 500, "segment-overlap": meets(s, a), "annotation-overlap": meets(a, s), "segment-midoverlap": middle(s, a), "annotation-midoverlap": middle(a, s)}
         assert {c: samplers.count(c, s, a, w) for c in want} == pytest.approx(want)
     assert Sorted.of(placement.EMPTY).below(np.array([5])).tolist() == [0]
+
+
+@pytest.mark.parametrize("options", [{}, {"extension": 31}, {"radius": 5.0}])
+def test_shifted_segments_stay_around_the_workspace_near_them(options):
+    s = np.array([[5, 12], [20, 26], [48, 63], [70, 71], [90, 99], [300, 310]])
+    w = np.array([[0, 10], [15, 30], [40, 50], [55, 80], [95, 120]])
+    for k in range(200):
+        got = placement.shift(**options)(np.random.default_rng([1, k]), s, w, k)
+        rng, parts = np.random.default_rng([1, k]), []
+        for a, b in s.tolist():
+            reach = options["extension"] // 2 if "extension" in options else int((b - a) * options.get("radius", 2.0) / 2)
+            mid = a + (b - a) // 2
+            near = [x for u, v in w.tolist() for x in range(max(u, mid - reach, 0), min(v, mid + reach))]
+            if near:
+                at = int(rng.integers(len(near)))
+                parts += [near[(at + i) % len(near)] for i in range(min(b - a, len(near)))]
+        assert sorted(set(parts)) == [x for a, b in got.tolist() for x in range(a, b)]
+
+
+def test_local_permutation_keeps_the_bases_of_each_interval():
+    rng = np.random.default_rng(3)
+    w = np.column_stack([np.arange(50_000) * 300, np.arange(50_000) * 300 + 250])
+    s = placement.merged(np.column_stack([w[:, 0] + rng.integers(0, 100, len(w)), w[:, 0] + rng.integers(120, 250, len(w))]))
+    s = placement.merged(np.vstack([s, [[251, 260]], np.column_stack([w[::3, 0] + 270, w[::3, 0] + 280])]))
+    out = placement.local_permutation()(np.random.default_rng(1), s, w, 0)
+    of = lambda x: placement.covered_before(x, w[:, 1]) - placement.covered_before(x, w[:, 0])
+    assert (of(out) == of(s)).all() and placement.size(out) == int(of(s).sum())
+
+
+@pytest.mark.parametrize("name", ["shift", "local-permutation"])
+def test_placing_takes_no_step_of_python_for_a_segment(name):
+    at = np.arange(100_000) * 300
+    s, w = np.column_stack([at + 10, at + 50]), np.column_stack([at, at + 250])
+    place = placement.PLACERS[name]()
+    began = time.process_time()
+    assert placement.size(place(np.random.default_rng(1), s, w, 0)) == 40 * len(s)
+    assert time.process_time() - began < 2

@@ -157,3 +157,11 @@ def test_placing_takes_no_step_of_python_for_a_segment(name):
     began = time.process_time()
     assert placement.size(place(np.random.default_rng(1), s, w, 0)) == 40 * len(s)
     assert time.process_time() - began < 2
+
+
+def test_samples_are_handed_over_in_frames_of_bounded_size():
+    x = np.column_stack([np.arange(150_000) * 10, np.arange(150_000) * 10 + 4])
+    frames = list(samplers._samples("a", "c", "", 3, x))
+    assert max(map(len, frames)) <= samplers.FRAME and sum(map(len, frames)) == len(x)
+    assert (np.concatenate([f["start"].to_numpy() for f in frames]) == x[:, 0]).all() and (np.concatenate([f["end"].to_numpy() for f in frames]) == x[:, 1]).all()
+    assert set(frames[-1]["sample_id"]) == {3} and frames[0]["isochore"].isna().all()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axisloom.storage import new_path
 from axisloom.operators import algebra, collections, points
 
 SCHEMA = "track string, contig string, start long, end long"
@@ -169,3 +170,14 @@ def test_lookups(spark):
             assert (tuple(q.after) if q.after else None) == (after[0] if after else None)
     assert algebra.lookup(p, r, ["contig"]).count() == len(points)
     assert algebra.lookup(p, r.filter("false"), ["contig"]).filter("before is null and after is null").count() == len(points)
+
+
+def test_pairs_are_not_broadcast_by_the_size_of_files(spark):
+    rows = [("t", "chr0", i * 10, i * 10 + 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "track string, contig string, start long, end long")
+    path = new_path(spark)
+    df.write.parquet(path)
+    a = b = spark.read.parquet(path)
+    for out in (algebra.overlap_join(a, b), algebra.overlapping(a, b), algebra.intersect(a, b)):
+        assert "BroadcastHashJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    assert algebra.overlapping(a, b).count() == 50

@@ -38,6 +38,34 @@ def test_merge_distance(spark):
         assert len(rows(algebra.merge(df(spark, TEN), distance))) == count
 
 
+@pytest.mark.parametrize("distance", [-1, 0, 7])
+def test_merge_against_a_loop(spark, distance):
+    rng = np.random.default_rng(distance + 1)
+    every, want = [], []
+    for contig, most in (("a", 12), ("b", 200), (None, 40)):
+        starts = rng.integers(0, 3000, 120)
+        pairs = sorted((int(s), int(s + n)) for s, n in zip(starts, rng.integers(0, most, 120), strict=True) if not 900 < s < 1400)
+        every += [("t", contig, s, e) for s, e in pairs]
+        isles = []
+        for s, e in pairs:
+            if e > s and isles and s - distance <= isles[-1][1]:
+                isles[-1][1] = max(isles[-1][1], e)
+            elif e > s:
+                isles.append([s, e])
+        want += [(contig, s, e) for s, e in isles]
+    data = spark.createDataFrame(every, SCHEMA)
+    for block in (16, 64, 1 << 18):
+        got = [(r.contig, r.start, r.end) for r in algebra.merge(data, distance, block).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_merge_shuffles_rows_once(spark):
+    data = spark.range(100).selectExpr("'t' as track", "'c' as contig", "id * 10 as start", "id * 10 + 15 as end")
+    with_rows = algebra.normalize(data)._jdf.queryExecution().executedPlan().toString()
+    # summaries of blocks are unioned with the rows, not joined with them
+    assert "Join" not in with_rows and "Union" in with_rows
+
+
 def test_expand_extend_shift(spark):
     assert sum(b - a for a, b in rows(algebra.expand(df(spark, TEN), 2.0))) == 195
     assert rows(algebra.extend(df(spark, [(5, 10)]), 7)) == [(0, 17)]

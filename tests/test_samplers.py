@@ -7,7 +7,7 @@ import pytest
 
 from axisloom.functions import placement
 from axisloom.functions.placement import EdgePositions, HistogramLengths, Positions, Sorted
-from axisloom.operators import axis_files, samplers
+from axisloom.operators import algebra, axis_files, counters, samplers
 
 
 def chi_squared(seen, expected):
@@ -165,3 +165,17 @@ def test_samples_are_handed_over_in_frames_of_bounded_size():
     assert max(map(len, frames)) <= samplers.FRAME and sum(map(len, frames)) == len(x)
     assert (np.concatenate([f["start"].to_numpy() for f in frames]) == x[:, 0]).all() and (np.concatenate([f["end"].to_numpy() for f in frames]) == x[:, 1]).all()
     assert set(frames[-1]["sample_id"]) == {3} and frames[0]["isochore"].isna().all()
+
+
+def test_shifted_segments_are_counted_where_they_meet_annotations(spark):
+    rng = np.random.default_rng(5)
+    made = lambda names, n: [(str(rng.choice(names)), str(rng.choice(["c1", "c2"])), int(s), int(s + k)) for s, k in zip(rng.integers(0, 9000, n), rng.integers(1, 400, n), strict=True)]
+    schema = "track string, contig string, start long, end long"
+    s, a = (algebra.normalize(spark.createDataFrame(made(*x), schema)) for x in ((["t", "u"], 60), (["x", "y", "z"], 40)))
+    pairs = counters.pairs_of(s, a)
+    moved = counters.sampled("nucleotide-overlap", samplers.shift_by_hash(s, 7, 150), a, None, 7, pairs)
+    there = counters.completed("nucleotide-overlap", samplers.shift_by_hash_overlap(s, a, 7, 150), 7, pairs)
+    assert sorted(map(tuple, there.collect())) == sorted(map(tuple, moved.collect())) and there.count() == 42
+    # a sample's number is given after the join, so that no shuffle of segments holds samples
+    plan = samplers.shift_by_hash_overlap(s, a, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(") < plan.index("SortMergeJoin")

@@ -179,3 +179,82 @@ def test_shifted_segments_are_counted_where_they_meet_annotations(spark):
     # a sample's number is given after the join, so that no shuffle of segments holds samples
     plan = samplers.shift_by_hash_overlap(s, a, 7)._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(") < plan.index("SortMergeJoin")
+
+
+def _axis(n, reach=25):
+    """Workspace intervals of all kinds, some of which touch, and segments that hang over them."""
+    rng = np.random.default_rng(8)
+    low = np.cumsum(rng.choice([0, 5, 60], n, p=[0.1, 0.2, 0.7]) + 40)
+    w = np.column_stack([low - 40, low - rng.choice([0, 10], n)])
+    start = np.sort(rng.choice(low[-1], n // 2, replace=False))
+    return placement.merged(np.column_stack([start, start + rng.integers(1, reach, len(start))])), w
+
+
+@pytest.mark.parametrize("name, options", [("annotator", {}), ("annotator", {"positions": "edge"}), ("annotator", {"lengths": "histogram", "bucket": 5}), ("brute-force", {"inner": 2000})])
+@pytest.mark.parametrize("shard", [7, 64, 5000])
+def test_shards_keep_bases_and_bounds(name, options, shard):
+    s, w = _axis(2000)
+    space = placement.Space(placement.Held(s), placement.Held(w), shard)
+    assert space.target == placement.size(placement.clipped(s, w))
+    placer = placement.PLACERS[name](**options)
+    for k in range(5):
+        x = np.vstack(list(placer.fill(np.random.default_rng([2, k]), space)))
+        assert placement.size(x) == space.target and (x[1:, 0] >= x[:-1, 1]).all()
+        assert placement.size(placement.clipped(x, w)) == space.target
+
+
+@pytest.mark.parametrize("name", ["annotator", "brute-force"])
+def test_shards_do_not_change_the_law(name):
+    s, w = _axis(400)
+    s = s[s[:, 0] < s[-1, 1] // 3]  # room is left, whose share of each base is to be the same
+    placer = placement.PLACERS[name]()
+
+    def share(shard):
+        space, out = placement.Space(placement.Held(s), placement.Held(w), shard), []
+        for k in range(400):
+            x = np.vstack(list(placer.fill(np.random.default_rng([shard, k]), space)))
+            out.append(np.diff(placement.covered_before(x, np.linspace(0, w[-1, 1], 21).astype(int))))
+        return np.array(out)
+
+    few, one = share(9), share(1000)
+    error = np.sqrt(few.var(axis=0) / len(few) + one.var(axis=0) / len(one))
+    assert (np.abs(few.mean(axis=0) - one.mean(axis=0)) < 4.5 * error).all()
+    assert few.std(axis=0) == pytest.approx(one.std(axis=0), rel=0.2)
+
+
+def test_annotations_over_several_shards_count_once(spark):
+    s, w = _axis(600)
+    a = placement.merged(np.column_stack([x := np.arange(0, w[-1, 1], 300), x + 280]))
+    frame = lambda x, track: spark.createDataFrame([(track, "c", int(b), int(e)) for b, e in x], "track string, contig string, start long, end long")
+    kinds = ("nucleotide-overlap", "nucleotide-density", "segment-overlap", "segment-midoverlap", "annotation-overlap", "annotation-midoverlap")
+    space = placement.Space(placement.Held(s), placement.Held(w), 5)
+    values, ends, found = dict.fromkeys(kinds, 0.0), {}, []
+    for x in placement.annotator().fill(np.random.default_rng(4), space):
+        found.append(x)
+        if len(x):
+            y, at = samplers._met(placement.Held(a), x)
+            for c in kinds:
+                values[c] += samplers._value(c, Sorted.of(x), Sorted.of(x), y, int(space.sizes.sum()))
+            values["annotation-overlap"] -= samplers._again(ends, "a", Sorted.of(x), y, at) if len(y) else 0
+    whole = np.vstack(found)
+    assert values == pytest.approx({c: samplers.count(c, whole, a, w) if not c.startswith("segment") else samplers._value(c, Sorted.of(whole), Sorted.of(whole), Sorted.of(a), 1) for c in kinds})
+    got = samplers.sampled_counts(frame(s, "t"), frame(a, "a"), frame(w, "w"), 2, kinds).collect()
+    assert len(got) == 12 and all(r.value > 0 for r in got)
+
+
+def test_large_sets_are_read_in_stretches(spark, monkeypatch):
+    s, w = _axis(3000)
+    frame = lambda x: spark.createDataFrame([("t", "c", int(b), int(e)) for b, e in x], "track string, contig string, start long, end long")
+    axis = axis_files.written(frame(s)).axis("c", "")
+    held = axis.rows("t")
+    monkeypatch.setattr(axis_files, "HELD", 10)
+    read = axis.rows("t")
+    assert isinstance(held, placement.Held) and isinstance(read, axis_files.Runs) and len(read) == len(s)
+    at = np.arange(0, int(s[-1, 1]) + 50, 37)
+    assert (read.before(at) == held.before(at)).all() and (read.begun(at) == held.begun(at)).all()
+    assert read.stretch(5, 900).tolist() == s[5:900].tolist() and read.stretch(len(s) - 3, len(s) + 5).tolist() == s[-3:].tolist()
+    few = placement.Shelf(most=100)
+    for i, n in enumerate((60, 50, 0, 30)):
+        few.put(i, s[:n])
+    few.put(0, s[:200])
+    assert [few.get(i).tolist() for i in range(4)] == [s[:n].tolist() for n in (200, 50, 0, 30)] and few.file is not None and few.held <= 100

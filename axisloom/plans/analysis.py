@@ -43,7 +43,7 @@ def build_inputs(segments: DataFrame, annotations: DataFrame, workspaces_: DataF
         raise ValueError("there are no segments")
     if names > MOST_TRACKS:
         raise ValueError(f"more than {MOST_TRACKS} tracks of segments")
-    space = collections.collapse(algebra.normalize(workspaces_))
+    space = collections.collapse(kept(algebra.normalize(workspaces_)))  # its steps read them several times
     return algebra.normalize(segments), annotations if overlapping_annotations else algebra.normalize(annotations), space
 
 

@@ -258,3 +258,24 @@ def test_large_sets_are_read_in_stretches(spark, monkeypatch):
         few.put(i, s[:n])
     few.put(0, s[:200])
     assert [few.get(i).tolist() for i in range(4)] == [s[:n].tolist() for n in (200, 50, 0, 30)] and few.file is not None and few.held <= 100
+
+
+@pytest.mark.parametrize("far, longest", [(0, 20), (1 << 50, 20), (0, 1 << 21)])
+def test_merging_near_far_and_long_intervals(far, longest):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([b := rng.integers(0, 900, 60) + far, b + rng.integers(0, longest, 60)])
+    want = []
+    for lo, hi in sorted(map(tuple, x[x[:, 1] > x[:, 0]].tolist())):
+        if want and lo <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], hi)
+        else:
+            want.append([lo, hi])
+    assert placement.merged(x).tolist() == want
+
+
+def test_filling_sorts_no_places():
+    s, w = _axis(150_000)
+    began = time.process_time()
+    space = placement.Space(placement.Held(s), placement.Held(w))
+    assert sum(placement.size(x) for x in placement.annotator().fill(np.random.default_rng(1), space)) == space.target
+    assert time.process_time() - began < 2

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special, statistics
 from ..operators import algebra, collections, counters, samplers, workspaces
-from ..storage import kept
+from ..storage import delete, kept
 from .metrics import Metrics
 
 MOST_TRACKS = 1000
@@ -43,7 +43,7 @@ def build_inputs(segments: DataFrame, annotations: DataFrame, workspaces_: DataF
         raise ValueError("there are no segments")
     if names > MOST_TRACKS:
         raise ValueError(f"more than {MOST_TRACKS} tracks of segments")
-    space = collections.collapse(kept(algebra.normalize(workspaces_)))  # its steps read them several times
+    space = collections.collapse(kept(algebra.normalize(workspaces_), tidy=True))  # its steps read them several times
     return algebra.normalize(segments), annotations if overlapping_annotations else algebra.normalize(annotations), space
 
 
@@ -56,6 +56,16 @@ def apply_scope(segments: DataFrame, annotations: DataFrame, workspace: DataFram
     return inside, algebra.intersect(annotations, workspace), workspace
 
 
+def apply_spaces(segments: DataFrame, annotations: DataFrame, spaces: DataFrame, by: tuple[str, ...], isochores: DataFrame | None = None, truncate: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same in workspaces that depend on names (by), each on axes of its own."""
+    s = workspaces.within(segments, spaces, by, "track", truncate and isochores is None)
+    a, w = workspaces.within(annotations, spaces, by, "annotation"), workspaces.labelled(spaces, by)
+    if isochores is None:
+        return s, a, w
+    strata = workspaces.within(algebra.normalize(isochores), spaces, by)
+    return collections.to_isochores(s, strata, truncate), collections.to_isochores(a, strata, True), collections.to_isochores(w.withColumn("track", F.lit("")), strata, True).drop("track")
+
+
 def extended(results: DataFrame, segments: DataFrame, annotations: DataFrame, workspace: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Results with counts, sizes, densities and overlap percentages of track and annotation.
 
@@ -91,48 +101,57 @@ def run(segments: DataFrame, annotations: DataFrame, workspaces_: DataFrame, iso
     """One row per counter, track and annotation, with all result columns.
 
     Where the workspace depends on the track or annotation, each has its own copy of what it is judged
-    with, on axes of its own: intervals, samples and counts of one workspace never meet another's.
+    with, and of no more, on axes of its own: intervals, samples and counts of one workspace never meet another's.
     metrics takes down what inputs, scope and results hold, and the seconds until they are kept.
     """
     o, m = options or Options(), metrics or Metrics()
 
     def watched(tables: tuple[DataFrame, ...], what: str) -> list[DataFrame]:
         with m.timed(what):
-            return [kept(m.watch(x, f"{name} {what}")) for x, name in zip(tables, ("segments", "annotations", "workspace"), strict=True)]
+            return [kept(m.watch(x, f"{name} {what}"), tidy=True) for x, name in zip(tables, ("segments", "annotations", "workspace"), strict=True)]
 
-    s, a, w = watched(build_inputs(segments, annotations, workspaces_, o.overlapping_annotations), "given")
+    given = s, a, w = watched(build_inputs(segments, annotations, workspaces_, o.overlapping_annotations), "given")
     by = workspaces.CONDITIONS.get(o.workspace_generator, ())
-    # zeros are completed for these names, also where a scope leaves nothing of them
-    s0, a0 = s, a
-    if by:
-        s, a, (w, *strata) = workspaces.conditioned(s, a, [x for x in (w, isochores) if x is not None], by)
-        isochores = strata[0] if strata else None
-    s, a, w = workspaces.WORKSPACES[o.workspace_generator](**o.workspace_options)(s, a, w)
     if by:
-        w = w.drop("track")
-    s, a, w = watched(apply_scope(s, a, w, isochores, o.truncate_segments_to_workspace), "in scope")
-    observed, sampled = None, None
-    if not o.fused:
-        sets = kept(samplers.sample(s, w, o.nsamples, o.sampler, o.seed, **o.sampler_options))
+        # zeros are completed for these names, also where a scope leaves nothing of them
+        names = kept(counters.pairs_of(s, a), tidy=True)
+        spaces = kept(workspaces.SPACES[o.workspace_generator](**o.workspace_options)(s, a, w), tidy=True)
+        s, a, w = watched(apply_spaces(s, a, spaces, by, isochores, o.truncate_segments_to_workspace), "in scope")
+        delete(spaces)
+    else:
+        s, a, w = workspaces.WORKSPACES[o.workspace_generator](**o.workspace_options)(s, a, w)
+        s, a, w = watched(apply_scope(s, a, w, isochores, o.truncate_segments_to_workspace), "in scope")
+    # tables and files go as soon as nothing reads them, as each is a good part of what all take on disk
+    for x in given:
+        delete(x)
+    observed, sampled, files = None, None, []
     for c in o.counters:
         seen = counters.observed(c, s, a, w)
         observed = seen if observed is None else observed.unionByName(seen)
-        if not o.fused:
+    observed = kept(observed, tidy=True)
+    if o.fused:
+        sampled = samplers.sampled_counts(s, a, w, o.nsamples, o.counters, o.sampler, o.seed, files=files, **o.sampler_options)
+    else:
+        sets = kept(samplers.sample(s, w, o.nsamples, o.sampler, o.seed, files=files, **o.sampler_options))
+        for c in o.counters:
             values = counters.sampled(c, sets, a, w, o.nsamples, counters.pairs_of(s, a))
             sampled = values if sampled is None else sampled.unionByName(values)
-    if o.fused:
-        sampled = samplers.sampled_counts(s, a, w, o.nsamples, o.counters, o.sampler, o.seed, **o.sampler_options)
     if by:
-        observed, sampled = _with_zeros(observed, s0, a0, o), _with_zeros(sampled, s0, a0, o, True)
+        observed, sampled = _with_zeros(observed, names, o), _with_zeros(sampled, names, o, True)
     with m.timed("results"):
-        return finish(observed, m.watch(sampled, "sampled counts"), o, reference, (s, a, w, by))
+        out = finish(observed, m.watch(sampled, "sampled counts"), o, reference, (s, a, w, by))
+    for x in files:
+        x.delete()
+    if not o.fused:
+        delete(sets)
+    return out
 
 
-def _with_zeros(counts: DataFrame, segments: DataFrame, annotations: DataFrame, o: Options, sampled: bool = False) -> DataFrame:
+def _with_zeros(counts: DataFrame, pairs: DataFrame, o: Options, sampled: bool = False) -> DataFrame:
     """Counts with rows of 0 for the pairs of names that no scope has left."""
     on = ["counter", "track", "annotation", *(["sample_id"] if sampled else [])]
     value = "value" if sampled else "observed"
-    full = counters.pairs_of(segments, annotations).withColumn("counter", F.explode(F.array(*map(F.lit, o.counters))))
+    full = pairs.withColumn("counter", F.explode(F.array(*map(F.lit, o.counters))))
     if sampled:
         full = full.withColumn("sample_id", F.explode(F.sequence(F.lit(0), F.lit(o.nsamples - 1))))
     return full.join(counts, on, "left").select(*on, F.coalesce(value, F.lit(0.0)).alias(value))
@@ -141,7 +160,7 @@ def _with_zeros(counts: DataFrame, segments: DataFrame, annotations: DataFrame,
 def finish(observed: DataFrame, sampled: DataFrame, o: Options, reference: DataFrame | None = None, inputs=None) -> DataFrame:
     """Statistics, p-values and q-values of counts, however they came about."""
     results = statistics.enrichment(observed, sampled, o.pseudo_count, reference)
-    results = statistics.q_values(kept(statistics.update_p(results, o.pvalue_method)), o.qvalue_method)
+    results = statistics.q_values(kept(statistics.update_p(results, o.pvalue_method), tidy=True), o.qvalue_method)
     return extended(results, *inputs) if inputs else results
 
 
